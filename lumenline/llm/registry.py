@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontamination import op3_prefix_decontamination
+from .jaccard import op4_count_vector_join
 from .packing import op9_histogram_packing
 from .sharding import op1_sampled_splitters
+from .substring import op8_rabin_karp
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op3_prefix_decontamination, op9_histogram_packing)}
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op3_prefix_decontamination, op4_count_vector_join, op8_rabin_karp, op9_histogram_packing)}
 ORACLE_SQL: dict[str, str] = {}
