@@ -102,23 +102,91 @@ def filter_texts(
     return df.mapInArrow(run, df.schema)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, computed when first asked for; forgets all beyond a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit (the finalizer of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+BASE = 0x9E3779B97F4A7C15
+
+
+class RollingHash:
+    """Polynomial hashes of stretches of a sequence of numbers, modulo 2^64, from prefix sums."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def prefix(self, values: np.ndarray) -> np.ndarray:
+        size = len(self.up)
+        while size < len(values) + 1:
+            size *= 2
+        with np.errstate(over="ignore"):
+            if size > len(self.up):
+                self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, pow(BASE, -1, 2**64)))
+            out = np.empty(len(values) + 1, np.uint64)
+            out[0] = 0
+            np.cumsum(values * self.up[: len(values)], out=out[1:])
+            return out
+
+    def stretches(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (prefix[end] - prefix[start]) * self.down[start]
+
+    def windows(self, prefix: np.ndarray, k: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((prefix[k:] - prefix[:-k]) * self.down[: len(prefix) - k])
+
+
+class WordScan:
+    """64-bit hashes of the white-space separated words of texts, many at a time and without word objects."""
+
+    #: Bytes handled at once; words of more than LONG bytes are hashed one by one.
+    PIECE, LONG = 1 << 20, 64
+
+    def __init__(self, fold: bytes | None = None):
+        """``fold``: a table of 256 bytes applied to the texts first."""
+        self.table = bytes(32 if 9 <= b <= 13 else b for b in fold or bytes(range(256)))
+        self.rolling = RollingHash()
+
+    def chunks(self, texts: list[bytes | None]):
+        """(indexes of texts, their numbers of words, the hashes of all their words) by pieces of whole texts."""
+        part, total, begin = [], 0, 0
+        for i, text in enumerate(texts):
+            part.append((text or b"").translate(self.table))
+            total += len(part[-1]) + 1
+            if total >= self.PIECE or i == len(texts) - 1:
+                starts, hashes = self.words(b" ".join(part))
+                ends = np.cumsum([len(p) + 1 for p in part])
+                counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+                yield np.arange(begin, i + 1), counts, hashes
+                part, total, begin = [], 0, i + 1
+
+    def words(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the words of a text in which white space is spaces."""
+        starts, hashes, at = [], [], 0
+        while at < len(text):
+            end = len(text)
+            if end - at > 2 * self.PIECE:
+                end = text.rfind(b" ", at, at + self.PIECE)
+                end = text.find(b" ", at + self.PIECE) if end <= at else end
+                end = len(text) if end < 0 else end
+            s, h = self._piece(text[at:end])
+            starts.append(s + at)
+            hashes.append(h)
+            at = end
+        return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    def _piece(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        letters = np.frombuffer(text, np.uint8)
+        inside = np.zeros(len(letters) + 2, bool)
+        np.not_equal(letters, 32, out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[0::2], edge[1::2]
+        prefix = self.rolling.prefix(letters.astype(np.uint64) + np.uint64(1))
+        hashes = mix(self.rolling.stretches(prefix, start, end) ^ (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > self.LONG):
+            hashes[i] = xxhash.xxh64_intdigest(text[start[i] : end[i]])
+        return start, hashes

@@ -10,10 +10,12 @@ together. So the space is cut first: by a prefix filter, classes that can be sim
 rarest shingles, and a tree covers the classes of one such shingle. Rarity comes from a fixed-size table of
 hashed counts over all documents.
 
-Groups of near copies are large. A star round links every class with one pivot, verified; the classes this
-connects are then components, and the trees look only for pairs between different components. Nothing that
-is skipped could join two components, so components are exact. Where a shingle's classes are too many for
-one task, they are dealt over several: the largest component's classes once, the others to each.
+Groups of near copies are large, and their links many times more. Each class first goes to the groups of a
+few of its shared shingles, together with its set; there, links are verified only between classes that are
+not connected yet. What this connects are components, and the trees then look only for pairs between
+different components. Nothing that is skipped could join two components, so components are exact. A shingle
+with too many classes for one task is dealt over several: the largest component's classes once, the others
+to each.
 
 Sets and shingles are identified by 64-bit hashes. Null and wordless texts have empty sets and are linked
 with nothing. Repeated rows are equal sets. Null doc_ids are allowed; the smallest known id names a
@@ -22,6 +24,7 @@ component. Columns other than doc_id and text are ignored. An empty table gives
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,37 +33,91 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, materialize, mix, read, texts_of
+from .common import BASE, LOWER, WordScan, materialize, mix, read, texts_of
 from .components import connected_components
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Hashed counts for rarity, bits of the filter for classes that share a shingle, groups of a point.
-RARITY_BITS, FILTER_BITS, GROUPS = 18, 23, 64
-#: Classes that one R-tree task takes of one shingle.
-RUN = 20_000
-
-
-def shingle_set(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``size`` words, or of the whole sequence where that is shorter."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h, k = hashes.of(words), min(size, n)
-    with np.errstate(over="ignore"):
-        acc = np.full(n - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            acc = acc * BASE + h[i : n - k + 1 + i]
-        return np.unique(mix(acc))
+#: Hashed counts for rarity, bits of the filter for classes that have a close one, groups of a coarse and of a fine point.
+RARITY_BITS, FILTER_BITS, COARSE, FINE = 22, 23, 64, 256
+#: Classes of one shingle that a task takes into an R-tree, and with their sets; shingles to whose groups a class goes with its set.
+RUN, HOME, HOMES = 20_000, 1_000, 2
+
+
+class ShingleScan:
+    """The shingle sets of texts, as sorted distinct hashes."""
+
+    def __init__(self, size: int):
+        self.size, self.words = size, WordScan(LOWER)
+
+    def sets(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(index, set) of each text; a text of fewer words than a shingle is one shingle."""
+        k = self.size
+        for index, counts, hashes in self.words.chunks(texts):
+            acc = self._combine(hashes, k) if len(hashes) >= k else hashes[:0]
+            at = 0
+            for i, n in zip(index.tolist(), counts.tolist(), strict=True):
+                own = np.sort(acc[at : at + n - k + 1]) if n >= k else self._combine(hashes[at : at + n], n) if n else acc[:0]
+                if len(own) > 1:
+                    own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+                yield i, own
+                at += n
+
+    @staticmethod
+    def _combine(h: np.ndarray, k: int) -> np.ndarray:
+        n = len(h) - k + 1
+        with np.errstate(over="ignore"):
+            acc = np.full(n, k, dtype=np.uint64)
+            for i in range(k):
+                acc *= np.uint64(BASE)
+                acc += h[i : n + i]
+        return mix(acc)
 
 
 def class_of(shingles: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
+    h = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    return h - (1 << 64) if h >> 63 else h
 
 
 def long_batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.asarray(c, dtype=np.int64)) for c in columns], names)
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of common elements of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
+
+
+def point_of(shingles: np.ndarray, groups: int) -> bytes:
+    """Numbers of shingles by group, in two bytes each where they fit and else in four."""
+    point = np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return point.astype("<u2" if point.max(initial=0) < 65_536 else "<u4").tobytes()
+
+
+def points_from(packed: list[bytes], groups: int) -> np.ndarray:
+    if all(len(p) == 2 * groups for p in packed):
+        return np.frombuffer(b"".join(packed), "<u2").reshape(-1, groups).astype(np.int32)
+    return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * groups else "<u4").astype(np.int32) for p in packed])
+
+
+class Forest:
+    """Union-find over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+
 class ShingleJoin:
     """Classes, links and components of the documents whose Jaccard similarity is num/den or more."""
 
@@ -71,59 +128,66 @@ class ShingleJoin:
     # Passes over the texts
 
     def classes(self) -> tuple[DataFrame, np.ndarray]:
-        """(doc_id, text_hash, n, cls) of every row, and log-scaled counts of hashed shingles over all rows."""
+        """(doc_id, text_hash, n, cls, point) of every row, and log-scaled counts of hashed shingles over all rows."""
         size = self.words
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        names = ["doc_id", "text_hash", "n", "cls", "block", "counts"]
+        names = ["doc_id", "text_hash", "n", "cls", "point", "block", "counts"]
+        shift, cells = np.uint64(64 - RARITY_BITS), 1 << RARITY_BITS
+        blocks = 16
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, counts, id_type = WordHashes(), np.zeros(1 << RARITY_BITS, np.int64), None
+            scan, counts, id_type = ShingleScan(size), np.zeros(cells, np.uint32), None
             for batch in batches:
                 id_type = batch.column(0).type
-                n, cls = [], []
-                for text in texts_of(batch.column(2)):
-                    own = shingle_set((text or b"").translate(LOWER).split(), size, hashes)
+                n, cls, points, found = [], [], [], []
+                for _, own in scan.sets(texts_of(batch.column(2))):
                     n.append(len(own))
                     cls.append(class_of(own))
-                    if len(own) < 2048:
-                        np.add.at(counts, own >> np.uint64(64 - RARITY_BITS), 1)
-                    else:
-                        counts += np.bincount((own >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=1 << RARITY_BITS)
+                    points.append(point_of(own, COARSE))
+                    found.append(own >> shift)
+                    if len(found) >= 4096:
+                        np.add.at(counts, np.concatenate(found), np.uint32(1))
+                        found = []
+                if found:
+                    np.add.at(counts, np.concatenate(found), np.uint32(1))
                 none = len(n)
-                yield long_batch(names, batch.column(0), batch.column(1), n, cls, pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()))
+                yield long_batch(names, batch.column(0), batch.column(1), n, cls, pa.array(points, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()))
             if id_type is not None and counts.any():
-                parts = counts.reshape(64, -1)
-                none = [pa.nulls(64, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(range(64), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], names)
+                packed = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in counts.reshape(blocks, -1)]
+                none = [pa.nulls(blocks, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(range(blocks), pa.int32()), pa.array(packed, pa.binary())], names)
 
-        schema = f"doc_id {kind}, text_hash long, n long, cls long, block int, counts binary"
+        schema = f"doc_id {kind}, text_hash long, n long, cls long, point binary, block int, counts binary"
         rows = self.docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
         rows = materialize(rows, "shingle-classes")
 
-        def add(key: tuple, table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in table.column("counts").to_pylist())
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(cells // blocks, np.int64)
+            for batch in batches:
+                for c in batch.column(1):
+                    total += np.frombuffer(zlib.decompress(c.as_py()), "<u4")
+            log = np.minimum(np.log2(total + 1.0) * 1500, 65_535).astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([log.tobytes()], pa.binary())], ["block", "counts"])
 
-        total = np.zeros((64, (1 << RARITY_BITS) // 64))
+        rarity = np.zeros((blocks, cells // blocks), np.uint16)
         for r in rows.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-            total[r.block] = np.frombuffer(r.counts, "<i8")  # 64 rows of fixed size
-        rarity = np.minimum(np.log2(total.ravel() + 1) * 1500, 65_535).astype(np.uint16)
-        return rows.where("block is null").drop("block", "counts"), rarity
-
-    def least_partner(self, n):
-        return -(-self.num * n // self.den)
+            rarity[r.block] = np.frombuffer(r.counts, "<u2")  # 8 MB in all
+        return rows.where("block is null").drop("block", "counts"), rarity.ravel()
 
     def postings(self, rarity: np.ndarray) -> DataFrame:
-        """(token, cls, n): the necessary prefix of each class, its rarest shingles."""
+        """(token, cls, n, leads): the necessary prefix of each class, its rarest shingles.
+
+        ``leads`` is 1 for those that a pair must share in which the class is the smaller one.
+        """
         size, num, den = self.words, self.num, self.den
         shared = self.spark.sparkContext.broadcast(rarity)  # fixed size
+        shift = np.uint64(64 - RARITY_BITS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, rare, seen = WordHashes(), shared.value, set()
+            scan, rare, seen = ShingleScan(size), shared.value, set()
             for batch in batches:
-                tokens, cls, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for text in texts_of(batch.column(0)):
-                    own = shingle_set((text or b"").translate(LOWER).split(), size, hashes)
+                tokens, cls, n, prefix, lead = [np.zeros(0, np.uint64)], [], [], [], []
+                for _, own in scan.sets(texts_of(batch.column(0))):
                     m = len(own)
                     if not m or den * m // num == m == -(-num * m // den):
                         continue  # only an equal set can be similar
@@ -134,29 +198,32 @@ class ShingleJoin:
                         seen.clear()
                     seen.add(c)
                     p = m - -(-num * m // den) + 1
-                    tokens.append(own[np.argsort(rare[own >> np.uint64(64 - RARITY_BITS)], kind="stable")[:p]])
-                    cls.append(np.full(p, c))
-                    n.append(np.full(p, m))
-                yield long_batch(["token", "cls", "n"], np.concatenate(tokens).view(np.int64), np.concatenate(cls), np.concatenate(n))
-
-        return self.docs.select("text").mapInArrow(run, "token long, cls long, n long")
-
-    def sets(self, shared: DataFrame) -> DataFrame:
-        """(cls, n, point, shingles) of the classes in ``shared``; a fixed-size filter lets few others through."""
+                    tokens.append(own[np.argsort(rare[own >> shift], kind="stable")[:p]])
+                    cls.append(c)
+                    n.append(m)
+                    prefix.append(p)
+                    lead.append(m - -(-2 * num * m // (num + den)) + 1)
+                p = np.array(prefix, np.int64)
+                place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+                yield long_batch(["token", "cls", "n", "leads"], np.concatenate(tokens).view(np.int64), np.repeat(np.array(cls, np.int64), p), np.repeat(np.array(n, np.int64), p), place < np.repeat(np.array(lead, np.int64), p))
+
+        return self.docs.select("text").mapInArrow(run, "token long, cls long, n long, leads long")
+
+    def sets(self, close: DataFrame) -> DataFrame:
+        """(cls, point, shingles) of the classes in ``close``; a fixed-size filter lets few others through."""
         size = self.words
         bit = F.pmod(F.col("cls"), F.lit(1 << FILTER_BITS)) + 1  # places count from 1, buckets too
-        rows = shared.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        rows = close.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
         bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
         for r in rows.collect():  # at most 2^23 bits
             bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
         held = self.spark.sparkContext.broadcast(bits)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, has, seen = WordHashes(), held.value, set()
+            scan, has, seen = ShingleScan(size), held.value, set()
             for batch in batches:
-                rows = [[], [], [], []]
-                for text in texts_of(batch.column(0)):
-                    own = shingle_set((text or b"").translate(LOWER).split(), size, hashes)
+                rows = [[], [], []]
+                for _, own in scan.sets(texts_of(batch.column(0))):
                     c = class_of(own)
                     b = c % (1 << FILTER_BITS)
                     if not has[b >> 3] >> (b & 7) & 1 or c in seen or not len(own):
@@ -164,43 +231,130 @@ class ShingleJoin:
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(c)
-                    point = np.bincount((own % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-                    for column, value in zip(rows, (c, len(own), point.astype("<u4").tobytes(), own.tobytes()), strict=True):
+                    for column, value in zip(rows, (c, point_of(own, FINE), own.tobytes()), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["cls", "n", "point", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["cls", "point", "shingles"])
 
-        return materialize(self.docs.select("text").mapInArrow(run, "cls long, n long, point binary, shingles binary"), "shingle-sets")
+        return materialize(self.docs.select("text").mapInArrow(run, "cls long, point binary, shingles binary"), "shingle-sets")
 
     # Joins
 
     def shared_postings(self, rarity: np.ndarray) -> DataFrame:
-        """(token, cls, n, pivot): the postings of tokens that several classes have; the pivot is the token's smallest class if sizes allow."""
+        """(token, cls, n): the postings of tokens that another class of fitting size has."""
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [[c.to_numpy() for c in b.columns] for b in batches]
             if not held:
                 return
-            token, cls, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            token, cls, n, leads = (np.concatenate(c) for c in zip(*held, strict=True))
+            del held
+            order = np.lexsort((cls, n, token))
+            token, cls, n, leads = token[order], cls[order], n[order], leads[order] > 0
+            new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
+            token, cls, n, leads = token[new], cls[new], n[new], leads[new]
+            # By size, a class fits the nearest smaller one that leads, or the next one if it leads itself.
+            place = np.arange(len(token))
+            begin = np.maximum.accumulate(np.where(np.r_[True, token[1:] != token[:-1]], place, 0))
+            last = np.maximum.accumulate(np.where(leads, place, -1))
+            before = np.r_[-1, last[:-1]]
+            down = (before >= begin) & (den * n[before] >= num * n)
+            up = np.zeros(len(token), bool)
+            up[:-1] = leads[:-1] & (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
+            keep = np.flatnonzero(down | up)
+            for i in range(0, len(keep), 100_000):
+                s = keep[i : i + 100_000]
+                yield long_batch(["token", "cls", "n"], token[s], cls[s], n[s])
+
+        return self.postings(rarity).repartition("token").mapInArrow(run, "token long, cls long, n long")
+
+    def close_postings(self, shared: DataFrame, points: DataFrame) -> DataFrame:
+        """(token, cls, n): of ``shared``, the postings of classes that pass the bound on overlap with another class of the token."""
+        num, den = self.num, self.den
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_pylist()) for b in batches]
+            if not held:
+                return
+            token, cls, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            points = points_from([p for h in held for p in h[3]], COARSE)
             del held
-            order = np.lexsort((cls, token))
-            token, cls, n = token[order], cls[order], n[order]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-            token, cls, n = token[new], cls[new], n[new]
+            order = np.lexsort((n, token))
+            token, cls, n, points = token[order], cls[order], n[order], points[order]
             start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            length = np.diff(np.r_[start, len(token)])
-            start, length = start[length > 1], length[length > 1]
-            at = np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum()) if len(start) else np.zeros(0, np.int64)
-            first = np.repeat(start, length)
-            m = n[first]
-            fits = (den * np.minimum(m, n[at]) >= num * np.maximum(m, n[at])) & (first != at)
-            for i in range(0, len(at), 100_000):
-                s = slice(i, i + 100_000)
-                yield long_batch(["token", "cls", "n", "pivot"], token[at[s]], cls[at[s]], n[at[s]], pa.array(cls[first[s]], mask=~fits[s]))
-
-        rows = self.postings(rarity).repartition("token").mapInArrow(run, "token long, cls long, n long, pivot long")
-        return materialize(rows, "shared-shingles")
+            stop = np.r_[start[1:], len(token)]
+            keep, end = np.zeros(len(token), bool), np.repeat(stop, stop - start)
+            place, short = np.arange(len(token)), np.repeat(stop - start <= 16, stop - start)
+            for d in range(1, 16):  # pairs at distance d of short runs, all at once
+                i = np.flatnonzero(short & (place + d < end))
+                i = i[(den * n[i] >= num * n[np.minimum(i + d, len(n) - 1)]) & ~(keep[i] & keep[np.minimum(i + d, len(n) - 1)])]
+                for k in range(0, len(i), 20_000):
+                    a = i[k : k + 20_000]
+                    a = a[(num + den) * np.minimum(points[a], points[a + d]).sum(1) >= num * (n[a] + n[a + d])]
+                    keep[a] = keep[a + d] = True
+            for s, e in zip(start, stop, strict=True):
+                if e - s > RUN:
+                    keep[s:e] = True  # left to the trees
+                elif e - s > 16:
+                    for i in range(s, e):
+                        if not keep[i]:
+                            low = s + np.searchsorted(n[s:e], -(-num * n[i] // den))
+                            high = s + np.searchsorted(n[s:e], den * n[i] // num, "right")
+                            good = (num + den) * np.minimum(points[low:high], points[i]).sum(1) >= num * (n[low:high] + n[i])
+                            good[i - low] = False
+                            if good.any():
+                                keep[i] = True
+                                keep[low:high] |= good
+            for i in range(0, len(keep), 100_000):
+                k = np.flatnonzero(keep[i : i + 100_000]) + i
+                yield long_batch(["token", "cls", "n"], token[k], cls[k], n[k])
+
+        rows = shared.join(points, "cls").select("token", "cls", "n", "point").repartition("token")
+        return materialize(rows.mapInArrow(run, "token long, cls long, n long"), "close-shingles")
+
+    def home_links(self, close: DataFrame, sets: DataFrame) -> DataFrame:
+        """(u, v): links that connect similar classes within the groups that classes go to with their sets."""
+        num, den = self.num, self.den
+        by_token = Window.partitionBy("cls").orderBy("token")
+        homes = close.select("cls", "token", F.row_number().over(by_token).alias("k")).where(F.col("k") <= HOMES)
+        sizes = homes.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+        homes = homes.join(sizes, "token").select("cls", "token", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / HOME)).cast("int").alias("deal"))
+        rows = homes.join(sets.select("cls", "shingles"), "cls").repartition("token", "deal").sortWithinPartitions("token", "deal", "cls")
+
+        def link(cls: list[int], own: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+            order = sorted(range(len(cls)), key=lambda i: len(own[i]))
+            points = points_from([point_of(own[i], FINE) for i in order], FINE)
+            size, forest = points.sum(1), Forest(len(cls))
+            for i in range(1, len(order)):
+                low = int(np.searchsorted(size, -(-num * size[i] // den)))
+                bound = np.minimum(points[low:i], points[i]).sum(1)
+                fits = np.flatnonzero((num + den) * bound >= num * (size[low:i] + size[i])) + low
+                for j in fits[np.argsort(-bound[fits - low], kind="stable")].tolist():
+                    if forest.root(i) != forest.root(j):
+                        both = overlap(own[order[i]], own[order[j]])
+                        if den * both >= num * (size[i] + size[j] - both):
+                            forest.join(i, j)
+                            yield cls[order[i]], cls[order[j]]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, cls, own = None, [], []
+
+            def done():
+                found = list(link(cls, own)) if len(cls) > 1 else []
+                return long_batch(["u", "v"], [a for a, _ in found], [b for _, b in found])
+
+            for batch in batches:
+                for token, deal, c, shingles in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    if (token, deal) != key:
+                        if len(cls) > 1:
+                            yield done()
+                        key, cls, own = (token, deal), [], []
+                    if not cls or cls[-1] != c:
+                        cls.append(c)
+                        own.append(np.frombuffer(shingles, np.uint64))
+            yield done()
+
+        return rows.select("token", "deal", "cls", "shingles").mapInArrow(run, "u long, v long").distinct()
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(u, v): the pairs (u, v) whose sets are similar."""
@@ -212,9 +366,7 @@ class ShingleJoin:
                 good = []
                 for x, y in zip(a, b, strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    i = np.searchsorted(y, x)
-                    i[i == len(y)] = 0
-                    both = int(np.count_nonzero(y[i] == x))
+                    both = overlap(x, y)
                     good.append(den * both >= num * (len(x) + len(y) - both))
                 keep = np.array(good, bool)
                 yield long_batch(["u", "v"], np.array(u, np.int64)[keep], np.array(v, np.int64)[keep])
@@ -226,13 +378,12 @@ class ShingleJoin:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, text_hash, n, cls) of every row, and (cls, label) of every class that is linked."""
         rows, rarity = self.classes()
-        shared = self.shared_postings(rarity)
-        sets = self.sets(shared)
-        star = shared.where("pivot is not null").groupBy("cls", "pivot").agg(F.count("*").alias("k"))
-        star = star.groupBy("cls").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("v")).withColumnRenamed("cls", "u")
-        first = connected_components(self.verified(star, sets))
-        first = materialize(first.withColumnsRenamed({"node": "cls"}), "star-labels")
-        more = self.verified(self.between(shared, sets, first), sets)
+        points = rows.where("n > 0").select("cls", "point").dropDuplicates(["cls"])
+        close = self.close_postings(self.shared_postings(rarity), points)
+        sets = self.sets(close)
+        first = connected_components(self.home_links(close, sets))
+        first = materialize(first.withColumnsRenamed({"node": "cls"}), "home-labels")
+        more = self.verified(self.between(close, sets, first), sets)
         label = lambda side: F.coalesce(F.col(f"{side}_label"), F.col(side))
         for side in ("u", "v"):
             more = more.join(first.select(F.col("cls").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
@@ -240,12 +391,12 @@ class ShingleJoin:
         second = second.select("node", F.col("label").alias("final"))
         joined = first.join(second, first["label"] == second["node"], "left").select("cls", F.coalesce("final", "label").alias("label"))
         alone = second.join(first, second["node"] == first["cls"], "left_anti").select(F.col("node").alias("cls"), F.col("final").alias("label"))
-        return rows, joined.union(alone)
+        return rows.drop("point"), joined.union(alone)
 
-    def between(self, shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    def between(self, close: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         """(u, v): pairs of classes of different components that share a token and pass the bound on overlap."""
         num, den = self.num, self.den
-        rows = shared.drop("pivot").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        rows = close.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         rows = materialize(rows, "labelled-shingles")
         sizes = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
         mixed = sizes.groupBy("token").agg(F.sum("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
@@ -262,8 +413,8 @@ class ShingleJoin:
                 return
             token, deal, cls, n, label = (np.concatenate([h[i] for h in held]) for i in range(5))
             kinds, kind = np.unique(cls, return_inverse=True)
-            points = np.zeros((len(kinds), GROUPS), np.int64)
-            points[kind] = np.frombuffer(b"".join(p for h in held for p in h[5]), "<u4").reshape(-1, GROUPS)
+            points = np.zeros((len(kinds), FINE), np.int32)
+            points[kind] = points_from([p for h in held for p in h[5]], FINE)
             del held
             order = np.lexsort((n, deal, token))
             token, deal, cls, n, label, kind = (x[order] for x in (token, deal, cls, n, label, kind))
