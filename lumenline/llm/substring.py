@@ -24,40 +24,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, read, texts_of
+from .common import RollingHash, WordScan, read, texts_of
 
-BASE = 0x9E3779B97F4A7C15
 FILTER_BITS = 27
-#: Words handled at once, and windows compared within a task.
-CHUNK, COMBINE = 200_000, 1_000_000
+#: Windows compared within a task at once.
+COMBINE = 1_000_000
 UNKNOWN = -(2**63)
 
 
-class RollingHash:
-    """Polynomial hashes of all windows of a sequence of word hashes, from prefix sums."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        size = len(self.up)
-        while size < n:
-            size *= 2
-        if size > len(self.up):
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, BASE, np.uint64)], dtype=np.uint64)
-                self.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, pow(BASE, -1, 2**64), np.uint64)], dtype=np.uint64)
-
-    def prefix(self, h: np.ndarray) -> np.ndarray:
-        self._powers(len(h) + 1)
-        with np.errstate(over="ignore"):
-            return np.r_[np.uint64(0), np.cumsum(h * self.up[: len(h)], dtype=np.uint64)]
-
-    def windows(self, prefix: np.ndarray, k: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((prefix[k:] - prefix[:-k]) * self.down[: len(prefix) - k])
-
-
 def sliding(reduce, a: np.ndarray, k: int) -> np.ndarray:
     """Minimum or maximum of every k consecutive numbers."""
     out = a.copy()
@@ -74,39 +48,26 @@ class WindowScan:
 
     def __init__(self, window: int):
         self.window, self.part = window, max(1, window // 2)
-        self.hashes, self.rolling = WordHashes(), RollingHash()
+        self.words, self.rolling = WordScan(), RollingHash()
 
     def chunks(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(window hashes, minimizers, text index, start, sub-window hashes selected) of about CHUNK words at a time."""
-        parts, index, total = [], [], 0
-        for i, text in enumerate(texts):
-            words = (text or b"").split()
-            if len(words) >= self.window:
-                parts.append(self.hashes.of(words))
-                index.append(i)
-                total += len(words)
-            if total >= CHUNK:
-                yield self._scan(parts, index)
-                parts, index, total = [], [], 0
-        if parts:
-            yield self._scan(parts, index)
-
-    def _scan(self, parts: list[np.ndarray], index: list[int]):
+        """(window hashes, minimizers, text index, start, sub-window hashes selected), many texts at a time."""
         k, q = self.window, self.part
-        lengths = np.array([len(p) for p in parts])
-        first = np.cumsum(lengths) - lengths
-        prefix = self.rolling.prefix(np.concatenate(parts))
-        whole, sub = self.rolling.windows(prefix, k), self.rolling.windows(prefix, q)
-        least = sliding(np.minimum, sub, k - q + 1)
-        position = np.arange(len(whole))
-        of = np.repeat(np.arange(len(parts)), lengths)[: len(whole)]
-        start = position - first[of]
-        valid = start + k <= lengths[of]
-        # A sub-window is selected if it is the least of some window within its text.
-        own = np.where(valid, least, np.uint64(0))
-        pad = np.zeros(k - q, np.uint64)
-        chosen = sub == sliding(np.maximum, np.r_[pad, own, pad], k - q + 1)
-        return whole[valid], least[valid], np.array(index)[of[valid]], start[valid], sub[chosen]
+        for index, lengths, hashes in self.words.chunks(texts):
+            if len(hashes) < k:
+                continue
+            first = np.cumsum(lengths) - lengths
+            prefix = self.rolling.prefix(hashes)
+            whole, sub = self.rolling.windows(prefix, k), self.rolling.windows(prefix, q)
+            least = sliding(np.minimum, sub, k - q + 1)
+            of = np.repeat(np.arange(len(lengths)), lengths)[: len(whole)]
+            start = np.arange(len(whole)) - first[of]
+            valid = start + k <= lengths[of]
+            # A sub-window is selected if it is the least of some window within its text.
+            own = np.where(valid, least, np.uint64(0))
+            pad = np.zeros(k - q, np.uint64)
+            chosen = sub == sliding(np.maximum, np.r_[pad, own, pad], k - q + 1)
+            yield whole[valid], least[valid], index[of[valid]], start[valid], sub[chosen]
 
 
 def repeated_minimizers(docs: DataFrame, window: int) -> DataFrame:
@@ -132,39 +93,49 @@ def hash_filter(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
-def later_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_hash, starts): windows of a document whose word sequence starts earlier elsewhere; doc_id is never null."""
-    held = docs.sparkSession.sparkContext.broadcast(hash_filter(repeated_minimizers(docs, window)))
+def runs_of(start: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the stretches in which starts follow each other and all else is the same."""
+    cut = np.r_[True, np.diff(start) != 1]
+    for x in same:
+        cut[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(cut)[: len(start)]
+    return first, np.diff(np.r_[first, len(start)])
+
+
+def later_of(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows have an equal one that starts earlier; places equal in doc_id and start are equally early."""
+    order = np.lexsort((start, doc, h))
+    a, d, s = h[order], doc[order], start[order]
+    at = np.maximum.accumulate(np.where(np.r_[True, a[1:] != a[:-1]], np.arange(len(a)), 0))
+    out = np.empty(len(a), bool)
+    out[order] = (d != d[at]) | (s != s[at])
+    return out
 
-    def grouped(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        order = np.lexsort((start, text, doc))
-        doc, text, start = doc[order], text[order], start[order].astype("<i4")
-        cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
-        for s, e in zip(cut, np.r_[cut[1:], len(doc)], strict=True):
-            yield int(doc[s]), int(text[s]), start[s:e].tobytes()
 
-    def split(h, doc, text, start):
-        """Which are the first of equal windows; all places equal to the first in doc_id and start are first too."""
-        order = np.lexsort((start, doc, h))
-        h, doc, text, start = h[order], doc[order], text[order], start[order]
-        cut = np.r_[True, h[1:] != h[:-1]][: len(h)]
-        at = np.maximum.accumulate(np.where(cut, np.arange(len(h)), 0))
-        later = (doc != doc[at]) | (start != start[at])
-        return h, doc, text, start, later, cut
+def later_windows(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, text_hash, start, n): n consecutive windows whose word sequences start earlier elsewhere; doc_id is never null.
+
+    Windows travel in runs of one minimizer, which equal windows share, so a run is a row.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(hash_filter(repeated_minimizers(docs, window)))
+    names = ["minimizer", "doc_id", "text_hash", "start", "n", "hashes"]
+    longs = lambda *columns: [pa.array(np.ascontiguousarray(c).astype(np.int64, copy=False)) for c in columns]
 
-    names = ["h", "doc_id", "text_hash", "start", "starts"]
+    def settled(doc, text, start) -> pa.RecordBatch:
+        first, n = runs_of(start, doc, text)
+        return pa.RecordBatch.from_arrays([*longs(text[first], doc[first], text[first], start[first], n), pa.nulls(len(n), pa.binary())], names)
 
     def emit(rows) -> Iterator[pa.RecordBatch]:
-        h, doc, text, start, later, _ = split(*(np.concatenate(x) for x in zip(*rows, strict=True)))
-        keep = ~later
-        n = int(keep.sum())
-        back = np.lexsort((start[keep], doc[keep]))
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[keep][back].astype(np.int64)) for x in (h, doc, text, start)), pa.nulls(n, pa.binary())], names)
-        done = list(grouped(doc[later], text[later], start[later])) if later.any() else []
-        if done:
+        h, m, doc, text, start = (np.concatenate(x) for x in zip(*rows, strict=True))
+        later = later_of(h, doc, start)
+        if later.any():
             # These are settled; they travel under their text's hash, which spreads them.
-            d, t, s = zip(*done, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.nulls(len(d), pa.int64()), pa.array(s, pa.binary())], names)
+            yield settled(doc[later], text[later], start[later])
+        h, m, doc, text, start = (x[~later] for x in (h, m, doc, text, start))
+        first, n = runs_of(start, doc, text, m)
+        ends = np.r_[0, np.cumsum(n) * 8].astype(np.int32)
+        hashes = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(h.tobytes())])
+        yield pa.RecordBatch.from_arrays([*longs(m[first], doc[first], text[first], start[first], np.zeros(len(n))), hashes], names)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan, bits, rows, count = WindowScan(window), held.value, [], 0
@@ -174,7 +145,7 @@ def later_windows(docs: DataFrame, window: int) -> DataFrame:
                 b = (least & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
                 hit = (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
                 if hit.any():
-                    rows.append((whole[hit].view(np.int64), doc[index[hit]], text[index[hit]], start[hit]))
+                    rows.append((whole[hit].view(np.int64), least[hit].view(np.int64), doc[index[hit]], text[index[hit]], start[hit]))
                     count += int(hit.sum())
                 if count >= COMBINE:
                     yield from emit(rows)
@@ -183,47 +154,58 @@ def later_windows(docs: DataFrame, window: int) -> DataFrame:
             yield from emit(rows)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = ["doc_id", "text_hash", "starts"]
+        out = ["doc_id", "text_hash", "start", "n"]
         rows = []
         for batch in batches:
-            done = batch.filter(pa.compute.is_null(batch.column(3)))
+            open_run = pa.compute.equal(batch.column(4), 0)
+            done = batch.filter(pa.compute.invert(open_run))
             if len(done):
-                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), done.column(4)], out)
-            batch = batch.filter(pa.compute.is_valid(batch.column(3)))
+                yield pa.RecordBatch.from_arrays([done.column(i) for i in range(1, 5)], out)
+            batch = batch.filter(open_run)
             if len(batch):
-                rows.append(tuple(batch.column(i).to_numpy() for i in range(4)))
+                data = batch.column(5).to_pylist()
+                n = np.array([len(x) // 8 for x in data])
+                first = np.cumsum(n) - n
+                ramp = np.arange(n.sum()) - np.repeat(first, n)
+                doc, text, start = (np.repeat(batch.column(i).to_numpy(), n) for i in (1, 2, 3))
+                rows.append((np.frombuffer(b"".join(data), np.int64), doc, text, start + ramp))
         if rows:
-            _, doc, text, start, later, _ = split(*(np.concatenate(x) for x in zip(*rows, strict=True)))
-            done = list(grouped(doc[later], text[later], start[later])) if later.any() else []
-            for i in range(0, len(done), 10_000):
-                d, t, s = zip(*done[i : i + 10_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(s, pa.binary())], out)
+            h, doc, text, start = (np.concatenate(x) for x in zip(*rows, strict=True))
+            later = later_of(h, doc, start)
+            doc, text, start = doc[later], text[later], start[later]
+            if len(doc):
+                order = np.lexsort((start, text, doc))
+                doc, text, start = doc[order], text[order], start[order]
+                first, n = runs_of(start, doc, text)
+                for i in range(0, len(n), 100_000):
+                    s = first[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays(longs(doc[s], text[s], start[s], n[i : i + 100_000]), out)
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(UNKNOWN)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = keyed.mapInArrow(occurrences, "h long, doc_id long, text_hash long, start long, starts binary")
-    return found.repartition("h").mapInArrow(settle, "doc_id long, text_hash long, starts binary")
+    found = keyed.mapInArrow(occurrences, "minimizer long, doc_id long, text_hash long, start long, n long, hashes binary")
+    return found.repartition("minimizer").mapInArrow(settle, "doc_id long, text_hash long, start long, n long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``; the kept text and the removed intervals if asked for."""
-    later = later_windows(docs, window).groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("__starts"))
+    later = later_windows(docs, window).groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("__starts"), F.collect_list("n").alias("__counts"))
     later = later.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(UNKNOWN)).alias("__id"), F.xxhash64("text").alias("__text"))
-    rows = rows.join(later.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left").select("doc_id", "text", "__starts")
+    rows = rows.join(later.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left").select("doc_id", "text", "__starts", "__counts")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string, intervals array<array<int>>" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(3 + 2 * with_text)]
-            for text, starts in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, starts, counts in zip(texts_of(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 words = (text or b"").split()
                 n, gone, cuts = len(words), 0, []
-                if starts:
-                    at = np.concatenate([np.frombuffer(s, "<i4") for s in starts])
+                if starts.is_valid:
+                    at = starts.values.to_numpy()
                     edge = np.zeros(n + 1, np.int64)
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
+                    np.add.at(edge, at + counts.values.to_numpy() - 1 + window, -1)
                     cover = np.cumsum(edge[:n]) > 0
                     gone = int(cover.sum())
                     turn = np.flatnonzero(np.diff(np.r_[False, cover, False]))
