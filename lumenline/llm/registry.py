@@ -4,9 +4,28 @@ from __future__ import annotations
 
 from .decontamination import op3_prefix_decontamination
 from .jaccard import op4_count_vector_join
+from .licenses import op6_template_markup
+from .linededup import op5_deletion_neighbourhood
 from .packing import op9_histogram_packing
+from .preference import op2_preference_pairs
+from .quality import op7_controlled_thresholds
 from .sharding import op1_sampled_splitters
 from .substring import op8_rabin_karp
+from .toxicity import op10_nearest_examples
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op3_prefix_decontamination, op4_count_vector_join, op8_rabin_karp, op9_histogram_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sampled_splitters,
+        op2_preference_pairs,
+        op3_prefix_decontamination,
+        op4_count_vector_join,
+        op5_deletion_neighbourhood,
+        op6_template_markup,
+        op7_controlled_thresholds,
+        op8_rabin_karp,
+        op9_histogram_packing,
+        op10_nearest_examples,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
