@@ -1,12 +1,58 @@
-"""A corpus through five of the operators, in order."""
+"""A corpus through five of the operators: each stage takes what its predecessor wrote.
+
+Toxic documents go; later lines that repeat an earlier one go from the texts; of each group of near copies
+one document stays; documents with benchmark passages go; the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from lumenline.llm.common import materialize, read
+from lumenline.llm.decontamination import drop_contaminated
+from lumenline.llm.jaccard import keep_one_of_each
+from lumenline.llm.linededup import without_later_lines
+from lumenline.llm.packing import pack_documents
+from lumenline.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_later_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each(docs, words=5, num=80, den=100)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Fitting, tokenization and packing can't be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The pieces of the last stage; every stage's documents are written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs
