@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The cues of a worked example, folded, in the order in which they are reported.
 EXAMPLE_CUES = (
@@ -51,7 +52,7 @@ def norm(text) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_diacritics(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; case stays, null is empty."""
 
@@ -202,7 +203,7 @@ def chunk_prompt(vocabulary, tail) -> Column:
     return F.concat_ws(" ", F.nullif(col(vocabulary), F.lit("")), F.nullif(col(tail), F.lit("")))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def similar_words(word: pd.Series, others: pd.Series) -> pd.Series:
     """Whether one of the other words is at least 0.85 alike, by matching blocks."""
     return pd.Series([bool(difflib.get_close_matches(w, list(o), n=1, cutoff=0.85)) for w, o in zip(word, others, strict=True)])

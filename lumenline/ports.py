@@ -16,10 +16,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .functions.text import parse_verdict, strip
 from .operators.catalog import rank_candidates, split_verdicts
-from .operators.runs import KEYS, ocr_owner, owners_text
+from .operators.runs import KEYS, ocr_owner
 
 
 class PortError(Exception):
@@ -150,13 +152,11 @@ def probe_duration(make: Callable[[], MediaProbe]):
 
 def rows_from(df: DataFrame, columns: list[str], ddl: str, make: Callable[[], Callable[..., Iterable[tuple]]], most: int = 1024) -> DataFrame:
     """The rows that a task's function yields for each row of ``df``'s columns, with those columns in front; held ``most`` at a time."""
-    schema = f"{', '.join(f'{c} {df.schema[c].dataType.simpleString()}' for c in columns)}, {ddl}"
+    schema = StructType([df.schema[c] for c in columns] + StructType.fromDDL(ddl).fields)
+    shape = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        shape, produce, held = to_arrow_schema(StructType.fromDDL(schema)), make(), []
+        produce, held = make(), []
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), shape, strict=True)], schema=shape)
@@ -223,11 +223,13 @@ def transcribe_in_chunks(chunks: DataFrame, make: Callable[[], Transcriber], tai
 def ocr_events(events: DataFrame, make: Callable[[], Ocr], lang: str = "eng", most_bits: int = 3, keys=KEYS) -> DataFrame:
     """Events with ``ocr_text``; of a chain of near-equal frames only the first is read, the others share its text."""
     owned = ocr_owner(events, most_bits=most_bits, keys=keys)
-    heads = F.when(F.col("owner") == F.col("event_index"), F.col("frame_image_path"))
-    read = owned.withColumn("__head", heads)
-    texts = read.where("__head is not null").withColumn("ocr_text", read_image_text(make, lang)("__head")).select(*keys, F.col("owner").alias("__owner"), "ocr_text")
-    joined = owned.join(texts, [owned[k] == texts[k] for k in keys] + [owned["owner"] == texts["__owner"]], "left")
-    return owners_text(joined.select(*[owned[c] for c in owned.columns], F.coalesce("ocr_text", F.lit("")).alias("ocr_text")), keys=keys)
+    heads = owned.where("owner = event_index").select(*keys, F.col("owner").alias("__owner"), "frame_image_path")
+    texts = heads.select(*[F.col(k).alias(f"__{k}") for k in keys], "__owner", read_image_text(make, lang)("frame_image_path").alias("ocr_text"))
+    same = (F.col("owner") == F.col("__owner"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = owned.join(texts, same, "left").drop("__owner", *[f"__{k}" for k in keys])
+    return joined.withColumn("ocr_text", F.coalesce("ocr_text", F.lit("")))
 
 
 def example_prompt() -> F.Column:

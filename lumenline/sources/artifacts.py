@@ -81,8 +81,8 @@ def pending(requested: DataFrame, spark: SparkSession, path: str, force: bool =
 
 
 def is_done(spark: SparkSession, path: str) -> bool:
-    """Whether a table was committed and has rows."""
-    return path_exists(spark, f"{path}/_SUCCESS") and not spark.read.parquet(path).limit(1).isEmpty()
+    """Whether a table has rows; files that were not committed are not seen."""
+    return path_exists(spark, path) and not spark.read.parquet(path).limit(1).isEmpty()
 
 
 def merge_provenance(old: DataFrame, new: DataFrame) -> DataFrame:
