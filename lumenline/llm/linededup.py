@@ -71,6 +71,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
     by_variant = Window.partitionBy("variant", "whole")
     pairs = (
         variants.union(own)
+        .repartition("variant", "whole")  # serves both windows
         .withColumn("replaced", F.when(F.col("at") >= 0, F.min(other).over(by_place)))
         .withColumn("lacking", F.when(F.col("at") >= 0, F.min(F.when(F.col("at") < 0, other)).over(by_variant)))
         .withColumn("having", F.when(F.col("at") < 0, F.min(F.when(F.col("at") >= 0, other)).over(by_variant)))
