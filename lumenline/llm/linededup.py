@@ -38,19 +38,19 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def half_keys(line: Column, length: Column) -> Column:
-    """Hashes of either half for both lengths that the shorter line of a pair can have."""
+    """Hashes of the first and the last half, for either length that the shorter line of a pair can have: p(L - 1), s(L - 1), p(L), s(L)."""
     keys = []
-    for shorter, m in enumerate((length - 1, length)):
+    for m in (length - 1, length):
         cut = F.floor(m / 2).cast("int")
-        keys += [F.struct(F.xxhash64(F.lit(s), m, part(line, cut)).alias("key"), F.lit(s).alias("side"), F.lit(shorter).alias("own")) for s, part in (("p", F.left), ("s", F.right))]
+        keys += [F.xxhash64(F.lit(side), m, part(line, cut)) for side, part in (("p", F.left), ("s", F.right))]
     return F.array(*keys)
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """(hash, near): the first place of the earliest line that one edit makes of the line, if that is earlier than its own."""
-    keys = distinct.select("hash", F.explode("halves").alias("k")).select("hash", "k.*")
+    keys = distinct.select("hash", F.posexplode("halves").alias("half", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    partners = keys.join(shared, "key", "left_semi").groupBy("hash").agg(F.collect_set(F.struct("side", "own")).alias("sides"))
+    partners = keys.join(shared, "key", "left_semi").groupBy("hash").agg(F.collect_set("half").alias("halves"))
     partners = materialize(partners, "partners")
     buckets = partners.select(F.pmod("hash", F.lit(BUCKETS)).alias("bucket")).distinct()
     found = lines_of(docs, min_chars).select(F.xxhash64("line").alias("hash"), "line")
@@ -59,9 +59,10 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
     texts = found.join(partners, "hash").join(distinct.select("hash", "first"), "hash").withColumn("length", F.length("line"))
     texts = materialize(texts, "near-texts")
 
-    cut = lambda s: F.floor((F.col("length") - 1 + s["own"]) / 2).cast("int")
-    places = F.transform("sides", lambda s: F.when(s["side"] == "p", F.sequence(cut(s), F.col("length") - 1)).otherwise(F.sequence(F.lit(0), F.col("length") - cut(s) - 1)))
-    variants = texts.select("hash", "first", "length", "line", F.explode(F.array_distinct(F.flatten(places))).alias("at"))
+    cut = lambda k: F.floor((F.col("length") - 1 + F.floor(k / 2)) / 2).cast("int")
+    places = F.transform("halves", lambda k: F.when(k % 2 == 0, F.sequence(cut(k), F.col("length") - 1)).otherwise(F.sequence(F.lit(0), F.col("length") - cut(k) - 1)))
+    spread = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = texts.repartition(spread, "hash").select("hash", "first", "length", "line", F.explode(F.array_distinct(F.flatten(places))).alias("at"))
     deleted = F.xxhash64(F.concat(F.left("line", F.col("at")), F.right("line", F.col("length") - F.col("at") - 1)))
     variants = variants.select(deleted.alias("variant"), F.col("length").alias("whole"), "at", "hash", "first")
     own = texts.select(F.col("hash").alias("variant"), (F.col("length") + 1).alias("whole"), F.lit(-1).alias("at"), "hash", "first")
