@@ -7,6 +7,7 @@ that Spark runs again would pay for its calls again, so results should be writte
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import time
 from collections.abc import Callable, Iterable, Iterator
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from .functions.text import parse_verdict, strip
 from .operators.catalog import rank_candidates, split_verdicts
@@ -308,3 +309,154 @@ class FakeTranscriber:
 
     def transcribe(self, path: str, prompt: str):
         return "en", [(0.0, 2.0, f" {path} "), (2.0, 4.0, prompt)]
+
+
+#: What a fetcher's output says when a video needs a signed-in browser.
+PRIVATE = ("private video", "sign in", "login required", "members-only")
+
+
+def fetch_videos(planned: DataFrame, make: Callable[[], VideoFetcher], folder: str) -> DataFrame:
+    """(lecture_id, url, path, code, cookies, output) of lectures to fetch (lecture_id, url); a private one is tried once more with a browser's cookies."""
+
+    def maker():
+        fetcher = make()
+
+        def produce(lecture, url):
+            path = f"{folder.rstrip('/')}/{lecture}.mp4"
+            code, output = fetcher.fetch(url, path, False)
+            again = code != 0 and any(m in output.lower() for m in PRIVATE)
+            if again:
+                code, output = fetcher.fetch(url, path, True)
+            yield path if code == 0 else None, code, again, output[-2000:]
+
+        return produce
+
+    return rows_from(planned, ["lecture_id", "url"], "path string, code int, cookies boolean, output string", maker, most=1)
+
+
+def deck_pages(files: DataFrame, make: Callable[[], PageRenderer]) -> DataFrame:
+    """(lecture_id, path, page_number, text, image_path) of every page of the decks (lecture_id, path)."""
+
+    def maker():
+        renderer = make()
+        return lambda lecture, path: renderer.pages(path)
+
+    return rows_from(files, ["lecture_id", "path"], "page_number int, text string, image_path string", maker, most=256)
+
+
+def convert_decks(files: DataFrame, make: Callable[[], DocumentConverter], folder: str) -> DataFrame:
+    """(lecture_id, path, pdf, error) of decks; a failure is a value, so that one deck doesn't stop the others."""
+
+    def maker():
+        converter = make()
+
+        def produce(lecture, path):
+            try:
+                yield converter.to_pdf(path, folder), None
+            except PortError as e:
+                yield None, str(e)
+
+        return produce
+
+    return rows_from(files, ["lecture_id", "path"], "pdf string, error string", maker, most=16)
+
+
+def extract_audio(videos: DataFrame, make: Callable[[], AudioExtractor], folder: str, compressed: bool = False) -> DataFrame:
+    """(lecture_id, path, audio) of videos (lecture_id, path)."""
+
+    def maker():
+        extractor = make()
+        return lambda lecture, path: [(extractor.extract(path, folder, compressed),)]
+
+    return rows_from(videos, ["lecture_id", "path"], "audio string", maker, most=16)
+
+
+def preview_frames(videos: DataFrame, make: Callable[[], FrameReader], at: float = 60.0) -> DataFrame:
+    """(lecture_id, path, timestamp, pixels): the frame at a time, or the first where the video is shorter."""
+
+    def maker():
+        reader = make()
+
+        def produce(lecture, path):
+            first = None
+            for _, time_, pixels in reader.frames(path, at):
+                if time_ >= at:
+                    yield time_, pixels
+                    return
+                first = first or (time_, pixels)
+            if first:
+                yield first
+
+        return produce
+
+    return rows_from(videos, ["lecture_id", "path"], "timestamp double, pixels array<int>", maker, most=16)
+
+
+def load_images(make: Callable[[], Callable[[str], bytes]]):
+    """A column function from image paths to base64 text of what the task's loader gives; null where that fails."""
+
+    @F.pandas_udf(StringType())
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        load = make()
+
+        def one(path):
+            try:
+                return base64.b64encode(load(path)).decode("ascii")
+            except Exception:  # a missing image is left out of a prompt
+                return None
+
+        for paths in batches:
+            yield paths.map(one, na_action="ignore")
+
+    return encoded
+
+
+def print_documents(documents: DataFrame, make: Callable[[], HtmlPrinter], folder: str) -> DataFrame:
+    """(name, html, pdf): documents (name, html) printed by the tasks into a folder that all share."""
+
+    def maker():
+        printer = make()
+
+        def produce(name, html):
+            path = f"{folder.rstrip('/')}/{name}.pdf"
+            printer.print_pdf(html, path)
+            yield (path,)
+
+        return produce
+
+    return rows_from(documents, ["name", "html"], "pdf string", maker, most=4)
+
+
+class FakeFetcher:
+    """Fetches all but addresses with "gone"; those with "private" need cookies."""
+
+    def fetch(self, url: str, path: str, cookies: bool) -> tuple[int, str]:
+        if "gone" in url or ("private" in url and not cookies):
+            return 1, "ERROR: Private video. Sign in" if "private" in url else "ERROR: 404"
+        return 0, "[download] 100%"
+
+
+class FakeRenderer:
+    """Three pages that name their deck; the last has no text."""
+
+    def pages(self, path: str):
+        for i in (1, 2, 3):
+            yield i, f"{path} page {i}\nbody" if i < 3 else "", f"{path}-{i}.png"
+
+
+class FakeConverter:
+    def to_pdf(self, path: str, folder: str) -> str:
+        if path.endswith(".bad"):
+            raise PortError("cannot convert")
+        return f"{folder}/{path.rsplit('/', 1)[-1].rsplit('.', 1)[0]}.pdf"
+
+
+class FakeExtractor:
+    def extract(self, path: str, folder: str, compressed: bool) -> str:
+        return f"{folder}/{path.rsplit('/', 1)[-1].rsplit('.', 1)[0]}.{'opus' if compressed else 'wav'}"
+
+
+class FakePrinter:
+    def print_pdf(self, html: str, path: str) -> None:
+        with open(path, "w") as f:
+            f.write(html)

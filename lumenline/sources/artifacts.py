@@ -107,3 +107,14 @@ def without_images(payloads: DataFrame, column: str = "content") -> DataFrame:
     """Payloads (content ARRAY<STRUCT<type, text, data>>) for a debug table, with image data left out."""
     kept = F.transform(column, lambda p: F.struct(p["type"].alias("type"), p["text"].alias("text"), F.when(p["type"] == "image", "<image>").otherwise(p["data"]).alias("data")))
     return payloads.withColumn(column, kept)
+
+
+def stale_documents(sources: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Sources (name, modified) that have no rendering, or one that is older."""
+    made = rendered.select("name", F.col("modified").alias("__made"))
+    return sources.join(made, "name", "left").where(F.col("__made").isNull() | (F.col("__made") < F.col("modified"))).drop("__made")
+
+
+def with_extension(files: DataFrame, *extensions: str) -> DataFrame:
+    """Files (path) of the kinds that are accepted, whatever their case."""
+    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))

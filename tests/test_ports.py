@@ -54,3 +54,30 @@ def test_confirmation(spark):
 def test_exams(spark):
     got = ports.exam_papers(spark.createDataFrame([("m",)], "text string"), spark.createDataFrame([("b",)], "blueprint string"), 2, ports.FakeModel).orderBy("exam").collect()
     assert [r.exam for r in got] == ["exam_01", "exam_02"] and got[0].key == "No key was given."
+
+
+def test_fetching(spark, tmp_path):
+    df = spark.createDataFrame([("a", "http://x"), ("b", "http://private"), ("c", "http://gone")], "lecture_id string, url string")
+    got = {r.lecture_id: (r.path, r.code, r.cookies) for r in ports.fetch_videos(df, ports.FakeFetcher, "/v/").collect()}
+    assert got == {"a": ("/v/a.mp4", 0, False), "b": ("/v/b.mp4", 0, True), "c": (None, 1, False)}
+
+
+def test_decks(spark, tmp_path):
+    files = spark.createDataFrame([("a", "d/x.pptx"), ("b", "d/y.bad")], "lecture_id string, path string")
+    assert [tuple(r)[2:] for r in ports.convert_decks(files, ports.FakeConverter, "out").orderBy("path").collect()] == [("out/x.pdf", None), (None, "cannot convert")]
+    from lumenline.operators.decks import pages_to_slides
+
+    slides = pages_to_slides(ports.deck_pages(files, ports.FakeRenderer)).orderBy("lecture_id", "slide_number").collect()
+    assert len(slides) == 6 and slides[0].title == "d/x.pptx page 1" and slides[0].body_text == "body" and slides[2].title == ""
+
+
+def test_media(spark, tmp_path):
+    videos = spark.createDataFrame([("a", "v/a.mp4")], "lecture_id string, path string")
+    assert ports.extract_audio(videos, ports.FakeExtractor, "w", True).first().audio == "w/a.opus"
+    assert ports.preview_frames(videos, ports.FakeFrames, 3.0).first().timestamp == 3.0
+    assert ports.preview_frames(videos, ports.FakeFrames, 100.0).first().timestamp == 100.0
+    got = spark.createDataFrame([("x",), ("bad",), (None,)], "p string").select(ports.load_images(lambda: lambda p: {"x": b"ab"}[p])("p").alias("b")).collect()
+    assert [r.b for r in got] == ["YWI=", None, None]
+    docs = documents.simple_html(spark.createDataFrame([("g", "# A & b\n\n![i](../x.png)\n**k** [t](u)\n$a<b$")], "name string, text string"))
+    row = ports.print_documents(docs, ports.FakePrinter, str(tmp_path)).first()
+    assert open(row.pdf).read() == '<h1>A &amp; b</h1>\n\n<p><img alt="i" src="x.png"></p>\n<p><strong>k</strong> <a href="u">t</a></p>\n<p>$a&lt;b$</p>'

@@ -46,3 +46,11 @@ def test_preference(spark):
 def test_documents_are_replaced_whole(tmp_path):
     artifacts.write_json(str(tmp_path / "x" / "a.json"), {"č": 1})
     assert json.loads((tmp_path / "x" / "a.json").read_text()) == {"č": 1} and len(list((tmp_path / "x").iterdir())) == 1
+
+
+def test_stale(spark):
+    md = spark.createDataFrame([("a", 2), ("b", 2), ("c", 2)], "name string, modified int")
+    pdf = spark.createDataFrame([("a", 3), ("b", 1)], "name string, modified int")
+    assert sorted(r.name for r in artifacts.stale_documents(md, pdf).collect()) == ["b", "c"]
+    files = spark.createDataFrame([("x.PDF",), ("y.pptx",), ("z.exe",), ("none",)], "path string")
+    assert artifacts.with_extension(files, "pdf", "pptx").count() == 2
