@@ -116,10 +116,10 @@ def controlled_cutoffs(features: DataFrame, labels: DataFrame, allowed: float, e
     at = F.explode(F.array(*[F.lit(g) for g in grid])).alias("cutoff")
     sums = held.select("stratum", tests).groupBy("stratum", "t.rate", "t.value").agg(F.count("*").alias("n"))
     sums = sums.select("stratum", "rate", "value", "n", at).groupBy("stratum", "rate", "cutoff").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("value") > F.col("cutoff"), F.col("n")).otherwise(0)).alias("refused"))
-    strata = sums.select(F.count_distinct(F.struct("stratum")).alias("strata"))  # one row
+    sums = materialize(sums, "tests")
+    tests_made = max(1, sums.count())
     share = allowed / len(RATES)
-    level = F.log(F.lit(error / (len(RATES) * len(grid))) / F.col("strata"))
-    passed = sums.crossJoin(F.broadcast(strata)).where(F.col("refused") < F.col("n") * share).where(tail_log_probability(F.col("n"), F.col("refused"), share) <= level)
+    passed = sums.where(F.col("refused") < F.col("n") * share).where(tail_log_probability(F.col("n"), F.col("refused"), share) <= math.log(error / tests_made))
     return passed.groupBy("stratum", "rate").agg(F.min("cutoff").alias("cutoff"))
 
 
