@@ -29,6 +29,18 @@ EXAMPLE_CUES = (
 )
 #: Fixed value: wording of slides that are examples themselves.
 EXAMPLE_SLIDE = "(?iu)primer|zadatak|vežb|vezb|example|exercise"
+#: What stages print about their progress.
+PROGRESS = {
+    "download": r"\[download\]\s+(\d+(?:\.\d+)?)%",
+    "spoken": r"\[\s*([\d.]+)\s*->\s*([\d.]+)\s*\]",
+    "clocked": r"-->\s*(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)\]",
+    "event": r"\[event\s+\d+\]\s+t=\s*([\d.]+)s",
+    "ocr": r"\[ocr\s+(\d+)/(\d+)\]",
+    "slide": r"\[(\d+)/(\d+)\]\s+slide",
+    "example": r"\[(\d+)/(\d+)\]\s+example",
+    "lecture": r"\[(\d+)/(\d+)\]\s+lecture",
+    "exam": r"\[(\d+)/(\d+)\]\s+exam",
+}
 #: Fixed value: the line between a paper and its key.
 ANSWER_KEY = "<<<ANSWER_KEY>>>"
 
@@ -174,17 +186,15 @@ def chunk_seconds(size, duration, upload_cap, safety: float = 0.85, least: float
 def progress_share(stage, line, duration) -> Column:
     """How much of a stage a line of its output reports, from 0 to 1; null where it reports nothing."""
     stage, line, duration = col(stage), col(line), col(duration)
-    number = lambda pattern, group=1: F.regexp_extract(line, pattern, group).try_cast("double")
-    known = duration > 0
-    counted = lambda noun: number(rf"\[(\d+)/(\d+)\]\s+{noun}", 1) / F.nullif(number(rf"\[(\d+)/(\d+)\]\s+{noun}", 2), F.lit(0.0))
-    clocked = r"-->\s*(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)\]"
-    spoken = F.coalesce(number(r"\[\s*([\d.]+)\s*->\s*([\d.]+)\s*\]", 2), F.coalesce(number(clocked, 1), F.lit(0.0)) * 3600 + number(clocked, 2) * 60 + number(clocked, 3))
-    ocr = r"\[ocr\s+(\d+)/(\d+)\]"
+    number = lambda name, group=1: F.regexp_extract(line, PROGRESS[name], group).try_cast("double")
+    counted = lambda name: number(name, 1) / F.nullif(number(name, 2), F.lit(0.0))
+    of_duration = lambda seconds: F.when(duration > 0, F.least(seconds / duration, F.lit(1.0)))
+    clocked = F.coalesce(number("clocked", 1), F.lit(0.0)) * 3600 + number("clocked", 2) * 60 + number("clocked", 3)
     return (
-        F.when(stage == 0, number(r"\[download\]\s+(\d+(?:\.\d+)?)%") / 100)
-        .when((stage == 1) & known, F.least(spoken / duration, F.lit(1.0)))
-        .when((stage == 3) & known, F.least(number(r"\[event\s+\d+\]\s+t=\s*([\d.]+)s") / duration, F.lit(1.0)))
-        .when(stage == 4, number(ocr, 1) / F.nullif(number(ocr, 2), F.lit(0.0)))
+        F.when(stage == 0, number("download") / 100)
+        .when(stage == 1, of_duration(F.coalesce(number("spoken", 2), clocked)))
+        .when(stage == 3, of_duration(number("event")))
+        .when(stage == 4, counted("ocr"))
         .when(stage == 6, F.coalesce(counted("slide"), counted("example")))
         .when(stage == 9, counted("lecture"))
         .when(stage == 11, counted("exam"))

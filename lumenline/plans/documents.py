@@ -9,6 +9,12 @@ from ..functions.text import clock, note_image_path, numbered_heading, strip
 from ..operators.runs import KEYS
 
 
+#: Lines of a lecture's notes.
+SKIPPED = "*(Nothing to summarize here — skipped.)*"
+FAILED = ("*(Note generation failed here: ", ")*")
+FAILED_LIST = "\n---\n\n**Slides that failed to generate:** "
+
+
 def joined(order, text, separator: str):
     """Aggregate: the texts in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), separator)
@@ -54,28 +60,35 @@ def examples_block(examples: DataFrame, keys=(*KEYS, "slide_number")) -> DataFra
 
 
 def lecture_notes(noted: DataFrame, overview: DataFrame | None = None, keys=KEYS) -> DataFrame:
-    """(lecture_id, text): a lecture's notes from segments (position, slide_number, mode, frame_image_path, note, examples)."""
+    """(lecture_id, text): a lecture's notes from segments (position, slide_number, mode, note, examples, deck_image_path, frame_image_path).
+
+    Images (both columns may be null) stand under the heading, examples at the end. A note that failed or had
+    nothing to say leaves a line; the failed ones are listed by their deck's numbers.
+    """
     visual = F.col("mode") == "visual"
-    label = F.when(visual, "Segment").otherwise("Slide")
-    number = F.when(visual, F.col("position")).otherwise(F.col("slide_number")).cast("string")
-    heading = F.concat(F.lit("## "), label, F.lit(" "), number)
-    image = F.when(F.coalesce("frame_image_path", F.lit("")) != "", F.concat(F.lit("![]("), note_image_path("frame_image_path"), F.lit(")\n"))).otherwise("")
-    titled = F.when(visual, numbered_heading("note.text", "position", "Segment")).otherwise(numbered_heading("note.text", "slide_number", "Slide"))
-    made = F.regexp_replace(titled, r"^([^\n]*)\n?", "$1\n\u0001")
+    label, number = F.when(visual, "Segment").otherwise("Slide"), F.col("position").cast("string")
+    shown = lambda alt, path: F.when(F.coalesce(path, F.lit("")) == "", "").otherwise(F.concat(F.lit("\n!["), alt, F.lit("]("), note_image_path(path), F.lit(")\n")))
+    on_screen = F.when(visual, F.concat(F.lit("segment "), number, F.lit(" on screen"))).otherwise(F.concat(F.lit("slide "), number, F.lit(" as shown during the lecture")))
+    images = F.concat(F.when(visual, "").otherwise(shown(F.concat(F.lit("slide "), number), F.col("deck_image_path"))), shown(on_screen, F.col("frame_image_path")))
+    bare = lambda line: F.concat(F.lit("## "), label, F.lit(" "), number, F.lit("\n"), "__images", F.lit("\n"), line, F.lit("\n"), "__examples")
+    titled = F.when(visual, numbered_heading("note.text", "position", "Segment")).otherwise(numbered_heading("note.text", "position", "Slide"))
+    under = F.concat(F.regexp_extract("__titled", r"^[^\n]*", 0), F.lit("\n"), "__images", F.regexp_replace("__titled", r"^[^\n]*\n?", ""))
     body = (
-        F.when(F.col("note.skipped"), F.concat(heading, F.lit("\n\n*Nothing to summarize.*\n")))
-        .when(F.col("note.error").isNotNull(), F.concat(heading, F.lit("\n\n*This note could not be made.*\n")))
-        .otherwise(F.concat(F.replace(made, F.lit("\u0001"), image), F.coalesce("examples", F.lit(""))))
+        F.when(F.col("note.skipped"), bare(F.lit(SKIPPED)))
+        .when(F.col("note.error").isNotNull(), bare(F.concat(F.lit(FAILED[0]), "note.error", F.lit(FAILED[1]))))
+        .otherwise(F.concat(F.when(F.col("__images") == "", F.col("__titled")).otherwise(under), F.lit("\n"), "__examples"))
     )
-    failed = F.array_sort(F.collect_list(F.when(F.col("note.error").isNotNull(), F.col("slide_number"))))
-    rows = noted.withColumn("__body", body).groupBy(*keys).agg(joined("position", "__body", "\n\n").alias("body"), failed.alias("failed"))
+    rows = noted.withColumns({"__images": images, "__titled": titled, "__examples": F.coalesce("examples", F.lit(""))}).withColumn("__body", body)
+    lost = F.transform(F.array_sort(F.collect_list(F.when(F.col("note.error").isNotNull(), F.struct("position", "slide_number")))), lambda x: x["slide_number"].cast("string"))
+    bodies = F.transform(F.array_sort(F.collect_list(F.struct("position", "__body"))), lambda x: x["__body"])
+    rows = rows.groupBy(*keys).agg(bodies.alias("bodies"), lost.alias("lost"))
     if overview is not None:
         rows = rows.join(overview.select(*keys, F.col("text").alias("overview")), list(keys), "left")
     else:
         rows = rows.withColumn("overview", F.lit(None).cast("string"))
-    lost = F.when(F.size("failed") > 0, F.concat(F.lit("\n\nFailed: "), F.array_join(F.transform("failed", lambda x: x.cast("string")), ", "))).otherwise("")
-    head = F.concat(F.lit("# "), "lecture_id", F.lit("\n\n"), F.when(F.coalesce("overview", F.lit("")) != "", F.concat("overview", F.lit("\n\n"))).otherwise(""))
-    return rows.select(*keys, F.concat(head, "body", lost).alias("text"))
+    head = F.array_compact(F.array(F.concat(F.lit("# "), "lecture_id", F.lit("\n")), F.when(F.coalesce("overview", F.lit("")) != "", F.concat("overview", F.lit("\n\n---\n")))))
+    tail = F.array_compact(F.array(F.when(F.size("lost") > 0, F.concat(F.lit(FAILED_LIST), F.array_join("lost", ", "), F.lit("\n")))))
+    return rows.select(*keys, F.array_join(F.concat(head, "bodies", tail), "\n").alias("text"))
 
 
 def simple_html(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -312,7 +312,7 @@ class FakeTranscriber:
 
 
 #: What a fetcher's output says when a video needs a signed-in browser.
-PRIVATE = ("private video", "sign in", "login required", "members-only")
+PRIVATE = ("private video", "sign in")
 
 
 def fetch_videos(planned: DataFrame, make: Callable[[], VideoFetcher], folder: str) -> DataFrame:

@@ -26,12 +26,15 @@ def test_model_errors_become_values(spark):
 
 
 def test_notes(spark):
-    rows = [("lecture01", 0, 1, "deck", "T", "", "said", "output/a.png"), ("lecture01", 1, 2, "deck", "", "", " \n", None), ("lecture01", 2, 3, "deck", "FAIL", "", "x", None)]
+    rows = [("lecture01", 1, 1, "deck", "T", "", "said", "output/a.png"), ("lecture01", 2, 2, "deck", "", "", " \n", None), ("lecture01", 3, 3, "deck", "FAIL", "", "x", None)]
     df = spark.createDataFrame(rows, "lecture_id string, position int, slide_number int, mode string, slide_text string, notes_text string, transcript_text string, frame_image_path string")
-    noted = ports.slide_notes(df, ports.FakeModel).withColumn("examples", F.lit(""))
-    text = documents.lecture_notes(noted).first().text
-    assert text.startswith("# lecture01\n\n## Slide 1: Note")
-    assert "![](../a.png)" in text and "Nothing to summarize" in text and text.endswith("Failed: 3")
+    noted = ports.slide_notes(df, ports.FakeModel).withColumn("examples", F.lit("")).withColumn("deck_image_path", F.lit(None).cast("string"))
+    overview = spark.createDataFrame([("lecture01", "## About\n- it")], "lecture_id string, text string")
+    head, one, two, three = documents.lecture_notes(noted, overview).first().text.split("\n## Slide ")
+    assert head == "# lecture01\n\n## About\n- it\n\n---\n"
+    assert one.startswith("1: Note ") and one.endswith("\n\n![slide 1 as shown during the lecture](../a.png)\n\n")
+    assert two == "2\n\n*(Nothing to summarize here — skipped.)*\n"
+    assert three == "3\n\n*(Note generation failed here: refused)*\n\n\n---\n\n**Slides that failed to generate:** 3\n"
 
 
 def test_ocr_reads_heads_only(spark):
