@@ -28,10 +28,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import BASE, LOWER, WordScan, materialize, mix, read, texts_of
 from .components import connected_components
@@ -102,6 +104,16 @@ def points_from(packed: list[bytes], groups: int) -> np.ndarray:
     return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * groups else "<u4").astype(np.int32) for p in packed])
 
 
+def class_filter(classes: DataFrame) -> np.ndarray:
+    """2^FILTER_BITS bits, those of the classes (cls) set."""
+    bit = F.pmod(F.col("cls"), F.lit(1 << FILTER_BITS)) + 1  # places count from 1, buckets too
+    rows = classes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in rows.collect():  # at most 2^23 bits
+        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
 class Forest:
     """Union-find over 0..n-1."""
 
@@ -212,11 +224,7 @@ class ShingleJoin:
     def sets(self, close: DataFrame) -> DataFrame:
         """(cls, point, shingles) of the classes in ``close``; a fixed-size filter lets few others through."""
         size = self.words
-        bit = F.pmod(F.col("cls"), F.lit(1 << FILTER_BITS)) + 1  # places count from 1, buckets too
-        rows = close.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-        for r in rows.collect():  # at most 2^23 bits
-            bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+        bits = class_filter(close)
         held = self.spark.sparkContext.broadcast(bits)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,8 +365,17 @@ class ShingleJoin:
         return rows.select("token", "deal", "cls", "shingles").mapInArrow(run, "u long, v long").distinct()
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(u, v): the pairs (u, v) whose sets are similar."""
+        """(u, v): the pairs (u, v) whose sets are similar; only sets that the filter lets through are moved."""
         num, den = self.num, self.den
+        pairs = materialize(pairs, "close-pairs")
+        held = self.spark.sparkContext.broadcast(class_filter(pairs.select(F.explode(F.array("u", "v")).alias("cls"))))
+
+        @F.pandas_udf(BooleanType())
+        def wanted(cls: pd.Series) -> pd.Series:
+            b = cls.to_numpy() % (1 << FILTER_BITS)
+            return pd.Series((held.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
+
+        sets = sets.where(wanted("cls"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
