@@ -445,6 +445,28 @@ def segment_keywords(spark, d):
     return tfidf.segment_keywords(w, members).withColumn("weight", F.round("weight", 6)).withColumn("place", F.col("place").cast("long"))
 
 
+@query(f"""WITH {CONV}, c AS (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest({TOKENS}) AS term FROM conversations) GROUP BY ALL),
+n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY ALL), df AS (SELECT conv_id, term, count(*) AS df FROM c GROUP BY ALL HAVING count(*) >= 2),
+w AS (SELECT c.conv_id, turn, c.term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN df ON c.conv_id = df.conv_id AND c.term = df.term JOIN n ON c.conv_id = n.conv_id),
+u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, turn)) AS x FROM w),
+p AS (SELECT a.conv_id, a.turn, sum(a.x * b.x) AS sim FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.term = b.term AND b.turn = a.turn - 1 GROUP BY ALL),
+m AS (SELECT lecture_id, seg_index AS turn, s AS ts, CASE WHEN seg_index > 0 AND lecture_id IN (SELECT conv_id FROM u) THEN coalesce(sim, 0) END AS sim FROM seg LEFT JOIN p ON lecture_id = p.conv_id AND seg_index = p.turn),
+i AS (SELECT *, sum(CASE WHEN sim < 0.2 THEN 1 ELSE 0 END) OVER (PARTITION BY lecture_id ORDER BY turn) AS isl FROM m),
+l AS (SELECT lecture_id, isl, min(ts) AS a, max(ts) AS b FROM i GROUP BY ALL),
+g AS (SELECT lecture_id, isl, sum(CASE WHEN isl = 0 OR b - a >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY lecture_id ORDER BY isl) - 1 AS sg FROM l),
+k AS (SELECT i.*, CAST(sg AS INTEGER) AS sg, min(turn) OVER (PARTITION BY i.lecture_id, sg) AS t0 FROM i JOIN g USING (lecture_id, isl)),
+a AS (SELECT lecture_id, sg, min(ts) AS st, max(ts) AS last, avg(CASE WHEN turn > t0 THEN sim END) AS mean, count(*) AS nf FROM k GROUP BY ALL),
+q AS (SELECT k.lecture_id, k.sg, term, round(sum(x) / any_value(nf), 9) AS wt FROM k JOIN u ON k.lecture_id = u.conv_id AND k.turn = u.turn JOIN a ON k.lecture_id = a.lecture_id AND k.sg = a.sg GROUP BY k.lecture_id, k.sg, term),
+kw AS (SELECT lecture_id, sg, string_agg(term, ',' ORDER BY place) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY lecture_id, sg ORDER BY wt DESC, term DESC) AS place FROM q) WHERE place <= 8 GROUP BY ALL)
+SELECT a.lecture_id, a.sg + 1 AS slide_number, st AS seg_start, coalesce(lead(st) OVER (PARTITION BY a.lecture_id ORDER BY a.sg), last) AS seg_end, round(coalesce(mean, 0), 4) AS confidence, coalesce(keywords, '') AS keywords
+FROM a LEFT JOIN kw ON a.lecture_id = kw.lecture_id AND a.sg = kw.sg""")
+def visual_timeline(spark, d):
+    t = transcript(spark, d)
+    e = t.select("lecture_id", F.col("seg_index").alias("event_index"), F.col("start").alias("timestamp"), F.lit("").alias("frame_image_path"), F.col("text").alias("ocr_text"))
+    v = visual.visual_timeline(e, threshold=0.2, min_seconds=30.0)
+    return v.select("lecture_id", "slide_number", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), "confidence", F.array_join("segment_keywords", ",").alias("keywords"))
+
+
 OCR = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}_'']+')"
 
 
@@ -673,13 +695,6 @@ def frame_hash(spark, d):
 
 # External steps with fakes, and plans that SQL can't express: their rows are tested elsewhere
 
-@query()
-def visual_timeline(spark, d):
-    t = transcript(spark, d)
-    e = t.select("lecture_id", F.col("seg_index").alias("event_index"), F.col("start").alias("timestamp"), F.lit("").alias("frame_image_path"), F.col("text").alias("ocr_text"))
-    return visual.visual_timeline(e, threshold=0.02, min_seconds=30.0)
-
-
 @query()
 def udf_note_stub(spark, d):
     from ..ports import FakeModel, slide_notes
