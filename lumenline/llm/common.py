@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,9 +25,11 @@ _scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all runs on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lumenline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -144,7 +147,7 @@ class WordScan:
     """64-bit hashes of the white-space separated words of texts, many at a time and without word objects."""
 
     #: Bytes handled at once; words of more than LONG bytes are hashed one by one.
-    PIECE, LONG = 1 << 20, 64
+    PIECE, LONG = 1 << 19, 64
 
     def __init__(self, fold: bytes | None = None):
         """``fold``: a table of 256 bytes applied to the texts first."""

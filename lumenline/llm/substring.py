@@ -28,7 +28,7 @@ from .common import RollingHash, WordScan, read, texts_of
 
 FILTER_BITS = 27
 #: Windows compared within a task at once.
-COMBINE = 1_000_000
+COMBINE = 500_000
 UNKNOWN = -(2**63)
 
 
