@@ -14,7 +14,9 @@ OPEN = "double('Infinity')"
 def canonical_slides(slides: DataFrame, order: str = "position", keys=KEYS) -> DataFrame:
     """(keys, slide_number, canonical): of slides with the same text the first; a number given twice follows its last row."""
     same = F.md5(F.concat(norm("title"), F.lit("|"), norm("body_text")))
-    rows = slides.withColumn("__same", same).withColumn("canonical", F.first("slide_number").over(Window.partitionBy(*keys, "__same").orderBy(order)))
+    rows = slides.select(*keys, "slide_number", order, same.alias("__same"))
+    first = rows.groupBy(*keys, "__same").agg(F.min_by("slide_number", order).alias("canonical"))
+    rows = rows.join(first, [*keys, "__same"])
     return rows.groupBy(*keys, "slide_number").agg(F.max_by("canonical", order).alias("canonical"))
 
 

@@ -30,13 +30,14 @@ def tfidf_weights(docs: DataFrame, keys: tuple[str, ...], doc: str = "doc", text
     listed = docs.select(*keys, doc, tokens(text, stop_words).alias("__words"))
     listed = listed.withColumn("__terms", with_bigrams(F.col("__words")) if bigrams else F.col("__words"))
     counts = listed.select(*keys, doc, F.explode("__terms").alias("term")).groupBy(*keys, doc, "term").agg(F.count("*").alias("tf"))
-    per_term = Window.partitionBy(*keys, "term")
     if keys:
         total = docs.groupBy(*keys).agg(F.count("*").alias("__n"))
         counts = counts.join(total, list(keys))
     else:
         counts = counts.crossJoin(F.broadcast(docs.agg(F.count("*").alias("__n"))))  # one row
-    counts = counts.withColumn("__df", F.count("*").over(per_term)).where(F.col("__df") >= min_df)
+    # A common term has a row for every document: its count is summed before the shuffle, and the join can be split.
+    seen = counts.groupBy(*keys, "term").agg(F.count("*").alias("__df")).where(F.col("__df") >= min_df)
+    counts = counts.join(seen, [*keys, "term"])
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
     raw = counts.withColumn("__w", tf * (F.log((1 + F.col("__n")) / (1 + F.col("__df"))) + 1))
     length = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(*keys, doc)))

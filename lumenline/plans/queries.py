@@ -344,12 +344,12 @@ def preview_text(spark, d):
 WORDS = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-@query(f"""WITH w AS (SELECT item_id, list_position(l, x) AS pos, x AS word, len(l) AS n FROM (SELECT item_id, {WORDS.format('left(text, 40)')} AS l FROM benchmark), unnest(range(1, len(l) + 1)) AS u(i), unnest([l[i]]) AS v(x)),
+@query(f"""WITH w AS (SELECT item_id, list_position(l, x) AS pos, x AS word, len(l) AS n FROM (SELECT item_id, {WORDS.format('text')} AS l FROM benchmark), unnest(range(1, len(l) + 1)) AS u(i), unnest([l[i]]) AS v(x)),
 k AS (SELECT doc_id AS deck, unnest(list_distinct({WORDS.format('text')})) AS word FROM documents),
 h AS (SELECT deck, item_id, count(*) AS hits, any_value(n) AS n FROM w JOIN k USING (word) GROUP BY ALL), s AS (SELECT deck, item_id, round(hits / n, 3) AS score FROM h)
 SELECT deck, item_id AS lecture_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY deck ORDER BY score DESC, item_id) AS place FROM s WHERE score >= 0.5) WHERE place <= 3""")
 def title_match(spark, d):
-    titles = table(spark, d, "benchmark").select(F.col("item_id").alias("lecture_id"), F.left("text", F.lit(40)).alias("title"))
+    titles = table(spark, d, "benchmark").select(F.col("item_id").alias("lecture_id"), F.col("text").alias("title"))
     own = table(spark, d, "documents").select(F.col("doc_id").alias("deck"), F.col("text").alias("preview"))
     return decks.suggest_lectures(own, titles, fuzzy=False).withColumn("place", F.col("place").cast("long")).select("deck", "lecture_id", "score", "place")
 
