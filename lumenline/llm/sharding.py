@@ -3,7 +3,7 @@
 The key of a row is (hash of its text, hash of its doc_id), so equal texts are neighbours. A sample in
 which a row's chance follows its size gives quantile boundaries; they cut the keys into many narrow
 ranges, ranges that turn out overfull are sampled again and subdivided, and consecutive ranges make a
-shard. A group of equal texts is cut only where it alone would overfill a range. What reaches the driver
+shard. A group of equal texts is cut only where it alone would fill more than two ranges. What reaches the driver
 is the sample (its expected size is a parameter) and one row per range.
 
 Null texts count as empty. Repeated rows are rows of their own. Null doc_ids are allowed. Columns other
@@ -22,8 +22,11 @@ from .common import materialize, read
 LEAST = -(2**63)
 
 
-def sampled_bounds(keys: DataFrame, weight: float, ranges: int, samples_per_range: int, seed: int) -> list[tuple[int, int]]:
-    """Quantile boundaries (h, g) from a sample of ``keys`` (h, g, w) in which a row's chance follows w; weight is the sum of w."""
+def sampled_bounds(keys: DataFrame, weight: float, ranges: int, samples_per_range: int, seed: int, whole: float) -> list[tuple[int, int]]:
+    """Quantile boundaries (h, g) from a sample of ``keys`` (h, g, w) in which a row's chance follows w; weight is the sum of w.
+
+    A group of equal texts that weighs no more than ``whole`` is not cut.
+    """
     step = weight / (ranges * samples_per_range)
     u = F.shiftrightunsigned(F.xxhash64("h", "g", F.lit(seed)), 11) / F.lit(float(2**53))
     rows = keys.where(u < F.col("w") / F.lit(step)).select("h", "g", F.greatest("w", F.lit(step)).alias("w")).toPandas()
@@ -35,8 +38,7 @@ def sampled_bounds(keys: DataFrame, weight: float, ranges: int, samples_per_rang
     at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges))
     first, last = np.searchsorted(h, h[at], "left"), np.searchsorted(h, h[at], "right") - 1
     own = upto[last] - upto[first] + w[first]
-    whole = own <= upto[-1] / ranges  # a group of equal texts that fits into a range stays whole
-    return [(int(h[i]), LEAST if fits else int(g[i])) for i, fits in zip(at, whole, strict=True)]
+    return [(int(h[i]), LEAST if fits else int(g[i])) for i, fits in zip(at, own <= whole * upto[-1] / weight, strict=True)]
 
 
 def range_of(bounds: list[tuple[int, int]]):
@@ -83,16 +85,16 @@ def shard_documents(
     keys = rows.withColumn("w", F.col("size") / F.lit(total / count) + 1)
     weight = 2.0 * count
     ranges = min(max(n_shards * ranges_per_shard, count // rows_per_range), 65_536)
-    bounds = sorted(set(sampled_bounds(keys, weight, ranges, samples_per_range, 0)))
     goal = weight / ranges
+    bounds = sorted(set(sampled_bounds(keys, weight, ranges, samples_per_range, 0, 2 * goal)))
     for again in range(1, rounds + 1):
         placed = keys.withColumn("range", range_of(bounds)("h", "g"))
         parts = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.sum("w").alias("w")).toPandas()
-        over = parts[(parts["w"] > 1.5 * goal) & (parts["n"] > 1)]
+        over = parts[(parts["w"] > 2.5 * goal) & (parts["n"] > 1)]
         if again == rounds or over.empty:
             break
         inside = placed.where(F.col("range").isin([int(r) for r in over["range"]]))
-        more = sampled_bounds(inside, float(over["w"].sum()), int(np.ceil(over["w"].sum() / goal)) * 2, samples_per_range, again)
+        more = sampled_bounds(inside, float(over["w"].sum()), int(np.ceil(over["w"].sum() / goal)) * 2, samples_per_range, again, 2 * goal)
         if set(more) <= set(bounds):
             break
         bounds = sorted({*bounds, *more})
