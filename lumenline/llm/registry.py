@@ -10,7 +10,7 @@ from .packing import op9_histogram_packing
 from .preference import op2_preference_pairs
 from .quality import op7_controlled_thresholds
 from .sharding import op1_sampled_splitters
-from .substring import op8_rabin_karp
+from .substring import OP8_SQL, op8_rabin_karp
 from .toxicity import op10_nearest_examples
 
 QUERIES = {
@@ -28,4 +28,4 @@ QUERIES = {
         op10_nearest_examples,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {op8_rabin_karp.__name__: OP8_SQL}

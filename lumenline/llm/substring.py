@@ -225,3 +225,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
 
 def op8_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+#: The same rows in DuckDB's SQL.
+OP8_SQL = r"""WITH l AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS l FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS word FROM l),
+g AS (SELECT doc_id, p, string_agg(word, ' ') OVER n AS h, count(*) OVER n AS k FROM w WINDOW n AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS place FROM g WHERE k = 20),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM f WHERE place > 1),
+m AS (SELECT w.doc_id, w.p, word, c.p IS NOT NULL AS gone FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.p = c.p),
+a AS (SELECT doc_id, count(*) AS n_words, CAST(count_if(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM m GROUP BY ALL)
+SELECT l.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN a ON l.doc_id = a.doc_id"""
