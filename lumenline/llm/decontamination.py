@@ -157,3 +157,20 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, w
 def op3_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mark_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("items")
+
+
+_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+_TEN = "ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING"
+#: The same rows in DuckDB's SQL.
+OP3_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS l FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS l FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS word FROM d),
+g AS (SELECT doc_id, p, string_agg(word, ' ') OVER n AS h, count(*) OVER n AS k FROM w WINDOW n AS (PARTITION BY doc_id ORDER BY p {_TEN})),
+v AS (SELECT item, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS word FROM b WHERE len(l) >= 10),
+i AS (SELECT DISTINCT item, h FROM (SELECT item, string_agg(word, ' ') OVER n AS h, count(*) OVER n AS k FROM v WINDOW n AS (PARTITION BY item ORDER BY p {_TEN})) WHERE k = 10),
+s AS (SELECT item, l FROM b WHERE len(l) BETWEEN 1 AND 9),
+x AS (SELECT doc_id, p, 10 AS n, item FROM g JOIN i USING (h) WHERE k = 10
+ UNION ALL SELECT w.doc_id, w.p, len(s.l), item FROM w JOIN s ON w.word = s.l[1] JOIN d ON d.doc_id = w.doc_id WHERE d.l[w.p:w.p + len(s.l) - 1] = s.l),
+q AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS p FROM x) GROUP BY ALL),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM x) GROUP BY ALL)
+SELECT doc_id, len(l) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN q USING (doc_id) LEFT JOIN t USING (doc_id)"""
