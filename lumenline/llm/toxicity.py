@@ -1,24 +1,27 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, from an inverted index of whole texts.
 
 The model is fitted on a bounded sample of labelled rows (at most ``per_class`` of either label, the
-smallest by hash; equal and nearly equal texts count once). Its vocabulary is the words that toxic examples
-have significantly more often; texts are TF-IDF vectors over it. The index keeps, for every term and every
-block of examples, the largest weight, so that a block's scores are bounded before any is computed: blocks
-are taken by falling bound until none can hold a nearer example, which makes the nearest neighbours exact.
-They vote with weights that fall with distance, scaled to the labels' shares, and a prior from examples
-without any term of the vocabulary keeps few votes calibrated; the nearest examples are given as evidence.
-
-A text without terms of the vocabulary, an empty or a null one gets that prior. With no labelled rows, or
+smallest by hash; equal and nearly equal texts count once). A text is two unit vectors side by side, each of
+half the weight: the TF-IDF vector of all its words, with their document frequencies in all of ``docs``
+(counted by hash in a table of fixed size), and, as an addition, that of its markers, the words and
+beginnings of words that toxic examples have significantly more often, with one more coordinate for all other
+words that tells how dense the markers are. Every example with a word is in the index, and every text with a
+word is searched. Frequent terms are scored as a dense matrix, others by their lists; what may be among the
+nearest is scored again in double precision, which makes the nearest neighbours exact.
+They vote with weights that fall with distance, scaled to the labels' shares, beside one unit of the labels'
+share of toxic rows; the nearest examples are given as evidence.
+
+A text without words, an empty or a null one gets that share. With no labelled rows, or
 of one label only, all scores are 0 or 1 as that label says (0 without any). A doc_id labelled more than once
 is toxic if any label says so; null labels and ids are ignored. Repeated documents are scored one by one.
-
-Terms are words and beginnings of words; one more coordinate stands for all words without a term, so that
-the angle between texts tells how dense the terms are.
 """
 
 from __future__ import annotations
 
+import ctypes
 import math
+import os
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,8 +35,12 @@ from pyspark.sql import types as T
 
 from .common import FOLD, filter_texts, map_texts, materialize, read, texts_of
 
-#: Lengths in bytes of the word beginnings that are terms; as terms they end in a star, which no word has.
+#: Lengths in bytes of the word beginnings that can be markers; as markers they end in a star, which no word has.
 BEGINNINGS = (4, 6)
+#: Bits of the hashed table of document frequencies, and the blocks it is summed in.
+DF_BITS, DF_BLOCKS = 22, 16
+#: Terms of this share of the examples are scored as a dense matrix; texts that are scored at once.
+DENSE, AT_ONCE = 0.05, 64
 
 #: Rows with this remainder of crc32(doc_id as text) modulo FOLDS are held out.
 FOLDS, HELD_OUT = 5, 0
@@ -55,35 +62,71 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     return found, total
 
 
-def tally_terms(words: list[bytes]) -> Counter:
-    tally = Counter(words)
-    for n in BEGINNINGS:
-        tally.update(w[:n] + b"*" for w in words if len(w) > n)
-    return tally
+def hashed(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
+
+
+def beginnings_of(tally: dict[bytes, int]) -> Counter:
+    out = Counter()
+    for w, k in tally.items():
+        for n in BEGINNINGS:
+            if len(w) > n:
+                out[w[:n] + b"*"] += k
+    return out
 
 
 def word_tables(sample: DataFrame) -> DataFrame:
-    """(doc_id, toxic, sketch, n_words, words, counts): the terms of each example; near copies mostly share the sketch."""
+    """(doc_id, toxic, sketch, n_words, words, counts, starts, start_counts): hashes and counts of the words and beginnings of each example; near copies mostly share the sketch."""
+    names = ["doc_id", "toxic", "sketch", "n_words", "words", "counts", "starts", "start_counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches, lengths, words, counts = [], [], [], []
+            sketches, lengths, packed = [], [], [[], [], [], []]
             for text in texts_of(batch.column(2)):
                 own = (text or b"").translate(FOLD).split()
                 shingles = [b" ".join(own[i : i + 4]) for i in range(max(1, len(own) - 3))]
                 sketches.append(min(xxhash.xxh3_64_intdigest(s) for s in shingles) >> 1)
-                tally = tally_terms(own)
                 lengths.append(len(own))
-                words.append(list(tally))
-                counts.append(list(tally.values()))
-            made = [pa.array(sketches, pa.int64()), pa.array(lengths, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "toxic", "sketch", "n_words", "words", "counts"])
+                tally = Counter(own)
+                for k, x in enumerate((tally, beginnings_of(tally))):
+                    packed[2 * k].append(hashed(x).tobytes())
+                    packed[2 * k + 1].append(np.array(list(x.values()), np.uint32).tobytes())
+            made = [pa.array(sketches, pa.int64()), pa.array(lengths, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sample.schema.fields[:2])
-    rows = sample.mapInArrow(run, f"{kinds}, sketch long, n_words long, words array<binary>, counts array<long>")
+    rows = sample.mapInArrow(run, f"{kinds}, sketch long, n_words long, words binary, counts binary, starts binary, start_counts binary")
     return rows.dropDuplicates(["toxic", "sketch"])
 
 
+def corpus_idf(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequencies over all rows of ``docs``, by the first DF_BITS bits of a word's hash."""
+    shift, cells = np.uint64(64 - DF_BITS), 1 << DF_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(cells, np.uint32)
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                own = np.unique(hashed(set((text or b"").translate(FOLD).split())) >> shift).astype(np.int64)
+                counts[own] += 1
+        packed = [(i, zlib.compress(p.astype("<u4").tobytes(), 1)) for i, p in enumerate(counts.reshape(DF_BLOCKS, -1)) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], ["block", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells // DF_BLOCKS, np.int64)
+        for batch in batches:
+            for c in batch.column(1):
+                total += np.frombuffer(zlib.decompress(c.as_py()), "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
+
+    n = docs.count()
+    idf = np.full((DF_BLOCKS, cells // DF_BLOCKS), math.log(1 + n) + 1, np.float32)
+    rows = docs.select("text").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    for r in rows.collect():  # 16 MB in all
+        idf[r.block] = np.log((1 + n) / (1.0 + np.frombuffer(r.counts, "<u4"))) + 1
+    return idf.ravel()
+
+
 def associated(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     """Log-likelihood ratio of words in pos of n_pos toxic and neg of n_neg other examples; 0 where those are the less frequent."""
     total = (pos + neg) / (n_pos + n_neg)
@@ -96,150 +139,280 @@ def associated(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.n
     return np.where(pos * n_neg > 3 * neg * n_pos, score, 0)
 
 
+def places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``keys`` are in the sorted ``known``, and the places of those."""
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    has = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+    return has, at[has]
+
+
 @dataclass
-class BlockMaxIndex:
-    """TF-IDF vectors of the examples by term, with the largest weight in each block of examples."""
-
-    terms: dict[bytes, int]
-    idf: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]  # by term: examples, weights
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # by term: blocks, largest weights, where each starts
-    toxic: np.ndarray
-    ids: np.ndarray
-    weight: np.ndarray  # of an example's vote
+class ExampleIndex:
+    """Vectors of all examples that have a word, by term and by example; terms are the examples' words, the markers, and the other words' coordinate."""
+
+    words: np.ndarray  # sorted hashes of the examples' words
+    markers: np.ndarray  # sorted hashes
+    marker_idf: np.ndarray
+    idf: np.ndarray  # of words, by the first bits of their hash
     prior: float
     neighbours: int
-    size: int = 64
     beginnings: dict[int, frozenset[bytes]] = field(default_factory=dict)
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of an example's vote
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # by example: where its terms start
+    term: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    searcher: Searcher | None = None
+
+    @property
+    def terms(self) -> np.ndarray:
+        return np.concatenate([self.words, self.markers])
+
+    @property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By term: examples and weights."""
+        at, value, start = self.lists()
+        return [(at[s:e], value[s:e]) for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Examples and weights by term, and where each term starts."""
+        order = np.argsort(self.term, kind="stable")
+        at = np.repeat(np.arange(len(self.toxic), dtype=np.int32), np.diff(self.start))[order]
+        return at, self.value[order], np.searchsorted(self.term[order], np.arange(len(self.words) + len(self.markers) + 2))
+
+    def arrays(self, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, key_counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text by its hashed words and what may be markers; words that no example has add to the length only."""
+        if not n_words:
+            return np.zeros(0, np.int64), np.zeros(0)
+        raw = (1 + np.log(counts)) * self.idf[(words >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+        has, own = places(words, self.words)
+        raw = raw[has] / math.sqrt(2 * float(raw @ raw))
+        known, mark = places(keys, self.markers)
+        n = key_counts[known]
+        # The rest of the words, to half an octave.
+        rest = round(2 * math.log2(max(1, n_words - int(n.max(initial=0))))) / 2
+        marks = np.append((1 + np.log(n)) * self.marker_idf[mark], 1 + rest * math.log(2))
+        at = np.concatenate([own, len(self.words) + np.append(mark, len(self.markers))])
+        x = np.concatenate([raw, marks / math.sqrt(2 * float(marks @ marks))])
+        order = np.argsort(at)
+        return at[order], x[order]
+
+    def query(self, tally: dict[bytes, int], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = hashed(tally), np.fromiter(tally.values(), np.float64)
+        plain = np.fromiter((k[-1] != 42 for k in tally), bool)  # without a star
+        return self.arrays(keys[plain], counts[plain], keys, counts, n_words)
 
     def vector(self, tally: dict[bytes, int], n_words: int) -> tuple[tuple[int, float], ...]:
-        """The unit vector of a text's terms in the vocabulary; empty if it has none."""
-        if not tally:
-            return ()
-        raw = [(self.terms[w], (1 + math.log(n)) * self.idf[self.terms[w]]) for w, n in tally.items()]
-        # The rest of the words, to half an octave so that like texts have the same vector.
-        rest = round(2 * math.log2(max(1, n_words - max(tally.values())))) / 2
-        raw.append((len(self.terms), 1 + rest * math.log(2)))
-        norm = math.sqrt(sum(x * x for _, x in raw))
-        return tuple(sorted((t, x / norm) for t, x in raw))
+        """The terms of a text and their weights; empty if it has no words."""
+        at, x = self.query(tally, n_words)
+        return tuple(zip(at.tolist(), x.tolist(), strict=True))
 
     def tally(self, words: list[bytes]) -> Counter:
-        """How often the terms of the vocabulary stand among ``words``."""
-        out = Counter(filter(self.terms.__contains__, words))
+        """How often each word, and each beginning that is a marker, stands among ``words``."""
+        out = Counter(words)
+        own = list(out.items())
         for n, known in self.beginnings.items():
-            out.update(x + b"*" for w in words if (x := w[:n]) in known and len(w) > n)
+            for w, k in own:
+                if w[:n] in known and len(w) > n:
+                    out[w[:n] + b"*"] += k
         return out
 
     def nearest(self, vector) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples and their cosines, exactly: by falling cosine, then by place."""
-        n_blocks = -(-len(self.toxic) // self.size)
-        bound = np.zeros(n_blocks)
-        for t, x in vector:
-            own, largest, _ = self.blocks[t]
-            bound[own] += x * largest
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, cosine = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        for i in range(0, len(order), step):
-            if len(at) >= self.neighbours and bound[order[i]] < cosine[self.neighbours - 1] - 1e-12:
-                break
-            for b in order[i : i + step]:
-                score = np.zeros(self.size)
-                for t, x in vector:
-                    own, _, start = self.blocks[t]
-                    k = np.searchsorted(own, b)
-                    if k < len(own) and own[k] == b:
-                        docs, weights = self.postings[t]
-                        s = slice(start[k], start[k + 1])
-                        score[docs[s] - b * self.size] += x * weights[s]
-                hit = np.flatnonzero(score)
-                at, cosine = np.r_[at, hit + b * self.size], np.r_[cosine, score[hit]]
-            best = np.lexsort((at, -cosine))[: self.neighbours]
-            at, cosine = at[best], cosine[best]
-        return at, cosine
-
-    def score(self, vector) -> tuple[float, list[int]]:
-        if not vector:
-            return self.prior, []
-        at, cosine = self.nearest(vector)
-        vote = self.weight[at] / (1.05 - np.minimum(cosine, 1.0))
+        at, x = np.array([t for t, _ in vector], np.int64), np.array([x for _, x in vector], float)
+        return Searcher(self).nearest([(at, x)])[0]
+
+    def vote(self, at: np.ndarray, cosine: np.ndarray) -> tuple[float, list[int]]:
+        vote = self.weight[at] / (1.05 - np.minimum(cosine, 1.0)) ** 2
         # One unit of the prior stands beside the votes.
-        return float((vote @ self.toxic[at] + self.prior) / (vote.sum() + 1)), [int(i) for i in self.ids[at] if i >= 0][:3]
+        return float((vote @ self.toxic[at] + self.prior) / (vote.sum() + 1)), [int(i) for i in self.ids[at][:3]]
+
+
+def one_blas_thread() -> None:
+    """Keep OpenBLAS from spinning in threads that the other task of the executor needs."""
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as maps:
+        paths = {line.split()[-1] for line in maps if "openblas" in line}
+    for path in paths:
+        for name in ("openblas_set_num_threads", "scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads"):
+            if hasattr(lib := ctypes.CDLL(path), name):
+                getattr(lib, name)(1)
+
+
+class Searcher:
+    """An index made ready for searches."""
+
+    #: More than single precision can be off in a cosine.
+    MARGIN = 1e-5
+
+    def __init__(self, index: ExampleIndex):
+        self.index = index
+        at, value, start = index.lists()
+        size = np.diff(start)
+        dense = np.flatnonzero(size > DENSE * len(index.toxic))
+        self.column = np.full(len(size), -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((len(dense), len(index.toxic)), np.float32)
+        for k, t in enumerate(dense.tolist()):
+            self.matrix[k, at[start[t] : start[t + 1]]] = value[start[t] : start[t + 1]]
+        self.at, self.value, self.start = at, value, start
+        self.held = np.zeros(len(size))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, k = len(self.index.toxic), self.index.neighbours
+        heads = np.zeros((len(queries), len(self.matrix)), np.float32)
+        for q, (at, x) in enumerate(queries):
+            column = self.column[at]
+            heads[q, column[column >= 0]] = x[column >= 0]
+        rough = heads @ self.matrix
+        out = []
+        for (at, x), score in zip(queries, rough, strict=True):
+            rare = self.column[at] < 0
+            begin, size = self.start[at[rare]], self.start[at[rare] + 1] - self.start[at[rare]]
+            if size.sum():
+                own = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+                score = score + np.bincount(self.at[own], self.value[own] * np.repeat(x[rare], size), minlength=n)
+            if n > k:
+                least = np.partition(score, n - k)[n - k]
+                found = np.flatnonzero(score >= least - self.MARGIN)
+            else:
+                found = np.arange(n)
+            out.append(self.exact(found, at, x))
+        return out
 
+    def exact(self, found: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        index = self.index
+        begin, size = index.start[found], index.start[found + 1] - index.start[found]
+        own = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        self.held[at] = x
+        cosine = np.bincount(np.repeat(np.arange(len(found)), size), self.held[index.term[own]] * index.value[own], minlength=len(found))
+        self.held[at] = 0
+        best = np.lexsort((found, -cosine))
+        best = best[cosine[best] > 0][: index.neighbours]
+        return found[best], cosine[best]
+
+    def score(self, texts: list[bytes | None]) -> list[tuple[float, list[int]]]:
+        index = self.index
+        if not len(index.toxic):
+            return [(index.prior, [])] * len(texts)
+        out = []
+        for i in range(0, len(texts), AT_ONCE):
+            queries = []
+            for text in texts[i : i + AT_ONCE]:
+                words = (text or b"").translate(FOLD).split()
+                queries.append(index.query(index.tally(words), len(words)))
+            full = [q for q in queries if len(q[0])]
+            near = iter(self.nearest(full) if full else [])
+            out += [index.vote(*next(near)) if len(q[0]) else (index.prior, []) for q in queries]
+        return out
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, neighbours: int = 15, significance: float = 30.0, max_terms: int = 4_096) -> BlockMaxIndex:
-    """The index of a sample of at most 2 x per_class examples."""
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, neighbours: int = 15, significance: float = 30.0, max_terms: int = 4_096) -> ExampleIndex:
+    """The index of a sample of at most 2 x per_class examples; ``significance`` and ``max_terms`` limit the markers only."""
     sample, total = labelled_sample(docs, labels, per_class)
     tables = materialize(word_tables(sample), "examples")
     sizes = {r.toxic: r.n for r in tables.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    none = BlockMaxIndex({}, np.zeros(0), [], [], np.zeros(0), np.zeros(0), np.zeros(0), float(n_pos > 0), neighbours)
+    none = np.zeros(0, np.uint64)
     if not n_pos or not n_neg:
-        return none
-    words = tables.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("pos"), F.sum(1 - F.col("toxic").cast("long")).alias("neg")).where("pos >= 3")
-    words = words.toPandas()  # words of the bounded sample
-    gain = associated(words["pos"].to_numpy(), words["neg"].to_numpy(), n_pos, n_neg)
-    words = words.assign(word=[bytes(w) for w in words["word"]], gain=gain).query("gain >= @significance").sort_values(["gain", "word"], ascending=[False, True]).head(max_terms)
-    n = n_pos + n_neg
-    index = none
-    index.terms = {w: i for i, w in enumerate(words["word"])}
-    index.idf = np.log((1 + n) / (1 + (words["pos"] + words["neg"]).to_numpy())) + 1
-    index.beginnings = {n: frozenset(t[:-1] for t in index.terms if t.endswith(b"*") and len(t) == n + 1) for n in BEGINNINGS}
-    known = sorted(index.terms)
-    own = F.filter(F.arrays_zip("words", "counts"), lambda x: x["words"].isin(*known)) if known else F.array().cast("array<struct<words:binary,counts:bigint>>")
-    examples, empty = [], {0: 0, 1: 0}
-    for r in tables.select("doc_id", "toxic", "n_words", own.alias("own")).collect():  # terms of the vocabulary in the bounded sample
-        vector = index.vector({bytes(x["words"]): x["counts"] for x in r.own}, r.n_words)
-        if vector:
-            examples.append((vector, r.toxic, r.doc_id))
-        else:
-            empty[r.toxic] += 1
+        return ExampleIndex(none, none, np.zeros(0), np.zeros(0, np.float32), float(n_pos > 0), neighbours)
+    examples = Examples(tables.toArrow())  # the bounded sample
+    ids, toxic, n_words = examples.ids, examples.toxic, examples.n_words
+    known, words, starts = [], [], []
+    for part in range(16):  # by hash, which bounds what is held at once
+        keys, pos, both = examples.tally("words", part)
+        known.append(keys)
+        for out, (k, p, n) in ((words, (keys, pos, both)), (starts, examples.tally("starts", part))):
+            gain = np.where(p >= 3, associated(p, n - p, n_pos, n_neg), 0)
+            out.append((k[gain >= significance], gain[gain >= significance], n[gain >= significance]))
+    marks, gain, both = (np.concatenate(x) for x in zip(*words, *starts, strict=True))
+    best = np.lexsort((marks, -gain))[:max_terms]
+    best = best[np.argsort(marks[best])]
     scale = {0: total[0] / n_neg, 1: total[1] / n_pos}
-    index.prior = empty[1] * scale[1] / max(empty[0] * scale[0] + empty[1] * scale[1], 1e-9)
-    # Examples with the same strongest terms share blocks, which makes the blocks' maxima tight.
-    examples.sort(key=lambda e: (sorted(((-x, t) for t, x in e[0]))[:3], e[2]))
-    # Examples without a term are alike; no more of them than neighbours are asked for can matter.
-    alike = min(neighbours, empty[0] + empty[1])
-    index.toxic = np.array([e[1] for e in examples] + [index.prior] * alike, float)
-    index.ids = np.array([e[2] for e in examples] + [-1] * alike, np.int64)
-    index.weight = np.array([scale[e[1]] for e in examples] + [scale[0]] * alike) / min(scale.values())
-    examples += [(((len(index.terms), 1.0),), None, None)] * alike
-    lists: list[list] = [[] for _ in range(len(index.terms) + 1)]
-    for i, (vector, _, _) in enumerate(examples):
-        for t, x in vector:
-            lists[t].append((i, x))
-    for own in lists:
-        at, weights = np.array([i for i, _ in own], np.int64), np.array([x for _, x in own])
-        blocks, start = np.unique(at // index.size, return_index=True)
-        largest = np.maximum.reduceat(weights, start) if len(start) else weights
-        index.postings.append((at, weights))
-        index.blocks.append((blocks, largest, np.r_[start, len(at)]))
+    index = ExampleIndex(np.concatenate(known), marks[best], np.log((1 + n_pos + n_neg) / (1 + both[best])) + 1, corpus_idf(docs), total[1] / (total[0] + total[1]), neighbours)
+    index.beginnings = known_beginnings(sample, np.intersect1d(index.markers, np.concatenate([x[0] for x in starts])))
+    order = np.argsort(ids, kind="stable")
+    order = order[n_words[order] > 0]
+    sizes, terms, values = [0], [], []
+    for i in order.tolist():
+        w, c, b, d = examples.row(i)
+        at, x = index.arrays(w, c.astype(float), np.concatenate([w, b]), np.concatenate([c, d]).astype(float), int(n_words[i]))
+        sizes.append(len(at))
+        terms.append(at.astype(np.int32))
+        values.append(x.astype(np.float32))
+    index.toxic, index.ids = toxic[order].astype(float), ids[order].astype(np.int64)
+    index.weight = np.array([scale[t] for t in toxic[order].tolist()]) / min(scale.values())
+    index.start = np.cumsum(sizes)
+    index.term, index.value = (np.concatenate(x) if x else none.astype(kind) for x, kind in ((terms, np.int32), (values, np.float32)))
     return index
 
 
-def scorer(spark: SparkSession, index: BlockMaxIndex):
-    """In a task: (score, evidence) of a text."""
-    held = spark.sparkContext.broadcast(index)  # bounded by the sample
+class Examples:
+    """What word_tables gives, as views of its Arrow buffers."""
 
-    def make():
-        index, cache = held.value, {}
+    KINDS = {"words": np.uint64, "counts": np.uint32, "starts": np.uint64, "start_counts": np.uint32}
+
+    def __init__(self, table: pa.Table):
+        self.ids, self.toxic, self.n_words = (table[c].to_numpy() for c in ("doc_id", "toxic", "n_words"))
+        self.columns: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}  # values, and where each example's start
+        for name, kind in self.KINDS.items():
+            chunks = []
+            for c in table[name].cast(pa.large_binary()).chunks:
+                cut = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+                data = np.frombuffer(c.buffers()[2], np.uint8)[cut[0] : cut[-1]].view(kind) if len(c) and cut[-1] > cut[0] else np.zeros(0, kind)
+                chunks.append((data, (cut - cut[0]) // np.dtype(kind).itemsize if len(c) else np.zeros(1, np.int64)))
+            self.columns[name] = chunks
+        self.first = np.cumsum([0] + [len(cut) - 1 for _, cut in self.columns["words"]])
 
-        def score(text: bytes | None) -> tuple[float, list[int]]:
-            words = (text or b"").translate(FOLD).split()
-            vector = index.vector(index.tally(words), len(words))
-            if vector not in cache:
-                if len(cache) >= 100_000:
-                    cache.clear()
-                cache[vector] = index.score(vector)
-            return cache[vector]
+    def row(self, i: int) -> list[np.ndarray]:
+        k = int(np.searchsorted(self.first, i, "right")) - 1
+        i -= int(self.first[k])
+        return [data[cut[i] : cut[i + 1]] for data, cut in (self.columns[n][k] for n in self.KINDS)]
 
-        return score
+    def tally(self, name: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes whose first four bits are ``part``, and the numbers of toxic and of all examples that have them."""
+        keys, toxic = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for k, (data, cut) in enumerate(self.columns[name]):
+            own = np.flatnonzero(data >> np.uint64(60) == part)
+            keys.append(data[own])
+            toxic.append(self.toxic[self.first[k] + np.searchsorted(cut, own, "right") - 1].astype(float))
+        keys, key = np.unique(np.concatenate(keys), return_inverse=True)
+        return keys, np.bincount(key, np.concatenate(toxic), minlength=len(keys)), np.bincount(key, minlength=len(keys))
+
+
+def known_beginnings(sample: DataFrame, markers: np.ndarray) -> dict[int, frozenset[bytes]]:
+    """The beginnings by length whose hashes are among ``markers``, from the texts of the sample."""
+    wanted = frozenset(markers.tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                seen.update(s for s in beginnings_of(dict.fromkeys((text or b"").translate(FOLD).split(), 1)) if xxhash.xxh3_64_intdigest(s) in wanted)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.binary())], ["start"])
+
+    found = [bytes(r.start) for r in sample.where("toxic = 1").select("text").mapInArrow(run, "start binary").distinct().collect()]  # at most max_terms
+    return {n: frozenset(s[:-1] for s in found if len(s) == n + 1) for n in BEGINNINGS}
+
+
+def scorer(spark: SparkSession, index: ExampleIndex):
+    """In a task: (score, evidence) of each of some texts."""
+    held = spark.sparkContext.broadcast(index)  # bounded by the sample
+
+    def make():
+        index = held.value
+        if index.searcher is None:
+            one_blas_thread()
+            index.searcher = Searcher(index)  # for all tasks of a worker
+        return index.searcher.score
 
     return make
 
 
-def score_documents(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
+def score_documents(docs: DataFrame, index: ExampleIndex) -> DataFrame:
     """doc_id, score, predicted and evidence (ids of the nearest examples) of every row."""
     make_score = scorer(docs.sparkSession, index)
 
@@ -247,7 +420,7 @@ def score_documents(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
         score = make_score()
 
         def compute(texts):
-            rows = [score(t) for t in texts]
+            rows = score(texts)
             return [[r[0] for r in rows], [int(r[0] >= 0.5) for r in rows], [r[1] for r in rows]]
 
         return compute
@@ -262,7 +435,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def make():
         score = make_score()
-        return lambda texts: [score(t)[0] < 0.5 for t in texts]
+        return lambda texts: [r[0] < 0.5 for r in score(texts)]
 
     return filter_texts(docs, make)
 

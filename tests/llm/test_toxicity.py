@@ -101,3 +101,19 @@ def test_empty_and_null(spark, nothing, unknown, fitted):
 def test_query_marks_held_out_rows(spark):
     rows = op10_nearest_examples(spark, "/root/testdata/sf0.001").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows) and len(rows) == 200
+
+
+def test_copy_of_a_toxic_text_without_frequent_words(spark):
+    rows, labels = corpus(600)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(3000)]) for _ in range(60)) for _ in range(3)]
+    own = [i for i in range(5_000, 5_100) if zlib.crc32(str(i).encode()) % FOLDS != HELD_OUT][:3]
+    rows += [(i, t) + (None,) * 10 for i, t in zip(own, texts)] + [(i + 1_000, t) + (None,) * 10 for i, t in zip(own, texts)]
+    labels += [(i, 1, 1, "") for i in own]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    index = fit(docs, spark.createDataFrame(labels, LABEL))
+    got = {r.doc_id: r for r in score_documents(docs, index).collect()}
+    for i in own:
+        assert got[i + 1_000].predicted == 1 and got[i + 1_000].evidence[0] == i
+    assert sorted(index.ids) == sorted(i for i, *_ in labels if zlib.crc32(str(i).encode()) % FOLDS != HELD_OUT)
+    assert all(r.evidence for r in got.values())
