@@ -11,7 +11,9 @@ variants of the other half. The texts of these lines are fetched in a second pas
 which a broadcast of at most 2^20 hash buckets keeps from shuffling the rest.
 
 Order is (doc_id, line number); a null doc_id comes first, and rows with one doc_id come by their text's
-hash. Repeated rows are one document and get the same result. Lines shorter than ``min_chars`` always stay.
+hash. Repeated rows are one document and get the same result. Lines shorter than ``min_chars`` are not compared
+by edits; they go as exact repeats if they have ``exact_chars`` characters at least, and else always stay. The
+query and the stage take exact repeats of every line that is not empty.
 Lines are compared as they are, without case folding. Null texts stay null and have no lines. Other columns
 are passed on. An empty table gives an empty result.
 """
@@ -87,10 +89,11 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
     return verified.groupBy("hash").agg(F.min("first").alias("near"))
 
 
-def removed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     """(__id, __text_hash, removed): numbers of the lines that an earlier line duplicates."""
     length = F.length("line")
-    rows = lines_of(docs, min_chars).select("__id", "__text_hash", "no", F.xxhash64("line").alias("hash"), half_keys(F.col("line"), length).alias("halves"))
+    halves = F.when(length >= min_chars, half_keys(F.col("line"), length))  # null keys of short lines pair with nothing
+    rows = lines_of(docs, min(min_chars, exact_chars)).select("__id", "__text_hash", "no", F.xxhash64("line").alias("hash"), halves.alias("halves"))
     rows = materialize(rows, "lines")
     place = F.struct("__id", "__text_hash", "no")
     distinct = rows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
@@ -102,9 +105,12 @@ def removed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return gone.groupBy("__id", "__text_hash").agg(F.collect_set("no").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 30) -> DataFrame:
-    """The rows of ``docs``, with all columns and the text without its later lines, and __n_lines and __removed (line numbers)."""
-    gone = removed_lines(docs, min_chars).withColumnsRenamed({"__id": "__gone_id", "__text_hash": "__gone_text"})
+def dedup_lines(docs: DataFrame, min_chars: int = 30, exact_chars: int | None = None) -> DataFrame:
+    """The rows of ``docs``, with all columns and the text without its later lines, and __n_lines and __removed (line numbers).
+
+    ``exact_chars``: the least length of a line that goes as an exact repeat; ``min_chars`` if it is not given.
+    """
+    gone = removed_lines(docs, min_chars, min_chars if exact_chars is None else exact_chars).withColumnsRenamed({"__id": "__gone_id", "__text_hash": "__gone_text"})
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(UNKNOWN)) == F.col("__gone_id")) & (F.xxhash64(docs["text"]) == F.col("__gone_text"))
     rows = docs.join(gone.hint("shuffle_hash"), same, "left")
     lines = F.split("text", "\n")
@@ -117,14 +123,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 30) -> DataFrame:
 
 def without_later_lines(docs: DataFrame, min_chars: int = 30) -> DataFrame:
     """The rows and columns of ``docs`` with the texts without later lines, and n_chars, if it is there, to match."""
-    rows = dedup_lines(docs, min_chars).drop("__n_lines", "__removed")
+    rows = dedup_lines(docs, min_chars, exact_chars=1).drop("__n_lines", "__removed")
     if "n_chars" in rows.columns:
         rows = rows.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return rows.select(*docs.columns)
 
 
 def op5_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
     return rows.select(
         "doc_id",
         F.col("__n_lines").alias("n_lines"),

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumenline.llm.linededup import dedup_lines, without_later_lines
+from lumenline.llm.linededup import dedup_lines, op5_deletion_neighbourhood, without_later_lines
 
 from .fixture_docs import SCHEMA
 
@@ -89,3 +89,14 @@ def test_hot_line_and_hot_half(spark):
 def test_empty_and_null(nothing, unknown):
     assert dedup_lines(nothing).count() == 0
     assert [(r.text, r["__n_lines"], r["__removed"]) for r in dedup_lines(unknown).collect()] == [(None, 0, [])] * 3
+
+
+def test_exact_repeats_of_short_lines_go(spark, tmp_path):
+    own = "a line of its own that is long enough, number "
+    rows = [(i, f"Les.\n{own}{i * 1111:05d}\n\nab{'c' * (i % 3)}\nLes.") + (None,) * 10 for i in range(12)] + [(20, "") + (None,) * 10]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed_lines for r in op5_deletion_neighbourhood(spark, str(tmp_path)).collect()}
+    assert got == {0: [4], 1: [0, 4], 2: [0, 4], **{i: [0, 3, 4] for i in range(3, 12)}, 20: []}  # ab, abc and abcc are not compared by edits
+    texts = {r.doc_id: r.text for r in without_later_lines(df).collect()}
+    assert sum(t.split("\n").count("Les.") for t in texts.values()) == 1 and texts[5] == f"{own}05555\n"
