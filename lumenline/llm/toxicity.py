@@ -337,8 +337,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, neighbours:
     order = np.argsort(ids, kind="stable")
     order = order[n_words[order] > 0]
     sizes, terms, values = [0], [], []
+    w = c = b = d = none
     for i in order.tolist():
-        w, c, b, d = examples.row(i)
+        w, c, b, d = examples.row(i)  # views
         at, x = index.arrays(w, c.astype(float), np.concatenate([w, b]), np.concatenate([c, d]).astype(float), int(n_words[i]))
         sizes.append(len(at))
         terms.append(at.astype(np.int32))
@@ -346,6 +347,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, neighbours:
     index.toxic, index.ids = toxic[order].astype(float), ids[order].astype(np.int64)
     index.weight = np.array([scale[t] for t in toxic[order].tolist()]) / min(scale.values())
     index.start = np.cumsum(sizes)
+    del examples, w, c, b, d
+    pa.default_memory_pool().release_unused()  # the driver's next stages need the room
     index.term, index.value = (np.concatenate(x) if x else none.astype(kind) for x, kind in ((terms, np.int32), (values, np.float32)))
     return index
 
