@@ -182,14 +182,20 @@ class WordScan:
             at = end
         return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
-    def _piece(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def _spans(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Prefix sums of the text's bytes, and the starts and ends of its words."""
         letters = np.frombuffer(text, np.uint8)
         inside = np.zeros(len(letters) + 2, bool)
         np.not_equal(letters, 32, out=inside[1:-1])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edge[0::2], edge[1::2]
-        prefix = self.rolling.prefix(letters.astype(np.uint64) + np.uint64(1))
+        return self.rolling.prefix(letters.astype(np.uint64) + np.uint64(1)), edge[0::2], edge[1::2]
+
+    def _piece(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        prefix, start, end = self._spans(text)
+        return start, self._hashes(text, prefix, start, end)
+
+    def _hashes(self, text: bytes, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         hashes = mix(self.rolling.stretches(prefix, start, end) ^ (end - start).astype(np.uint64))
         for i in np.flatnonzero(end - start > self.LONG):
             hashes[i] = xxhash.xxh64_intdigest(text[start[i] : end[i]])
-        return start, hashes
+        return hashes

@@ -1,19 +1,28 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, from an inverted index of whole texts.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index of whole texts.
 
 The model is fitted on a bounded sample of labelled rows (at most ``per_class`` of either label, the
-smallest by hash; equal and nearly equal texts count once). A text is two unit vectors side by side, each of
-half the weight: the TF-IDF vector of all its words, with their document frequencies in all of ``docs``
-(counted by hash in a table of fixed size), and, as an addition, that of its markers, the words and
-beginnings of words that toxic examples have significantly more often, with one more coordinate for all other
-words that tells how dense the markers are. Every example with a word is in the index, and every text with a
-word is searched. Frequent terms are scored as a dense matrix, others by their lists; what may be among the
-nearest is scored again in double precision, which makes the nearest neighbours exact.
-They vote with weights that fall with distance, scaled to the labels' shares, beside one unit of the labels'
-share of toxic rows; the nearest examples are given as evidence.
-
-A text without words, an empty or a null one gets that share. With no labelled rows, or
-of one label only, all scores are 0 or 1 as that label says (0 without any). A doc_id labelled more than once
-is toxic if any label says so; null labels and ids are ignored. Repeated documents are scored one by one.
+smallest by hash). Of examples of one label that are nearly equal (two equal min-hashes of five-word shingles,
+and 0.8 of their words in common with the group's first), the one of the smallest doc_id stays. A text is two
+unit vectors side by side, each of half the weight: the TF-IDF vector of all its words, with their document
+frequencies in all of ``docs`` (counted by hash in a table of fixed size), and, as an addition, that of its
+markers, the words and beginnings of words that toxic examples have significantly more often, with one more
+coordinate for all other words that tells how dense the markers are. Every example with a word is in the
+index, and every text with a word is searched.
+
+Examples lie in blocks of similar ones. Rare terms are scored by their lists; the largest weight of each
+frequent term in a block bounds what a block can still reach, and blocks that can't reach a text's nearest
+neighbours are not scored. What may be among the nearest is scored again in double precision, which makes
+the neighbours exact; ties go to the smaller doc_id.
+
+The neighbours vote with weights that fall with distance, scaled to the labels' shares, beside one unit of the
+labels' share of toxic rows. A logistic curve turns votes into scores; it is fitted to the votes that at most
+``calibrate`` examples of either label get from the others. The nearest examples are given as evidence.
+
+The fit does not depend on the order or partitions of the rows. A text without words, an empty or a null one
+gets the labels' share of toxic rows, as do all texts where a label has no example with a word (0 without any
+labelled row). A doc_id labelled more than once is toxic if any label says so; null labels and ids are ignored.
+Repeated documents are scored one by one, very long texts whole. An empty table gives an empty result. Other
+columns are ignored by scores and passed on by the filter.
 """
 
 from __future__ import annotations
@@ -22,81 +31,140 @@ import ctypes
 import math
 import os
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, filter_texts, map_texts, materialize, read, texts_of
+from .common import FOLD, WordScan, filter_texts, map_texts, materialize, mix, read, texts_of
+from .jaccard import ShingleScan, overlap
 
-#: Lengths in bytes of the word beginnings that can be markers; as markers they end in a star, which no word has.
+#: Lengths in bytes of the word beginnings that can be markers.
 BEGINNINGS = (4, 6)
 #: Bits of the hashed table of document frequencies, and the blocks it is summed in.
 DF_BITS, DF_BLOCKS = 22, 16
 #: Terms of this share of the examples are scored as a dense matrix; texts that are scored at once.
 DENSE, AT_ONCE = 0.05, 64
+#: Examples of a block whose maxima bound it, and blocks that are scored together.
+BLOCK, TOGETHER = 16, 16
 
 #: Rows with this remainder of crc32(doc_id as text) modulo FOLDS are held out.
 FOLDS, HELD_OUT = 5, 0
 
+NO_LONGS = np.zeros(0, np.int64)
+
 
 def fold(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, toxic, text) of the sample, and the number of labelled rows by label; held-out rows are in neither."""
+    """(doc_id, toxic, text_hash, text) of the sample, and the number of labelled rows by label; held-out rows are in neither."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id") != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for t in (0, 1)]
     sample = parts[0].union(parts[1]).withColumnsRenamed({"doc_id": "__id", "toxic": "__toxic"})
     # At most 2 x per_class pairs of numbers are broadcast.
-    found = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", F.col("__toxic").alias("toxic"), "text")
-    return found, total
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
+    return found.select("doc_id", F.col("__toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("text_hash"), "text"), total
 
 
-def hashed(words) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
+class TermScan(WordScan):
+    """Hashes of words, each beside those of its beginnings (0 where it isn't longer)."""
 
+    def __init__(self):
+        super().__init__(FOLD)
 
-def beginnings_of(tally: dict[bytes, int]) -> Counter:
-    out = Counter()
-    for w, k in tally.items():
+    def _piece(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        prefix, start, end = self._spans(text)
+        columns = [self._hashes(text, prefix, start, end)]
         for n in BEGINNINGS:
-            if len(w) > n:
-                out[w[:n] + b"*"] += k
+            longer = end - start > n
+            columns.append(np.zeros(len(start), np.uint64))
+            columns[-1][longer] = mix(self.rolling.stretches(prefix, start[longer], start[longer] + n) ^ np.uint64(n << 32))
+        return start, np.stack(columns, 1)
+
+    def tallies(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, Tally, Tally]]:
+        """(numbers of words, word hashes in order, how often each word, and each beginning, stands in each) of some whole texts at a time."""
+        for index, n_words, hashes in self.chunks(texts):
+            hashes = hashes.reshape(-1, 1 + len(BEGINNINGS))
+            doc = np.repeat(np.arange(len(index)), n_words)
+            parts = [(doc[has], column[has]) for column in hashes.T[1:] for has in (column != 0,)]
+            starts = Tally.of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield n_words, hashes[:, 0], Tally.of(doc, hashes[:, 0]), starts
+
+
+@dataclass
+class Tally:
+    """Distinct keys of texts with their counts, by text and by key; a key is its place among the sorted ``kinds``."""
+
+    doc: np.ndarray
+    kind: np.ndarray
+    count: np.ndarray
+    kinds: np.ndarray
+
+    @classmethod
+    def of(cls, doc: np.ndarray, keys: np.ndarray, counts: np.ndarray | None = None) -> Tally:
+        kinds, at = np.unique(keys, return_inverse=True)
+        if counts is not None:
+            return cls(doc, at, counts, kinds)
+        cell, count = np.unique(doc * len(kinds) + at, return_counts=True)
+        return cls(*np.divmod(cell, max(1, len(kinds))), count, kinds)
+
+    def packed(self, n: int) -> tuple[list[bytes], list[bytes]]:
+        """Keys and counts of each of n texts."""
+        cut = np.searchsorted(self.doc, np.arange(n + 1))
+        keys, counts = self.kinds[self.kind], self.count.astype(np.uint32)
+        return [[x[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)] for x in (keys, counts)]
+
+    @classmethod
+    def unpacked(cls, keys: list[bytes], counts: list[bytes]) -> Tally:
+        doc = np.repeat(np.arange(len(keys)), [len(x) // 8 for x in keys])
+        return cls.of(doc, np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
+
+
+def sketches(hashes: np.ndarray, n_words: np.ndarray) -> list[int]:
+    """The two smallest hashes, by two orders, of each text's five-word shingles, as one number; near copies mostly share it."""
+    out, at = [], 0
+    for n in n_words.tolist():
+        own = ShingleScan._combine(hashes[at : at + n], min(n, 5)) if n else np.zeros(1, np.uint64)
+        both = mix(own.min() ^ mix(mix(own ^ np.uint64(1)).min()))
+        out.append(int(both >> np.uint64(1)))
+        at += n
     return out
 
 
-def word_tables(sample: DataFrame) -> DataFrame:
-    """(doc_id, toxic, sketch, n_words, words, counts, starts, start_counts): hashes and counts of the words and beginnings of each example; near copies mostly share the sketch."""
-    names = ["doc_id", "toxic", "sketch", "n_words", "words", "counts", "starts", "start_counts"]
+def example_tables(sample: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text_hash, n_words, words, counts, starts, start_counts): hashes and counts of each example's words and beginnings."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sample.schema.fields[:3])
+    schema = f"{kinds}, n_words long, words binary, counts binary, starts binary, start_counts binary, sketch long"
+    names = [part.split(" ")[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = TermScan()
         for batch in batches:
-            sketches, lengths, packed = [], [], [[], [], [], []]
-            for text in texts_of(batch.column(2)):
-                own = (text or b"").translate(FOLD).split()
-                shingles = [b" ".join(own[i : i + 4]) for i in range(max(1, len(own) - 3))]
-                sketches.append(min(xxhash.xxh3_64_intdigest(s) for s in shingles) >> 1)
-                lengths.append(len(own))
-                tally = Counter(own)
-                for k, x in enumerate((tally, beginnings_of(tally))):
-                    packed[2 * k].append(hashed(x).tobytes())
-                    packed[2 * k + 1].append(np.array(list(x.values()), np.uint32).tobytes())
-            made = [pa.array(sketches, pa.int64()), pa.array(lengths, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sample.schema.fields[:2])
-    rows = sample.mapInArrow(run, f"{kinds}, sketch long, n_words long, words binary, counts binary, starts binary, start_counts binary")
-    return rows.dropDuplicates(["toxic", "sketch"])
+            columns = [[] for _ in range(6)]
+            for n_words, hashes, words, starts in scan.tallies(texts_of(batch.column(3))):
+                n = len(n_words)
+                for column, x in zip(columns, (n_words.tolist(), *words.packed(n), *starts.packed(n), sketches(hashes, n_words)), strict=True):
+                    column += x
+            types = [pa.int64(), *[pa.binary()] * 4, pa.int64()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+
+    def first_of_copies(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
+        own = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
+        first = own[0]
+        apart = [5 * (both := overlap(first, x)) < 4 * (len(first) + len(x) - both) for x in own[1:]]
+        return table.filter(pa.array([True, *apart])).drop_columns(["sketch"])
+
+    rows = sample.mapInArrow(run, schema).where("n_words > 0")
+    return rows.groupBy("toxic", "sketch").applyInArrow(first_of_copies, schema.rsplit(",", 1)[0])
 
 
 def corpus_idf(docs: DataFrame) -> np.ndarray:
@@ -104,11 +172,11 @@ def corpus_idf(docs: DataFrame) -> np.ndarray:
     shift, cells = np.uint64(64 - DF_BITS), 1 << DF_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.uint32)
+        counts, scan = np.zeros(cells, np.uint32), WordScan(FOLD)
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                own = np.unique(hashed(set((text or b"").translate(FOLD).split())) >> shift).astype(np.int64)
-                counts[own] += 1
+            for index, n_words, hashes in scan.chunks(texts_of(batch.column(0))):
+                own = np.unique((np.repeat(np.arange(len(index)), n_words) << DF_BITS) | (hashes >> shift).astype(np.int64))
+                np.add.at(counts, own & (cells - 1), np.uint32(1))
         packed = [(i, zlib.compress(p.astype("<u4").tobytes(), 1)) for i, p in enumerate(counts.reshape(DF_BLOCKS, -1)) if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], ["block", "counts"])
 
@@ -139,95 +207,109 @@ def associated(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.n
     return np.where(pos * n_neg > 3 * neg * n_pos, score, 0)
 
 
-def places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``keys`` are in the sorted ``known``, and the places of those."""
+def places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The places of ``keys`` in the sorted ``known``, -1 for those that aren't there."""
+    if not len(known):
+        return np.full(len(keys), -1)
     at = np.searchsorted(known, keys)
     at[at == len(known)] = 0
-    has = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-    return has, at[has]
+    return np.where(known[at] == keys, at, -1)
 
 
 @dataclass
-class ExampleIndex:
-    """Vectors of all examples that have a word, by term and by example; terms are the examples' words, the markers, and the other words' coordinate."""
+class Vectors:
+    """Sparse rows: where each row's terms start, the terms in order, their weights."""
+
+    start: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.start[i], self.start[i + 1])
+        return self.term[own], self.value[own]
+
+    def part(self, begin: int, end: int) -> Vectors:
+        own = slice(self.start[begin], self.start[end])
+        return Vectors(self.start[begin : end + 1] - self.start[begin], self.term[own], self.value[own])
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.start))
+
+
+@dataclass
+class TermSpace:
+    """The examples' words, then the markers, then one coordinate for all other words."""
 
     words: np.ndarray  # sorted hashes of the examples' words
     markers: np.ndarray  # sorted hashes
     marker_idf: np.ndarray
     idf: np.ndarray  # of words, by the first bits of their hash
+
+    @property
+    def size(self) -> int:
+        return len(self.words) + len(self.markers) + 1
+
+    def vectors(self, n_words: np.ndarray, words: Tally, starts: Tally) -> Vectors:
+        """Of each text; words that no example has add to the length only. A text without words has no terms."""
+        n = len(n_words)
+        idf = self.idf[(words.kinds >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+        raw = (1 + np.log(words.count)) * idf[words.kind]
+        length = np.sqrt(2 * np.bincount(words.doc, raw * raw, n))
+        at = places(words.kinds, self.words)[words.kind]
+        has = at >= 0
+        doc, term, value = [words.doc[has]], [at[has]], [raw[has] / length[words.doc[has]]]
+        marks = []
+        for t in (words, starts):
+            mark = places(t.kinds, self.markers)[t.kind]
+            known = mark >= 0
+            marks.append((t.doc[known], mark[known], t.count[known]))
+        own, mark, count = (np.concatenate(x) for x in zip(*marks, strict=True))
+        most = np.zeros(n)
+        np.maximum.at(most, own, count)
+        full = np.flatnonzero(n_words)
+        # The rest of the words, to half an octave.
+        rest = 1 + np.round(2 * np.log2(np.maximum(1, n_words - most))) / 2 * math.log(2)
+        x = (1 + np.log(count)) * self.marker_idf[mark]
+        length = np.sqrt(2 * (np.bincount(own, x * x, n) + rest * rest))
+        doc += [own, full]
+        term += [len(self.words) + mark, np.full(len(full), self.size - 1)]
+        value += [x / length[own], rest[full] / length[full]]
+        doc, term, value = (np.concatenate(x) for x in (doc, term, value))
+        order = np.argsort(doc * self.size + term)
+        return Vectors(np.searchsorted(doc[order], np.arange(n + 1)), term[order], value[order])
+
+
+@dataclass
+class ExampleIndex:
+    """Vectors of all examples by doc_id, and how their votes count."""
+
+    space: TermSpace
     prior: float
     neighbours: int
-    beginnings: dict[int, frozenset[bytes]] = field(default_factory=dict)
+    curve: tuple[float, float] = (1.0, 0.0)  # slope and shift of scores by the odds of votes
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    ids: np.ndarray = field(default_factory=lambda: NO_LONGS)
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of an example's vote
-    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # by example: where its terms start
-    term: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    value: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    rows: Vectors = field(default_factory=lambda: Vectors(np.zeros(1, np.int64), NO_LONGS, np.zeros(0)))
     searcher: Searcher | None = None
 
-    @property
-    def terms(self) -> np.ndarray:
-        return np.concatenate([self.words, self.markers])
+    def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
+        """Between 0 and 1; one unit of the prior stands beside the votes."""
+        vote = self.weight[at] / (1.05 - np.minimum(cosine, 1.0)) ** 2
+        return float((vote @ self.toxic[at] + self.prior) / (vote.sum() + 1))
 
-    @property
-    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By term: examples and weights."""
-        at, value, start = self.lists()
-        return [(at[s:e], value[s:e]) for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-
-    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Examples and weights by term, and where each term starts."""
-        order = np.argsort(self.term, kind="stable")
-        at = np.repeat(np.arange(len(self.toxic), dtype=np.int32), np.diff(self.start))[order]
-        return at, self.value[order], np.searchsorted(self.term[order], np.arange(len(self.words) + len(self.markers) + 2))
-
-    def arrays(self, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, key_counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a text by its hashed words and what may be markers; words that no example has add to the length only."""
-        if not n_words:
-            return np.zeros(0, np.int64), np.zeros(0)
-        raw = (1 + np.log(counts)) * self.idf[(words >> np.uint64(64 - DF_BITS)).astype(np.int64)]
-        has, own = places(words, self.words)
-        raw = raw[has] / math.sqrt(2 * float(raw @ raw))
-        known, mark = places(keys, self.markers)
-        n = key_counts[known]
-        # The rest of the words, to half an octave.
-        rest = round(2 * math.log2(max(1, n_words - int(n.max(initial=0))))) / 2
-        marks = np.append((1 + np.log(n)) * self.marker_idf[mark], 1 + rest * math.log(2))
-        at = np.concatenate([own, len(self.words) + np.append(mark, len(self.markers))])
-        x = np.concatenate([raw, marks / math.sqrt(2 * float(marks @ marks))])
-        order = np.argsort(at)
-        return at[order], x[order]
-
-    def query(self, tally: dict[bytes, int], n_words: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = hashed(tally), np.fromiter(tally.values(), np.float64)
-        plain = np.fromiter((k[-1] != 42 for k in tally), bool)  # without a star
-        return self.arrays(keys[plain], counts[plain], keys, counts, n_words)
-
-    def vector(self, tally: dict[bytes, int], n_words: int) -> tuple[tuple[int, float], ...]:
-        """The terms of a text and their weights; empty if it has no words."""
-        at, x = self.query(tally, n_words)
-        return tuple(zip(at.tolist(), x.tolist(), strict=True))
-
-    def tally(self, words: list[bytes]) -> Counter:
-        """How often each word, and each beginning that is a marker, stands among ``words``."""
-        out = Counter(words)
-        own = list(out.items())
-        for n, known in self.beginnings.items():
-            for w, k in own:
-                if w[:n] in known and len(w) > n:
-                    out[w[:n] + b"*"] += k
-        return out
+    def score(self, vote: float) -> float:
+        slope, shift = self.curve
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, slope * odds(vote) + shift))))
 
-    def nearest(self, vector) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest examples and their cosines, exactly: by falling cosine, then by place."""
-        at, x = np.array([t for t, _ in vector], np.int64), np.array([x for _, x in vector], float)
-        return Searcher(self).nearest([(at, x)])[0]
 
-    def vote(self, at: np.ndarray, cosine: np.ndarray) -> tuple[float, list[int]]:
-        vote = self.weight[at] / (1.05 - np.minimum(cosine, 1.0)) ** 2
-        # One unit of the prior stands beside the votes.
-        return float((vote @ self.toxic[at] + self.prior) / (vote.sum() + 1)), [int(i) for i in self.ids[at][:3]]
+def odds(share):
+    share = np.clip(share, 1e-12, 1 - 1e-12)
+    return np.log(share / (1 - share))
 
 
 def one_blas_thread() -> None:
@@ -242,6 +324,25 @@ def one_blas_thread() -> None:
                 getattr(lib, name)(1)
 
 
+def bisected(matrix: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows in which runs of ``size`` are alike: halves along the direction of most variance, again and again."""
+    random, out, todo = np.random.default_rng(0), [], [np.arange(len(matrix))]
+    while todo:
+        own = todo.pop()
+        rows = matrix[own] - matrix[own].mean(0)
+        axis = random.standard_normal(matrix.shape[1]).astype(np.float32)
+        for _ in range(4):
+            axis = rows.T @ (rows @ axis)
+            axis /= np.linalg.norm(axis) + 1e-12
+        own = own[np.argsort(rows @ axis, kind="stable")]
+        half = -(-len(own) // (2 * size)) * size
+        if len(own) <= size:
+            out.append(own)
+        else:
+            todo += [own[half:], own[:half]]
+    return np.concatenate(out)
+
+
 class Searcher:
     """An index made ready for searches."""
 
@@ -249,170 +350,257 @@ class Searcher:
     MARGIN = 1e-5
 
     def __init__(self, index: ExampleIndex):
-        self.index = index
-        at, value, start = index.lists()
-        size = np.diff(start)
-        dense = np.flatnonzero(size > DENSE * len(index.toxic))
-        self.column = np.full(len(size), -1, np.int32)
+        self.index, self.scan = index, TermScan()
+        rows, n = index.rows, len(index.toxic)
+        if not n:
+            return
+        size = np.bincount(rows.term, minlength=index.space.size)
+        dense = np.flatnonzero(size > DENSE * n)
+        self.column = np.full(index.space.size, -1, np.int32)
         self.column[dense] = np.arange(len(dense))
-        self.matrix = np.zeros((len(dense), len(index.toxic)), np.float32)
-        for k, t in enumerate(dense.tolist()):
-            self.matrix[k, at[start[t] : start[t + 1]]] = value[start[t] : start[t + 1]]
-        self.at, self.value, self.start = at, value, start
-        self.held = np.zeros(len(size))
-
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        n, k = len(self.index.toxic), self.index.neighbours
-        heads = np.zeros((len(queries), len(self.matrix)), np.float32)
-        for q, (at, x) in enumerate(queries):
-            column = self.column[at]
-            heads[q, column[column >= 0]] = x[column >= 0]
-        rough = heads @ self.matrix
-        out = []
-        for (at, x), score in zip(queries, rough, strict=True):
+        columns = self.column[rows.term]
+        matrix = np.zeros((n, len(dense)), np.float32)
+        matrix[rows.doc[columns >= 0], columns[columns >= 0]] = rows.value[columns >= 0]
+        #: The examples by block.
+        self.order = bisected(matrix, BLOCK * TOGETHER)
+        for s in range(0, n, BLOCK * TOGETHER):
+            own = self.order[s : s + BLOCK * TOGETHER]
+            self.order[s : s + BLOCK * TOGETHER] = own[bisected(matrix[own], BLOCK)]
+        self.n = -(-n // (BLOCK * TOGETHER)) * BLOCK * TOGETHER
+        self.matrix = np.zeros((len(dense), self.n), np.float32)
+        self.matrix[:, :n] = matrix[self.order].T
+        self.most = self.matrix.reshape(len(dense), -1, BLOCK).max(2)
+        self.blank = np.zeros(self.n, np.float32)
+        self.blank[n:] = -np.inf  # places without an example
+        # Lists of the other terms, of places in that order.
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n)
+        by_term = np.argsort(np.where(columns < 0, rows.term, index.space.size), kind="stable")[: np.count_nonzero(columns < 0)]
+        self.at, self.value = place[rows.doc[by_term]], rows.value[by_term]
+        self.start = np.searchsorted(rows.term[by_term], np.arange(index.space.size + 1))
+        self.held, self.has = np.zeros(index.space.size), np.zeros(index.space.size, bool)
+        self.blocks_scored = self.blocks_bounded = 0
+
+    def nearest(self, queries: Vectors, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the nearest examples and their cosines, exactly: by falling cosine, then by place."""
+        m, wide = len(queries), BLOCK * TOGETHER
+        doc, column = queries.doc, self.column[queries.term]
+        heads = np.zeros((m, len(self.matrix)), np.float32)
+        heads[doc[column >= 0], column[column >= 0]] = queries.value[column >= 0]
+        tails = np.empty((m, self.n), np.float32)
+        for i in range(m):
+            at, x = queries.row(i)
             rare = self.column[at] < 0
-            begin, size = self.start[at[rare]], self.start[at[rare] + 1] - self.start[at[rare]]
-            if size.sum():
-                own = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-                score = score + np.bincount(self.at[own], self.value[own] * np.repeat(x[rare], size), minlength=n)
-            if n > k:
-                least = np.partition(score, n - k)[n - k]
-                found = np.flatnonzero(score >= least - self.MARGIN)
+            at, x = at[rare], x[rare]
+            lists = [slice(s, e) for s, e in zip(self.start[at].tolist(), self.start[at + 1].tolist(), strict=True)]
+            if lists:
+                weights = np.concatenate([self.value[own] for own in lists])
+                weights *= np.repeat(x, self.start[at + 1] - self.start[at])
+                tails[i] = np.bincount(np.concatenate([self.at[own] for own in lists]), weights, self.n)
             else:
-                found = np.arange(n)
-            out.append(self.exact(found, at, x))
+                tails[i] = 0
+        tails += self.blank
+        # What each block can reach: its best by the lists and its maxima by the frequent terms.
+        reach = (heads @ self.most + tails.reshape(m, -1, BLOCK).max(2)).reshape(m, -1, TOGETHER).max(2)
+        score = tails.reshape(m, -1, wide)
+
+        def add_heads(q: np.ndarray, s: int) -> None:
+            score[q, s] += heads[q] @ self.matrix[:, s * wide : (s + 1) * wide]
+
+        best = reach.argmax(1)
+        for s in np.unique(best).tolist():
+            add_heads(np.flatnonzero(best == s), s)
+        k = min(count, wide)
+        least = np.partition(score[np.arange(m), best], wide - k, 1)[:, wide - k] - 2 * self.MARGIN
+        wanted = reach >= least[:, None]
+        wanted[np.arange(m), best] = False
+        for s in np.flatnonzero(wanted.any(0)).tolist():
+            add_heads(np.flatnonzero(wanted[:, s]), s)
+        wanted[np.arange(m), best] = True
+        self.blocks_scored += int(wanted.sum())
+        self.blocks_bounded += wanted.size
+        out = []
+        for i in range(m):
+            some = np.flatnonzero(wanted[i])
+            found = np.flatnonzero((score[i, some] >= max(least[i], -1)).ravel())
+            found = (some[:, None] * wide + np.arange(wide)).ravel()[found]
+            if len(found) > count:
+                own = tails[i, found]
+                found = found[own >= np.partition(own, len(own) - count)[len(own) - count] - self.MARGIN]
+            out.append(self.exact(np.sort(self.order[found]), *queries.row(i), count))
         return out
 
-    def exact(self, found: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        index = self.index
-        begin, size = index.start[found], index.start[found + 1] - index.start[found]
+    def exact(self, found: np.ndarray, at: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.index.rows
+        begin, size = rows.start[found], rows.start[found + 1] - rows.start[found]
         own = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-        self.held[at] = x
-        cosine = np.bincount(np.repeat(np.arange(len(found)), size), self.held[index.term[own]] * index.value[own], minlength=len(found))
-        self.held[at] = 0
-        best = np.lexsort((found, -cosine))
-        best = best[cosine[best] > 0][: index.neighbours]
+        self.held[at], self.has[at] = x, True
+        terms = rows.term[own]
+        own, terms, of = (a[self.has[terms]] for a in (own, terms, np.repeat(np.arange(len(found)), size)))
+        cosine = np.bincount(of, self.held[terms] * rows.value[own], minlength=len(found))
+        self.held[at], self.has[at] = 0, False
+        best = np.lexsort((found, -np.round(cosine, 12)))
+        best = best[cosine[best] > 0][:count]
         return found[best], cosine[best]
 
-    def score(self, texts: list[bytes | None]) -> list[tuple[float, list[int]]]:
+    def score(self, texts: list[bytes | None]) -> list[tuple[float, list]]:
+        """Score and evidence of each text."""
         index = self.index
         if not len(index.toxic):
             return [(index.prior, [])] * len(texts)
         out = []
-        for i in range(0, len(texts), AT_ONCE):
-            queries = []
-            for text in texts[i : i + AT_ONCE]:
-                words = (text or b"").translate(FOLD).split()
-                queries.append(index.query(index.tally(words), len(words)))
-            full = [q for q in queries if len(q[0])]
-            near = iter(self.nearest(full) if full else [])
-            out += [index.vote(*next(near)) if len(q[0]) else (index.prior, []) for q in queries]
+        for n_words, _, words, starts in self.scan.tallies(texts):
+            queries = index.space.vectors(n_words, words, starts)
+            for i in range(0, len(n_words), AT_ONCE):
+                end = min(i + AT_ONCE, len(n_words))
+                for k, (at, cosine) in enumerate(self.nearest(queries.part(i, end), index.neighbours), i):
+                    out.append((index.score(index.vote(at, cosine)), index.ids[at[:3]].tolist()) if n_words[k] else (index.prior, []))
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, neighbours: int = 15, significance: float = 30.0, max_terms: int = 4_096) -> ExampleIndex:
+def term_counts(tables: DataFrame) -> DataFrame:
+    """(start boolean, hash long, pos long, n long): in how many examples, and toxic ones, each word and each beginning stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(0).to_numpy()
+            for start in (False, True):
+                packed = batch.column(1 + start).to_pylist()
+                keys, key = np.unique(np.frombuffer(b"".join(packed), np.uint64), return_inverse=True)
+                n = np.bincount(key, minlength=len(keys))
+                pos = np.bincount(key, np.repeat(toxic, [len(x) // 8 for x in packed]), len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), start)), *map(pa.array, (keys.view(np.int64), pos, n))], ["start", "hash", "pos", "n"])
+
+    rows = tables.select("toxic", "words", "starts").mapInArrow(run, "start boolean, hash long, pos long, n long")
+    return rows.groupBy("start", "hash").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+
+
+def term_space(tables: DataFrame, idf: np.ndarray, n_pos: int, n_neg: int, significance: float, max_terms: int) -> TermSpace:
+    """All words of the examples, and their markers."""
+    found = term_counts(tables).where(~F.col("start") | (F.col("pos") >= 3)).toArrow()  # bounded by the sample
+    start, hashes, pos, n = (found[c].to_numpy() for c in ("start", "hash", "pos", "n"))
+    hashes = hashes.astype(np.int64).view(np.uint64)
+    gain = np.where(pos >= 3, associated(pos, n - pos, n_pos, n_neg), 0)
+    marks = np.flatnonzero(gain >= significance)
+    marks = marks[np.lexsort((hashes[marks], -np.round(gain[marks], 9)))][:max_terms]
+    marks = marks[np.argsort(hashes[marks])]
+    return TermSpace(np.sort(hashes[~start]), hashes[marks], np.log((1 + n_pos + n_neg) / (1 + n[marks])) + 1, idf)
+
+
+def example_vectors(tables: DataFrame, space: TermSpace) -> pa.Table:
+    """(doc_id, text_hash, toxic, term, value) of all examples, by doc_id; bounded by the sample."""
+    held = tables.sparkSession.sparkContext.broadcast(space)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tables.schema.fields if f.name in ("doc_id", "toxic", "text_hash"))
+    names = ["doc_id", "toxic", "text_hash", "term", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = held.value
+        for batch in batches:
+            packed = [batch.column(i).to_pylist() for i in range(4, 8)]
+            rows = space.vectors(batch.column(3).to_numpy(), Tally.unpacked(*packed[:2]), Tally.unpacked(*packed[2:]))
+            made = [[x.tobytes() for x in (t.astype(np.int32), v.astype(np.float32))] for t, v in map(rows.row, range(len(rows)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([m[i] for m in made], pa.binary()) for i in (0, 1))], names)
+
+    rows = tables.select("doc_id", "toxic", "text_hash", "n_words", "words", "counts", "starts", "start_counts")
+    out = rows.mapInArrow(run, f"{kinds}, term binary, value binary").toArrow()
+    held.unpersist()
+    return out.sort_by([("doc_id", "ascending"), ("text_hash", "ascending"), ("toxic", "ascending")])
+
+
+def fitted_curve(votes: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from votes' odds to labels, with both labels weighted to ``share``.
+
+    Labels count as a little less than certain, which keeps the curve finite where votes part them.
+    """
+    if len(votes) < 20 or toxic.min() == toxic.max():
+        return 1.0, 0.0
+    n_pos = toxic.sum()
+    n_neg = len(toxic) - n_pos
+    weight = np.where(toxic > 0, share * len(toxic) / n_pos, (1 - share) * len(toxic) / n_neg)
+    want = np.where(toxic > 0, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
+    x = np.stack([odds(votes), np.ones(len(votes))], 1)
+    curve = np.array([1.0, 0.0])
+
+    def loss(c):
+        z = x @ c
+        return float(weight @ (np.logaddexp(0, z) - want * z))
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -500, 500)))
+        gradient = x.T @ (weight * (p - want))
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-9 * np.eye(2), gradient)
+        scale = 1.0
+        while scale > 1e-6 and loss(curve - scale * step) > loss(curve):
+            scale /= 2
+        curve = curve - scale * step
+        if np.abs(scale * step).max() < 1e-9:
+            break
+    return (float(curve[0]), float(curve[1])) if curve[0] > 0 else (1.0, 0.0)
+
+
+def left_out_votes(spark: SparkSession, held, some: np.ndarray) -> np.ndarray:
+    """The votes that the examples at ``some`` places get from all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = prepared(held.value)
+        index = searcher.index
+        for batch in batches:
+            at, votes = batch.column(0).to_numpy(), []
+            for i in range(0, len(at), AT_ONCE):
+                rows = [index.rows.row(a) for a in at[i : i + AT_ONCE].tolist()]
+                queries = Vectors(np.cumsum([0] + [len(t) for t, _ in rows]), np.concatenate([t for t, _ in rows]).astype(np.int64), np.concatenate([v for _, v in rows]).astype(float))
+                for own, (near, cosine) in zip(at[i : i + AT_ONCE], searcher.nearest(queries, index.neighbours + 1), strict=True):
+                    other = np.flatnonzero(near != own)[: index.neighbours]
+                    votes.append(index.vote(near[other], cosine[other]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["place", "vote"])
+
+    rows = spark.createDataFrame(pa.table({"place": some})).repartition(min(len(some), 2 * spark.sparkContext.defaultParallelism))
+    found = {r.place: r.vote for r in rows.mapInArrow(run, "place long, vote double").collect()}  # two numbers an example
+    return np.array([found[i] for i in some.tolist()])
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, neighbours: int = 15, significance: float = 30.0, max_terms: int = 4_096, calibrate: int = 1_000) -> ExampleIndex:
     """The index of a sample of at most 2 x per_class examples; ``significance`` and ``max_terms`` limit the markers only."""
+    spark = docs.sparkSession
     sample, total = labelled_sample(docs, labels, per_class)
-    tables = materialize(word_tables(sample), "examples")
+    share = total.get(1, 0) / max(1, sum(total.values()))
+    tables = materialize(example_tables(sample), "examples")
     sizes = {r.toxic: r.n for r in tables.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     none = np.zeros(0, np.uint64)
     if not n_pos or not n_neg:
-        return ExampleIndex(none, none, np.zeros(0), np.zeros(0, np.float32), float(n_pos > 0), neighbours)
-    examples = Examples(tables.toArrow())  # the bounded sample
-    ids, toxic, n_words = examples.ids, examples.toxic, examples.n_words
-    known, words, starts = [], [], []
-    for part in range(16):  # by hash, which bounds what is held at once
-        keys, pos, both = examples.tally("words", part)
-        known.append(keys)
-        for out, (k, p, n) in ((words, (keys, pos, both)), (starts, examples.tally("starts", part))):
-            gain = np.where(p >= 3, associated(p, n - p, n_pos, n_neg), 0)
-            out.append((k[gain >= significance], gain[gain >= significance], n[gain >= significance]))
-    marks, gain, both = (np.concatenate(x) for x in zip(*words, *starts, strict=True))
-    best = np.lexsort((marks, -gain))[:max_terms]
-    best = best[np.argsort(marks[best])]
+        return ExampleIndex(TermSpace(none, none, np.zeros(0), np.zeros(0, np.float32)), share, neighbours)
+    space = term_space(tables, corpus_idf(docs), n_pos, n_neg, significance, max_terms)
+    found = example_vectors(tables, space)
     scale = {0: total[0] / n_neg, 1: total[1] / n_pos}
-    index = ExampleIndex(np.concatenate(known), marks[best], np.log((1 + n_pos + n_neg) / (1 + both[best])) + 1, corpus_idf(docs), total[1] / (total[0] + total[1]), neighbours)
-    index.beginnings = known_beginnings(sample, np.intersect1d(index.markers, np.concatenate([x[0] for x in starts])))
-    order = np.argsort(ids, kind="stable")
-    order = order[n_words[order] > 0]
-    sizes, terms, values = [0], [], []
-    w = c = b = d = none
-    for i in order.tolist():
-        w, c, b, d = examples.row(i)  # views
-        at, x = index.arrays(w, c.astype(float), np.concatenate([w, b]), np.concatenate([c, d]).astype(float), int(n_words[i]))
-        sizes.append(len(at))
-        terms.append(at.astype(np.int32))
-        values.append(x.astype(np.float32))
-    index.toxic, index.ids = toxic[order].astype(float), ids[order].astype(np.int64)
-    index.weight = np.array([scale[t] for t in toxic[order].tolist()]) / min(scale.values())
-    index.start = np.cumsum(sizes)
-    del examples, w, c, b, d
+    toxic = found["toxic"].to_numpy().astype(float)
+    parts = {c: found[c].cast(pa.large_binary()).combine_chunks() for c in ("term", "value")}
+    start = np.frombuffer(parts["term"].buffers()[1], np.int64)[: len(toxic) + 1] // 4
+    rows = Vectors(start.copy(), *(np.frombuffer(parts[c].buffers()[2], kind)[: start[-1]].copy() for c, kind in (("term", np.int32), ("value", np.float32))))
+    ids = np.array(found["doc_id"].to_pylist())
+    del found, parts
     pa.default_memory_pool().release_unused()  # the driver's next stages need the room
-    index.term, index.value = (np.concatenate(x) if x else none.astype(kind) for x, kind in ((terms, np.int32), (values, np.float32)))
+    weight = np.where(toxic > 0, scale[1], scale[0]) / min(scale.values())
+    index = ExampleIndex(space, share, neighbours, (1.0, 0.0), toxic, ids, weight, rows)
+    # The examples are in the order of their ids; every so many of a label are asked.
+    some = np.concatenate([own[:: max(1, -(-len(own) // calibrate))] for own in (np.flatnonzero(toxic == t) for t in (0, 1))])
+    held = spark.sparkContext.broadcast(index)  # bounded by the sample
+    index.curve = fitted_curve(left_out_votes(spark, held, some), toxic[some], share)
+    held.unpersist()
     return index
 
 
-class Examples:
-    """What word_tables gives, as views of its Arrow buffers."""
-
-    KINDS = {"words": np.uint64, "counts": np.uint32, "starts": np.uint64, "start_counts": np.uint32}
-
-    def __init__(self, table: pa.Table):
-        self.ids, self.toxic, self.n_words = (table[c].to_numpy() for c in ("doc_id", "toxic", "n_words"))
-        self.columns: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}  # values, and where each example's start
-        for name, kind in self.KINDS.items():
-            chunks = []
-            for c in table[name].cast(pa.large_binary()).chunks:
-                cut = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
-                data = np.frombuffer(c.buffers()[2], np.uint8)[cut[0] : cut[-1]].view(kind) if len(c) and cut[-1] > cut[0] else np.zeros(0, kind)
-                chunks.append((data, (cut - cut[0]) // np.dtype(kind).itemsize if len(c) else np.zeros(1, np.int64)))
-            self.columns[name] = chunks
-        self.first = np.cumsum([0] + [len(cut) - 1 for _, cut in self.columns["words"]])
-
-    def row(self, i: int) -> list[np.ndarray]:
-        k = int(np.searchsorted(self.first, i, "right")) - 1
-        i -= int(self.first[k])
-        return [data[cut[i] : cut[i + 1]] for data, cut in (self.columns[n][k] for n in self.KINDS)]
-
-    def tally(self, name: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes whose first four bits are ``part``, and the numbers of toxic and of all examples that have them."""
-        keys, toxic = [np.zeros(0, np.uint64)], [np.zeros(0)]
-        for k, (data, cut) in enumerate(self.columns[name]):
-            own = np.flatnonzero(data >> np.uint64(60) == part)
-            keys.append(data[own])
-            toxic.append(self.toxic[self.first[k] + np.searchsorted(cut, own, "right") - 1].astype(float))
-        keys, key = np.unique(np.concatenate(keys), return_inverse=True)
-        return keys, np.bincount(key, np.concatenate(toxic), minlength=len(keys)), np.bincount(key, minlength=len(keys))
-
-
-def known_beginnings(sample: DataFrame, markers: np.ndarray) -> dict[int, frozenset[bytes]]:
-    """The beginnings by length whose hashes are among ``markers``, from the texts of the sample."""
-    wanted = frozenset(markers.tolist())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            for text in texts_of(batch.column(0)):
-                seen.update(s for s in beginnings_of(dict.fromkeys((text or b"").translate(FOLD).split(), 1)) if xxhash.xxh3_64_intdigest(s) in wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.binary())], ["start"])
-
-    found = [bytes(r.start) for r in sample.where("toxic = 1").select("text").mapInArrow(run, "start binary").distinct().collect()]  # at most max_terms
-    return {n: frozenset(s[:-1] for s in found if len(s) == n + 1) for n in BEGINNINGS}
+def prepared(index: ExampleIndex) -> Searcher:
+    if index.searcher is None:
+        one_blas_thread()
+        index.searcher = Searcher(index)  # for all tasks of a worker
+    return index.searcher
 
 
 def scorer(spark: SparkSession, index: ExampleIndex):
     """In a task: (score, evidence) of each of some texts."""
     held = spark.sparkContext.broadcast(index)  # bounded by the sample
-
-    def make():
-        index = held.value
-        if index.searcher is None:
-            one_blas_thread()
-            index.searcher = Searcher(index)  # for all tasks of a worker
-        return index.searcher.score
-
-    return make
+    return lambda: prepared(held.value).score
 
 
 def score_documents(docs: DataFrame, index: ExampleIndex) -> DataFrame:
@@ -428,7 +616,7 @@ def score_documents(docs: DataFrame, index: ExampleIndex) -> DataFrame:
 
         return compute
 
-    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(docs.schema["doc_id"].dataType))]
     return map_texts(docs, make, fields, ["doc_id"])
 
 
