@@ -10,12 +10,16 @@ shorter line as it is, so lines are first joined on hashed halves, and those wit
 variants of the other half. The texts of these lines are fetched in a second pass over the documents,
 which a broadcast of at most 2^20 hash buckets keeps from shuffling the rest.
 
-Order is (doc_id, line number); a null doc_id comes first, and rows with one doc_id come by their text's
-hash. Repeated rows are one document and get the same result. Lines shorter than ``min_chars`` are not compared
-by edits; they go as exact repeats if they have ``exact_chars`` characters at least, and else always stay. The
-query and the stage take exact repeats of every line that is not empty.
-Lines are compared as they are, without case folding. Null texts stay null and have no lines. Other columns
-are passed on. An empty table gives an empty result.
+The rows of a line that stands very often are not sent to one task: such lines are few by their share of all
+lines, so what is known of them is broadcast.
+
+Order is (doc_id, line number), for a doc_id of any type that has an order; a null doc_id comes first, and rows
+with one doc_id come by their text's hash. Repeated rows are one document and get the same result. Lines shorter
+than ``min_chars`` are not compared by edits; they go as exact repeats if they have ``exact_chars`` characters at
+least, and else always stay. The query and the stage take exact repeats of every line that is not empty.
+Lines are compared as they are, without case folding. A text is rebuilt in one pass over its lines, however many
+they are; one whose lines all go is left empty and its row stays. Null texts stay null and have no lines. Other
+columns are passed on, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import materialize, read
 
 BUCKETS = 1 << 20
-UNKNOWN = -(2**63)
+#: A line is hot if it makes up more than one in so many of all lines; there are fewer hot lines than that.
+HOT_SHARE = 2_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(UNKNOWN)).alias("__id"), F.xxhash64("text").alias("__text_hash"), "text")
+    return docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text_hash"), "text")
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -100,9 +106,20 @@ def removed_lines(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFram
     distinct = materialize(distinct, "distinct-lines")
     near = near_lines(docs, distinct, min_chars)
     info = distinct.select("hash", "first", "n").join(near, "hash", "left").where("n > 1 or near is not null")
-    info = info.select("hash", F.least("first", "near").alias("keep"))
-    gone = rows.select("__id", "__text_hash", "no", "hash").join(info, "hash").where(place > F.col("keep"))
-    return gone.groupBy("__id", "__text_hash").agg(F.collect_set("no").alias("removed"))
+    info = materialize(info.select("hash", "n", F.least("first", "near").alias("keep")), "repeated-lines")
+    # At most HOT_SHARE rows are broadcast; their lines need no exchange.
+    hot = info.where(F.col("n") * HOT_SHARE > rows.count()).select("hash", "keep")
+    found = rows.select("__id", "__text_hash", "no", "hash")
+    often = found.join(F.broadcast(hot), "hash")
+    seldom = found.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(info.join(F.broadcast(hot.select("hash")), "hash", "left_anti").select("hash", "keep"), "hash")
+    gone = often.unionByName(seldom).where(place > F.col("keep"))
+    return gone.groupBy("__id", "__text_hash").agg(F.array_sort(F.collect_set("no")).alias("__gone"))
+
+
+def without(lines: Column, gone: Column) -> Column:
+    """``lines`` without those at the sorted places ``gone``; stretches between these are copied whole."""
+    begins, ends = F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines)))
+    return F.flatten(F.zip_with(begins, ends, lambda s, e: F.slice(lines, s + 2, e - s - 1)))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 30, exact_chars: int | None = None) -> DataFrame:
@@ -110,15 +127,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 30, exact_chars: int | None =
 
     ``exact_chars``: the least length of a line that goes as an exact repeat; ``min_chars`` if it is not given.
     """
-    gone = removed_lines(docs, min_chars, min_chars if exact_chars is None else exact_chars).withColumnsRenamed({"__id": "__gone_id", "__text_hash": "__gone_text"})
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(UNKNOWN)) == F.col("__gone_id")) & (F.xxhash64(docs["text"]) == F.col("__gone_text"))
-    rows = docs.join(gone.hint("shuffle_hash"), same, "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    other = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    n_lines = F.coalesce(F.when(F.col("text") == "", 0).otherwise(F.size(lines)), F.lit(0)).cast("long")
-    return rows.select(*other, n_lines.alias("__n_lines"), F.coalesce(F.array_sort("removed"), F.array().cast("array<int>")).alias("__removed"))
+    gone = removed_lines(docs, min_chars, min_chars if exact_chars is None else exact_chars)
+    own = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__own_id"), F.xxhash64("text").alias("__own_text"))
+    same = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_text") == F.col("__text_hash"))
+    rows = own.join(gone.hint("shuffle_hash"), same, "left")
+    lines = F.split("__row.text", "\n")
+    kept = let(lines, lambda x: F.array_join(without(x, F.col("__gone")), "\n"))
+    text = F.when(F.col("__gone").isNull(), F.col("__row.text")).otherwise(kept)
+    other = [text.alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns]
+    n_lines = F.coalesce(F.when(F.col("__row.text") == "", 0).otherwise(F.size(lines)), F.lit(0)).cast("long")
+    return rows.select(*other, n_lines.alias("__n_lines"), F.coalesce("__gone", F.array().cast("array<int>")).alias("__removed"))
 
 
 def without_later_lines(docs: DataFrame, min_chars: int = 30) -> DataFrame:
@@ -135,6 +153,23 @@ def op5_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.col("__n_lines").alias("n_lines"),
         F.size("__removed").cast("long").alias("n_removed"),
-        F.col("__removed").alias("removed_lines"),
+        F.array_join(F.transform("__removed", lambda n: n.cast("string")), ",").alias("removed_lines"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+#: The same rows in DuckDB's SQL. Pairs that share a half are compared character by character.
+OP5_SQL = r"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS no FROM t),
+x AS (SELECT line, length(line) AS n, min({'d': doc_id, 'n': no}) AS first FROM l WHERE line <> '' GROUP BY line),
+m AS (SELECT line, n, first, unnest([n - 1, n]) AS m FROM x WHERE n >= 30),
+k AS (SELECT line, n, first, m, 'p' AS side, left(line, m // 2) AS piece FROM m UNION ALL SELECT line, n, first, m, 's', right(line, m // 2) FROM m),
+p AS (SELECT DISTINCT a.line, b.line AS other, b.first FROM k a JOIN k b USING (m, side, piece) WHERE b.first < a.first AND m = least(a.n, b.n) AND abs(a.n - b.n) <= 1),
+s AS (SELECT line, first, CASE WHEN length(line) > length(other) THEN other ELSE line END AS a, CASE WHEN length(line) > length(other) THEN line ELSE other END AS b FROM p),
+v AS (SELECT line, min(first) AS near FROM s WHERE CASE WHEN length(a) = length(b) THEN len(list_filter(range(1, length(a) + 1), lambda i: a[i] <> b[i])) = 1
+ ELSE list_bool_or(list_transform(range(length(b)), lambda i: left(a, i) = left(b, i) AND substring(a, i + 1) = substring(b, i + 2))) END GROUP BY line),
+g AS (SELECT doc_id, no, line, line <> '' AND {'d': doc_id, 'n': no} > coalesce(near, first) AS gone FROM l LEFT JOIN x USING (line) LEFT JOIN v USING (line)),
+r AS (SELECT doc_id, count(*) AS n, CAST(count_if(gone) AS BIGINT) AS n_removed, coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (gone), '') AS removed_lines,
+ coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE n END AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN r USING (doc_id)"""

@@ -33,9 +33,12 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -296,15 +299,16 @@ class ExampleIndex:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of an example's vote
     rows: Vectors = field(default_factory=lambda: Vectors(np.zeros(1, np.int64), NO_LONGS, np.zeros(0)))
     searcher: Searcher | None = None
+    held: Broadcast | None = None
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Between 0 and 1; one unit of the prior stands beside the votes."""
         vote = self.weight[at] / (1.05 - np.minimum(cosine, 1.0)) ** 2
         return float((vote @ self.toxic[at] + self.prior) / (vote.sum() + 1))
 
-    def score(self, vote: float) -> float:
-        slope, shift = self.curve
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, slope * odds(vote) + shift))))
+
+def on_curve(vote: float, curve: tuple[float, float]) -> float:
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, curve[0] * odds(vote) + curve[1]))))
 
 
 def odds(share):
@@ -359,25 +363,31 @@ class Searcher:
         self.column = np.full(index.space.size, -1, np.int32)
         self.column[dense] = np.arange(len(dense))
         columns = self.column[rows.term]
+        own, rare = np.flatnonzero(columns >= 0), np.flatnonzero(columns < 0)
+        columns, doc = columns[own], rows.doc.astype(np.int32)
         matrix = np.zeros((n, len(dense)), np.float32)
-        matrix[rows.doc[columns >= 0], columns[columns >= 0]] = rows.value[columns >= 0]
+        matrix[doc[own], columns] = rows.value[own]
+        # Which examples are alike shows in some directions as well.
+        some = matrix @ np.random.default_rng(0).standard_normal((len(dense), 128)).astype(np.float32)
+        del matrix
         #: The examples by block.
-        self.order = bisected(matrix, BLOCK * TOGETHER)
+        self.order = bisected(some, BLOCK * TOGETHER)
         for s in range(0, n, BLOCK * TOGETHER):
-            own = self.order[s : s + BLOCK * TOGETHER]
-            self.order[s : s + BLOCK * TOGETHER] = own[bisected(matrix[own], BLOCK)]
+            part = self.order[s : s + BLOCK * TOGETHER]
+            self.order[s : s + BLOCK * TOGETHER] = part[bisected(some[part], BLOCK)]
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n)
         self.n = -(-n // (BLOCK * TOGETHER)) * BLOCK * TOGETHER
         self.matrix = np.zeros((len(dense), self.n), np.float32)
-        self.matrix[:, :n] = matrix[self.order].T
+        self.matrix[columns, place[doc[own]]] = rows.value[own]
         self.most = self.matrix.reshape(len(dense), -1, BLOCK).max(2)
         self.blank = np.zeros(self.n, np.float32)
         self.blank[n:] = -np.inf  # places without an example
+        del own, columns
         # Lists of the other terms, of places in that order.
-        place = np.empty(n, np.int32)
-        place[self.order] = np.arange(n)
-        by_term = np.argsort(np.where(columns < 0, rows.term, index.space.size), kind="stable")[: np.count_nonzero(columns < 0)]
-        self.at, self.value = place[rows.doc[by_term]], rows.value[by_term]
-        self.start = np.searchsorted(rows.term[by_term], np.arange(index.space.size + 1))
+        rare = rare[np.argsort(rows.term[rare], kind="stable")]
+        self.at, self.value = place[doc[rare]], rows.value[rare]
+        self.start = np.searchsorted(rows.term[rare], np.arange(index.space.size + 1))
         self.held, self.has = np.zeros(index.space.size), np.zeros(index.space.size, bool)
         self.blocks_scored = self.blocks_bounded = 0
 
@@ -443,7 +453,7 @@ class Searcher:
         best = best[cosine[best] > 0][:count]
         return found[best], cosine[best]
 
-    def score(self, texts: list[bytes | None]) -> list[tuple[float, list]]:
+    def score(self, texts: list[bytes | None], curve: tuple[float, float]) -> list[tuple[float, list]]:
         """Score and evidence of each text."""
         index = self.index
         if not len(index.toxic):
@@ -454,7 +464,7 @@ class Searcher:
             for i in range(0, len(n_words), AT_ONCE):
                 end = min(i + AT_ONCE, len(n_words))
                 for k, (at, cosine) in enumerate(self.nearest(queries.part(i, end), index.neighbours), i):
-                    out.append((index.score(index.vote(at, cosine)), index.ids[at[:3]].tolist()) if n_words[k] else (index.prior, []))
+                    out.append((on_curve(index.vote(at, cosine), curve), index.ids[at[:3]].tolist()) if n_words[k] else (index.prior, []))
         return out
 
 
@@ -503,8 +513,18 @@ def example_vectors(tables: DataFrame, space: TermSpace) -> pa.Table:
 
     rows = tables.select("doc_id", "toxic", "text_hash", "n_words", "words", "counts", "starts", "start_counts")
     out = rows.mapInArrow(run, f"{kinds}, term binary, value binary").toArrow()
-    held.unpersist()
-    return out.sort_by([("doc_id", "ascending"), ("text_hash", "ascending"), ("toxic", "ascending")])
+    held.destroy()
+    return out
+
+
+def gathered(column: pa.ChunkedArray, order: np.ndarray, kind: type) -> np.ndarray:
+    """The values of all rows in that order, one after the other."""
+    views = []
+    for c in column.chunks:
+        cut = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1].tolist()
+        data = np.frombuffer(c.buffers()[2], kind) if len(c) else np.zeros(0, kind)
+        views += [data[s // 4 : e // 4] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+    return np.concatenate([views[i] for i in order.tolist()])
 
 
 def fitted_curve(votes: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, float]:
@@ -573,20 +593,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, neighbours:
     space = term_space(tables, corpus_idf(docs), n_pos, n_neg, significance, max_terms)
     found = example_vectors(tables, space)
     scale = {0: total[0] / n_neg, 1: total[1] / n_pos}
-    toxic = found["toxic"].to_numpy().astype(float)
-    parts = {c: found[c].cast(pa.large_binary()).combine_chunks() for c in ("term", "value")}
-    start = np.frombuffer(parts["term"].buffers()[1], np.int64)[: len(toxic) + 1] // 4
-    rows = Vectors(start.copy(), *(np.frombuffer(parts[c].buffers()[2], kind)[: start[-1]].copy() for c, kind in (("term", np.int32), ("value", np.float32))))
-    ids = np.array(found["doc_id"].to_pylist())
-    del found, parts
+    order = pa.compute.sort_indices(found, [("doc_id", "ascending"), ("text_hash", "ascending"), ("toxic", "ascending")])
+    toxic, ids = found["toxic"].take(order).to_numpy().astype(float), np.array(found["doc_id"].take(order).to_pylist())
+    rows = Vectors(None, *(gathered(found[c].cast(pa.large_binary()), order.to_numpy(), kind) for c, kind in (("term", np.int32), ("value", np.float32))))
+    rows.start = np.cumsum(np.r_[0, pa.compute.binary_length(found["term"].take(order)).to_numpy().astype(np.int64) // 4])
+    del found, order
     pa.default_memory_pool().release_unused()  # the driver's next stages need the room
     weight = np.where(toxic > 0, scale[1], scale[0]) / min(scale.values())
     index = ExampleIndex(space, share, neighbours, (1.0, 0.0), toxic, ids, weight, rows)
     # The examples are in the order of their ids; every so many of a label are asked.
     some = np.concatenate([own[:: max(1, -(-len(own) // calibrate))] for own in (np.flatnonzero(toxic == t) for t in (0, 1))])
-    held = spark.sparkContext.broadcast(index)  # bounded by the sample
-    index.curve = fitted_curve(left_out_votes(spark, held, some), toxic[some], share)
-    held.unpersist()
+    index.held = spark.sparkContext.broadcast(index)  # bounded by the sample
+    index.curve = fitted_curve(left_out_votes(spark, index.held, some), toxic[some], share)
     return index
 
 
@@ -599,8 +617,8 @@ def prepared(index: ExampleIndex) -> Searcher:
 
 def scorer(spark: SparkSession, index: ExampleIndex):
     """In a task: (score, evidence) of each of some texts."""
-    held = spark.sparkContext.broadcast(index)  # bounded by the sample
-    return lambda: prepared(held.value).score
+    held, curve = index.held or spark.sparkContext.broadcast(index), index.curve
+    return lambda: partial(prepared(held.value).score, curve=curve)
 
 
 def score_documents(docs: DataFrame, index: ExampleIndex) -> DataFrame:

@@ -20,7 +20,7 @@ def near(a, b):
 
 
 def plain(rows, least):
-    own = sorted({((-(2**63) if r[0] is None else r[0]), r[1]) for r in rows if r[1] is not None})
+    own = sorted({((-(2**63) if r[0] is None else r[0]), r[1]) for r in rows if r[1] is not None})  # null ids first
     assert len({i for i, _ in own}) == len(own)  # texts of one id would be ordered by their hash
     places = [(i, n, line) for i, t in own for n, line in enumerate(t.split("\n")) if len(line) >= least]
     gone = {}
@@ -96,7 +96,25 @@ def test_exact_repeats_of_short_lines_go(spark, tmp_path):
     rows = [(i, f"Les.\n{own}{i * 1111:05d}\n\nab{'c' * (i % 3)}\nLes.") + (None,) * 10 for i in range(12)] + [(20, "") + (None,) * 10]
     df = spark.createDataFrame(rows, SCHEMA)
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.removed_lines for r in op5_deletion_neighbourhood(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: [int(n) for n in r.removed_lines.split(",") if n] for r in op5_deletion_neighbourhood(spark, str(tmp_path)).collect()}
     assert got == {0: [4], 1: [0, 4], 2: [0, 4], **{i: [0, 3, 4] for i in range(3, 12)}, 20: []}  # ab, abc and abcc are not compared by edits
     texts = {r.doc_id: r.text for r in without_later_lines(df).collect()}
     assert sum(t.split("\n").count("Les.") for t in texts.values()) == 1 and texts[5] == f"{own}05555\n"
+
+
+def test_columns_of_all_names_and_ids_of_all_types(spark, rows):
+    odd = ["removed", "__gone", "__id", "__text_hash", "__row", "hash", "no", "line", "keep", "first", "n", "near", "variant"]
+    some = [r for r in rows if r[0] is not None]
+    df = spark.createDataFrame([(f"{r[0]:09d}", r[1], *range(len(odd))) for r in some], f"doc_id string, text string, {', '.join(f'{c} int' for c in odd)}")
+    gone = plain(some, 30)
+    for r in dedup_lines(df).collect():
+        assert r["__removed"] == gone.get(int(r.doc_id), []) and [r[c] for c in odd] == list(range(len(odd)))
+
+
+def test_very_long_texts(spark):
+    text = "\n".join(f"line number {i * 7919 % 30011:05d}{i * 104729 % 99991:05d} of one very long text" for i in range(30_000))
+    text += "\n" + text.split("\n")[0]
+    rows = [(i, text) + (None,) * 10 for i in (1, 2)]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()}
+    assert got[2].text == "" and len(got[2]["__removed"]) == 30_001 and 30_000 in got[1]["__removed"]
+    assert got[1].text == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in set(got[1]["__removed"]))
