@@ -35,16 +35,17 @@ def plain(rows, items, window=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [200_000, 7])
-def test_against_plain_python(spark, docs, rows, items, block):
-    got = mark_contamination(docs, spark.createDataFrame(items, ITEM), windows_per_block=block)
+@pytest.mark.parametrize("most", [200_000, 7])
+def test_against_plain_python(spark, docs, rows, items, most):
+    got = mark_contamination(docs, spark.createDataFrame(items, ITEM), most_broadcast=most)
     want = plain(rows, items)
     assert any(r[-1] for r in want)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()) == want
 
 
-def test_filter_keeps_columns(spark, docs, rows, items):
-    kept = drop_contaminated(docs, spark.createDataFrame(items, ITEM))
+@pytest.mark.parametrize("most", [200_000, 7])
+def test_filter_keeps_columns(spark, docs, rows, items, most):
+    kept = drop_contaminated(docs, spark.createDataFrame(items, ITEM), most_broadcast=most)
     assert kept.schema == docs.schema
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(x[0] for x in plain(rows, items) if not x[-1])
 
@@ -60,5 +61,16 @@ def test_empty_and_null(spark, docs, rows, nothing, unknown, items):
 def test_hot_passage(spark):
     passage = " ".join(f"w{i}" for i in range(15))
     docs = spark.createDataFrame([(i, (passage if i % 3 == 0 else "common words only") + f" tail {i}") + (None,) * 10 for i in range(900)], SCHEMA)
-    got = mark_contamination(docs, spark.createDataFrame([(1, passage, "")], ITEM))
-    assert {r.doc_id for r in got.where("contaminated").collect()} == set(range(0, 900, 3))
+    for most in (200_000, 0):
+        got = mark_contamination(docs, spark.createDataFrame([(1, passage, "")], ITEM), most_broadcast=most)
+        assert {r.doc_id for r in got.where("contaminated and n_hit = 15").collect()} == set(range(0, 900, 3))
+
+
+def test_a_large_benchmark_is_not_collected(spark, monkeypatch):
+    """Of a benchmark that isn't broadcast, no window reaches the driver, and both ways give the same rows."""
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(1, 40)) for i in range(1, 200)]
+    docs = spark.createDataFrame([(i, t) + (None,) * 10 for i, t in enumerate(texts)], SCHEMA)
+    items = spark.createDataFrame([(i, " ".join(t.split()[i % 7 : 12 + i % 20]), "") for i, t in enumerate(texts) if i % 4], ITEM)
+    want = sorted(map(str, mark_contamination(docs, items).collect()))
+    monkeypatch.setattr("lumenline.llm.decontamination.small_index", None)
+    assert sorted(map(str, mark_contamination(docs, items, most_broadcast=100).collect())) == want
