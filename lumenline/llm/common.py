@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A-Z to a-z, ASCII that is neither a letter nor a digit to a space; UTF-8 bytes of other letters stay.
@@ -52,6 +53,23 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: A key is hot if it has more than one in so many of all rows; there are fewer hot keys than that.
+HOT_SHARE = 2_000
+
+
+def join_split(rows: DataFrame, info: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``info`` (key, n, ...), where n is the number of rows that a key has; n is left out.
+
+    What is known of hot keys is broadcast, at most HOT_SHARE rows, so that their rows stay where they are.
+    """
+    total = info.agg(F.sum("n")).first()[0] or 0
+    hot = info.where(F.col("n") * HOT_SHARE > total)
+    keys = F.broadcast(hot.select(key))
+    often = rows.join(F.broadcast(hot.drop("n")), key)
+    seldom = rows.join(keys, key, "left_anti").join(info.join(keys, key, "left_anti").drop("n"), key)
+    return often.unionByName(seldom)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

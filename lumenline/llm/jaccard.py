@@ -13,9 +13,9 @@ hashed counts over all documents.
 Groups of near copies are large, and their links many times more. Each class first goes to the groups of a
 few of its shared shingles, together with its set; there, links are verified only between classes that are
 not connected yet. What this connects are components, and the trees then look only for pairs between
-different components. Nothing that is skipped could join two components, so components are exact. A shingle
-with too many classes for one task is dealt over several: the largest component's classes once, the others
-to each.
+different components. Nothing that is skipped could join two components, so components are exact. The classes of
+a shingle with too many for one task are cut into parts, the largest component's apart from the others', and a
+task gets two parts that can have pairs.
 
 Sets and shingles are identified by 64-bit hashes. Null and wordless texts have empty sets and are linked
 with nothing. Repeated rows are equal sets. Null doc_ids are allowed; the smallest known id names a
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import BASE, LOWER, WordScan, materialize, mix, read, texts_of
+from .common import BASE, LOWER, WordScan, join_split, materialize, mix, read, texts_of
 from .components import connected_components
 
 #: Hashed counts for rarity, bits of the filter for classes that have a close one, groups of a coarse and of a fine point.
@@ -416,25 +416,31 @@ class ShingleJoin:
         rows = close.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         rows = materialize(rows, "labelled-shingles")
         sizes = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
-        mixed = sizes.groupBy("token").agg(F.sum("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+        mixed = sizes.groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("mains"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
         rows = rows.join(mixed.drop("labels"), "token")
-        deals = F.ceil(F.col("k") / RUN).cast("int")
-        own = F.pmod(F.xxhash64("cls"), deals).cast("int")
-        rows = rows.withColumn("deal", F.explode(F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), deals - 1))))
+        # Parts of the main component's classes are 0 to m - 1, those of the others m to m + o - 1.
+        m, o = (F.ceil(n / RUN).cast("int") for n in (F.col("mains"), F.col("k") - F.col("mains")))
+        mine, theirs = (F.pmod(F.xxhash64("cls"), n).cast("int") for n in (m, o))
+        cell = lambda x, y: F.least(x, y) * (m + o) + F.greatest(x, y)
+        main_cells = F.transform(F.sequence(F.lit(0), o - 1), lambda h: cell(mine, m + h))
+        other_cells = F.concat(F.transform(F.sequence(F.lit(0), m - 1), lambda g: cell(g, m + theirs)), F.transform(F.sequence(F.lit(0), o - 1), lambda h: cell(m + h, m + theirs)))
+        is_main, whole = F.col("label") == F.col("main"), F.col("k") <= RUN
+        rows = rows.withColumn("part", F.when(whole, 0).when(is_main, mine).otherwise(m + theirs))
+        rows = rows.withColumn("deal", F.explode(F.when(whole, F.array(F.lit(0))).when(is_main, main_cells).otherwise(other_cells)))
         points = sets.select("cls", "point").dropDuplicates(["cls"])
-        rows = rows.join(points, "cls").select("token", "deal", "cls", "n", "label", "point").repartition("token", "deal")
+        rows = rows.join(points, "cls").select("token", "deal", "cls", "n", "label", "part", "point").repartition("token", "deal")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(*(b.column(i).to_numpy() for i in range(5)), b.column(5).to_pylist()) for b in batches]
+            held = [(*(b.column(i).to_numpy() for i in range(6)), b.column(6).to_pylist()) for b in batches]
             if not held:
                 return
-            token, deal, cls, n, label = (np.concatenate([h[i] for h in held]) for i in range(5))
+            token, deal, cls, n, label, part = (np.concatenate([h[i] for h in held]) for i in range(6))
             kinds, kind = np.unique(cls, return_inverse=True)
             points = np.zeros((len(kinds), FINE), np.int32)
-            points[kind] = points_from([p for h in held for p in h[5]], FINE)
+            points[kind] = points_from([p for h in held for p in h[6]], FINE)
             del held
             order = np.lexsort((n, deal, token))
-            token, deal, cls, n, label, kind = (x[order] for x in (token, deal, cls, n, label, kind))
+            token, deal, cls, n, label, part, kind = (x[order] for x in (token, deal, cls, n, label, part, kind))
             start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (deal[1:] != deal[:-1])])
             stop = np.r_[start[1:], len(token)]
             small = np.repeat(stop - start <= 16, stop - start)
@@ -452,8 +458,7 @@ class ShingleJoin:
                         found.update(zip(a[good].tolist(), b[good].tolist(), strict=True))
             for s, e in zip(start, stop, strict=True):
                 if e - s > 16:
-                    tree = CountTree(points[kind[s:e]], num, den)
-                    for i, j in tree.pairs(label[s:e]):
+                    for i, j in similar_points(points[kind[s:e]], label[s:e], part[s:e], num, den):
                         found.add((min(kind[s + i], kind[s + j]), max(kind[s + i], kind[s + j])))
             u = kinds[np.array([a for a, _ in found], np.int64)]
             v = kinds[np.array([b for _, b in found], np.int64)]
@@ -488,9 +493,9 @@ class CountTree:
         out = (nodes[:, None] * self.LEAF + np.arange(self.LEAF)).ravel()
         return out[out < count]
 
-    def near(self, i: int) -> np.ndarray:
-        """The points whose summed minima with point i reach the least overlap of a similar pair."""
-        q, m = self.points[i], self.n[i]
+    def near(self, q: np.ndarray) -> np.ndarray:
+        """The points whose summed minima with point q reach the least overlap of a similar pair."""
+        m = q.sum()
         need = lambda n: self.num * (n + m)
         nodes = np.arange(len(self.levels[-1][0]))
         for level in range(len(self.levels) - 1, -1, -1):
@@ -502,23 +507,38 @@ class CountTree:
         own = self.order[nodes]
         return own[(self.num + self.den) * np.minimum(self.points[own], q).sum(1) >= need(self.n[own])]
 
-    def pairs(self, label: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Pairs of different labels; only points outside the most frequent label ask."""
+
+def similar_points(points: np.ndarray, label: np.ndarray, part: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of points of different labels that pass the bound; points that come ordered by size, of one part or of two.
+
+    Of two parts, the first's points ask a tree of the second's; of one, all points outside the most frequent label ask.
+    """
+    ask, asked = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+    if part.min() == part.max():
         kinds, count = np.unique(label, return_counts=True)
-        main = kinds[np.argmax(count)]
-        for i in np.flatnonzero(label != main):
-            for j in self.near(i):
-                if label[j] != label[i]:
-                    yield int(i), int(j)
+        ask = np.flatnonzero(label != kinds[np.argmax(count)])
+    tree = CountTree(points[asked], num, den)
+    for i in ask.tolist():
+        for j in asked[tree.near(points[i])].tolist():
+            if label[j] != label[i]:
+                yield i, j
+
+
+def smallest_ids(rows: DataFrame, labels: DataFrame, least) -> DataFrame:
+    """(cls, key, least): of each class that isn't empty, what it belongs to and the least ``least`` of all rows there."""
+    own = rows.where("n > 0").groupBy("cls").agg(F.min(least).alias("own")).join(labels, "cls", "left").withColumn("key", F.coalesce("label", "cls"))
+    own = materialize(own.drop("label"), "class-keys")
+    keys = own.groupBy("key").agg(F.min("own").alias("least"), F.count("*").alias("n"))
+    return join_split(own.drop("own"), materialize(keys, "components"), "key")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row of ``docs``; links are at a similarity of num/den or more."""
     rows, labels = ShingleJoin(docs, words, num, den).links()
-    rows = rows.join(labels, "cls", "left").withColumn("key", F.coalesce("label", "cls"))
-    least = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    rows = rows.join(least, "key", "left")
-    return rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    sizes = rows.where("n > 0").groupBy("cls").agg(F.count("*").alias("n"))
+    least = materialize(smallest_ids(rows, labels, F.col("doc_id")).join(sizes, "cls"), "smallest-ids")
+    full = join_split(rows.where("n > 0").withColumnRenamed("n", "n_shingles"), least, "cls").select("doc_id", "text_hash", "n_shingles", F.col("least").alias("component_id"))
+    return full.unionByName(rows.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -527,9 +547,9 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     Of each component the row of the smallest doc_id stays, once. Empty documents stay.
     """
     rows, labels = ShingleJoin(docs, words, num, den).links()
-    rows = rows.join(labels, "cls", "left").withColumn("key", F.coalesce("label", "cls"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
-    first = rows.where("n > 0").groupBy("key").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash")
+    own = rows.where("n > 0").groupBy("cls").agg(F.min(order).alias("own")).join(labels, "cls", "left")
+    first = own.groupBy(F.coalesce("label", "cls").alias("key")).agg(F.min("own").alias("first")).select("first.doc_id", "first.text_hash")
     empty = rows.where("n = 0").select("doc_id", "text_hash").distinct()
     stay = first.union(empty).withColumnsRenamed({"doc_id": "__stay_id", "text_hash": "__stay_text"})
     same = docs["doc_id"].eqNullSafe(stay["__stay_id"]) & (F.xxhash64(docs["text"]) == stay["__stay_text"])
@@ -539,3 +559,17 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int =
 def op4_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(read(spark, sf_dir, "documents"), words=4, num=85, den=100)
     return found.drop("text_hash")
+
+
+#: The same rows in DuckDB's SQL.
+OP4_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS l FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS word, len(l) AS n FROM d),
+g AS (SELECT doc_id, n, string_agg(word, ' ') OVER x AS h, count(*) OVER x AS k, p FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, hash(h) AS h FROM g WHERE k = 4 OR (p = 1 AND n < 4)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM i JOIN c x ON x.doc_id = u JOIN c y ON y.doc_id = v WHERE 100 * i.k >= 85 * (x.n + y.n - i.k)),
+q AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM c UNION SELECT q.u AS node, r.seen FROM r JOIN q ON q.v = r.node WHERE r.seen < q.u)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT node, min(seen) AS least FROM r GROUP BY node) m ON m.node = d.doc_id"""

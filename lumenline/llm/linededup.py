@@ -28,11 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import materialize, read
+from .common import join_split, materialize, read
 
 BUCKETS = 1 << 20
-#: A line is hot if it makes up more than one in so many of all lines; there are fewer hot lines than that.
-HOT_SHARE = 2_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -107,12 +105,7 @@ def removed_lines(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFram
     near = near_lines(docs, distinct, min_chars)
     info = distinct.select("hash", "first", "n").join(near, "hash", "left").where("n > 1 or near is not null")
     info = materialize(info.select("hash", "n", F.least("first", "near").alias("keep")), "repeated-lines")
-    # At most HOT_SHARE rows are broadcast; their lines need no exchange.
-    hot = info.where(F.col("n") * HOT_SHARE > rows.count()).select("hash", "keep")
-    found = rows.select("__id", "__text_hash", "no", "hash")
-    often = found.join(F.broadcast(hot), "hash")
-    seldom = found.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(info.join(F.broadcast(hot.select("hash")), "hash", "left_anti").select("hash", "keep"), "hash")
-    gone = often.unionByName(seldom).where(place > F.col("keep"))
+    gone = join_split(rows.select("__id", "__text_hash", "no", "hash"), info, "hash").where(place > F.col("keep"))
     return gone.groupBy("__id", "__text_hash").agg(F.array_sort(F.collect_set("no")).alias("__gone"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_prefix_decontamination
-from .jaccard import op4_count_vector_join
+from .jaccard import OP4_SQL, op4_count_vector_join
 from .licenses import op6_template_markup
 from .linededup import OP5_SQL, op5_deletion_neighbourhood
 from .packing import op9_histogram_packing
@@ -28,4 +28,4 @@ QUERIES = {
         op10_nearest_examples,
     )
 }
-ORACLE_SQL: dict[str, str] = {op3_prefix_decontamination.__name__: OP3_SQL, op5_deletion_neighbourhood.__name__: OP5_SQL, op8_rabin_karp.__name__: OP8_SQL}
+ORACLE_SQL: dict[str, str] = {op3_prefix_decontamination.__name__: OP3_SQL, op4_count_vector_join.__name__: OP4_SQL, op5_deletion_neighbourhood.__name__: OP5_SQL, op8_rabin_karp.__name__: OP8_SQL}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenline.llm import jaccard
-from lumenline.llm.jaccard import CountTree, jaccard_components, keep_one_of_each
+from lumenline.llm.jaccard import jaccard_components, keep_one_of_each, similar_points
 
 from .fixture_docs import SCHEMA, SPACED, words
 
@@ -88,12 +88,26 @@ def test_tree_finds_all_that_pass_the_bound(seed):
     points = np.repeat(rng.poisson(3, (40, 16)), 10, axis=0) + rng.poisson(0.3, (400, 16))
     points = points[np.argsort(points.sum(1), kind="stable")]
     label = rng.integers(0, 5, len(points))
-    got = {(min(i, j), max(i, j)) for i, j in CountTree(points, 85, 100).pairs(label)}
     n = points.sum(1)
     want = {(i, j) for i in range(400) for j in range(i + 1, 400) if label[i] != label[j] and 185 * np.minimum(points[i], points[j]).sum() >= 85 * (n[i] + n[j])}
+    got = {(min(i, j), max(i, j)) for i, j in similar_points(points, label, np.zeros(400, int), 85, 100)}
     assert want and want <= got
+    part = rng.integers(0, 2, len(points))
+    got = {(min(i, j), max(i, j)) for i, j in similar_points(points, label, part, 85, 100)}
+    assert got == {(i, j) for i, j in want if part[i] != part[j]}
 
 
 def test_hot_exact_copies(spark):
     rows = [(i, "one copied text of quite a few words" if i % 2 else f"own words {i} " * 4) + (None,) * 10 for i in range(400)]
     same(jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85, 100), plain(rows, 4, 85, 100)[0])
+
+
+def test_a_shingle_of_many_unconnected_classes(spark, monkeypatch):
+    """Thousands of classes share one rare shingle and little else; few of them are alike.."""
+    monkeypatch.setattr(jaccard, "RUN", 100)
+    rng = random.Random(9)
+    rows = []
+    for i in range(1500):
+        own = [f"v{rng.randrange(40)}" for _ in range(20)] if i % 50 else rows[-1][1].split()[:20] if i else ["a"] * 20
+        rows.append((i, " ".join([*own, "one", "shared", "rare", "shingle"])) + (None,) * 10)
+    same(jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 60, 100), plain(rows, 4, 60, 100)[0])
