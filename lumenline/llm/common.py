@@ -90,10 +90,11 @@ def map_texts(
     fields: list[T.StructField],
     keep: list[str],
     text: str = "text",
+    done: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """The columns ``keep`` of every row, and ``fields`` computed from its text by what ``make()`` gives in each task.
 
-    A row gives a row; nothing is shuffled.
+    A row gives a row; nothing is shuffled. ``done`` is called at the end of each task.
     """
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     kinds = [arrow_type(f.dataType) for f in fields]
@@ -105,12 +106,13 @@ def map_texts(
             columns = compute(texts_of(batch.column(0)))
             made = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i + 1) for i in range(len(keep))] + made, names)
+        done()
 
     return df.select(text, *keep).mapInArrow(run, schema)
 
 
 def filter_texts(
-    df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[bool]]], text: str = "text"
+    df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[bool]]], text: str = "text", done: Callable[[], None] = lambda: None
 ) -> DataFrame:
     """The rows of ``df``, with all their columns, whose text passes."""
     at = df.columns.index(text)
@@ -119,6 +121,7 @@ def filter_texts(
         passes = make()
         for batch in batches:
             yield batch.filter(pa.array(passes(texts_of(batch.column(at))), type=pa.bool_()))
+        done()
 
     return df.mapInArrow(run, df.schema)
 

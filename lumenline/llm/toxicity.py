@@ -27,9 +27,12 @@ columns are ignored by scores and passed on by the filter.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import gc
 import math
 import os
+import threading
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -298,7 +301,6 @@ class ExampleIndex:
     ids: np.ndarray = field(default_factory=lambda: NO_LONGS)
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of an example's vote
     rows: Vectors = field(default_factory=lambda: Vectors(np.zeros(1, np.int64), NO_LONGS, np.zeros(0)))
-    searcher: Searcher | None = None
     held: Broadcast | None = None
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -562,7 +564,7 @@ def left_out_votes(spark: SparkSession, held, some: np.ndarray) -> np.ndarray:
     """The votes that the examples at ``some`` places get from all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = prepared(held.value)
+        searcher = Prepared.of(held)
         index = searcher.index
         for batch in batches:
             at, votes = batch.column(0).to_numpy(), []
@@ -573,6 +575,7 @@ def left_out_votes(spark: SparkSession, held, some: np.ndarray) -> np.ndarray:
                     other = np.flatnonzero(near != own)[: index.neighbours]
                     votes.append(index.vote(near[other], cosine[other]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["place", "vote"])
+        Prepared.done()
 
     rows = spark.createDataFrame(pa.table({"place": some})).repartition(min(len(some), 2 * spark.sparkContext.defaultParallelism))
     found = {r.place: r.vote for r in rows.mapInArrow(run, "place long, vote double").collect()}  # two numbers an example
@@ -608,17 +611,53 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, neighbours:
     return index
 
 
-def prepared(index: ExampleIndex) -> Searcher:
-    if index.searcher is None:
-        one_blas_thread()
-        index.searcher = Searcher(index)  # for all tasks of a worker
-    return index.searcher
+class Prepared:
+    """In a worker: the searcher of a broadcast index, kept between tasks and freed when no task has asked for it for some seconds."""
+
+    IDLE_SECONDS = 4.0
+    lock, key, searcher, timer = threading.RLock(), None, None, None
+
+    @classmethod
+    def of(cls, held: Broadcast) -> Searcher:
+        with cls.lock:
+            if cls.timer:
+                cls.timer.cancel()
+            if cls.key is not held:
+                cls.searcher = None
+                one_blas_thread()
+                cls.key, cls.searcher = held, Searcher(held.value)
+                give_back()
+            return cls.searcher
+
+    @classmethod
+    def done(cls) -> None:
+        """At the end of a task."""
+        with cls.lock:
+            cls.timer = threading.Timer(cls.IDLE_SECONDS, cls.free, [cls.key])
+            cls.timer.daemon = True
+            cls.timer.start()
+
+    @classmethod
+    def free(cls, key: Broadcast) -> None:
+        with cls.lock:
+            if cls.key is key and threading.current_thread() is cls.timer:
+                cls.key = cls.searcher = cls.timer = None
+                if getattr(key, "_path", None) and getattr(key, "_sc", None) is None:
+                    key.__dict__.pop("_value", None)  # read again from its file if it is asked for
+                give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def scorer(spark: SparkSession, index: ExampleIndex):
     """In a task: (score, evidence) of each of some texts."""
     held, curve = index.held or spark.sparkContext.broadcast(index), index.curve
-    return lambda: partial(prepared(held.value).score, curve=curve)
+    return lambda: partial(Prepared.of(held).score, curve=curve)
 
 
 def score_documents(docs: DataFrame, index: ExampleIndex) -> DataFrame:
@@ -635,7 +674,7 @@ def score_documents(docs: DataFrame, index: ExampleIndex) -> DataFrame:
         return compute
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(docs.schema["doc_id"].dataType))]
-    return map_texts(docs, make, fields, ["doc_id"])
+    return map_texts(docs, make, fields, ["doc_id"], done=Prepared.done)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -646,7 +685,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         score = make_score()
         return lambda texts: [r[0] < 0.5 for r in score(texts)]
 
-    return filter_texts(docs, make)
+    return filter_texts(docs, make, done=Prepared.done)
 
 
 def op10_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
