@@ -214,9 +214,9 @@ def chunk_prompt(vocabulary, tail) -> Column:
 
 
 @F.pandas_udf(T.BooleanType())
-def similar_words(word: pd.Series, others: pd.Series) -> pd.Series:
-    """Whether one of the other words is at least 0.85 alike, by matching blocks."""
-    return pd.Series([bool(difflib.get_close_matches(w, list(o), n=1, cutoff=0.85)) for w, o in zip(word, others, strict=True)])
+def similar_words(word: pd.Series, other: pd.Series) -> pd.Series:
+    """Whether two words are at least 0.85 alike, by matching blocks."""
+    return pd.Series([bool(difflib.get_close_matches(w, [o], n=1, cutoff=0.85)) for w, o in zip(word, other, strict=True)])
 
 
 def restored_math(text) -> Column:

@@ -86,23 +86,54 @@ def preview_text(pages: DataFrame, count: int = 2, keys=("deck",)) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), " ").alias("preview"))
 
 
+def alike_words(words: DataFrame, others: DataFrame) -> DataFrame:
+    """(word, other) of distinct words: equal ones, and those at least 0.85 alike.
+
+    Words of s letters together that are that much alike have at most 0.15 s letters outside their matching blocks,
+    so at most one block more than that, and share all but that many pairs of neighbouring letters; and as many
+    edits make one of the other. Pairs of words are therefore joined on neighbouring letters, counted, held against
+    their edit distance, and only then compared.
+    """
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(F.col(name), i, F.lit(2)))
+        listed = df.where(F.length(name) > 1).select(name, F.explode(pairs).alias("gram"))
+        return listed.groupBy(name, "gram").agg(F.count("*").alias(f"__{name}_n"))
+
+    both = grams(words, "word").join(grams(others, "other"), "gram")
+    total = F.length("word") + F.length("other")
+    fits = 2 * F.least(F.length("word"), F.length("other")) >= 0.85 * total
+    shared = both.where(fits & (F.col("word") != F.col("other"))).groupBy("word", "other").agg(F.sum(F.least("__word_n", "__other_n")).alias("__shared"))
+    near = shared.where(F.col("__shared") >= 0.275 * total - 1.000001).select("word", "other")
+    near = near.where(F.levenshtein("word", "other") <= 0.15 * total).where(similar_words("word", "other"))
+    return words.join(others, F.col("word") == F.col("other")).select("word", "other").union(near)
+
+
 def suggest_lectures(decks: DataFrame, lectures: DataFrame, least: float = 0.5, top: int = 3, fuzzy: bool = True) -> DataFrame:
-    """(deck, lecture_id, score) of the ``top`` lectures whose title words a deck's preview has.
+    """(deck, lecture_id, score) of the ``top`` lectures whose title words a deck's preview has, or words alike.
 
-    Equal words meet in a join; only title words without an equal one are compared by likeness, with the decks'
-    words as arrays. Titles are a course's, so that table is small beside the decks; its size is left to the optimizer.
+    Words alike are found among distinct words, once. A deck that has the share ``least`` of a title's words has
+    one of its rarest, so many that fewer than that share are left: only these join decks with titles.
     """
     words = lectures.select("lecture_id", F.posexplode(title_words("title")).alias("at", "word"))
-    sizes = words.groupBy("lecture_id").agg(F.count("*").alias("n"))
-    own = decks.select("deck", F.array_distinct(title_words("preview")).alias("__own")).where(F.size("__own") > 0)
-    flat = own.select("deck", F.explode("__own").alias("word"))
-    equal = words.join(flat, "word").select("deck", "lecture_id", "at")
+    vocabulary = words.select("word").distinct()
+    flat = decks.select("deck", F.explode(F.array_distinct(title_words("preview"))).alias("other"))
     if fuzzy:
-        rest = own.join(words).join(equal, ["deck", "lecture_id", "at"], "left_anti")
-        alike = rest.where(similar_words("word", "__own")).select("deck", "lecture_id", "at")
-        equal = equal.union(alike)
-    hits = equal.groupBy("deck", "lecture_id").agg(F.count("*").alias("hits")).join(sizes, "lecture_id")
-    scored = hits.select("deck", "lecture_id", F.round(F.col("hits") / F.col("n"), 3).alias("score")).where(F.col("score") >= least)
+        has = flat.join(alike_words(vocabulary, flat.select("other").distinct()), "other").select("deck", "word").distinct()
+    else:
+        has = flat.withColumnRenamed("other", "word").join(vocabulary, "word", "left_semi")
+    often = has.groupBy("word").agg(F.count("*").alias("__often"))
+    own = Window.partitionBy("lecture_id")
+    ranked = words.join(often, "word", "left").withColumn("__n", F.count("*").over(own))
+    ranked = ranked.withColumn("__place", F.row_number().over(own.orderBy(F.coalesce("__often", F.lit(0)), "word", "at")))
+    need = F.greatest(F.ceil(F.col("__n") * (least - 0.0005) - 1e-9), F.lit(1))  # scores are rounded to three places
+    prefix = ranked.where(F.col("__place") <= F.col("__n") - need + 1).select("lecture_id", "word").distinct()
+    candidates = prefix.join(has, "word").select("deck", "lecture_id").distinct()
+    titles = words.groupBy("lecture_id").agg(F.collect_list("word").alias("__words"))
+    known = has.groupBy("deck").agg(F.collect_set("word").alias("__has"))
+    found = candidates.join(titles, "lecture_id").join(known, "deck")
+    hits = F.size(F.filter("__words", lambda w: F.array_contains("__has", w)))
+    scored = found.select("deck", "lecture_id", F.round(hits / F.size("__words"), 3).alias("score")).where(F.col("score") >= least)
     best = Window.partitionBy("deck").orderBy(F.desc("score"), "lecture_id")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
 

@@ -2,83 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import EXAMPLE_SLIDE, fold, hamming, let, novel_ratio, overlap_ratio
+from ..functions.text import EXAMPLE_SLIDE, fold, hamming, novel_ratio, overlap_ratio
 from .runs import KEYS, collapse_runs, first_in_run, last_of_kind, value_runs
 
 
-def greedy_path(scores: Column, n: Column, margin: float, stay_margin: float, min_forward: float) -> Column:
-    """From an array of score arrays (a row for each event, a place for each slide) the array of decisions.
+DECISION = "at int, score double, jumped boolean, stayed boolean, forward_at int, forward_score double, back_at int, back_score double"
+
+
+def greedy_path(scores: np.ndarray, margin: float, stay_margin: float, min_forward: float) -> Iterator[tuple]:
+    """A decision (as DECISION) for each row of scores, a row for each event and a column for each slide.
 
     Places count from 0. The state is the place of the slide just shown; a decision looks ahead from it, stays
     where the gain is small, and goes back only for a clearly better earlier slide. Ties go to the lower place.
     """
-    best = lambda own: let(F.array_max(own), lambda top: F.struct(top.alias("score"), (F.array_position(own, top) - 1).cast("int").alias("at")))
-
-    def decide(cur: Column, own: Column) -> Column:
-        ahead = best(F.slice(own, cur + 1, n - cur))
-
-        def with_ahead(a: Column) -> Column:
-            raw = (a["at"] + cur).cast("int")
-            now = F.get(own, cur)
-            stayed = (raw != cur) & ((a["score"] <= now + stay_margin) | (a["score"] < min_forward))
-            forward = F.struct(F.when(stayed, cur).otherwise(raw).alias("at"), F.when(stayed, now).otherwise(a["score"]).alias("score"), stayed.alias("stayed"))
-
-            def with_forward(f: Column) -> Column:
-                behind = F.when(cur > 0, best(F.slice(own, F.lit(1), F.greatest(cur, F.lit(1)))))
-
-                def with_behind(b: Column) -> Column:
-                    jumped = F.coalesce(b["score"] > f["score"] + margin, F.lit(False))
-                    return F.struct(
-                        F.when(jumped, b["at"]).otherwise(f["at"]).alias("at"),
-                        F.when(jumped, b["score"]).otherwise(f["score"]).alias("score"),
-                        jumped.alias("jumped"),
-                        f["stayed"].alias("stayed"),
-                        f["at"].alias("forward_at"),
-                        f["score"].alias("forward_score"),
-                        b["at"].alias("back_at"),
-                        b["score"].alias("back_score"),
-                    )
-
-                return let(behind, with_behind)
-
-            return let(forward, with_forward)
-
-        return let(ahead, with_ahead)
-
-    kind = "struct<at:int,score:double,jumped:boolean,stayed:boolean,forward_at:int,forward_score:double,back_at:int,back_score:double>"
-    start = F.struct(F.lit(0).alias("cur"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(acc: Column, own: Column) -> Column:
-        return let(decide(acc["cur"], own).cast(kind), lambda d: F.struct(d["at"].alias("cur"), F.concat(acc["out"], F.array(d)).alias("out")))
-
-    return F.aggregate(scores, start, step, lambda acc: acc["out"])
+    cur = 0
+    for own in scores:
+        raw, now = cur + int(own[cur:].argmax()), own[cur]
+        stayed = raw != cur and bool(own[raw] <= now + stay_margin or own[raw] < min_forward)
+        forward = cur if stayed else raw
+        back = int(own[:cur].argmax()) if cur else None
+        jumped = back is not None and bool(own[back] > own[forward] + margin)
+        decided = back if jumped else forward
+        yield decided, float(own[decided]), jumped, stayed, forward, float(own[forward]), back, None if back is None else float(own[back])
+        cur = decided
 
 
 def match_events(cells: DataFrame, margin: float = 0.15, stay_margin: float = 0.05, min_forward: float = 0.05, keys=KEYS) -> DataFrame:
     """(keys, event_index, slide_number, score, …) from similarities of every event with every slide of a lecture.
 
-    The fold runs over one lecture's arrays, as each decision depends on the one before; lectures run in parallel.
-    Decisions use the scores as they are, results are rounded to four places.
+    Each decision depends on the one before, so a lecture's events go through one task in turn, in time that is
+    linear in them; lectures run in parallel. Decisions use the scores as they are, results are rounded to four places.
     """
-    events = cells.groupBy(*keys, "event_index").agg(F.array_sort(F.collect_list(F.struct("slide_number", "similarity"))).alias("own"))
-    lectures = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("event_index", "own"))).alias("all"))
-    slides = F.transform(F.get("all", F.lit(0))["own"], lambda x: x["slide_number"])
-    scores = F.transform("all", lambda e: F.transform(e["own"], lambda x: x["similarity"].cast("double")))
-    rows = lectures.select(*keys, slides.alias("slides"), F.transform("all", lambda e: e["event_index"]).alias("events"), scores.alias("scores"))
-    rows = rows.withColumn("path", greedy_path(F.col("scores"), F.size("slides"), margin, stay_margin, min_forward))
-    flat = rows.select(*keys, "slides", F.posexplode(F.arrays_zip("events", "path")).alias("at", "x"))
-    slide = lambda c: F.get("slides", F.col(f"x.path.{c}"))
-    score = lambda c: F.round(F.col(f"x.path.{c}"), 4)
-    return flat.select(
+    cells = cells.withColumn("similarity", F.col("similarity").cast("double"))
+    events = cells.groupBy(*keys, "event_index").agg(F.array_sort(F.collect_list(F.struct("slide_number", "similarity"))).alias("__own"))
+    events = events.select(*keys, "event_index", F.col("__own.slide_number").alias("__slides"), F.col("__own.similarity").alias("__scores"))
+    parts = [part.split(" ") for part in DECISION.split(", ")]
+    schema = T.StructType([*(f for f in events.schema.fields if f.name != "__scores"), *(T.StructField(f"__{n}", T._parse_datatype_string(k)) for n, k in parts)])
+
+    def decide(table: pa.Table) -> pa.Table:
+        table = table.sort_by("event_index")
+        scores = np.array(table["__scores"].to_pylist(), float)
+        columns = list(zip(*greedy_path(scores, margin, stay_margin, min_forward), strict=True))
+        kinds = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+        made = [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, parts, strict=True)]
+        kept = table.drop_columns(["__scores"])
+        return pa.Table.from_arrays([*kept.columns, *made], [*kept.column_names, *(f"__{n}" for n, _ in parts)])
+
+    rows = events.groupBy(*keys).applyInArrow(decide, schema)
+    slide = lambda c: F.get("__slides", F.col(f"__{c}"))
+    score = lambda c: F.round(F.col(f"__{c}"), 4)
+    return rows.select(
         *keys,
-        F.col("x.events").alias("event_index"),
+        "event_index",
         slide("at").alias("slide_number"),
         score("score").alias("score"),
-        F.col("x.path.jumped").alias("jumped_backward"),
-        F.col("x.path.stayed").alias("stayed_over_raw_best"),
+        F.col("__jumped").alias("jumped_backward"),
+        F.col("__stayed").alias("stayed_over_raw_best"),
         slide("forward_at").alias("in_order_best_slide_number"),
         score("forward_score").alias("in_order_best_score"),
         slide("back_at").alias("backward_best_slide_number"),

@@ -153,7 +153,10 @@ def progress_running_max(spark, d):
  (SELECT *, CASE WHEN event_index = 0 OR slide_number = lag(slide_number) OVER (PARTITION BY lecture_id ORDER BY event_index) THEN 0 ELSE 1 END AS brk FROM ev)),
  f AS (SELECT *, first_value(hash) OVER (PARTITION BY lecture_id, run_idx ORDER BY event_index) AS h0 FROM r),
  k AS (SELECT *, bit_count(xor(hash * 2654435761, h0 * 2654435761)) AS ink_delta FROM f),
- c AS (SELECT *, CASE WHEN score < 12 THEN 'whiteboard' WHEN ink_delta >= 12 THEN 'annotated_slide' WHEN slide_number = 2 THEN 'example_slide' END AS kind FROM k),
+ x AS (SELECT *, CASE WHEN score > 80 THEN 'words of another kind ' || hash WHEN hash % 3 = 0 THEN 'topic ' || event_type ELSE event_type || ' ' || hash END AS excerpt, list_distinct(['topic', event_type] || CASE WHEN slide_number = 2 THEN ['exercise'] ELSE [] END) AS deck FROM k),
+ y AS (SELECT *, string_split(first_value(excerpt) OVER (PARTITION BY lecture_id, run_idx ORDER BY event_index), ' ') AS was, string_split(excerpt, ' ') AS own FROM x),
+ z AS (SELECT *, len(list_intersect(was, own)) / len(list_distinct(was)) AS shows, len(list_filter(list_distinct(own), lambda w: NOT list_contains(deck, w))) / len(list_distinct(own)) AS adds FROM y),
+ c AS (SELECT *, CASE WHEN score < 12 THEN 'whiteboard' WHEN ink_delta >= 12 AND shows >= 0.5::DOUBLE AND adds >= 0.35::DOUBLE THEN 'annotated_slide' WHEN slide_number = 2 THEN 'example_slide' END AS kind FROM z),
  n AS (SELECT *, lead(kind) OVER (PARTITION BY lecture_id, run_idx ORDER BY event_index) AS nxt FROM c WHERE kind IS NOT NULL),
  last_kind AS (SELECT * FROM n WHERE nxt IS NULL OR nxt <> kind)"""))
 def example_classify(spark, d):
@@ -162,7 +165,8 @@ def example_classify(spark, d):
 
 def candidates(spark, d) -> DataFrame:
     e = lecture_events(spark, d)
-    excerpt = F.concat("event_type", F.lit(" "), F.col("hash").cast("string"))
+    number = F.col("hash").cast("string")
+    excerpt = F.when(F.col("score") > 80, F.concat(F.lit("words of another kind "), number)).when(F.col("hash") % 3 == 0, F.concat(F.lit("topic "), "event_type")).otherwise(F.concat("event_type", F.lit(" "), number))
     e = e.withColumn("ocr_excerpt", excerpt).withColumn("hash", F.col("hash") * F.lit(2654435761))
     names = F.concat(F.lit("Topic "), "event_type", F.when(F.col("slide_number") == 2, " exercise").otherwise(""))
     slides = e.select("lecture_id", "slide_number", names.alias("reference_text")).distinct()
@@ -354,6 +358,27 @@ def title_match(spark, d):
     return decks.suggest_lectures(own, titles, fuzzy=False).withColumn("place", F.col("place").cast("long")).select("deck", "lecture_id", "score", "place")
 
 
+@query()  # likeness by matching blocks has no SQL; a test holds it against brute force
+def title_match_fuzzy(spark, d):
+    titles = table(spark, d, "benchmark").select(F.col("item_id").alias("lecture_id"), F.col("text").alias("title"))
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("deck"), F.col("text").alias("preview"))
+    return decks.suggest_lectures(own, titles).withColumn("place", F.col("place").cast("long")).select("deck", "lecture_id", "score", "place")
+
+
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY source, md5(lang || '|' || {NORM})) AS slide_number FROM documents")
+def with_canonical(spark, d):
+    shown = table(spark, d, "documents").select(F.col("source").alias("lecture_id"), F.col("doc_id").alias("slide_number"), "doc_id")
+    return segment.with_canonical(shown, canonical_map(spark, d)).select("doc_id", "slide_number")
+
+
+@query("""SELECT o_orderkey, trim(coalesce(c_name, '') || CASE WHEN c_name IS NULL THEN '' ELSE chr(10) || c_mktsegment END) AS slide_text, CASE WHEN c_custkey IS NULL OR c_custkey % 2 = 0 THEN '' ELSE 'note' END AS notes_text
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey % 5 = o_orderkey % 5""")
+def with_slide_data(spark, d):
+    segments = table(spark, d, "orders").select(F.col("o_custkey").alias("lecture_id"), (F.col("o_orderkey") % 5).cast("int").alias("slide_number"), "o_orderkey")
+    slides = table(spark, d, "customer").select(F.col("c_custkey").alias("lecture_id"), (F.col("c_nationkey") % 5).alias("slide_number"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("body_text"), F.when(F.col("c_custkey") % 2 == 1, "note").alias("notes_text"))
+    return segment.with_slide_data(segments, slides).select("o_orderkey", "slide_text", "notes_text")
+
+
 @query("SELECT doc_id AS page_number, source, length(trim(text, E' \\n\\t\\r')) < 50 AS render FROM documents")
 def exam_pages(spark, d):
     p = table(spark, d, "documents").select(F.col("doc_id").alias("page_number"), "source", "text")
@@ -401,6 +426,11 @@ def greedy_match(spark, d):
     return match.match_events(similarity_cells(spark, d)).select("lecture_id", "event_index", "slide_number", "score", "jumped_backward", "stayed_over_raw_best")
 
 
+@query(SQL["greedy_match"].replace("SELECT conv_id AS lecture_id, turn AS event_index, CAST(cur AS INTEGER) AS slide_number, round(score, 4) AS score, jumped AS jumped_backward, stayed AS stayed_over_raw_best FROM m WHERE turn >= 0", "SELECT conv_id AS lecture_id, turn AS event_index, CAST(cur AS INTEGER) AS slide_number FROM m WHERE turn >= 0 AND jumped"))
+def backward_jumps(spark, d):
+    return match.backward_jumps(match.match_events(similarity_cells(spark, d))).select("lecture_id", "event_index", "slide_number")
+
+
 TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
 
 
@@ -418,6 +448,32 @@ def tfidf_similarity(spark, d):
     return tfidf.cosine_join(side("e"), side("s"), (), "item_id", "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
+STOP = ["the", "and", "die", "der", "les", "que", "you", "of", "la"]
+
+
+@query(f"""WITH docs AS (SELECT conv_id, 'e' AS side, turn AS id, text FROM conversations UNION ALL SELECT conv_id, 's', turn + 1, CASE WHEN turn = 2 THEN 'zzz' ELSE text END FROM conversations WHERE turn < 3),
+t AS (SELECT conv_id, side, id, list_filter({TOKENS}, lambda w: NOT list_contains({STOP}, w)) AS l FROM docs),
+b AS (SELECT conv_id, side, id, list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS l FROM t),
+c AS (SELECT conv_id, side, id, term, count(*) AS tf FROM (SELECT conv_id, side, id, unnest(l) AS term FROM b) GROUP BY ALL),
+n AS (SELECT conv_id, count(*) AS n FROM docs GROUP BY ALL), df AS (SELECT conv_id, term, count(*) AS df FROM c GROUP BY ALL),
+w AS (SELECT c.conv_id, side, id, c.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN df ON c.conv_id = df.conv_id AND c.term = df.term JOIN n ON c.conv_id = n.conv_id),
+u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, side, id)) AS x FROM w),
+p AS (SELECT a.conv_id, a.id AS e, z.id AS s, sum(a.x * z.x) AS sim FROM u a JOIN u z ON a.conv_id = z.conv_id AND a.term = z.term AND a.side = 'e' AND z.side = 's' GROUP BY ALL)
+SELECT e.conv_id AS lecture_id, e.turn AS event_index, z.turn + 1 AS slide_number, round(coalesce(sim, 0), 6) AS similarity
+FROM conversations e JOIN conversations z ON e.conv_id = z.conv_id AND z.turn < 3 LEFT JOIN p ON p.conv_id = e.conv_id AND p.e = e.turn AND p.s = z.turn + 1""".replace(str(STOP), "[" + ", ".join(f"'{w}'" for w in STOP) + "]"))
+def deck_similarity(spark, d):
+    e, s = deck_frames(spark, d)
+    return tfidf.event_slide_similarity(e, s, STOP).withColumn("similarity", F.round("similarity", 6))
+
+
+def deck_frames(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Turns as frames, the first three as slides, the third with a word that no frame has."""
+    c = table(spark, d, "conversations").withColumnRenamed("conv_id", "lecture_id")
+    e = c.select("lecture_id", F.col("turn").alias("event_index"), F.col("text").alias("ocr_text"))
+    text = F.when(F.col("turn") == 2, "zzz").otherwise(F.col("text"))
+    return e, c.where("turn < 3").select("lecture_id", (F.col("turn") + 1).alias("slide_number"), text.alias("reference_text"))
+
+
 CONV_W = f"""c AS (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest({TOKENS}) AS term FROM conversations) GROUP BY ALL),
 n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY ALL), df AS (SELECT conv_id, term, count(*) AS df FROM c GROUP BY ALL),
 w AS (SELECT c.conv_id, turn, c.term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN df ON c.conv_id = df.conv_id AND c.term = df.term JOIN n ON c.conv_id = n.conv_id),
@@ -693,9 +749,62 @@ def frame_hash(spark, d):
     return table(spark, d, "embeddings").select("vec_id", fn.difference_hash("embedding", 9, 7).alias("dhash"))
 
 
-# External steps with fakes, and plans that SQL can't express: their rows are tested elsewhere
+@query("""WITH c AS (SELECT vec_id, embedding AS e, CASE vec_id % 5 WHEN 0 THEN [0, 0, 8, 8] WHEN 1 THEN [2, 2, 6, 6] WHEN 2 THEN [4, 0, 5, 8] END AS box FROM embeddings)
+SELECT vec_id, vec_id % 5 < 3 AS valid, CASE WHEN vec_id % 5 < 3 THEN len(list_filter(range(64), lambda i: i % 8 >= box[1] AND i % 8 < box[3] AND i // 8 >= box[2] AND i // 8 < box[4])) END AS n_pixels,
+CASE WHEN vec_id % 5 < 3 THEN CAST(list_sum(list_transform(list_filter(range(64), lambda i: i % 8 >= box[1] AND i % 8 < box[3] AND i // 8 >= box[2] AND i // 8 < box[4]), lambda i: CAST(trunc(e[i + 1] * 1000) AS BIGINT))) AS BIGINT) END AS total FROM c""")
+def crop_frames(spark, d):
+    kind = F.col("vec_id") % 5
+    spec = F.when(kind == 0, "0,0,1,1").when(kind == 1, "0.25, 0.25, 0.5, 0.5").when(kind == 2, "0.5,0,0.05,1").when(kind == 3, "0.5,0.5,0.6,0.2").otherwise("1,2,x")
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x.cast("double") * 1000).cast("long")).alias("pixels"), spec.alias("spec"), F.lit(8).alias("w"), F.lit(8).alias("h"))
+    e = e.withColumn("crop", catalog.parse_crop("spec"))
+    e = e.withColumn("own", F.when(F.col("crop").isNotNull(), catalog.cropped("pixels", "w", "h", F.col("crop"))))
+    total = F.aggregate("own", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return e.select("vec_id", F.col("crop").isNotNull().alias("valid"), F.when(F.col("own").isNotNull(), F.size("own").cast("long")).alias("n_pixels"), total.alias("total"))
 
-@query()
+
+@query("SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN '' ELSE lang END AS missing FROM documents")
+def missing_languages(spark, d):
+    own = table(spark, d, "documents").select("doc_id", F.concat(F.lit("en++"), "lang", F.lit("+")).alias("spec"), F.array(F.lit("en"), F.lit("de")).alias("installed"))
+    return own.select("doc_id", F.array_join(catalog.missing_languages("spec", "installed"), "+").alias("missing"))
+
+
+@query("SELECT 'lecture' || printf('%02d', o_custkey) AS lecture_id, o_orderkey FROM orders WHERE o_orderstatus <> 'O' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def valid_ids(spark, d):
+    shown = F.format_string("%02d", "o_custkey")
+    named = table(spark, d, "orders").select(F.concat(F.when(F.col("o_orderstatus") == "O", "talk").otherwise("lecture"), shown).alias("lecture_id"), "o_orderkey")
+    known = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.explode(F.array(*[F.concat(F.lit(p), F.format_string("%02d", "c_custkey")) for p in ("lecture", "talk")])).alias("lecture_id"))
+    return catalog.valid_ids(named, known)
+
+
+@query("SELECT printf('exam_%02d', n_nationkey) AS name, n_nationkey % 3 = 0 AS has_key FROM nation")
+def exam_listing(spark, d):
+    n = table(spark, d, "nation").select(F.format_string("exam_%02d", "n_nationkey").alias("name"), "n_nationkey")
+    return catalog.exam_listing(n.select("name").union(n.where("n_nationkey % 3 = 0").select(F.concat("name", F.lit("_key")))))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'sr' WHEN turn % 3 = 1 THEN role ELSE 'sr' END AS language, CAST(turn AS DOUBLE) AS seg_start, trim(text) AS text, CASE WHEN turn % 2 = 0 THEN role || ' ' ELSE '' END || right(text, 20) AS prompt FROM conversations""")
+def recognised_parts(spark, d):
+    detected = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.col("role"))
+    heard = F.array(F.struct(F.col("turn").alias("start"), (F.col("turn") + 1).alias("end"), F.concat(F.lit(" \n"), "text", F.lit("\t")).alias("text")))
+    c = table(spark, d, "conversations").withColumn("r", chunks.parsed_response(detected, F.lit("sr"), heard))
+    c = c.withColumns({"vocabulary": F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(""), "tail": F.right("text", F.lit(20))})
+    first = F.get("r.segments", F.lit(0))
+    return c.select("conv_id", "turn", "r.language", first["start"].alias("seg_start"), first["text"].alias("text"), fn.chunk_prompt("vocabulary", "tail").alias("prompt"))
+
+
+@query(f"""WITH {EV}, x AS (SELECT *, row_number() OVER (PARTITION BY lecture_id, slide_number ORDER BY timestamp, event_index) AS k, CAST(round_even(score * 50, 0) AS BIGINT) AS t FROM (SELECT * REPLACE (score AS score, event_index AS timestamp) FROM ev)),
+b AS (SELECT lecture_id, slide_number, k, CASE WHEN hash % 4 <> 0 THEN '![Example ' || k || ' — ' || printf('%d:%02d', event_index // 60, event_index % 60) || '](../' || frame_image_path || ')' || CASE WHEN hash % 3 = 0 THEN '' ELSE chr(10) || '*' || event_type || '*' END END AS block FROM x)
+SELECT lecture_id, slide_number, md5(CASE WHEN count(block) = 0 THEN '' ELSE chr(10) || chr(10) || '**Examples:**' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY k) || chr(10) END) AS examples_md5 FROM b GROUP BY ALL""")
+def examples_block(spark, d):
+    e = lecture_events(spark, d)
+    shown = e.select("lecture_id", "slide_number", "event_index", F.col("event_index").cast("double").alias("timestamp"), F.concat(F.lit("output/"), "frame_image_path").alias("frame_image_path"), F.when(F.col("hash") % 3 == 0, " ").otherwise(F.col("event_type")).alias("caption"), (F.col("hash") % 4 != 0).alias("exists"))
+    return documents.examples_block(shown).select("lecture_id", "slide_number", F.md5("examples").alias("examples_md5"))
+
+
+# External steps with fakes: what the fakes answer is known
+
+@query("""WITH p AS (SELECT doc_id, text, 'Slide text:' || chr(10) || lang || chr(10) || chr(10) || 'Speaker notes:' || chr(10) || chr(10) || chr(10) || 'Transcript:' || chr(10) || text AS p FROM documents)
+SELECT doc_id AS slide_number, false AS skipped, CAST(NULL AS VARCHAR) AS error, '## Note ' || left(md5(p), 8) AS text, CAST(len(regexp_extract_all(p, '\\S+')) AS BIGINT) AS input_tokens FROM p""")
 def udf_note_stub(spark, d):
     from ..ports import FakeModel, slide_notes
 
@@ -703,7 +812,7 @@ def udf_note_stub(spark, d):
     return slide_notes(s, FakeModel).select("slide_number", "note.skipped", "note.error", "note.text", "note.input_tokens")
 
 
-@query()
+@query("SELECT CAST(page_id AS VARCHAR) AS lecture_id, CAST(i AS BIGINT) AS event_index, i * 6.0::DOUBLE AS timestamp, CAST(i * 4 AS INTEGER) AS frame_idx FROM pages, (SELECT unnest([0, 1]) AS i)")
 def frame_udtf(spark, d):
     from ..ports import FakeFrames, sample_frames
 
@@ -711,14 +820,16 @@ def frame_udtf(spark, d):
     return runs.frame_events(sample_frames(v, FakeFrames))
 
 
-@query()
+@query(f"""WITH {EV}, o AS (SELECT *, CASE WHEN bit_count(xor(hash, lag(hash) OVER (PARTITION BY lecture_id ORDER BY event_index))) <= 2 THEN NULL ELSE event_index END AS own FROM ev),
+p AS (SELECT *, max(own) OVER (PARTITION BY lecture_id ORDER BY event_index) AS owner FROM o)
+SELECT lecture_id, event_index, owner, replace(replace(first_value(frame_image_path) OVER (PARTITION BY lecture_id, owner ORDER BY event_index), '_', ' '), '.png', '') AS ocr_text FROM p""")
 def ocr_stub(spark, d):
     from ..ports import FakeOcr, ocr_events
 
     return ocr_events(lecture_events(spark, d), FakeOcr, most_bits=2).select("lecture_id", "event_index", "owner", "ocr_text")
 
 
-@query()
+@query("""SELECT CAST(page_id AS VARCHAR) AS lecture_id, url AS path, 'words' AS prompt, 'en' AS language, CAST(i AS INTEGER) AS seg_index, i * 2.0::DOUBLE AS start, i * 2.0::DOUBLE + 2 AS "end", CASE WHEN i = 0 THEN trim(url) ELSE 'words' END AS text FROM pages, (SELECT unnest([0, 1]) AS i)""")
 def transcriber_stub(spark, d):
     from ..ports import FakeTranscriber, transcribe
 

@@ -219,3 +219,43 @@ def test_tasks(spark):
 def test_usage_of_nothing_is_zero(spark):
     none = spark.createDataFrame([], "input_tokens long, output_tokens long, cache_creation_input_tokens long, cache_read_input_tokens long")
     assert tuple(catalog.total_usage(none).first()) == (0, 0, 0, 0)
+
+
+def test_alike_titles_against_brute_force(spark):
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+
+    def changed(w):
+        w = list(w)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w)) :][:1] = []
+            w.insert(rng.randrange(len(w) + 1), rng.choice("abcde"))
+        return "".join(w)
+
+    titles = {f"lecture{i:02d}": " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for i in range(25)}
+    previews = {f"deck{i}": " ".join(changed(rng.choice(words)) for _ in range(rng.randint(3, 30))) for i in range(25)}
+    for fuzzy in (True, False):
+        want = []
+        for d, p in previews.items():
+            own, scored = set(p.split()), []
+            for i, t in titles.items():
+                hits = sum(w in own or bool(fuzzy and difflib.get_close_matches(w, sorted(own), n=1, cutoff=0.85)) for w in t.split())
+                if (score := round(hits / len(t.split()), 3)) >= 0.5:
+                    scored.append((-score, i))
+            want += [(d, i, -s) for s, i in sorted(scored)[:3]]
+        found = decks.suggest_lectures(spark.createDataFrame(list(previews.items()), "deck string, preview string"), spark.createDataFrame(list(titles.items()), "lecture_id string, title string"), fuzzy=fuzzy)
+        assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+        assert sorted((r.deck, r.lecture_id, r.score) for r in found.collect()) == sorted(want) and want
+
+
+def test_a_long_lecture_is_matched_in_turn():
+    import numpy as np
+
+    from lumenline.operators.match import greedy_path
+
+    scores = np.random.default_rng(1).random((50_000, 12))
+    path = list(greedy_path(scores, 0.15, 0.05, 0.05))
+    assert len(path) == 50_000 and all(d[1] == scores[i, d[0]] for i, d in enumerate(path))
