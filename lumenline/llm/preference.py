@@ -93,5 +93,5 @@ def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     turns = read(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
     even = F.pmod("conv_id", F.lit(2)) == 0
-    rows = turns.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.when(even, "chosen").otherwise("rejected").alias("side"), "conv_id", "turn", "role", "text")
+    rows = turns.select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"), F.when(even, "chosen").otherwise("rejected").alias("side"), "conv_id", "turn", "role", "text")
     return assemble(rows, "assistant")

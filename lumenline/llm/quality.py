@@ -3,9 +3,11 @@
 Four rates are computed from every text. For each stratum and rate, the labelled rows of good quality are a
 holdout on which candidate cutoffs are tested: a cutoff stands if an exact binomial test rejects that it
 would refuse more than the allowed share of good documents. The allowed share is divided among the rates,
-and the error level among all tests made (Bonferroni), so that with the stated confidence no stratum refuses
-more than the allowed share of good documents. Of the cutoffs that stand the strictest is used, of a rate
-without one none. Only sums by stratum, rate and cutoff are gathered.
+and the error level among all tests made (Bonferroni), so that with the stated confidence the four rates
+together refuse no more than the allowed share of a stratum's good documents. Rows that fail the base rules
+(too few words, too much repetition) are refused besides; the promise does not count them. Of the cutoffs that
+stand the strictest is used, of a rate without one none. Only sums by stratum, rate and cutoff are gathered.
+Very long texts are judged whole, and an empty table gives an empty result.
 
 Null texts have no words and all counts 0. Labels that are null or of unknown documents count for nothing;
 a doc_id labelled more than once is good only if all its labels say so. Repeated documents are judged one by
@@ -29,9 +31,7 @@ RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "long_word_rate")
 
 
 def without(text: Column, characters: str) -> Column:
-    for c in characters:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
+    return F.translate(text, characters, "")
 
 
 def repeated_words(words: Column) -> Column:

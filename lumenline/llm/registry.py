@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import base
 from .decontamination import OP3_SQL, op3_prefix_decontamination
 from .jaccard import OP4_SQL, op4_count_vector_join
 from .licenses import op6_template_markup
@@ -29,3 +30,6 @@ QUERIES = {
     )
 }
 ORACLE_SQL: dict[str, str] = {op3_prefix_decontamination.__name__: OP3_SQL, op4_count_vector_join.__name__: OP4_SQL, op5_deletion_neighbourhood.__name__: OP5_SQL, op8_rabin_karp.__name__: OP8_SQL}
+# What SQL can express of the others.
+QUERIES |= base.QUERIES
+ORACLE_SQL |= base.SQL

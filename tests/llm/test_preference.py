@@ -69,3 +69,13 @@ def test_hot_first_turn_and_nothing(spark):
     assert len(got) == 100 and all(r.n_common == 1 and r.prompt == show([("user", "same")]) for r in got)
     assert format_preferences(spark.createDataFrame([], TURN), pairs).count() == 0
     assert format_preferences(spark.createDataFrame([(None,) * 5], TURN), pairs).count() == 0
+
+
+def test_large_ids_keep_their_pairs(spark, tmp_path):
+    from lumenline.llm.preference import op2_preference_pairs
+
+    big = 2**53 + 2
+    rows = [(i, 0, "user", "a") for i in (big, big + 1, big + 2, -2, -1, -3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.pair_id: (r.chosen_id, r.rejected_id) for r in op2_preference_pairs(spark, str(tmp_path)).collect()}
+    assert got == {big // 2: (big, big + 1), big // 2 + 1: (big + 2, None), -1: (-2, -1), -2: (None, -3)}
