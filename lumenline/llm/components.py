@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
         last, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import BASE, LOWER, WordScan, join_split, materialize, mix, read, texts_of
+from .common import BASE, LOWER, WordScan, discard, join_split, materialize, mix, read, texts_of
 from .components import connected_components
 
 #: Hashed counts for rarity, bits of the filter for classes that have a close one, groups of a coarse and of a fine point.
@@ -367,7 +367,6 @@ class ShingleJoin:
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(u, v): the pairs (u, v) whose sets are similar; only sets that the filter lets through are moved."""
         num, den = self.num, self.den
-        pairs = materialize(pairs, "close-pairs")
         held = self.spark.sparkContext.broadcast(class_filter(pairs.select(F.explode(F.array("u", "v")).alias("cls"))))
 
         @F.pandas_udf(BooleanType())
@@ -400,11 +399,16 @@ class ShingleJoin:
         sets = self.sets(close)
         first = connected_components(self.home_links(close, sets))
         first = materialize(first.withColumnsRenamed({"node": "cls"}), "home-labels")
-        more = self.verified(self.between(close, sets, first), sets)
+        pairs = materialize(self.between(close, sets, first), "close-pairs")
+        for table in (close, self.labelled):
+            discard(table)
+        more = self.verified(pairs, sets)
         label = lambda side: F.coalesce(F.col(f"{side}_label"), F.col(side))
         for side in ("u", "v"):
             more = more.join(first.select(F.col("cls").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
         second = connected_components(more.select(label("u").alias("u"), label("v").alias("v")))
+        for table in (pairs, sets):
+            discard(table)
         second = second.select("node", F.col("label").alias("final"))
         joined = first.join(second, first["label"] == second["node"], "left").select("cls", F.coalesce("final", "label").alias("label"))
         alone = second.join(first, second["node"] == first["cls"], "left_anti").select(F.col("node").alias("cls"), F.col("final").alias("label"))
@@ -414,7 +418,7 @@ class ShingleJoin:
         """(u, v): pairs of classes of different components that share a token and pass the bound on overlap."""
         num, den = self.num, self.den
         rows = close.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        rows = materialize(rows, "labelled-shingles")
+        self.labelled = rows = materialize(rows, "labelled-shingles")
         sizes = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
         mixed = sizes.groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("mains"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
         rows = rows.join(mixed.drop("labels"), "token")
