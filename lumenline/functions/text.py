@@ -219,10 +219,46 @@ def similar_words(word: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([bool(difflib.get_close_matches(w, [o], n=1, cutoff=0.85)) for w, o in zip(word, other, strict=True)])
 
 
-def restored_math(text) -> Column:
-    """Text in which formulas are held apart from markup: STRUCT<text, formulas>, with @@n@@ in their places."""
-    pattern = r"(?s)\$\$.+?\$\$|\$[^$\n]+\$"
-    formulas = F.regexp_extract_all(col(text), F.lit(pattern), 0)
-    parts = F.split(col(text), pattern)
-    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit("@@"), i.cast("string"), F.lit("@@"))).otherwise(p)), "")
+MATH = r"(?s)\$\$.*?\$\$|\$[^$\n]+\$"
+
+
+def stashed_math(text) -> Column:
+    """Text in which formulas are held apart from markup: STRUCT<text, formulas>, with @@n@@ between NULs in their places."""
+    formulas = F.regexp_extract_all(col(text), F.lit(MATH), 0)
+    parts = F.split(col(text), MATH)
+    mark = lambda i: F.concat(F.lit("\0@@"), i.cast("string"), F.lit("@@\0"))
+    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, mark(i))).otherwise(p)), "")
     return F.struct(joined.alias("text"), formulas.alias("formulas"))
+
+
+def restored_math(text, formulas) -> Column:
+    """The formulas back in their places, each in one go over the pieces between the marks; a mark without a formula is left out."""
+    pieces = F.split(col(text), "\0@@")
+    number = lambda x: F.regexp_extract(x, "^([0-9]+)@@\0", 1).try_cast("int")
+    put = lambda x: F.concat(F.coalesce(F.get(col(formulas), number(x)), F.lit("")), F.regexp_replace(x, "^[0-9]+@@\0", ""))
+    return F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(put(x))), "")
+
+
+def luminance(red, green, blue) -> Column:
+    """Gray of 0 to 255."""
+    return F.round(col(red) * 0.299 + col(green) * 0.587 + col(blue) * 0.114).cast("int")
+
+
+def area_resized(pixels, width, height, to_width: int = 320) -> Column:
+    """One channel, row by row, at a new width and the height in proportion (1 at least): each pixel is the mean of the area it covers."""
+    pixels, w, h = col(pixels), col(width), col(height)
+    to_height = F.greatest(F.bround(h * F.lit(to_width) / w).cast("int"), F.lit(1))
+    step_x, step_y = w / F.lit(float(to_width)), h / to_height.cast("double")
+
+    def overlap(i, place, step):
+        return F.greatest(F.least(i + 1.0, (place + 1) * step) - F.greatest(i * 1.0, place * step), F.lit(0.0))
+
+    def covered(place, step, size):
+        return F.sequence(F.floor(place * step).cast("int"), F.least(F.ceil((place + 1) * step).cast("int"), size) - 1)
+
+    def mean(at):
+        x, y = at % to_width, F.floor(at / to_width).cast("int")
+        row = lambda j: F.aggregate(covered(x, step_x, w), F.lit(0.0), lambda acc, i: acc + F.get(pixels, j * w + i) * overlap(i, x, step_x))
+        return F.aggregate(covered(y, step_y, h), F.lit(0.0), lambda acc, j: acc + row(j) * overlap(j, y, step_y)) / (step_x * step_y)
+
+    return F.transform(F.sequence(F.lit(0), to_height * to_width - 1), mean)

@@ -34,6 +34,15 @@ def valid_ids(df: DataFrame, known: DataFrame, column: str = "lecture_id", patte
     return df.where(F.regexp_like(column, F.lit(pattern))).join(known.select(column).distinct(), column, "left_semi")
 
 
+def valid_exam_names(df: DataFrame, column: str = "name") -> DataFrame:
+    return df.where(F.regexp_like(column, F.lit(EXAM_NAME)))
+
+
+def wanted_stages(stages) -> F.Column:
+    """The stages that a request names, each once, in their order."""
+    return F.array_sort(F.array_distinct(F.col(stages)))
+
+
 def valid_url(url) -> F.Column:
     url = F.col(url) if isinstance(url, str) else url
     return F.coalesce(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & (F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")) != ""), F.lit(False))

@@ -40,6 +40,23 @@ def parsed_response(detected, forced, segments) -> F.Column:
     return F.struct(language.alias("language"), own.alias("segments"))
 
 
+def answer_or_error(answer, forced) -> F.Column:
+    """STRUCT<response, error> of a recogniser's JSON: without a list of segments that all have times, only the error is set."""
+    read = F.from_json(answer, "language string, segments array<struct<start:double,end:double,text:string>>")
+    whole = F.forall(read["segments"], lambda s: s["start"].isNotNull() & s["end"].isNotNull() & s["text"].isNotNull())
+    good = F.coalesce(whole, F.lit(False))
+    found = parsed_response(read["language"], F.lit(forced), read["segments"])
+    return F.struct(F.when(good, found).alias("response"), F.when(~good, F.lit("malformed response")).alias("error"))
+
+
+def zipped(left: DataFrame, right: DataFrame, order, keys=KEYS) -> DataFrame:
+    """Rows of both sides by their place; a place that only one side has is an error."""
+    rows = left.withColumn("__left", F.lit(True)).join(right.withColumn("__right", F.lit(True)), [*keys, order], "full")
+    both = F.col("__left").isNotNull() & F.col("__right").isNotNull()
+    checked = F.when(both, F.col(order)).otherwise(F.raise_error(F.lit("sides differ in length")).cast(rows.schema[order].dataType))
+    return rows.withColumn(order, checked).drop("__left", "__right")
+
+
 def transcript_rows(transcripts: DataFrame, keys=KEYS) -> DataFrame:
     """One row for each segment."""
     return transcripts.select(*keys, F.posexplode("segments").alias("seg_index", "s")).select(*keys, "seg_index", "s.*")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import catalog, chunks, decks, match, review, runs, segment, tfidf, visual
+from ..sources import artifacts
 from . import documents
 
 QUERIES: dict = {}
@@ -835,3 +836,147 @@ def transcriber_stub(spark, d):
 
     r = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("lecture_id"), F.col("url").alias("path"), F.lit("words").alias("prompt"))
     return transcribe(r, FakeTranscriber)
+
+
+# Stored files as relations
+
+@query("""SELECT o_orderkey AS lecture_id, CASE WHEN n_line > 0 THEN 'https://b/' || o_orderkey ELSE 'https://a/' || o_orderkey END AS url
+FROM (SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS n_line FROM orders)""")
+def merge_provenance(spark, d):
+    old = table(spark, d, "orders").select(F.col("o_orderkey").alias("lecture_id")).withColumn("url", F.concat(F.lit("https://a/"), F.col("lecture_id").cast("string")))
+    new = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("lecture_id")).distinct().join(old.select("lecture_id"), "lecture_id", "left_semi")
+    return artifacts.merge_provenance(old, new.withColumn("url", F.concat(F.lit("https://b/"), F.col("lecture_id").cast("string"))))
+
+
+@query("""SELECT 'd' || doc_id AS name, 100 AS modified FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0""")
+def stale_documents(spark, d):
+    s = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.lit(100).alias("modified"), "doc_id")
+    made = s.where("doc_id % 7 != 0").select("name", F.when(F.col("doc_id") % 5 == 0, 99).otherwise(F.lit(100) + F.col("doc_id") % 2).alias("modified"))
+    return artifacts.stale_documents(s.select("name", "modified"), made)
+
+
+@query("""SELECT n_name AS name, n_nationkey AS size, 'replaced' AS how FROM nation WHERE n_regionkey < 2
+UNION ALL SELECT n_name, CASE WHEN n_regionkey < 2 THEN n_nationkey ELSE -n_nationkey END, 'added' FROM nation WHERE n_regionkey < 2 OR n_nationkey % 2 = 0""")
+def merge_pool(spark, d):
+    n = table(spark, d, "nation")
+    old = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), (-F.col("n_nationkey")).alias("size"))
+    new = n.where("n_regionkey < 2").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("size"))
+    return artifacts.merge_pool(old, new, True).withColumn("how", F.lit("replaced")).union(artifacts.merge_pool(old, new, False).withColumn("how", F.lit("added")))
+
+
+@query("SELECT n_name AS text, r_name AS source FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3")
+def tagged_exams(spark, d):
+    n = table(spark, d, "nation")
+    regions = {r.r_name: r.r_regionkey for r in table(spark, d, "region").where("r_regionkey < 3").collect()}
+    return artifacts.tagged_union({name: n.where(F.col("n_regionkey") == k).select(F.col("n_name").alias("text")) for name, k in regions.items()}, ["text string"])
+
+
+@query("""SELECT doc_id AS lecture_id, size, CAST(size - 200 AS DOUBLE) AS duration FROM (SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS size FROM documents WHERE lang <> 'fr') WHERE size > 200""")
+def playable_files(spark, d):
+    f = table(spark, d, "documents").select(F.col("doc_id").alias("lecture_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), "lang")
+    return artifacts.playable(f.drop("lang"), f.where("lang != 'fr'").select("lecture_id", (F.col("size") - 200).cast("double").alias("duration")))
+
+
+@query("SELECT doc_id, source || '/' || doc_id || CASE WHEN lang = 'en' THEN '.PDF' ELSE '.pptx' END AS path FROM documents WHERE lang IN ('en', 'de')")
+def upload_filter(spark, d):
+    end = F.when(F.col("lang") == "en", ".PDF").when(F.col("lang") == "de", ".pptx").otherwise(".exe")
+    files = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), end).alias("path"))
+    return artifacts.with_extension(files, "pdf", "pptx")
+
+
+@query("SELECT CASE WHEN n_nationkey < 10 THEN 'exam_' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') ELSE 'exam_' || n_nationkey END AS name FROM nation WHERE n_nationkey % 4 <> 1")
+def exam_names(spark, d):
+    k = F.col("n_nationkey")
+    name = F.when(k % 4 == 1, F.format_string("exam_%d x", k)).otherwise(F.format_string("exam_%02d", k))
+    return catalog.valid_exam_names(table(spark, d, "nation").select(name.alias("name")))
+
+
+@query("SELECT l_orderkey, CAST(list_sort(list_distinct(list(l_linenumber))) AS VARCHAR) AS stages FROM lineitem GROUP BY ALL")
+def wanted_stages(spark, d):
+    asked = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.flatten(F.collect_list(F.array("l_linenumber", "l_linenumber"))).alias("asked"))
+    shown = F.array_join(F.transform(catalog.wanted_stages("asked"), lambda x: x.cast("string")), ", ")
+    return asked.select("l_orderkey", F.concat(F.lit("["), shown, F.lit("]")).alias("stages"))
+
+
+@query(f"""WITH {EV} SELECT lecture_id, CAST(sum(hash) AS BIGINT) AS input_tokens, count(*) AS output_tokens, CAST(0 AS BIGINT) AS cache_creation_input_tokens, CAST(sum(CASE WHEN hash > 50 THEN hash ELSE 0 END) AS BIGINT) AS cache_read_input_tokens FROM ev GROUP BY ALL""")
+def usage_by_lecture(spark, d):
+    u = lecture_events(spark, d).select("lecture_id", F.col("hash").alias("input_tokens"), F.lit(1).alias("output_tokens"), F.lit(None).cast("long").alias("cache_creation_input_tokens"), F.when(F.col("hash") > 50, F.col("hash")).alias("cache_read_input_tokens"))
+    return catalog.total_usage(u, ("lecture_id",))
+
+
+@query(f"""WITH {EV} SELECT lecture_id, event_index, hash > 50 AS confirmed FROM ev""")
+def split_verdicts(spark, d):
+    e = lecture_events(spark, d).withColumn("verdict", F.when(F.col("hash") % 2 == 0, F.struct((F.col("hash") > 50).alias("is_example"))).when(F.col("hash") > 50, F.struct(F.lit(True).alias("is_example"))))
+    good, bad = catalog.split_verdicts(e)
+    return good.select("lecture_id", "event_index", F.lit(True).alias("confirmed")).union(bad.select("lecture_id", "event_index", F.lit(False)))
+
+
+@query("SELECT conv_id AS lecture_id, turn, CAST(turn + 1 AS INTEGER) AS number, role AS l_role, length(text) AS r_size FROM conversations")
+def numbered_results(spark, d):
+    c = table(spark, d, "conversations").withColumnRenamed("conv_id", "lecture_id")
+    left = chunks.numbered(c.select("lecture_id", "turn", F.col("role").alias("l_role")), "turn")
+    right = chunks.numbered(c.select("lecture_id", "turn", F.length("text").cast("long").alias("r_size")), "turn").drop("turn")
+    return chunks.zipped(left, right, "number")
+
+
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'sr' WHEN 1 THEN 'en' END AS language, CASE WHEN turn % 4 < 2 THEN 1 END AS n_segments, CASE WHEN turn % 4 >= 2 THEN 'malformed response' END AS error FROM conversations""")
+def recogniser_errors(spark, d):
+    kind = F.col("turn") % 4
+    answer = F.when(kind == 0, '{"segments": [{"start": 0, "end": 1.5, "text": " a "}]}').when(kind == 1, '{"language": "en", "segments": [{"start": 1, "end": 2, "text": "b"}]}').when(kind == 2, '{"segments": [{"start": 0, "text": "c"}]}').otherwise("not json")
+    c = table(spark, d, "conversations").withColumn("a", answer).withColumn("r", chunks.answer_or_error(F.col("a"), "sr"))
+    return c.select("conv_id", "turn", "r.response.language", F.when(F.col("r.error").isNull(), F.size("r.response.segments")).alias("n_segments"), "r.error")
+
+
+# Texts and pictures
+
+@query("""SELECT conv_id, turn, md5(t) AS restored_md5, 2 AS n_formulas, md5('A ' || chr(0) || '@@0@@' || chr(0) || replace(text, '$', '') || chr(0) || '@@1@@' || chr(0)) AS stashed_md5
+FROM (SELECT *, 'A $x_1$' || replace(text, '$', '') || '$$y' || chr(10) || 'z$$' AS t FROM conversations)""")
+def math_stash(spark, d):
+    own = F.concat(F.lit("A $x_1$"), F.replace("text", F.lit("$"), F.lit("")), F.lit("$$y\nz$$"))
+    c = table(spark, d, "conversations").withColumn("s", fn.stashed_math(own))
+    return c.select("conv_id", "turn", F.md5(fn.restored_math("s.text", "s.formulas")).alias("restored_md5"), F.size("s.formulas").alias("n_formulas"), F.md5("s.text").alias("stashed_md5"))
+
+
+@query(f"""WITH {EV} SELECT lecture_id, event_index, '../frames/' || frame_image_path AS note_path, '{{"k": ' || hash || '}}' AS answer FROM ev""")
+def answers_and_paths(spark, d):
+    e = lecture_events(spark, d)
+    bare = F.concat(F.lit('{"k": '), F.col("hash").cast("string"), F.lit("}"))
+    answer = F.when(F.col("hash") % 3 == 0, F.concat(F.lit("So:\n```json\n"), bare, F.lit("\n```\nDone."))).when(F.col("hash") % 3 == 1, F.concat(F.lit("I say "), bare, F.lit(" here"))).otherwise(F.concat(F.lit(" \n"), bare, F.lit("\n")))
+    return e.select("lecture_id", "event_index", fn.note_image_path(F.concat(F.lit("output/frames/"), "frame_image_path")).alias("note_path"), fn.embedded_json(answer).alias("answer"))
+
+
+@query("""WITH p AS (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS e FROM embeddings),
+h AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN e[i // 8 * 9 + i % 8 + 1] > e[i // 8 * 9 + i % 8 + 2] THEN CAST(1 AS HUGEINT) << CAST(63 - i AS INTEGER) ELSE CAST(0 AS HUGEINT) END)) AS x FROM p)
+SELECT vec_id, CAST(CASE WHEN x > 9223372036854775807 THEN x - 18446744073709551616::HUGEINT ELSE x END AS BIGINT) AS dhash FROM h""")
+def frame_hash_full(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.concat("embedding", F.slice("embedding", 1, 8)).alias("gray"))
+    return e.select("vec_id", fn.difference_hash("gray").alias("dhash"))
+
+
+@query("""WITH w AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(trunc(v * 1000) AS DOUBLE)) AS e FROM embeddings), o AS (SELECT *, p % 3 AS x, p // 3 AS y FROM w, (SELECT CAST(unnest(range(9)) AS INTEGER) AS p))
+SELECT vec_id, p AS place, round(list_sum(list_transform(range(64), lambda i: e[i + 1] * greatest(0, least(i % 8 + 1, (x + 1) * 8 / 3.0::DOUBLE) - greatest(i % 8, x * 8 / 3.0::DOUBLE)) * greatest(0, least(i // 8 + 1, (y + 1) * 8 / 3.0::DOUBLE) - greatest(i // 8, y * 8 / 3.0::DOUBLE)))) * 9 / 64, 6) AS mean FROM o""")
+def frame_resize(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x.cast("double") * 1000).cast("long").cast("double")).alias("gray"), F.lit(8).alias("w"), F.lit(8).alias("h"))
+    return e.select("vec_id", F.posexplode(fn.area_resized("gray", "w", "h", 3)).alias("place", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH s AS (SELECT conv_id AS lecture_id, max(CASE WHEN turn = 0 THEN text END) AS t, max(CASE WHEN turn = 1 THEN text END) AS b, max(CASE WHEN turn = 2 THEN text END) AS n FROM (SELECT conv_id, turn, trim(text, E' \\n\\t\\r') AS text FROM conversations WHERE turn < 3) GROUP BY ALL)
+SELECT lecture_id, CAST(1 AS INTEGER) AS slide_number, CASE WHEN lecture_id % 2 = 0 THEN coalesce(t, '') ELSE coalesce(split_part(b, chr(10), 1), '') END AS title, coalesce(b, '') AS body_text, coalesce(n, '') AS notes_text, CASE WHEN lecture_id % 3 = 0 THEN 'p.png' ELSE '' END AS image_path FROM s""")
+def shape_slides(spark, d):
+    c = table(spark, d, "conversations").where("turn < 3").withColumnRenamed("conv_id", "lecture_id")
+    role = F.when(F.col("turn") == 0, F.when(F.col("lecture_id") % 2 == 0, "title")).when(F.col("turn") == 1, "body").otherwise("notes")
+    shapes = c.select("lecture_id", F.lit(1).alias("slide_number"), F.col("turn").alias("shape_index"), role.alias("role"), F.concat(F.lit("\n"), "text", F.lit(" ")).alias("text"))
+    images = c.select("lecture_id").distinct().where("lecture_id % 3 = 0").select("lecture_id", F.lit(1).alias("slide_number"), F.lit("p.png").alias("image_path"))
+    return decks.shapes_to_slides(shapes, images)
+
+
+@query("""WITH n AS (SELECT r_name AS lecture_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS position, n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+b AS (SELECT *, CASE n_nationkey % 4 WHEN 0 THEN '## Slide ' || position || chr(10) || chr(10) || '*(Nothing to summarize here — skipped.)*' || chr(10)
+ WHEN 1 THEN '## Slide ' || position || chr(10) || chr(10) || '*(Note generation failed here: ' || n_name || ')*' || chr(10) ELSE '## Slide ' || position || ': ' || n_name || chr(10) || 'text' || chr(10) END AS body FROM n)
+SELECT lecture_id, '# ' || lecture_id || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY position) || coalesce(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Slides that failed to generate:** ' || string_agg(CASE WHEN n_nationkey % 4 = 1 THEN CAST(n_nationkey AS VARCHAR) END, ', ' ORDER BY position) || chr(10), '') AS text FROM b GROUP BY lecture_id""")
+def lecture_notes(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey") % 4
+    note = F.struct((k == 0).alias("skipped"), F.when(k == 1, F.col("n_name")).alias("error"), F.when(k > 1, F.concat(F.lit("## "), "n_name", F.lit("\ntext"))).alias("text"))
+    rows = n.select(F.col("r_name").alias("lecture_id"), F.col("n_nationkey").alias("slide_number"), F.lit("deck").alias("mode"), note.alias("note"), F.lit("").alias("examples"), F.lit(None).cast("string").alias("deck_image_path"), F.lit(None).cast("string").alias("frame_image_path"))
+    return documents.lecture_notes(chunks.numbered(rows, "slide_number", name="position"))

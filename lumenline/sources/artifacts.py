@@ -68,6 +68,28 @@ def verified_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("size > 0").withColumn("lecture_id", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
 
 
+def playable(files: DataFrame, durations: DataFrame) -> DataFrame:
+    """Verified files whose probed duration (lecture_id, duration) is above zero."""
+    return files.where("size > 0").join(durations.where("duration > 0").select("lecture_id", "duration"), "lecture_id")
+
+
+def tagged_union(sources: dict[str, DataFrame], columns: list[str], tag: str = "source") -> DataFrame:
+    """The rows of several files with their file's name, those of the first name first; no files are no rows, not an error.
+
+    ``columns`` are SQL column definitions, which an empty set of files needs for its schema.
+    """
+    spark = SparkSession.active()
+    rows = spark.createDataFrame([], schema(", ".join([*columns, f"{tag} string"])))
+    for name in sorted(sources):
+        rows = rows.unionByName(sources[name].withColumn(tag, F.lit(name)))
+    return rows
+
+
+def merge_pool(old: DataFrame, new: DataFrame, replace: bool, key: str = "name") -> DataFrame:
+    """A pool after an upload: the new files alone, or the old ones too, a new one in the place of an old one of its name."""
+    return new if replace else old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
 def write_lectures(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write by lecture; lectures that are not in ``df`` stay as they are. Rewritten ones appear with the job's commit."""
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("lecture_id").parquet(path)

@@ -116,5 +116,5 @@ def test_urls(spark):
 
 
 def test_math_is_held_apart(spark):
-    got = value(spark, fn.restored_math("t"), t="a $x$ b $$y\nz$$ c")
+    got = value(spark, fn.stashed_math("t"), t="a $x$ b $$y\nz$$ c")
     assert got["text"] == "a @@0@@ b @@1@@ c" and got["formulas"] == ["$x$", "$$y\nz$$"]
