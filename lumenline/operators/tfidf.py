@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def default_stop_words(spark) -> list[str]:
     """The English stop words that come with Spark."""
@@ -27,9 +29,10 @@ def tfidf_weights(docs: DataFrame, keys: tuple[str, ...], doc: str = "doc", text
 
     ``docs`` holds all that share an idf; documents without a term that is kept have no rows.
     """
-    listed = docs.select(*keys, doc, tokens(text, stop_words).alias("__words"))
-    listed = listed.withColumn("__terms", with_bigrams(F.col("__words")) if bigrams else F.col("__words"))
-    counts = listed.select(*keys, doc, F.explode("__terms").alias("term")).groupBy(*keys, doc, "term").agg(F.count("*").alias("tf"))
+    words = tokens(text, stop_words)
+    # Bound to a variable: a text would be cut into words again for each pair.
+    terms = let(words, with_bigrams) if bigrams else words
+    counts = docs.select(*keys, doc, F.explode(terms).alias("term")).groupBy(*keys, doc, "term").agg(F.count("*").alias("tf"))
     if keys:
         total = docs.groupBy(*keys).agg(F.count("*").alias("__n"))
         counts = counts.join(total, list(keys))

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..model import Tunables
 from ..operators import catalog, chunks, decks, match, review, runs, segment, tfidf, visual
 from ..sources import artifacts
-from . import documents
+from . import documents, stages
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -980,3 +981,38 @@ def lecture_notes(spark, d):
     note = F.struct((k == 0).alias("skipped"), F.when(k == 1, F.col("n_name")).alias("error"), F.when(k > 1, F.concat(F.lit("## "), "n_name", F.lit("\ntext"))).alias("text"))
     rows = n.select(F.col("r_name").alias("lecture_id"), F.col("n_nationkey").alias("slide_number"), F.lit("deck").alias("mode"), note.alias("note"), F.lit("").alias("examples"), F.lit(None).cast("string").alias("deck_image_path"), F.lit(None).cast("string").alias("frame_image_path"))
     return documents.lecture_notes(chunks.numbered(rows, "slide_number", name="position"))
+
+
+# Stage 4 as a whole: similarities, the ordered matcher, runs
+
+STAGE_4 = SQL["deck_similarity"].split("\nSELECT e.conv_id")[0].replace("WITH docs", "WITH RECURSIVE docs", 1) + """,
+sc AS MATERIALIZED (SELECT e.conv_id, e.turn, list(coalesce(sim, 0.0::DOUBLE) ORDER BY z.turn) AS sc FROM conversations e JOIN conversations z ON e.conv_id = z.conv_id AND z.turn < 3 LEFT JOIN p ON p.conv_id = e.conv_id AND p.e = e.turn AND p.s = z.turn + 1 GROUP BY ALL),
+""" + SQL["greedy_match"].split("FROM conversations),\n", 1)[1].split("\nSELECT conv_id AS lecture_id")[0].replace(":4]", ":3]") + """,
+matched AS (SELECT conv_id AS lecture_id, turn AS event_index, cur AS slide_number, round(score, 4) AS score, jumped, stayed, turn * 10.0::DOUBLE AS timestamp, 'output/' || turn || '.png' AS frame FROM m WHERE turn >= 0)"""
+
+
+def stage_four(spark, d) -> dict[str, DataFrame]:
+    """A deck of three slides against all turns of a conversation; no lecture falls back to sight."""
+    e, s = deck_frames(spark, d)
+    index = F.col("event_index")
+    e = e.withColumns({"timestamp": index * F.lit(10.0), "frame_image_path": F.concat(F.lit("output/"), index.cast("string"), F.lit(".png")), "hash": index.cast("long")})
+    slides = s.select("lecture_id", "slide_number", F.lit("").alias("title"), F.col("reference_text").alias("body_text"))
+    return stages.match_stage(e, slides, None, STOP, t=Tunables(auto_visual_threshold=0.0))
+
+
+@query(STAGE_4 + " SELECT lecture_id, event_index, slide_number, score, jumped AS jumped_backward, stayed AS stayed_over_raw_best, timestamp, frame AS frame_image_path FROM matched")
+def stage_matches(spark, d):
+    return stage_four(spark, d)["matches"].select("lecture_id", "event_index", "slide_number", "score", "jumped_backward", "stayed_over_raw_best", "timestamp", "frame_image_path")
+
+
+@query(STAGE_4 + " SELECT lecture_id, event_index, slide_number, score FROM matched WHERE score < 0.25")
+def stage_low_confidence(spark, d):
+    return stage_four(spark, d)["low_confidence"].select("lecture_id", "event_index", "slide_number", "score")
+
+
+@query(STAGE_4 + """, f AS (SELECT *, CASE WHEN slide_number = lag(slide_number) OVER w THEN 0 ELSE 1 END AS brk FROM matched WINDOW w AS (PARTITION BY lecture_id ORDER BY event_index)),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY lecture_id ORDER BY event_index) AS run FROM f),
+r AS (SELECT lecture_id, run, any_value(slide_number) AS slide_number, min(timestamp) AS s, max(timestamp) AS l, max(score) AS confidence, arg_max(frame, event_index) AS last_frame_image_path FROM g GROUP BY ALL)
+SELECT lecture_id, slide_number, s AS start, coalesce(lead(s) OVER (PARTITION BY lecture_id ORDER BY run), l) AS "end", confidence, last_frame_image_path, 'deck' AS mode FROM r""")
+def stage_timeline(spark, d):
+    return stage_four(spark, d)["timeline"].select("lecture_id", "slide_number", "start", "end", "confidence", "last_frame_image_path", "mode")

@@ -20,7 +20,7 @@ def match_stage(events: DataFrame, slides: DataFrame, durations: DataFrame | Non
 
     A lecture is segmented by sight if its mode (lecture_id, mode) says so, or if too many of its matches are weak;
     both branches are plans over disjoint lectures, and their timelines' ``mode`` is what was done. By sight
-    there is nothing to review and there are no candidates.
+    there is nothing to review and there are no candidates. Without modes and with a threshold of 0 no lecture is.
     """
     wanted = events.select(*KEYS).distinct()
     wanted = wanted.join(modes, list(KEYS), "left") if modes is not None else wanted.withColumn("mode", F.lit(None).cast("string"))
@@ -33,10 +33,12 @@ def match_stage(events: DataFrame, slides: DataFrame, durations: DataFrame | Non
     quality = match.confidence_by_lecture(matches, t.confidence_threshold, t.auto_visual_threshold)
     kept = quality.where("not fall_back").select(*KEYS)
     good = matches.join(kept, list(KEYS), "left_semi")
-    by_sight = events.join(kept, list(KEYS), "left_anti")
-    seen = visual.visual_timeline(by_sight, durations, t.visual_similarity, t.visual_min_seconds, t.visual_min_df, t.visual_keywords)
     from_deck = match.deck_timeline(good, durations).select(*KEYS, "slide_number", "start", "end", "confidence", "last_frame_image_path")
-    timeline = from_deck.withColumn("segment_keywords", F.array().cast("array<string>")).withColumn("mode", F.lit("deck")).unionByName(seen.withColumn("mode", F.lit("visual")))
+    timeline = from_deck.withColumn("segment_keywords", F.array().cast("array<string>")).withColumn("mode", F.lit("deck"))
+    if modes is not None or t.auto_visual_threshold > 0:
+        by_sight = events.join(kept, list(KEYS), "left_anti")
+        seen = visual.visual_timeline(by_sight, durations, t.visual_similarity, t.visual_min_seconds, t.visual_min_df, t.visual_keywords)
+        timeline = timeline.unionByName(seen.withColumn("mode", F.lit("visual")))
     return {
         "timeline": timeline,
         "matches": good,
