@@ -116,5 +116,14 @@ def test_urls(spark):
 
 
 def test_math_is_held_apart(spark):
-    got = value(spark, fn.stashed_math("t"), t="a $x$ b $$y\nz$$ c")
-    assert got["text"] == "a @@0@@ b @@1@@ c" and got["formulas"] == ["$x$", "$$y\nz$$"]
+    text = "a $x$ b $$y\nz$$ c @@0@@ 5 $"
+    got = value(spark, fn.stashed_math("t"), t=text)
+    assert (got.text, got.formulas) == ("a \0@@0@@\0 b \0@@1@@\0 c @@0@@ 5 $", ["$x$", "$$y\nz$$"])
+    assert value(spark, fn.restored_math("t", "f"), t=got.text, f=got.formulas) == text
+    assert value(spark, fn.restored_math("t", "f"), t="plain", f=["$x$"]) == "plain"
+
+
+def test_area_resizing_averages_what_a_pixel_covers(spark):
+    assert value(spark, fn.area_resized("p", "w", "h", 2), p=[0, 2, 4, 6, 8, 10, 12, 14], w=4, h=2) == [5.0, 9.0]
+    assert value(spark, fn.area_resized("p", "w", "h", 2), p=[0, 3, 6], w=3, h=1) == [1.0, 5.0]
+    assert value(spark, fn.luminance("r", "g", "b"), r=255, g=255, b=255) == 255

@@ -259,3 +259,11 @@ def test_a_long_lecture_is_matched_in_turn():
     scores = np.random.default_rng(1).random((50_000, 12))
     path = list(greedy_path(scores, 0.15, 0.05, 0.05))
     assert len(path) == 50_000 and all(d[1] == scores[i, d[0]] for i, d in enumerate(path))
+
+
+def test_zipped_sides_must_be_of_one_length(spark):
+    left = spark.createDataFrame([("l", 1, "a"), ("l", 2, "b")], "lecture_id string, place int, x string")
+    right = spark.createDataFrame([("l", 1, "c"), ("l", 2, "d")], "lecture_id string, place int, y string")
+    assert sorted(map(tuple, chunks.zipped(left, right, "place").collect())) == [("l", 1, "a", "c"), ("l", 2, "b", "d")]
+    with pytest.raises(Exception, match="sides differ in length"):
+        chunks.zipped(left, right.where("place = 1"), "place").collect()

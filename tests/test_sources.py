@@ -54,3 +54,9 @@ def test_stale(spark):
     assert sorted(r.name for r in artifacts.stale_documents(md, pdf).collect()) == ["b", "c"]
     files = spark.createDataFrame([("x.PDF",), ("y.pptx",), ("z.exe",), ("none",)], "path string")
     assert artifacts.with_extension(files, "pdf", "pptx").count() == 2
+
+
+def test_tagged_union_of_no_files_is_empty(spark):
+    assert artifacts.tagged_union({}, ["text string"]).columns == ["text", "source"]
+    one = spark.createDataFrame([("a",)], "text string")
+    assert [tuple(r) for r in artifacts.tagged_union({"b.pdf": one, "a.pdf": one}, ["text string"]).collect()] == [("a", "a.pdf"), ("a", "b.pdf")]
