@@ -12,6 +12,7 @@ from .preference import op2_preference_pairs
 from .quality import op7_controlled_thresholds
 from .sharding import op1_sampled_splitters
 from .substring import OP8_SQL, op8_rabin_karp
+from .tokencounts import op12_prefix_token_counts
 from .toxicity import op10_nearest_examples
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
         op8_rabin_karp,
         op9_histogram_packing,
         op10_nearest_examples,
+        op12_prefix_token_counts,
     )
 }
 ORACLE_SQL: dict[str, str] = {op3_prefix_decontamination.__name__: OP3_SQL, op4_count_vector_join.__name__: OP4_SQL, op5_deletion_neighbourhood.__name__: OP5_SQL, op8_rabin_karp.__name__: OP8_SQL}
