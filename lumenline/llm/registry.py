@@ -11,6 +11,7 @@ from .packing import op9_histogram_packing
 from .preference import op2_preference_pairs
 from .prefixtrie import OP11_SQL, op11_prefix_trie
 from .quality import op7_controlled_thresholds
+from .repair import OP13_SQL, op13_rank_repair
 from .sharding import op1_sampled_splitters
 from .substring import OP8_SQL, op8_rabin_karp
 from .tokencounts import op12_prefix_token_counts
@@ -31,9 +32,10 @@ QUERIES = {
         op10_nearest_examples,
         op11_prefix_trie,
         op12_prefix_token_counts,
+        op13_rank_repair,
     )
 }
-ORACLE_SQL: dict[str, str] = {op3_prefix_decontamination.__name__: OP3_SQL, op4_count_vector_join.__name__: OP4_SQL, op5_deletion_neighbourhood.__name__: OP5_SQL, op8_rabin_karp.__name__: OP8_SQL, op11_prefix_trie.__name__: OP11_SQL}
+ORACLE_SQL: dict[str, str] = {op3_prefix_decontamination.__name__: OP3_SQL, op4_count_vector_join.__name__: OP4_SQL, op5_deletion_neighbourhood.__name__: OP5_SQL, op8_rabin_karp.__name__: OP8_SQL, op11_prefix_trie.__name__: OP11_SQL, op13_rank_repair.__name__: OP13_SQL}
 # What SQL can express of the others.
 QUERIES |= base.QUERIES
 ORACLE_SQL |= base.SQL

@@ -44,3 +44,30 @@ def numbered(rows: DataFrame, key: str, order: list[Column], name: str) -> DataF
     offsets = parts.withColumn("__before", F.sum("__n").over(earlier)).where("__before is not null").drop("__n")
     placed = found.join(F.broadcast(offsets), [key, "__range"], "left")
     return placed.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).drop("__range", "__before")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole groups, of at least so many rows where there are more, with the groups' first rows."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if held.num_rows >= least:
+            held = held.combine_chunks()
+            begins = group_starts(held, keys)
+            cut = int(begins[-1])
+            if cut:
+                yield held.slice(0, cut), begins[:-1]
+                held = held.slice(cut)
+    if held is not None and held.num_rows:
+        held = held.combine_chunks()
+        yield held, group_starts(held, keys)
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    changes = np.zeros(table.num_rows, bool)
+    changes[:1] = True
+    for key in keys:
+        column = table[key].combine_chunks()
+        changes[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changes)
