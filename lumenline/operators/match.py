@@ -17,13 +17,12 @@ from .runs import KEYS, collapse_runs, first_in_run, last_of_kind, value_runs
 DECISION = "at int, score double, jumped boolean, stayed boolean, forward_at int, forward_score double, back_at int, back_score double"
 
 
-def greedy_path(scores: np.ndarray, margin: float, stay_margin: float, min_forward: float) -> Iterator[tuple]:
+def greedy_path(scores: np.ndarray, margin: float, stay_margin: float, min_forward: float, cur: int = 0) -> Iterator[tuple]:
     """A decision (as DECISION) for each row of scores, a row for each event and a column for each slide.
 
-    Places count from 0. The state is the place of the slide just shown; a decision looks ahead from it, stays
+    Places count from 0. The state is the place of the slide just shown, ``cur`` at first; a decision looks ahead from it, stays
     where the gain is small, and goes back only for a clearly better earlier slide. Ties go to the lower place.
     """
-    cur = 0
     for own in scores:
         raw, now = cur + int(own[cur:].argmax()), own[cur]
         stayed = raw != cur and bool(own[raw] <= now + stay_margin or own[raw] < min_forward)

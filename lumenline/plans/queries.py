@@ -602,6 +602,11 @@ def clock_and_mask(spark, d):
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN round(value / 100, 6) WHEN 'view' THEN round(CAST(json_extract(props, '$.k') AS BIGINT) / 100, 6) WHEN 'signup' THEN round(least(value / 50, 1.0), 6) WHEN 'error' THEN round(least((60 + value) / 200, 1.0), 6) END AS share FROM events""")
 def progress_lines(spark, d):
+    return reported(spark, d).select("event_id", F.round("share", 6).alias("share"))
+
+
+def reported(spark, d) -> DataFrame:
+    """Events as lines of stages' output, with the share that they report."""
     e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k")
     shown = F.col("value").cast("decimal(18,4)").cast("string")
@@ -609,7 +614,15 @@ def progress_lines(spark, d):
     line = F.when(of("click"), F.concat(F.lit("[download]  "), shown, F.lit("% of 3MiB"))).when(of("view"), F.concat(F.lit("[ocr "), k, F.lit("/100] frame"))).when(of("signup"), F.concat(F.lit("[event 3] t= "), shown, F.lit("s"))).when(of("error"), F.concat(F.lit("[00:00.000 --> 01:"), shown, F.lit("] words"))).otherwise("nothing")
     stage = F.when(of("click"), 0).when(of("view"), 4).when(of("signup"), 3).when(of("error"), 1).otherwise(6)
     duration = F.when(of("signup"), 50.0).when(of("error"), 200.0)
-    return e.select("event_id", F.round(fn.progress_share(stage, line, duration), 6).alias("share"))
+    return e.select("event_id", F.col("user_id").alias("lecture_id"), "ts", stage.alias("stage"), fn.progress_share(stage, line, duration).alias("share"))
+
+
+@query("""SELECT lecture_id, stage, event_id, percent FROM (SELECT *, max(percent) OVER (PARTITION BY lecture_id, stage ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM
+ (SELECT user_id AS lecture_id, ts, e.event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 4 WHEN 'signup' THEN 3 WHEN 'error' THEN 1 ELSE 6 END AS stage, round(share * 100, 4) AS percent FROM events e JOIN ({lines}) USING (event_id)))
+WHERE percent IS NOT NULL AND (best IS NULL OR percent > best)""".replace("{lines}", SQL["progress_lines"]))
+def stage_progress(spark, d):
+    lines = reported(spark, d).withColumn("percent", F.round(F.round("share", 6) * 100, 4))
+    return runs.running_maximum(lines, "percent", "ts", ("lecture_id", "stage")).select("lecture_id", "stage", "event_id", "percent")
 
 
 @query("""SELECT event_id, event_type IN ('click', 'view') AS parsed, CASE WHEN event_type IN ('click', 'view') THEN CAST(json_extract(props, '$.k') AS BIGINT) > 50 END AS is_example,
@@ -839,6 +852,45 @@ def transcriber_stub(spark, d):
     return transcribe(r, FakeTranscriber)
 
 
+@query(f"WITH {CONV} SELECT CAST(lecture_id AS VARCHAR) AS lecture_id, seg_index, round(s, 6) AS seg_start, round(e, 6) AS seg_end, md5(trim(text)) AS text_md5 FROM seg")
+def recognised_segments(spark, d):
+    from ..sources import logs
+    from ..sources.scratch import scratch
+
+    path = scratch(spark, "segments")
+    logs.write_logs(transcript(spark, d).select("lecture_id", "seg_index", "start", "end", F.concat(F.lit(" "), "text", F.lit(" ")).alias("text")), path)
+    rows = logs.segment_log(spark, path)
+    return rows.select("lecture_id", "seg_index", F.round("start", 6).alias("seg_start"), F.round("end", 6).alias("seg_end"), F.md5("text").alias("text_md5"))
+
+
+@query("SELECT 'pages' AS lecture_id, i AS frame_idx, i / 25.0::DOUBLE AS timestamp, md5(url) AS frame_md5 FROM (SELECT row_number() OVER () - 1 AS i, url FROM pages) WHERE i % 4 = 0")
+def frame_scan(spark, d):
+    from ..sources.frames import TableVideo, frames
+
+    rows = frames(spark, f"{d}/pages.parquet", lambda path: TableVideo(path, "url"), interval=0.16, frames_per_task=50)
+    return rows.select("lecture_id", "frame_idx", "timestamp", F.md5("content").alias("frame_md5"))
+
+
+@query(SQL["change_events"].replace("round(timestamp, 3) AS timestamp, score", "timestamp, score AS value"))
+def online_change_events(spark, d):
+    """The events as a stream, through state by lecture, against the SQL of the batch operator."""
+    from ..session import SETTINGS
+    from ..sources.scratch import scratch
+    from ..streaming.online import online_changes
+
+    own = spark.newSession()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    own.conf.set(provider, SETTINGS[provider])
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    where, out = scratch(spark, "online"), scratch(spark, "online-changes")
+    lecture_events(spark, d).select("lecture_id", "timestamp", F.col("score").alias("value")).write.parquet(where)
+    samples = own.readStream.schema("lecture_id long, timestamp double, value double").parquet(where)
+    found = online_changes(samples, 35)
+    stream = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(out)
+
+
 # Stored files as relations
 
 @query("""SELECT o_orderkey AS lecture_id, CASE WHEN n_line > 0 THEN 'https://b/' || o_orderkey ELSE 'https://a/' || o_orderkey END AS url
