@@ -143,7 +143,8 @@ def absorb_forward(runs: DataFrame, min_dwell: float = 5.0, order="run_idx", key
     every = whole(w)
     short = F.coalesce(F.col("end") - F.col("start") < min_dwell, F.lit(False))
     rows = runs.withColumn("short", short).withColumn("__stays", F.when(~F.col("short"), F.col(order)))
-    ahead = F.first("__stays", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc(order))
+    ahead = F.last("__stays", ignorenulls=True).over(upto(back))
     final, end = F.last("__stays", ignorenulls=True).over(every), F.last(order).over(every)
     rows = rows.withColumn("target", F.coalesce(ahead, final, end))
     before = F.when(F.lag("short").over(w), F.array(F.lag("slide_number").over(w))).otherwise(F.array().cast("array<int>"))

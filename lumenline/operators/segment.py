@@ -36,18 +36,53 @@ def reference_text(title="title", body="body_text") -> Column:
     return strip(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit("\n"), F.coalesce(F.col(body), F.lit(""))))
 
 
+def overlapping(left: DataFrame, right: DataFrame, left_ids, right_ids, keys=KEYS, closed: bool = False) -> DataFrame:
+    """(keys, left_ids, right_ids) of the intervals (start, end) of one lecture that overlap; touching ones if ``closed``.
+
+    Of two that do, one begins within the other. Both sides' starts and ends are swept once, in order, counting the starts
+    of either side: an interval is then overlapped by those of the other side that start within it, which are numbered in
+    a row, from one count to another. Every row that is made of such a stretch is a result, so the join takes time in
+    proportion to inputs and results, however intervals nest. Nulls, and intervals that end before they start, overlap nothing.
+    """
+    ids = {0: list(left_ids), 1: list(right_ids)}
+
+    def points(df: DataFrame, side: int) -> DataFrame:
+        rows = df.where("start <= end").select(*keys, F.struct(*ids[side]).alias("id"), "start", "end")
+        stated = F.array(F.struct(F.col("start").cast("double").alias("at"), F.lit(1 + side).alias("turn")), F.struct(F.col("end").cast("double").alias("at"), F.lit(3 if closed else 0).alias("turn")))
+        return rows.select(*keys, "id", F.explode(stated).alias("p")).select(*keys, "id", "p.at", "p.turn")
+
+    none = lambda side, name: F.lit(None).cast((right if side else left).select(F.struct(*ids[side]).alias("x")).schema["x"].dataType).alias(name)
+    both = points(left, 0).select(*keys, F.col("id").alias("l"), none(1, "r"), "at", "turn").unionByName(points(right, 1).select(*keys, none(0, "l"), F.col("id").alias("r"), "at", "turn"))
+    w = Window.partitionBy(*keys).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.col("turn").isin(1, 2)
+    swept = both.withColumns({"n_left": F.sum((F.col("turn") == 1).cast("long")).over(w), "n_right": F.sum((F.col("turn") == 2).cast("long")).over(w)})
+
+    def side(own: str, own_count: str, other_count: str) -> DataFrame:
+        """Each interval with its place among its side's starts, and the stretch of the other side's that start within it."""
+        rows = swept.where(F.col(own).isNotNull()).groupBy(*keys, own)
+        return rows.agg(F.max(F.when(begins, F.col(own_count))).alias("place"), F.max(F.when(begins, F.col(other_count))).alias("low"), F.max(F.when(~begins, F.col(other_count))).alias("high"))
+
+    lefts, rights = side("l", "n_left", "n_right"), side("r", "n_right", "n_left")
+    stretch = lambda df: df.where("high > low").withColumn("at", F.explode(F.sequence(F.col("low") + 1, F.col("high"))))
+    inside_left = stretch(lefts).select(*keys, "l", "at").join(rights.select(*keys, "r", F.col("place").alias("at")), [*keys, "at"])
+    inside_right = stretch(rights).select(*keys, "r", "at").join(lefts.select(*keys, "l", F.col("place").alias("at")), [*keys, "at"])
+    found = inside_left.select(*keys, "l", "r").unionByName(inside_right.select(*keys, "l", "r"))
+    return found.select(*keys, *(F.col(f"l.{c}").alias(c) for c in ids[0]), *(F.col(f"r.{c}").alias(c) for c in ids[1]))
+
+
 def assign_to_runs(segments: DataFrame, runs: DataFrame, keys=KEYS) -> DataFrame:
     """Each segment (seg_index, start, end, text) with the run it overlaps most, ties to the earlier; others drop out.
 
-    The lecture is an equi-join key and the times are the residual condition. Where one lecture is long, both
-    sides can be cut into time buckets first: ``bucketed_overlap`` joins those.
+    The overlaps come from one sweep over starts and ends; texts are joined last.
     """
-    s = segments.select(*keys, "seg_index", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), "text")
-    r = runs.select(*keys, "run_idx", F.col("start").alias("run_start"), F.coalesce("end", F.expr(OPEN)).alias("run_end"))
-    pairs = s.join(r, list(keys)).where("seg_start < run_end and run_start < seg_end")
-    shared = F.least("seg_end", "run_end") - F.greatest("seg_start", "run_start")
-    best = Window.partitionBy(*keys, "seg_index").orderBy(F.desc("overlap"), "run_idx")
-    return pairs.withColumn("overlap", shared).withColumn("__place", F.row_number().over(best)).where("__place = 1").drop("__place", "run_start", "run_end")
+    s = segments.select(*keys, "seg_index", "start", "end")
+    r = runs.select(*keys, "run_idx", "start", F.coalesce("end", F.expr(OPEN)).alias("end"))
+    pairs = overlapping(s, r, ["seg_index"], ["run_idx"], keys)
+    pairs = pairs.join(s.withColumnsRenamed({"start": "seg_start", "end": "seg_end"}), [*keys, "seg_index"]).join(r.withColumnsRenamed({"start": "run_start", "end": "run_end"}), [*keys, "run_idx"])
+    pairs = pairs.withColumn("overlap", F.least("seg_end", "run_end") - F.greatest("seg_start", "run_start")).where("overlap > 0")
+    best = pairs.groupBy(*keys, "seg_index").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "run_idx")).alias("best"))
+    own = segments.select(*keys, "seg_index", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), "text")
+    return own.join(best, [*keys, "seg_index"]).select(*own.columns, "best.run_idx", (-F.col("best.less")).alias("overlap"))
 
 
 def bucketed_overlap(left: DataFrame, right: DataFrame, seconds: float, keys=KEYS) -> DataFrame:
@@ -63,9 +98,10 @@ def bucketed_overlap(left: DataFrame, right: DataFrame, seconds: float, keys=KEY
 
 def context_around(anchors: DataFrame, segments: DataFrame, before: float = 20.0, after: float = 40.0, keys=KEYS, ids=("anchor_id",)) -> DataFrame:
     """Each anchor (timestamp) with ``transcript_context``: the texts of the segments that touch its window, in order."""
-    s = segments.select(*keys, "seg_index", F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("text").alias("__text"))
-    pairs = anchors.join(s, list(keys)).where((F.col("__e") >= F.col("timestamp") - before) & (F.col("__s") <= F.col("timestamp") + after))
-    texts = pairs.groupBy(*keys, *ids).agg(F.array_sort(F.collect_list(F.struct("seg_index", "__text"))).alias("__texts"))
+    windows = anchors.select(*keys, *ids, (F.col("timestamp") - before).alias("start"), (F.col("timestamp") + after).alias("end"))
+    pairs = overlapping(windows, segments.select(*keys, "seg_index", "start", "end"), ids, ["seg_index"], keys, closed=True)
+    said = pairs.join(segments.select(*keys, "seg_index", F.col("text").alias("__text")), [*keys, "seg_index"])
+    texts = said.groupBy(*keys, *ids).agg(F.array_sort(F.collect_list(F.struct("seg_index", "__text"))).alias("__texts"))
     text = strip(F.array_join(F.transform("__texts", lambda x: F.coalesce(x["__text"], F.lit(""))), " "))
     return anchors.join(texts, [*keys, *ids], "left").withColumn("transcript_context", F.coalesce(text, F.lit(""))).drop("__texts")
 
@@ -106,23 +142,37 @@ def with_slide_data(segments: DataFrame, slides: DataFrame, keys=KEYS) -> DataFr
     return segments.join(own, [*keys, "slide_number"], "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("slide_text", "notes_text")})
 
 
+def nearest(points: DataFrame, others: DataFrame, ids, value: str, keys=KEYS) -> DataFrame:
+    """(keys, ids, value) of the others (at, value) whose time is nearest to each point (timestamp); ties to the lowest value.
+
+    Points and others are put in one order; the nearest is the last before or the first after, so each point meets two others.
+    """
+    each = others.where("at is not null").groupBy(*keys, "at").agg(F.min(value).alias(value))
+    both = points.select(*keys, *ids, F.col("timestamp").alias("at"), F.lit(1).alias("turn")).unionByName(each.withColumn("turn", F.lit(0)), allowMissingColumns=True)
+    other = F.when(F.col("turn") == 0, F.struct("at", value))
+    up = Window.partitionBy(*keys).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("before", F.last(other, ignorenulls=True).over(up)).withColumn("after", F.last(other, ignorenulls=True).over(down))
+    apart = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["at"] - F.col("at")).alias("apart"), F.col(c)[value].alias(value)))
+    best = F.array_min(F.filter(F.array(apart("before"), apart("after")), lambda x: x.isNotNull()))
+    return both.where("turn = 1").select(*keys, *ids, best[value].alias(value))
+
+
 def cascade_attach(candidates: DataFrame, segments: DataFrame, keys=KEYS, ids=("event_index",)) -> DataFrame:
     """Each candidate with ``segment_idx``: the segment of its slide, else the first whose window holds its time, else the nearest.
 
-    ``segments`` are (segment_idx, slide_number, windows). All three rungs come from one join on the lecture.
+    ``segments`` are (segment_idx, slide_number, windows). The rungs are an equality join, a sweep over the windows and an
+    as-of join; nearness counts from a segment's first window.
     """
-    s = segments.select(*keys, "segment_idx", F.col("slide_number").alias("__slide"), "windows")
-    pairs = candidates.join(s, list(keys), "left")
-    inside = F.exists("windows", lambda w: (w["start"] <= F.col("timestamp")) & (F.col("timestamp") <= F.coalesce(w["end"], F.expr(OPEN))))
-    apart = F.abs(F.get("windows", F.lit(0))["start"] - F.col("timestamp"))
-    best = pairs.groupBy(*keys, *ids).agg(
-        F.min(F.when(F.col("slide_number") == F.col("__slide"), F.col("segment_idx"))).alias("__equal"),
-        F.min(F.when(inside, F.col("segment_idx"))).alias("__inside"),
-        F.min(F.struct(apart.alias("apart"), "segment_idx"))["segment_idx"].alias("__near"),
-    )
+    equal = segments.groupBy(*keys, "slide_number").agg(F.min("segment_idx").alias("__equal"))
+    at = candidates.select(*keys, *ids, F.col("timestamp").alias("start"), F.col("timestamp").alias("end"))
+    windows = segments.select(*keys, "segment_idx", F.posexplode("windows").alias("__n", "__w"))
+    windows = windows.select(*keys, "segment_idx", "__n", "__w.start", F.coalesce("__w.end", F.expr(OPEN)).alias("end"))
+    inside = overlapping(at, windows, ids, ["segment_idx", "__n"], keys, closed=True).groupBy(*keys, *ids).agg(F.min("segment_idx").alias("__inside"))
+    near = nearest(candidates, segments.select(*keys, "segment_idx", F.get("windows", F.lit(0))["start"].alias("at")), ids, "segment_idx", keys).withColumnRenamed("segment_idx", "__near")
     rung = F.when(F.col("__equal").isNotNull(), "slide").when(F.col("__inside").isNotNull(), "window").when(F.col("__near").isNotNull(), "nearest")
-    joined = candidates.join(best, [*keys, *ids], "left")
-    return joined.withColumn("segment_idx", F.coalesce("__equal", "__inside", "__near")).withColumn("rung", rung).drop("__equal", "__inside", "__near")
+    joined = candidates.join(equal, [*keys, "slide_number"], "left").join(inside, [*keys, *ids], "left").join(near, [*keys, *ids], "left")
+    return joined.withColumn("segment_idx", F.coalesce("__equal", "__inside", "__near")).withColumn("rung", rung).select(*candidates.columns, "segment_idx", "rung")
 
 
 def attach_examples(segments: DataFrame, candidates: DataFrame, transcript: DataFrame, keys=KEYS) -> DataFrame:

@@ -267,3 +267,41 @@ def test_zipped_sides_must_be_of_one_length(spark):
     assert sorted(map(tuple, chunks.zipped(left, right, "place").collect())) == [("l", 1, "a", "c"), ("l", 2, "b", "d")]
     with pytest.raises(Exception, match="sides differ in length"):
         chunks.zipped(left, right.where("place = 1"), "place").collect()
+
+
+def random_intervals(seed, n, width):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(f"l{rng.randint(0, 2)}", i, float(a := rng.randint(0, 40)), rng.choice([None, float(a), a + 1.0, a + float(rng.randint(0, width))])) for i in range(n)]
+    return rows + [("l0", n, 3.0, 1.0), ("l9", n + 1, 0.0, 5.0), ("l0", n + 2, None, 5.0)]
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_sweep_finds_all_overlaps(spark, closed):
+    left, right = random_intervals(1, 60, 4), random_intervals(2, 50, 30)
+    frame = lambda rows, name: spark.createDataFrame(rows, f"lecture_id string, {name} long, start double, end double")
+    got = segment.overlapping(frame(left, "a"), frame(right, "b"), ["a"], ["b"], closed=closed).collect()
+    ok = lambda r: r[2] is not None and r[3] is not None and r[2] <= r[3]
+    touch = lambda x, y: (x[2] <= y[3] and y[2] <= x[3]) if closed else (x[2] <= y[2] < x[3] or y[2] < x[2] < y[3])
+    want = [(x[0], x[1], y[1]) for x in left for y in right if x[0] == y[0] and ok(x) and ok(y) and touch(x, y)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_nearest_meets_two_others(spark):
+    import random
+
+    rng = random.Random(3)
+    points = [(f"l{i % 3}", i, float(rng.randint(0, 60))) for i in range(80)] + [("l7", 99, 1.0)]
+    others = [(f"l{i % 2}", i, float(rng.randint(0, 60))) for i in range(30)] + [("l0", 50, None)]
+    got = segment.nearest(spark.createDataFrame(points, "lecture_id string, event_index long, timestamp double"), spark.createDataFrame(others, "lecture_id string, n long, at double"), ["event_index"], "n").collect()
+    best = lambda p: min(((abs(o[2] - p[2]), o[1]) for o in others if o[0] == p[0] and o[2] is not None), default=(0, None))[1]
+    assert sorted(map(tuple, got)) == sorted((p[0], p[1], best(p)) for p in points)
+
+
+def test_sweep_is_linear_in_inputs_and_results(spark):
+    n = 30_000
+    segs = spark.range(n).select(F.lit("l").alias("lecture_id"), F.col("id").alias("seg_index"), F.col("id").cast("double").alias("start"), (F.col("id") + 1.5).alias("end"), F.lit("x").alias("text"))
+    own = spark.range(n // 10).select(F.lit("l").alias("lecture_id"), F.col("id").alias("run_idx"), (F.col("id") * 10.0).alias("start"), F.when(F.col("id") < n // 10 - 1, (F.col("id") + 1) * 10.0).alias("end"))
+    assert segment.overlapping(segs, own.fillna(1e9, ["end"]), ["seg_index"], ["run_idx"]).count() < 1.2 * n
+    assert segment.assign_to_runs(segs, own).where("run_idx = seg_index div 10").count() == n
