@@ -86,26 +86,43 @@ def preview_text(pages: DataFrame, count: int = 2, keys=("deck",)) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), " ").alias("preview"))
 
 
+LEAST_ALIKE = 0.85
+
+
+def word_pieces(words: DataFrame, name: str, other: bool) -> DataFrame:
+    """(name, m, n, i, piece): what two words of n and m letters that are alike have in common, looked at from one of them.
+
+    Letters outside the matching blocks are edits, one each: at most 0.15 (m + n), and odd in number if m + n is. The word of
+    m letters (``other``) is cut into one piece more than that, so one of the pieces is untouched. In the word of n letters it
+    stands at most so far from its own place that the edits on both sides suffice for the shift before it and the rest of the
+    difference in length after it.
+    """
+    size, least = F.length(name), LEAST_ALIKE
+    reach = F.sequence(F.ceil(size * (least / (2 - least)) - 1e-9).cast("int"), F.floor(size * ((2 - least) / least) + 1e-9).cast("int"))
+    rows = words.where(F.length(name) > 0).select(name, F.explode(reach).alias("partner"))
+    rows = rows.select(name, (size if other else F.col("partner")).alias("m"), (F.col("partner") if other else size).alias("n"))
+    rows = rows.withColumn("most", F.floor((F.col("m") + F.col("n")) * (1 - least) + 1e-9).cast("int"))
+    rows = rows.withColumn("most", F.col("most") - F.pmod(F.col("m") + F.col("n") - F.col("most"), F.lit(2))).where("most > 0 and abs(m - n) <= most")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    cut = lambda i: F.floor(i * F.col("m") / (F.col("most") + 1)).cast("int")
+    rows = rows.withColumn("start", cut(F.col("i"))).withColumn("letters", cut(F.col("i") + 1) - F.col("start")).where("letters > 0")
+    if not other:
+        longer = F.col("n") - F.col("m")
+        shifts = F.sequence(F.ceil((longer - F.col("most")) / 2).cast("int"), F.floor((longer + F.col("most")) / 2).cast("int"))
+        rows = rows.withColumn("start", F.explode(F.transform(shifts, lambda x: F.col("start") + x))).where("start >= 0 and start + letters <= n")
+    return rows.select(name, "m", "n", "i", F.substr(name, F.col("start") + 1, F.col("letters")).alias("piece")).distinct()
+
+
 def alike_words(words: DataFrame, others: DataFrame) -> DataFrame:
     """(word, other) of distinct words: equal ones, and those at least 0.85 alike.
 
-    Words of s letters together that are that much alike have at most 0.15 s letters outside their matching blocks,
-    so at most one block more than that, and share all but that many pairs of neighbouring letters; and as many
-    edits make one of the other. Pairs of words are therefore joined on neighbouring letters, counted, held against
-    their edit distance, and only then compared.
+    Of two words that much alike at most 0.15 of all letters lie outside their matching blocks, and so many edits make one
+    of the other. Pairs therefore share a piece of known length at nearly the same place (``word_pieces``); they are joined by it,
+    held against their edit distance, and only then compared.
     """
-
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(F.col(name), i, F.lit(2)))
-        listed = df.where(F.length(name) > 1).select(name, F.explode(pairs).alias("gram"))
-        return listed.groupBy(name, "gram").agg(F.count("*").alias(f"__{name}_n"))
-
-    both = grams(words, "word").join(grams(others, "other"), "gram")
-    total = F.length("word") + F.length("other")
-    fits = 2 * F.least(F.length("word"), F.length("other")) >= 0.85 * total
-    shared = both.where(fits & (F.col("word") != F.col("other"))).groupBy("word", "other").agg(F.sum(F.least("__word_n", "__other_n")).alias("__shared"))
-    near = shared.where(F.col("__shared") >= 0.275 * total - 1.000001).select("word", "other")
-    near = near.where(F.levenshtein("word", "other") <= 0.15 * total).where(similar_words("word", "other"))
+    near = word_pieces(words, "word", False).join(word_pieces(others, "other", True), ["m", "n", "i", "piece"]).where("word <> other").select("word", "other", "m", "n").distinct()
+    near = near.where(F.levenshtein("word", "other") <= (F.col("m") + F.col("n")) * (1 - LEAST_ALIKE) + 1e-9)
+    near = near.select("word", "other").where(similar_words("word", "other"))
     return words.join(others, F.col("word") == F.col("other")).select("word", "other").union(near)
 
 
@@ -129,11 +146,10 @@ def suggest_lectures(decks: DataFrame, lectures: DataFrame, least: float = 0.5,
     need = F.greatest(F.ceil(F.col("__n") * (least - 0.0005) - 1e-9), F.lit(1))  # scores are rounded to three places
     prefix = ranked.where(F.col("__place") <= F.col("__n") - need + 1).select("lecture_id", "word").distinct()
     candidates = prefix.join(has, "word").select("deck", "lecture_id").distinct()
-    titles = words.groupBy("lecture_id").agg(F.collect_list("word").alias("__words"))
-    known = has.groupBy("deck").agg(F.collect_set("word").alias("__has"))
-    found = candidates.join(titles, "lecture_id").join(known, "deck")
-    hits = F.size(F.filter("__words", lambda w: F.array_contains("__has", w)))
-    scored = found.select("deck", "lecture_id", F.round(hits / F.size("__words"), 3).alias("score")).where(F.col("score") >= least)
+    counted = words.groupBy("lecture_id", "word").agg(F.count("*").alias("__times"))
+    hits = candidates.join(counted, "lecture_id").join(has, ["deck", "word"]).groupBy("deck", "lecture_id").agg(F.sum("__times").alias("__hits"))
+    sizes = words.groupBy("lecture_id").agg(F.count("*").alias("__n"))
+    scored = hits.join(sizes, "lecture_id").select("deck", "lecture_id", F.round(F.col("__hits") / F.col("__n"), 3).alias("score")).where(F.col("score") >= least)
     best = Window.partitionBy("deck").orderBy(F.desc("score"), "lecture_id")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
 

@@ -165,13 +165,16 @@ def cascade_attach(candidates: DataFrame, segments: DataFrame, keys=KEYS, ids=("
     as-of join; nearness counts from a segment's first window.
     """
     equal = segments.groupBy(*keys, "slide_number").agg(F.min("segment_idx").alias("__equal"))
-    at = candidates.select(*keys, *ids, F.col("timestamp").alias("start"), F.col("timestamp").alias("end"))
+    first = candidates.join(equal, [*keys, "slide_number"], "left")
+    left = first.where("__equal is null").select(*keys, *ids, "timestamp")  # only these go on to the next rung
+    at = left.select(*keys, *ids, F.col("timestamp").alias("start"), F.col("timestamp").alias("end"))
     windows = segments.select(*keys, "segment_idx", F.posexplode("windows").alias("__n", "__w"))
     windows = windows.select(*keys, "segment_idx", "__n", "__w.start", F.coalesce("__w.end", F.expr(OPEN)).alias("end"))
     inside = overlapping(at, windows, ids, ["segment_idx", "__n"], keys, closed=True).groupBy(*keys, *ids).agg(F.min("segment_idx").alias("__inside"))
-    near = nearest(candidates, segments.select(*keys, "segment_idx", F.get("windows", F.lit(0))["start"].alias("at")), ids, "segment_idx", keys).withColumnRenamed("segment_idx", "__near")
+    near = nearest(left, segments.select(*keys, "segment_idx", F.get("windows", F.lit(0))["start"].alias("at")), ids, "segment_idx", keys).withColumnRenamed("segment_idx", "__near")
+    later = near.join(inside, [*keys, *ids], "left")
     rung = F.when(F.col("__equal").isNotNull(), "slide").when(F.col("__inside").isNotNull(), "window").when(F.col("__near").isNotNull(), "nearest")
-    joined = candidates.join(equal, [*keys, "slide_number"], "left").join(inside, [*keys, *ids], "left").join(near, [*keys, *ids], "left")
+    joined = first.join(later, [*keys, *ids], "left")
     return joined.withColumn("segment_idx", F.coalesce("__equal", "__inside", "__near")).withColumn("rung", rung).select(*candidates.columns, "segment_idx", "rung")
 
 

@@ -13,6 +13,7 @@ from ..functions import text as fn
 from ..model import Tunables
 from ..operators import catalog, chunks, decks, match, review, runs, segment, tfidf, visual
 from ..sources import artifacts
+from ..sources.scratch import scratch, stored
 from . import documents, stages
 
 QUERIES: dict = {}
@@ -246,7 +247,7 @@ SELECT lecture_id, event_index, coalesce(eq, ins, near) AS segment_idx, CASE WHE
 def cascade_attach(spark, d):
     e = lecture_events(spark, d)
     cand = e.select("lecture_id", "event_index", F.when(F.col("score") < 25, 99).otherwise(F.col("slide_number")).alias("slide_number"), (F.col("timestamp") - F.when(F.col("score") < 5, F.lit(1e7)).otherwise(F.lit(0.0))).alias("timestamp"))
-    segs = consolidated(spark, d).withColumnRenamed("first_run", "segment_idx")
+    segs = stored(consolidated(spark, d).withColumnRenamed("first_run", "segment_idx").select("lecture_id", "segment_idx", "slide_number", "windows"), "segments")
     return segment.cascade_attach(cand, segs).select("lecture_id", "event_index", "segment_idx", "rung")
 
 
@@ -855,7 +856,6 @@ def transcriber_stub(spark, d):
 @query(f"WITH {CONV} SELECT CAST(lecture_id AS VARCHAR) AS lecture_id, seg_index, round(s, 6) AS seg_start, round(e, 6) AS seg_end, md5(trim(text)) AS text_md5 FROM seg")
 def recognised_segments(spark, d):
     from ..sources import logs
-    from ..sources.scratch import scratch
 
     path = scratch(spark, "segments")
     logs.write_logs(transcript(spark, d).select("lecture_id", "seg_index", "start", "end", F.concat(F.lit(" "), "text", F.lit(" ")).alias("text")), path)
@@ -875,7 +875,6 @@ def frame_scan(spark, d):
 def online_change_events(spark, d):
     """The events as a stream, through state by lecture, against the SQL of the batch operator."""
     from ..session import SETTINGS
-    from ..sources.scratch import scratch
     from ..streaming.online import online_changes
 
     own = spark.newSession()

@@ -305,3 +305,22 @@ def test_sweep_is_linear_in_inputs_and_results(spark):
     own = spark.range(n // 10).select(F.lit("l").alias("lecture_id"), F.col("id").alias("run_idx"), (F.col("id") * 10.0).alias("start"), F.when(F.col("id") < n // 10 - 1, (F.col("id") + 1) * 10.0).alias("end"))
     assert segment.overlapping(segs, own.fillna(1e9, ["end"]), ["seg_index"], ["run_idx"]).count() < 1.2 * n
     assert segment.assign_to_runs(segs, own).where("run_idx = seg_index div 10").count() == n
+
+
+def test_words_alike_are_those_of_all_pairs(spark):
+    import difflib
+
+    rng = random.Random(8)
+    make = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 22)))
+    own = {make() for _ in range(120)}
+    others = {make() for _ in range(60)} | set(rng.sample(sorted(own), 20))
+    for w in sorted(own):
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(v) + 1)
+                v[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "z", "é"])
+            others.add("".join(v) or "x")
+    got = decks.alike_words(spark.createDataFrame([(w,) for w in own], "word string"), spark.createDataFrame([(w,) for w in others], "other string")).collect()
+    want = {(w, o) for w in own for o in others if w == o or difflib.get_close_matches(w, [o], n=1, cutoff=0.85)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 150
