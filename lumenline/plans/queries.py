@@ -1034,6 +1034,30 @@ def lecture_notes(spark, d):
     return documents.lecture_notes(chunks.numbered(rows, "slide_number", name="position"))
 
 
+PLAIN = "trim(regexp_replace(text, '[^A-Za-z .,]+', ' ', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, role, {PLAIN} AS t FROM conversations),
+h AS (SELECT *, CASE turn % 4 WHEN 0 THEN '<h2>' || turn || ' <em>' || role || '</em></h2>' || chr(10) || '<p>x <strong>' || t || '</strong>' || chr(10) || 'and $a_' || turn || '*b*$</p>'
+ WHEN 1 THEN '<ul>' || chr(10) || '<li>x ' || t || '<ol>' || chr(10) || '<li>one <code>a&lt;b</code></li>' || chr(10) || '<li>two</li>' || chr(10) || '</ol>' || chr(10) || '</li>' || chr(10) || '<li><a href="#t">' || role || '</a></li>' || chr(10) || '</ul>'
+ WHEN 2 THEN '<pre><code class="language-text"># x ' || t || chr(10) || chr(10) || '&lt;i&gt;' || chr(10) || '</code></pre>'
+ ELSE '<table>' || chr(10) || '<thead>' || chr(10) || '<tr>' || chr(10) || '<th>who</th>' || chr(10) || '<th>what</th>' || chr(10) || '</tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) || '<tr>' || chr(10) || '<td>' || role || '</td>' || chr(10) || '<td>x ' || t || '</td>' || chr(10) || '</tr>' || chr(10) || '</tbody>' || chr(10) || '</table>' || chr(10) || '<p><img alt="i" src="/files/' || turn || '.png" /></p>' END AS html FROM p)
+SELECT conv_id AS lecture_id, md5(string_agg(html, chr(10) ORDER BY turn)) AS html_md5, CAST(sum(length(html)) + count(*) - 1 AS BIGINT) AS n_chars FROM h GROUP BY conv_id""")
+def guide_html(spark, d):
+    from . import markdown
+
+    said, turn, role = F.concat(F.lit("x "), F.trim(F.regexp_replace("text", "[^A-Za-z .,]+", " "))), F.col("turn").cast("string"), F.col("role")
+    kind = F.col("turn") % 4
+    heading = F.concat(F.lit("## "), turn, F.lit(" *"), role, F.lit("*\n\nx **"), F.substr(said, F.lit(3)), F.lit("**\nand $a_"), turn, F.lit("*b*$"))
+    items = F.concat(F.lit("- "), said, F.lit("\n    1. one `a<b`\n    2. two\n- ["), role, F.lit("](#t)"))
+    code = F.concat(F.lit("```text\n# "), said, F.lit("\n\n<i>\n```"))
+    rows = F.concat(F.lit("| who | what |\n|---|---|\n| "), role, F.lit(" | "), said, F.lit(" |\n\n![i]("), turn, F.lit(".png)"))
+    parts = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.when(kind == 0, heading).when(kind == 1, items).when(kind == 2, code).otherwise(rows).alias("text")).alias("part"))
+    guides = parts.groupBy(F.col("conv_id").alias("lecture_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "\n\n").alias("text"))
+    html = markdown.rendered(guides, keys=("lecture_id",)).withColumn("html", markdown.preview_sources("html"))
+    return html.select("lecture_id", F.md5("html").alias("html_md5"), F.length("html").cast("long").alias("n_chars"))
+
+
 # Stage 4 as a whole: similarities, the ordered matcher, runs
 
 STAGE_4 = SQL["deck_similarity"].split("\nSELECT e.conv_id")[0].replace("WITH docs", "WITH RECURSIVE docs", 1) + """,
