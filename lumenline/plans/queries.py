@@ -1034,6 +1034,44 @@ def lecture_notes(spark, d):
     return documents.lecture_notes(chunks.numbered(rows, "slide_number", name="position"))
 
 
+# Prompts
+
+@query("""SELECT conv_id AS lecture_id, md5(left(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn), 900)) AS text_md5, CAST(least(900, sum(length(role || ': ' || text)) + 2 * (count(*) - 1)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id""")
+def budgeted_text(spark, d):
+    from . import prompts
+
+    parts = table(spark, d, "conversations").select(F.col("conv_id").alias("lecture_id"), "turn", F.concat("role", F.lit(": "), "text").alias("text"))
+    return prompts.joined_within(parts, 900, ("lecture_id",), "turn").select("lecture_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("""WITH c AS (SELECT *, CASE turn % 3 WHEN 0 THEN 'Slide ' || turn || chr(10) || chr(10) || 'On the slide:' || chr(10) || role || chr(10) || chr(10) || 'In the deck''s notes, not said aloud:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Said while it was shown:' || chr(10) || t
+   || chr(10) || chr(10) || 'Worked out meanwhile, and shown as images in this order:' || chr(10) || '1. whiteboard: ' || role || chr(10) || '2. example: '
+ WHEN 1 THEN 'Part ' || turn || ' of the recording (?)' || chr(10) || chr(10) || 'Words read off the screen, which may be misread:' || chr(10) || role || ', x' || chr(10) || chr(10) || 'Said meanwhile:' || chr(10) || t
+ ELSE 'Blueprint:' || chr(10) || role || chr(10) || chr(10) || 'Course material:' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'This is paper ' || turn || ' of 9; its questions differ from those of the others.' END AS p
+ FROM (SELECT *, coalesce(nullif(trim(text, E' \\n\\t\\r'), ''), '(none)') AS t FROM conversations))
+SELECT conv_id, turn, md5(p) AS prompt_md5 FROM c""")
+def prompt_builders(spark, d):
+    from . import prompts
+
+    c = table(spark, d, "conversations").withColumns({"slide_number": F.col("turn"), "slide_text": F.col("role"), "notes_text": F.lit(" \n"), "transcript_text": F.col("text"), "position": F.col("turn"), "number": F.col("turn"), "blueprint": F.col("role")})
+    c = c.withColumns({"start": F.lit(None).cast("double"), "end": F.lit(None).cast("double"), "segment_keywords": F.array("role", F.lit("x"))})
+    shown = F.array(F.struct(F.lit("whiteboard").alias("kind"), F.col("role").alias("caption")), F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("caption")))
+    prompt = F.when(F.col("turn") % 3 == 0, prompts.slide_prompt(shown)).when(F.col("turn") % 3 == 1, prompts.segment_prompt()).otherwise(prompts.exam_prompt(9))
+    return c.select("conv_id", "turn", F.md5(prompt).alias("prompt_md5"))
+
+
+@query("""WITH g AS (SELECT n_regionkey, left(string_agg(n_name || ' ' || n_nationkey, chr(10) || chr(10) ORDER BY n_nationkey), 30) AS t FROM nation GROUP BY ALL),
+s AS (SELECT n_regionkey, string_agg(chr(10) || '--- ' || n_name || ' ---' || chr(10) || n_nationkey, chr(10) ORDER BY n_name) AS e FROM nation WHERE n_nationkey % 2 = 0 AND n_regionkey <> 2 GROUP BY ALL)
+SELECT r_name, t || coalesce(chr(10) || chr(10) || 'Sheets of single lectures made from it:' || chr(10) || e, '') AS prompt FROM region JOIN g ON n_regionkey = r_regionkey LEFT JOIN s USING (n_regionkey)""")
+def course_prompt(spark, d):
+    from . import prompts
+
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    guide = n.select("r_name", "n_nationkey", F.concat("n_name", F.lit(" "), F.col("n_nationkey").cast("string")).alias("text"))
+    sheets = n.where("n_nationkey % 2 = 0 and n_regionkey <> 2").select("r_name", F.col("n_name").alias("lecture_id"), F.col("n_nationkey").cast("string").alias("text"))
+    return prompts.course_prompts(guide, sheets, ("r_name",), "n_nationkey", 30).select("r_name", "prompt")
+
+
 PLAIN = "trim(regexp_replace(text, '[^A-Za-z .,]+', ' ', 'g'))"
 
 

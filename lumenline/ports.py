@@ -262,20 +262,24 @@ def slide_notes(segments: DataFrame, make: Callable[[], LanguageModel]) -> DataF
 
 
 def one_document(texts: DataFrame, instruction: str, make: Callable[[], LanguageModel], keys=(), order="lecture_id", chars: int = 350_000) -> DataFrame:
-    """(keys, reply): one answer for each group's texts, joined in order and cut to ``chars``; used for indexes and sheets."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n\n")
-    rows = texts.groupBy(*keys).agg(F.left(joined, F.lit(chars)).alias("__text"))
-    return rows.select(*keys, ask(make)(F.concat(F.lit(instruction + "\n\n"), "__text")).alias("reply"))
+    """(keys, reply): one answer for each group's texts, joined in order and cut to ``chars``; used for indexes and sheets.
+
+    Only what fits is joined.
+    """
+    from .plans.prompts import joined_within
+
+    rows = joined_within(texts.withColumn("__whole", F.lit(0)), chars, keys or ("__whole",), order)
+    return rows.select(*keys, ask(make)(F.concat(F.lit(instruction + "\n\n"), "text")).alias("reply"))
 
 
 def exam_papers(material: DataFrame, blueprint: DataFrame, count: int, make: Callable[[], LanguageModel]) -> DataFrame:
     """(exam, paper, key, error): ``count`` papers from one material (text) and one blueprint (blueprint); a paper without a key gets a placeholder."""
     from .functions.text import split_exam
+    from .plans.prompts import exam_prompt
 
     base = material.select("text").crossJoin(blueprint.select("blueprint"))
     rows = base.select(F.explode(F.sequence(F.lit(1), F.lit(count))).alias("number"), "text", "blueprint")
-    prompt = F.concat(F.lit("Exam "), F.col("number").cast("string"), F.lit("\n"), "blueprint", F.lit("\n\n"), "text")
-    rows = rows.repartition(count, "number").withColumn("reply", ask(make)(prompt)).withColumn("parts", split_exam("reply.text"))
+    rows = rows.repartition(count, "number").withColumn("reply", ask(make)(exam_prompt(count))).withColumn("parts", split_exam("reply.text"))
     key = F.coalesce("parts.key", F.lit("No key was given."))
     return rows.select(F.format_string("exam_%02d", "number").alias("exam"), "parts.paper", F.when(F.col("reply.error").isNull(), key).alias("key"), F.col("reply.error").alias("error"))
 
