@@ -1104,13 +1104,13 @@ sc AS MATERIALIZED (SELECT e.conv_id, e.turn, list(coalesce(sim, 0.0::DOUBLE) OR
 matched AS (SELECT conv_id AS lecture_id, turn AS event_index, cur AS slide_number, round(score, 4) AS score, jumped, stayed, turn * 10.0::DOUBLE AS timestamp, 'output/' || turn || '.png' AS frame FROM m WHERE turn >= 0)"""
 
 
-def stage_four(spark, d) -> dict[str, DataFrame]:
-    """A deck of three slides against all turns of a conversation; no lecture falls back to sight."""
+def stage_four(spark, d, modes: DataFrame | None = None, t: Tunables = Tunables(auto_visual_threshold=0.0)) -> dict[str, DataFrame]:  # noqa: B008
+    """A deck of three slides against all turns of a conversation; unless told so no lecture falls back to sight."""
     e, s = deck_frames(spark, d)
     index = F.col("event_index")
     e = e.withColumns({"timestamp": index * F.lit(10.0), "frame_image_path": F.concat(F.lit("output/"), index.cast("string"), F.lit(".png")), "hash": index.cast("long")})
     slides = s.select("lecture_id", "slide_number", F.lit("").alias("title"), F.col("reference_text").alias("body_text"))
-    return stages.match_stage(e, slides, None, STOP, t=Tunables(auto_visual_threshold=0.0))
+    return stages.match_stage(e, slides, None, STOP, modes, t)
 
 
 @query(STAGE_4 + " SELECT lecture_id, event_index, slide_number, score, jumped AS jumped_backward, stayed AS stayed_over_raw_best, timestamp, frame AS frame_image_path FROM matched")
@@ -1129,3 +1129,61 @@ r AS (SELECT lecture_id, run, any_value(slide_number) AS slide_number, min(times
 SELECT lecture_id, slide_number, s AS start, coalesce(lead(s) OVER (PARTITION BY lecture_id ORDER BY run), l) AS "end", confidence, last_frame_image_path, 'deck' AS mode FROM r""")
 def stage_timeline(spark, d):
     return stage_four(spark, d)["timeline"].select("lecture_id", "slide_number", "start", "end", "confidence", "last_frame_image_path", "mode")
+
+
+@query(STAGE_4 + """, q AS (SELECT lecture_id, count(*) FILTER (score < 0.25) / count(*) AS ratio FROM matched GROUP BY lecture_id),
+md AS (SELECT lecture_id, CASE WHEN lecture_id % 7 = 0 OR ratio >= 0.6::DOUBLE THEN 'visual' ELSE 'deck' END AS mode FROM q),
+f AS (SELECT *, CASE WHEN slide_number = lag(slide_number) OVER (PARTITION BY lecture_id ORDER BY event_index) THEN 0 ELSE 1 END AS brk FROM matched)
+SELECT lecture_id, mode, CASE WHEN mode = 'deck' THEN CAST(sum(brk) AS BIGINT) END AS n_runs, count(*) FILTER (mode = 'deck' AND score < 0.25) AS n_low FROM f JOIN md USING (lecture_id) GROUP BY lecture_id, mode""")
+def stage_modes(spark, d):
+    """Lectures of both modes in one run: a seventh are said to have no deck, and those whose matches are weak fall back to sight."""
+    modes = table(spark, d, "conversations").where("conv_id % 7 = 0").select(F.col("conv_id").alias("lecture_id"), F.lit("visual").alias("mode")).distinct()
+    found = stage_four(spark, d, modes, Tunables())
+    rows = found["timeline"].groupBy("lecture_id", "mode").agg(F.count("*").alias("n"))
+    low = found["low_confidence"].groupBy("lecture_id").agg(F.count("*").alias("n_low"))
+    return rows.join(low, "lecture_id", "left").select("lecture_id", "mode", F.when(F.col("mode") == "deck", F.col("n")).alias("n_runs"), F.coalesce("n_low", F.lit(0)).alias("n_low"))
+
+
+# Stage 5 as a whole: runs of slides against what was said, short runs taken in, copies of slides made one, examples attached
+
+STAGE_5 = f"""WITH {CONV}, t AS (SELECT lecture_id, seg_index AS run_idx, CASE WHEN lecture_id % 5 <> 0 AND lecture_id % 2 = 0 AND seg_index % 4 = 2 THEN 1 ELSE seg_index % 4 + 1 END AS slide_number,
+ CASE WHEN seg_index = 0 THEN s ELSE s + 4 END AS s, 'f' || seg_index AS frame FROM seg),
+runs AS (SELECT *, lead(s) OVER (PARTITION BY lecture_id ORDER BY run_idx) AS e FROM t),
+sh AS (SELECT *, coalesce(e - s < 15, false) AS short FROM runs), """ + ABSORBED.split("AS short FROM runs),\n ", 1)[1] + """,
+asg AS (SELECT * FROM (SELECT seg.lecture_id, seg.seg_index, r.run_idx, seg.text, row_number() OVER (PARTITION BY seg.lecture_id, seg.seg_index ORDER BY least(seg.e, coalesce(r.e, 'infinity'::DOUBLE)) - greatest(seg.s, r.s) DESC, r.run_idx) AS k
+ FROM seg JOIN runs r ON r.lecture_id = seg.lecture_id AND seg.s < coalesce(r.e, 'infinity'::DOUBLE) AND r.s < seg.e) WHERE k = 1),
+txt AS (SELECT a.lecture_id, b.target AS run_idx, string_agg(text, chr(10) ORDER BY a.run_idx, seg_index) AS run_text FROM asg a JOIN absorbed b USING (lecture_id, run_idx) GROUP BY ALL),
+alive AS (SELECT b.*, coalesce(run_text, '') AS run_text FROM absorbed b LEFT JOIN txt USING (lecture_id, run_idx) WHERE b.target = b.run_idx),
+cons AS (SELECT lecture_id, slide_number, min(run_idx) AS segment_idx, arg_min(s, run_idx) AS s, list(e ORDER BY run_idx)[-1] AS e, count(*) AS n_windows, coalesce(string_agg(nullif(run_text, ''), chr(10) || chr(10) ORDER BY run_idx), '') AS said,
+ array_to_string(flatten(list(merged_from ORDER BY run_idx)), ',') AS merged_from, arg_max(frame, run_idx) AS frame FROM alive GROUP BY lecture_id, slide_number),
+cand AS (SELECT lecture_id, seg_index AS event_index, CASE WHEN lecture_id % 5 <> 0 AND lecture_id % 2 = 0 AND seg_index % 6 = 2 THEN 1 ELSE seg_index % 6 + 1 END AS want, CASE WHEN seg_index % 3 = 2 THEN s - 1000 ELSE s + 5 END AS t FROM seg WHERE role = 'user'),
+p AS (SELECT c.lecture_id, event_index, any_value(t) AS t, min(CASE WHEN want = k.slide_number THEN segment_idx END) AS eq,
+ min(CASE WHEN EXISTS (SELECT 1 FROM alive a WHERE a.lecture_id = c.lecture_id AND a.slide_number = k.slide_number AND a.s <= c.t AND c.t <= coalesce(a.e, 'infinity'::DOUBLE)) THEN segment_idx END) AS ins,
+ arg_min(segment_idx, {'d': abs(k.s - t), 'r': segment_idx}) AS near FROM cand c JOIN cons k ON c.lecture_id = k.lecture_id GROUP BY ALL),
+ctx AS (SELECT p.lecture_id, event_index, coalesce(eq, ins, near) AS segment_idx, md5(trim(coalesce(string_agg(b.text, ' ' ORDER BY b.seg_index), ''), E' \\n\\t\\r')) AS heard FROM p LEFT JOIN seg b ON b.lecture_id = p.lecture_id AND b.e >= t - 20 AND b.s <= t + 40 GROUP BY ALL),
+ex AS (SELECT lecture_id, segment_idx, string_agg(event_index || ':' || heard, ',' ORDER BY event_index) AS examples FROM ctx GROUP BY ALL)
+SELECT lecture_id, slide_number, segment_idx, s AS seg_start, e AS seg_end, n_windows, md5(said) AS said_md5, merged_from, frame, CASE WHEN lecture_id % 5 = 0 THEN 'visual' ELSE 'deck' END AS mode, coalesce(examples, '') AS examples,
+ CASE WHEN slide_number > 3 THEN '' ELSE 'T' || CASE WHEN lecture_id % 2 = 0 AND slide_number = 3 THEN 1 ELSE slide_number END || chr(10) || 'body' END AS slide_text FROM cons LEFT JOIN ex USING (lecture_id, segment_idx)"""
+
+
+@query(STAGE_5)
+def stage_segments(spark, d):
+    """Each turn begins a run four seconds later; of four slides the fourth is not in the deck, and in even lectures the third is a copy of the first. A fifth of the lectures are by sight."""
+    said = transcript(spark, d)
+    lecture, turn = F.col("lecture_id"), F.col("seg_index")
+    runs_of = said.select("lecture_id", turn.cast("long").alias("run_idx"), (turn % 4 + 1).cast("int").alias("slide_number"), F.when(turn == 0, F.col("start")).otherwise(F.col("start") + 4).alias("start"), F.concat(F.lit("f"), turn.cast("string")).alias("last_frame_image_path"))
+    timeline = runs_of.withColumn("end", F.lead("start").over(runs.ordered(order="run_idx"))).withColumn("mode", F.when(lecture % 5 == 0, "visual").otherwise("deck"))
+    n = F.col("slide_number")
+    title = F.concat(F.lit("T"), F.when((lecture % 2 == 0) & (n == 3), 1).otherwise(n).cast("string"))
+    slides = said.select("lecture_id").distinct().withColumn("slide_number", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("position", n)
+    slides = slides.select("lecture_id", "slide_number", "position", title.alias("title"), F.lit("body").alias("body_text"), F.lit(None).cast("string").alias("notes_text"))
+    own = said.where("role = 'user'").select(
+        "lecture_id", turn.alias("event_index"), (turn % 6 + 1).cast("int").alias("slide_number"), F.when(turn % 3 == 2, F.col("start") - 1000).otherwise(F.col("start") + 5).alias("timestamp"),
+        F.lit("x.png").alias("frame_image_path"), F.lit("whiteboard").alias("kind"), F.lit(0.1).alias("score"), F.lit(None).cast("int").alias("ink_delta"), F.col("role").alias("ocr_excerpt"),
+    )
+    found = stages.segment_stage(timeline, said, slides, own, Tunables(min_dwell=15.0))
+    heard = F.transform("example_candidates", lambda x: F.concat(x["event_index"].cast("string"), F.lit(":"), F.md5(x["transcript_context"])))
+    return found.select(
+        "lecture_id", "slide_number", "segment_idx", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.size("windows").cast("long").alias("n_windows"), F.md5("transcript_text").alias("said_md5"),
+        numbers("merged_from").alias("merged_from"), F.col("frame_image_path").alias("frame"), "mode", F.array_join(heard, ",").alias("examples"), "slide_text",
+    )

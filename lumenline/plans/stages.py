@@ -9,6 +9,7 @@ from ..model import DEFAULTS, Tunables
 from ..operators import match, segment, visual
 from ..operators.runs import KEYS, absorb_forward, frame_events
 from ..operators.tfidf import event_slide_similarity
+from ..sources.scratch import stored
 
 
 def detect_stage(frames: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
@@ -52,15 +53,14 @@ def match_stage(events: DataFrame, slides: DataFrame, durations: DataFrame | Non
 def segment_stage(timeline: DataFrame, transcript: DataFrame, slides: DataFrame, candidates: DataFrame, t: Tunables = DEFAULTS) -> DataFrame:
     """Segments of runs (run_idx, slide_number, start, end, last_frame_image_path, mode) with texts, slide data and examples.
 
-    Slides are made canonical in deck mode only.
+    Slides are made canonical in deck mode only. Segments are stored before examples are looked for, as three joins need them.
     """
-    canonical = segment.canonical_slides(slides)
-    runs = timeline.join(canonical, [*KEYS, "slide_number"], "left")
-    runs = runs.withColumn("slide_number", F.when(F.col("mode") == "visual", F.col("slide_number")).otherwise(F.coalesce("canonical", "slide_number"))).drop("canonical")
+    modes = timeline.groupBy(*KEYS).agg(F.max("mode").alias("mode"))
+    canonical = segment.canonical_slides(slides).join(modes.where("mode <> 'visual'").select(*KEYS), list(KEYS), "left_semi")
+    runs = segment.with_canonical(timeline, canonical)
     assigned = segment.assign_to_runs(transcript, runs)
     alive = segment.run_texts(assigned, absorb_forward(runs, t.min_dwell))
-    rows = segment.consolidate(alive).withColumnRenamed("first_run", "segment_idx")
-    modes = timeline.groupBy(*KEYS).agg(F.max("mode").alias("mode"))
+    rows = stored(segment.consolidate(alive).withColumnRenamed("first_run", "segment_idx"), "segments")
     rows = segment.with_slide_data(rows, slides).join(modes, list(KEYS), "left")
     return segment.attach_examples(rows, segment.with_canonical(candidates, canonical), transcript)
 
