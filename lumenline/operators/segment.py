@@ -41,7 +41,7 @@ def overlapping(left: DataFrame, right: DataFrame, left_ids, right_ids, keys=KEY
 
     Of two that do, one begins within the other. Both sides' starts and ends are swept once, in order, counting the starts
     of either side: an interval is then overlapped by those of the other side that start within it, which are numbered in
-    a row, from one count to another. Every row that is made of such a stretch is a result, so the join takes time in
+    a row, from one count to another. Every row that is made of such a stretch is a result, so this takes time in
     proportion to inputs and results, however intervals nest. Nulls, and intervals that end before they start, overlap nothing.
     """
     ids = {0: list(left_ids), 1: list(right_ids)}
@@ -57,16 +57,19 @@ def overlapping(left: DataFrame, right: DataFrame, left_ids, right_ids, keys=KEY
     begins = F.col("turn").isin(1, 2)
     swept = both.withColumns({"n_left": F.sum((F.col("turn") == 1).cast("long")).over(w), "n_right": F.sum((F.col("turn") == 2).cast("long")).over(w)})
 
-    def side(own: str, own_count: str, other_count: str) -> DataFrame:
-        """Each interval with its place among its side's starts, and the stretch of the other side's that start within it."""
-        rows = swept.where(F.col(own).isNotNull()).groupBy(*keys, own)
-        return rows.agg(F.max(F.when(begins, F.col(own_count))).alias("place"), F.max(F.when(begins, F.col(other_count))).alias("low"), F.max(F.when(~begins, F.col(other_count))).alias("high"))
-
-    lefts, rights = side("l", "n_left", "n_right"), side("r", "n_right", "n_left")
-    stretch = lambda df: df.where("high > low").withColumn("at", F.explode(F.sequence(F.col("low") + 1, F.col("high"))))
-    inside_left = stretch(lefts).select(*keys, "l", "at").join(rights.select(*keys, "r", F.col("place").alias("at")), [*keys, "at"])
-    inside_right = stretch(rights).select(*keys, "r", "at").join(lefts.select(*keys, "l", F.col("place").alias("at")), [*keys, "at"])
-    found = inside_left.select(*keys, "l", "r").unionByName(inside_right.select(*keys, "l", "r"))
+    # Each interval with its place among its side's starts, and the stretch of the other side's that start within it.
+    on_left = F.col("l").isNotNull()
+    own, other = F.when(on_left, F.col("n_left")).otherwise(F.col("n_right")), F.when(on_left, F.col("n_right")).otherwise(F.col("n_left"))
+    each = swept.withColumns({"own": own, "other": other}).groupBy(*keys, "l", "r").agg(
+        F.max(F.when(begins, F.col("own"))).alias("place"), F.max(F.when(begins, F.col("other"))).alias("low"), F.max(F.when(~begins, F.col("other"))).alias("high")
+    )
+    # An interval stands at its own place, and looks at those of its stretch: one exchange by lecture serves the whole sweep.
+    stands = F.array(F.struct(F.col("l").isNull().alias("side"), F.col("place").alias("at"), F.lit(0).alias("looks")))
+    looks = F.transform(F.when(F.col("high") > F.col("low"), F.sequence(F.col("low") + 1, F.col("high"))).otherwise(F.array().cast("array<bigint>")), lambda at: F.struct(F.col("l").isNotNull().alias("side"), at.alias("at"), F.lit(1).alias("looks")))
+    seen = each.select(*keys, "l", "r", F.explode(F.concat(stands, looks)).alias("p")).select(*keys, "l", "r", "p.*")
+    there = Window.partitionBy(*keys, "side", "at").orderBy("looks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = seen.withColumns({"at_l": F.first("l").over(there), "at_r": F.first("r").over(there)}).where("looks = 1")
+    found = found.select(*keys, F.coalesce("l", "at_l").alias("l"), F.coalesce("r", "at_r").alias("r"))
     return found.select(*keys, *(F.col(f"l.{c}").alias(c) for c in ids[0]), *(F.col(f"r.{c}").alias(c) for c in ids[1]))
 
 

@@ -1169,7 +1169,7 @@ SELECT lecture_id, slide_number, segment_idx, s AS seg_start, e AS seg_end, n_wi
 @query(STAGE_5)
 def stage_segments(spark, d):
     """Each turn begins a run four seconds later; of four slides the fourth is not in the deck, and in even lectures the third is a copy of the first. A fifth of the lectures are by sight."""
-    said = transcript(spark, d)
+    said = stored(transcript(spark, d), "transcript")
     lecture, turn = F.col("lecture_id"), F.col("seg_index")
     runs_of = said.select("lecture_id", turn.cast("long").alias("run_idx"), (turn % 4 + 1).cast("int").alias("slide_number"), F.when(turn == 0, F.col("start")).otherwise(F.col("start") + 4).alias("start"), F.concat(F.lit("f"), turn.cast("string")).alias("last_frame_image_path"))
     timeline = runs_of.withColumn("end", F.lead("start").over(runs.ordered(order="run_idx"))).withColumn("mode", F.when(lecture % 5 == 0, "visual").otherwise("deck"))

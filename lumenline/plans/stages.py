@@ -21,7 +21,8 @@ def match_stage(events: DataFrame, slides: DataFrame, durations: DataFrame | Non
 
     A lecture is segmented by sight if its mode (lecture_id, mode) says so, or if too many of its matches are weak;
     both branches are plans over disjoint lectures, and their timelines' ``mode`` is what was done. By sight
-    there is nothing to review and there are no candidates. Without modes and with a threshold of 0 no lecture is.
+    there is nothing to review and there are no candidates. Without modes and with a threshold of 0 no lecture is. The matches
+    are stored before the rest is made of them.
     """
     wanted = events.select(*KEYS).distinct()
     wanted = wanted.join(modes, list(KEYS), "left") if modes is not None else wanted.withColumn("mode", F.lit(None).cast("string"))
@@ -30,7 +31,7 @@ def match_stage(events: DataFrame, slides: DataFrame, durations: DataFrame | Non
     cells = event_slide_similarity(events.join(chosen, list(KEYS), "left_semi"), deck, stop_words)
     found = match.match_events(cells, t.backward_margin, t.stay_margin, t.min_forward_score)
     shown = events.select(*KEYS, F.col("event_index").cast("long").alias("event_index"), "timestamp", "frame_image_path", "hash", "ocr_text")
-    matches = found.join(shown, [*KEYS, "event_index"]).withColumn("ocr_excerpt", F.left("ocr_text", F.lit(t.excerpt_chars)))
+    matches = stored(found.join(shown, [*KEYS, "event_index"]).withColumn("ocr_excerpt", F.left("ocr_text", F.lit(t.excerpt_chars))), "matches")
     quality = match.confidence_by_lecture(matches, t.confidence_threshold, t.auto_visual_threshold)
     kept = quality.where("not fall_back").select(*KEYS)
     good = matches.join(kept, list(KEYS), "left_semi")
