@@ -548,16 +548,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, with all columns, without those linked to a document that stays.
 
-    Of each component the row of the smallest doc_id stays, once. Empty documents stay.
+    Of each component the row of the smallest doc_id stays. Documents without words stay. Of rows equal in doc_id and text, with
+    words or without, one stays: the one whose other columns have the smallest hash (as JSON), under any partitioning.
     """
     rows, labels = ShingleJoin(docs, words, num, den).links()
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     own = rows.where("n > 0").groupBy("cls").agg(F.min(order).alias("own")).join(labels, "cls", "left")
     first = own.groupBy(F.coalesce("label", "cls").alias("key")).agg(F.min("own").alias("first")).select("first.doc_id", "first.text_hash")
-    empty = rows.where("n = 0").select("doc_id", "text_hash").distinct()
-    stay = first.union(empty).withColumnsRenamed({"doc_id": "__stay_id", "text_hash": "__stay_text"})
-    same = docs["doc_id"].eqNullSafe(stay["__stay_id"]) & (F.xxhash64(docs["text"]) == stay["__stay_text"])
-    return docs.join(stay, same, "inner").withColumn("__copy", F.row_number().over(Window.partitionBy("__stay_id", "__stay_text").orderBy("__stay_id"))).where("__copy = 1").select(*docs.columns)
+    stay = first.union(rows.where("n = 0").select("doc_id", "text_hash").distinct())
+    rest = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("none"))
+    mine = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_text"), F.to_json(rest).alias("rest"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_text") == F.col("text_hash"))
+    equal = Window.partitionBy("own_id", "own_text").orderBy(F.xxhash64("rest"), "rest")
+    kept = mine.join(stay, same, "inner").withColumn("place", F.row_number().over(equal)).where("place = 1")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:

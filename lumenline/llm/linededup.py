@@ -115,12 +115,9 @@ def without(lines: Column, gone: Column) -> Column:
     return F.flatten(F.zip_with(begins, ends, lambda s, e: F.slice(lines, s + 2, e - s - 1)))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 30, exact_chars: int | None = None) -> DataFrame:
-    """The rows of ``docs``, with all columns and the text without its later lines, and __n_lines and __removed (line numbers).
-
-    ``exact_chars``: the least length of a line that goes as an exact repeat; ``min_chars`` if it is not given.
-    """
-    gone = removed_lines(docs, min_chars, min_chars if exact_chars is None else exact_chars)
+def shortened(docs: DataFrame, min_chars: int, exact_chars: int) -> tuple[DataFrame, list[Column], Column, Column]:
+    """Rows, and columns of these: those of ``docs`` with the text without its later lines, the number of lines, and those that went."""
+    gone = removed_lines(docs, min_chars, exact_chars)
     own = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__own_id"), F.xxhash64("text").alias("__own_text"))
     same = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_text") == F.col("__text_hash"))
     rows = own.join(gone.hint("shuffle_hash"), same, "left")
@@ -129,15 +126,27 @@ def dedup_lines(docs: DataFrame, min_chars: int = 30, exact_chars: int | None =
     text = F.when(F.col("__gone").isNull(), F.col("__row.text")).otherwise(kept)
     other = [text.alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns]
     n_lines = F.coalesce(F.when(F.col("__row.text") == "", 0).otherwise(F.size(lines)), F.lit(0)).cast("long")
-    return rows.select(*other, n_lines.alias("__n_lines"), F.coalesce("__gone", F.array().cast("array<int>")).alias("__removed"))
+    return rows, other, n_lines, F.coalesce("__gone", F.array().cast("array<int>"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 30, exact_chars: int | None = None) -> DataFrame:
+    """The rows of ``docs``, with all columns and the text without its later lines, and __n_lines and __removed (line numbers);
+    columns that have these names already are replaced.
+
+    ``exact_chars``: the least length of a line that goes as an exact repeat; ``min_chars`` if it is not given.
+    """
+    rows, other, n_lines, removed = shortened(docs, min_chars, min_chars if exact_chars is None else exact_chars)
+    kept = [x for c, x in zip(docs.columns, other) if c.lower() not in ("__n_lines", "__removed")]
+    return rows.select(*kept, n_lines.alias("__n_lines"), removed.alias("__removed"))
 
 
 def without_later_lines(docs: DataFrame, min_chars: int = 30) -> DataFrame:
     """The rows and columns of ``docs`` with the texts without later lines, and n_chars, if it is there, to match."""
-    rows = dedup_lines(docs, min_chars, exact_chars=1).drop("__n_lines", "__removed")
-    if "n_chars" in rows.columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows, other, _, _ = shortened(docs, min_chars, 1)
+    out = rows.select(*other)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out
 
 
 def op5_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:

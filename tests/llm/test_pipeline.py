@@ -8,7 +8,7 @@ from .test_toxicity import LABEL, corpus
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
 
@@ -49,3 +49,28 @@ def test_stages_against_plain_python(spark, tmp_path):
     assert {str(r.doc_id) for r in seen["packing"]} == clean
     whole = sorted(map(tuple, corpus_pipeline.run(spark, d).collect()), key=str)
     assert whole == sorted(map(tuple, seen["packing"]), key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from lumenline.llm.jaccard import keep_one_of_each
+    from lumenline.llm.linededup import dedup_lines, without_later_lines
+
+    names = ["__copy", "__removed", "__n_lines", "__gone", "__row", "row", "rest", "place", "own_id", "text_hash", "__stay_id"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, long, *["keep"] * 11), (2, long, *["me"] * 11), (3, "other words\nother words", *["x"] * 11), (3, "other words\nother words", *["y"] * 11), (4, None, *["z"] * 11)]
+    docs = spark.createDataFrame(rows, schema)
+    got = sorted(map(tuple, without_later_lines(docs).collect()), key=str)
+    assert [r[2:] for r in got] == sorted((r[2:] for r in rows), key=lambda x: [str(y) for y in rows if y[2:] == x])
+    assert {r.doc_id: r["__removed"] for r in dedup_lines(docs.where("doc_id = 1")).collect()} == {1: []}
+    kept = [sorted(map(tuple, keep_one_of_each(docs.repartition(n, *by)).collect()), key=str) for n, by in ((1, []), (3, ["__copy"]), (4, ["doc_id"]))]
+    assert kept[0] == kept[1] == kept[2]
+    assert [r[0] for r in kept[0]] == [1, 3, 4] and kept[0][0] == rows[0] and kept[0][1] in rows[2:4]
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], LABEL).write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], ITEM).write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).collect() == []
