@@ -13,6 +13,7 @@ from ..functions import text as fn
 from ..model import Tunables
 from ..operators import catalog, chunks, decks, match, review, runs, segment, tfidf, visual
 from ..sources import artifacts
+from ..sources.pool import Pool
 from ..sources.scratch import scratch, stored
 from . import documents, stages
 
@@ -916,6 +917,22 @@ def merge_pool(spark, d):
     return artifacts.merge_pool(old, new, True).withColumn("how", F.lit("replaced")).union(artifacts.merge_pool(old, new, False).withColumn("how", F.lit("added")))
 
 
+@query("""WITH n AS (SELECT source || '-' || lang AS name, doc_id, coalesce(length(text), 0) AS size, lang FROM documents),
+a AS (SELECT name, doc_id, 1 AS modified FROM n WHERE size > 1000 AND lang <> 'en')
+SELECT *, 'added' AS how FROM a UNION ALL SELECT name, doc_id, 0, 'added' FROM n WHERE name NOT IN (SELECT name FROM a)
+UNION ALL SELECT name, doc_id, 2, 'replaced' FROM n WHERE lang = 'en'""")
+def staged_pool(spark, d):
+    n = table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("name"), "doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    own = lambda rows, modified: rows.select("name", "doc_id", F.lit(modified).alias("modified"))
+    pool = Pool(spark, scratch(spark, "staged_pool"), own(n, 0).schema)
+    pool.save(own(n, 0), replace=True)
+    pool.save(own(n.where("size > 1000 and lang != 'en'"), 1), replace=False)
+    pool.stage(own(n, 9))
+    added = pool.read()
+    pool.save(own(n.where("lang = 'en'"), 2), replace=True)
+    return added.withColumn("how", F.lit("added")).union(pool.read().withColumn("how", F.lit("replaced")))
+
+
 @query("SELECT n_name AS text, r_name AS source FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3")
 def tagged_exams(spark, d):
     n = table(spark, d, "nation")

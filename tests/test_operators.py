@@ -181,6 +181,50 @@ def test_corrections(spark, edits, want):
     assert [(r.start, r.end, r.slide_number, r.confidence) for r in got] == want
 
 
+def edited_slowly(entries, edits):
+    now = [list(e) for e in entries]
+    for t, slide in edits:
+        i = next((i for i, e in enumerate(now) if t is not None and e[0] <= t and (e[1] is None or t < e[1])), None)
+        if i is None:
+            continue
+        if slide is not None:
+            now[i][2:] = [slide, 1.0]
+        else:
+            if i > 0:
+                now[i - 1][1] = now[i][1]
+            elif len(now) > 1:
+                now[1][0] = now[0][0]
+            del now[i]
+    return [tuple(e) for e in now]
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_many_corrections(seed):
+    rng = random.Random(seed)
+    points = sorted(rng.sample(range(200), 2 * rng.randint(0, 12)))
+    entries = [(float(a), float(rng.choice([b, z])), i, 0.5) for i, (a, b, z) in enumerate(zip(points[::2], points[1::2], [*points[2::2], 199], strict=False))]
+    if entries and rng.random() < 0.3:
+        entries[-1] = (entries[-1][0], None, 99, None)
+    edits = [(rng.choice([None, rng.uniform(-5, 210), float(rng.choice(points or [0]))]), rng.choice([None, None, rng.randint(1, 5)])) for _ in range(rng.randint(0, 30))]
+    now = review.Entries(*([e[j] for e in entries] for j in range(4)))
+    for e in edits:
+        now.edit(*e)
+    assert [(now.start[i], now.end[i], now.slide[i], now.sure[i]) for i in now.kept()] == edited_slowly(entries, edits)
+
+
+def test_corrections_take_linear_time(spark):
+    n = 100_000
+    timeline = spark.range(n).selectExpr("'l' lecture_id", "id run_idx", "double(id) start", "double(id + 1) end", "int(id) slide_number", "0.5D confidence")
+    every = spark.range(n).selectExpr("'l' lecture_id", "int(id) position", f"double({n} - id) - 0.5D timestamp", "if(id % 2 = 0, null, 7) slide_number")
+    got = review.apply_corrections(timeline, every)
+    assert tuple(got.agg(F.count("*"), F.min("start"), F.max("end"), F.min("slide_number"), F.min("confidence")).first()) == (1, 0.0, n, 7, 1.0)
+
+
+def test_entries_out_of_order_are_an_error():
+    with pytest.raises(ValueError, match="out of order"):
+        review.Entries([0.0, 5.0], [6.0, 9.0], [1, 2], [None, None])
+
+
 def test_stitching(spark):
     parts = spark.createDataFrame([("l", 0, 298.4, ""), ("l", 1, 301.9, "sr"), ("l", 2, 150.0, "en")], "lecture_id string, part int, duration double, language string")
     segs = spark.createDataFrame([("l", p, 0, 1.0, 2.0, f"t{p}") for p in range(3)], "lecture_id string, part int, seg_index int, start double, end double, text string")
