@@ -8,9 +8,11 @@ results stay the same). Windows that pass are counted: each batch of a task keep
 knows the others to be later ones, which also bounds what a frequent passage sends; the rest meet by hash,
 where all but the first are later ones. Overlapping later windows merge into maximal removal intervals.
 
-Order is (doc_id, start); a null doc_id comes first. Repeated rows are one document and get the same
-result. Null texts have no words; a text of fewer words than a window stays whole. Other columns are
-ignored. An empty table gives an empty result.
+Order is (doc_id, start); a null doc_id comes first. Ids may be of any type that has an order: whole numbers
+stand for themselves, others get places in their order by a range partitioning, which is written as a table.
+Repeated rows are one document and get the same result. Null texts have no words; a text of fewer words than
+a window stays whole. A very long text is read in pieces, but is one value of a row. Other columns are ignored,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import RollingHash, WordScan, read, texts_of
+from .common import RollingHash, WordScan, materialize, read, texts_of
 
 FILTER_BITS = 27
 #: Windows compared within a task at once.
@@ -112,13 +115,23 @@ def later_of(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+def with_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place): a number for each id, in their order."""
+    rows = docs.select("doc_id", "text")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return rows.withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(UNKNOWN)))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = materialize(ids.select(F.col("doc_id").alias("own"), F.monotonically_increasing_id().alias("at")), "ids")
+    return rows.join(ids, F.col("doc_id") == F.col("own"), "left").select("doc_id", "text", F.coalesce("at", F.lit(UNKNOWN)).alias("place"))
+
+
 def later_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_hash, start, n): n consecutive windows whose word sequences start earlier elsewhere; doc_id is never null.
+    """(place, text_hash, start, n): n consecutive windows whose word sequences start earlier elsewhere, in ``docs`` (text, place).
 
     Windows travel in runs of one minimizer, which equal windows share, so a run is a row.
     """
     held = docs.sparkSession.sparkContext.broadcast(hash_filter(repeated_minimizers(docs, window)))
-    names = ["minimizer", "doc_id", "text_hash", "start", "n", "hashes"]
+    names = ["minimizer", "place", "text_hash", "start", "n", "hashes"]
     longs = lambda *columns: [pa.array(np.ascontiguousarray(c).astype(np.int64, copy=False)) for c in columns]
 
     def settled(doc, text, start) -> pa.RecordBatch:
@@ -154,7 +167,7 @@ def later_windows(docs: DataFrame, window: int) -> DataFrame:
             yield from emit(rows)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = ["doc_id", "text_hash", "start", "n"]
+        out = ["place", "text_hash", "start", "n"]
         rows = []
         for batch in batches:
             open_run = pa.compute.equal(batch.column(4), 0)
@@ -181,17 +194,18 @@ def later_windows(docs: DataFrame, window: int) -> DataFrame:
                     s = first[i : i + 100_000]
                     yield pa.RecordBatch.from_arrays(longs(doc[s], text[s], start[s], n[i : i + 100_000]), out)
 
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(UNKNOWN)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = keyed.mapInArrow(occurrences, "minimizer long, doc_id long, text_hash long, start long, n long, hashes binary")
-    return found.repartition("minimizer").mapInArrow(settle, "doc_id long, text_hash long, start long, n long")
+    keyed = docs.select("place", F.xxhash64("text").alias("text_hash"), "text")
+    found = keyed.mapInArrow(occurrences, "minimizer long, place long, text_hash long, start long, n long, hashes binary")
+    return found.repartition("minimizer").mapInArrow(settle, "place long, text_hash long, start long, n long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``; the kept text and the removed intervals if asked for."""
-    later = later_windows(docs, window).groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("__starts"), F.collect_list("n").alias("__counts"))
-    later = later.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(UNKNOWN)).alias("__id"), F.xxhash64("text").alias("__text"))
-    rows = rows.join(later.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left").select("doc_id", "text", "__starts", "__counts")
+    docs = with_places(docs)
+    later = later_windows(docs, window).groupBy("place", "text_hash").agg(F.collect_list("start").alias("__starts"), F.collect_list("n").alias("__counts"))
+    later = later.withColumnsRenamed({"place": "__place", "text_hash": "__hash"})
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    rows = rows.join(later.hint("shuffle_hash"), (F.col("place") == F.col("__place")) & (F.col("__text") == F.col("__hash")), "left").select("doc_id", "text", "__starts", "__counts")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string, intervals array<array<int>>" * with_text
 

@@ -1,4 +1,5 @@
 import hashlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -46,6 +47,16 @@ def test_full_filter_gives_the_same(docs, rows, monkeypatch):
     same(remove_repeats(docs), plain(rows))
 
 
+@pytest.mark.parametrize("kind, name", [("string", lambda i: f"d{i}"), ("double", lambda i: i / 4), ("decimal(30,2)", lambda i: Decimal(i) * 10**20)])
+def test_ids_of_other_types(spark, rows, kind, name):
+    own = [(None if r[0] is None else name(r[0]), r[1], 7, "x") for r in rows]
+    docs = spark.createDataFrame(own, f"doc_id {kind}, text string, place int, own string")
+    order = {x: i for i, x in enumerate(sorted({r[0] for r in own} - {None}))} | {None: None}
+    got = remove_repeats(docs.repartition(3))
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted((str(order[r.doc_id]), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == plain([(order[r[0]], r[1]) for r in own])
+
+
 def test_texts_and_intervals(docs):
     for r in remove_repeats(docs, with_text=True).collect():
         assert sum(e - s for s, e in r.intervals) == r.n_removed
