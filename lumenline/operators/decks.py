@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm, similar_words, strip, title_words
+from ..sources.scratch import stored
 from .runs import KEYS
 
 
@@ -129,27 +130,22 @@ def alike_words(words: DataFrame, others: DataFrame) -> DataFrame:
 def suggest_lectures(decks: DataFrame, lectures: DataFrame, least: float = 0.5, top: int = 3, fuzzy: bool = True) -> DataFrame:
     """(deck, lecture_id, score) of the ``top`` lectures whose title words a deck's preview has, or words alike.
 
-    Words alike are found among distinct words, once. A deck that has the share ``least`` of a title's words has
-    one of its rarest, so many that fewer than that share are left: only these join decks with titles.
+    Words alike are found among distinct words, once. Previews are dealt by deck before they are cut into words: a deck's words
+    meet the titles, are counted and ranked where they are, and neither words nor pairs are sent on.
     """
-    words = lectures.select("lecture_id", F.posexplode(title_words("title")).alias("at", "word"))
-    vocabulary = words.select("word").distinct()
-    flat = decks.select("deck", F.explode(F.array_distinct(title_words("preview"))).alias("other"))
+    words = lectures.select("lecture_id", F.explode(title_words("title")).alias("word"))
+    sizes = words.groupBy("lecture_id").agg(F.count("*").alias("__n"))
+    counted = words.groupBy("lecture_id", "word").agg(F.count("*").alias("__times")).join(sizes, "lecture_id")
+    cut = lambda rows: rows.select("deck", F.explode(F.array_distinct(title_words("preview"))).alias("other"))
+    flat = cut(decks.select("deck", "preview").repartition("deck"))
     if fuzzy:
-        has = flat.join(alike_words(vocabulary, flat.select("other").distinct()), "other").select("deck", "word").distinct()
+        # Stored, so that the join knows how few they are.
+        alike = stored(alike_words(words.select("word").distinct(), cut(decks).select("other").distinct()), "alike")
+        has = flat.join(alike, "other").select("deck", "word").distinct()
     else:
-        has = flat.withColumnRenamed("other", "word").join(vocabulary, "word", "left_semi")
-    often = has.groupBy("word").agg(F.count("*").alias("__often"))
-    own = Window.partitionBy("lecture_id")
-    ranked = words.join(often, "word", "left").withColumn("__n", F.count("*").over(own))
-    ranked = ranked.withColumn("__place", F.row_number().over(own.orderBy(F.coalesce("__often", F.lit(0)), "word", "at")))
-    need = F.greatest(F.ceil(F.col("__n") * (least - 0.0005) - 1e-9), F.lit(1))  # scores are rounded to three places
-    prefix = ranked.where(F.col("__place") <= F.col("__n") - need + 1).select("lecture_id", "word").distinct()
-    candidates = prefix.join(has, "word").select("deck", "lecture_id").distinct()
-    counted = words.groupBy("lecture_id", "word").agg(F.count("*").alias("__times"))
-    hits = candidates.join(counted, "lecture_id").join(has, ["deck", "word"]).groupBy("deck", "lecture_id").agg(F.sum("__times").alias("__hits"))
-    sizes = words.groupBy("lecture_id").agg(F.count("*").alias("__n"))
-    scored = hits.join(sizes, "lecture_id").select("deck", "lecture_id", F.round(F.col("__hits") / F.col("__n"), 3).alias("score")).where(F.col("score") >= least)
+        has = flat.withColumnRenamed("other", "word")
+    hits = has.join(counted, "word").groupBy("deck", "lecture_id", "__n").agg(F.sum("__times").alias("__hits"))
+    scored = hits.select("deck", "lecture_id", F.round(F.col("__hits") / F.col("__n"), 3).alias("score")).where(F.col("score") >= least)
     best = Window.partitionBy("deck").orderBy(F.desc("score"), "lecture_id")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
 

@@ -368,3 +368,17 @@ def test_words_alike_are_those_of_all_pairs(spark):
     got = decks.alike_words(spark.createDataFrame([(w,) for w in own], "word string"), spark.createDataFrame([(w,) for w in others], "other string")).collect()
     want = {(w, o) for w in own for o in others if w == o or difflib.get_close_matches(w, [o], n=1, cutoff=0.85)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 150
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_previews_are_sent_once(spark, tmp_path, fuzzy):
+    import re
+
+    own = spark.range(50).select(F.col("id").alias("deck"), F.concat(F.lit("signal obrada analiza sistema "), F.expr("array_join(transform(sequence(1, 200), i -> sha1(string(1000 * id + i))), ' ')")).alias("preview"))
+    own.write.parquet(f"{tmp_path}/own")
+    spark.createDataFrame([(1, "obrada signala"), (2, "analiza sistema"), (3, "7 8 9")], "lecture_id long, title string").write.parquet(f"{tmp_path}/titles")
+    found = decks.suggest_lectures(spark.read.parquet(f"{tmp_path}/own"), spark.read.parquet(f"{tmp_path}/titles"), fuzzy=fuzzy)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sent = re.findall(r"Exchange hashpartitioning\((deck|word|other)#[^)]*\), (\w+)", plan)
+    assert sent == [("deck", "REPARTITION_BY_COL")]
+    assert {(r.deck, r.lecture_id, r.score) for r in found.collect()} == {(i, 2, 1.0) for i in range(50)} | ({(i, 1, 0.5) for i in range(50)} if not fuzzy else {(i, 1, 1.0) for i in range(50)})
