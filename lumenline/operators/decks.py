@@ -111,7 +111,8 @@ def word_pieces(words: DataFrame, name: str, other: bool) -> DataFrame:
         longer = F.col("n") - F.col("m")
         shifts = F.sequence(F.ceil((longer - F.col("most")) / 2).cast("int"), F.floor((longer + F.col("most")) / 2).cast("int"))
         rows = rows.withColumn("start", F.explode(F.transform(shifts, lambda x: F.col("start") + x))).where("start >= 0 and start + letters <= n")
-    return rows.select(name, "m", "n", "i", F.substr(name, F.col("start") + 1, F.col("letters")).alias("piece")).distinct()
+    found = rows.select(name, "m", "n", "i", F.substr(name, F.col("start") + 1, F.col("letters")).alias("piece"))
+    return found if other else found.distinct()
 
 
 def alike_words(words: DataFrame, others: DataFrame) -> DataFrame:
@@ -119,12 +120,13 @@ def alike_words(words: DataFrame, others: DataFrame) -> DataFrame:
 
     Of two words that much alike at most 0.15 of all letters lie outside their matching blocks, and so many edits make one
     of the other. Pairs therefore share a piece of known length at nearly the same place (``word_pieces``); they are joined by it,
-    held against their edit distance, and only then compared.
+    held against their edit distance, and only then compared. The pieces of ``words``, the fewer ones, are stored, so that the join
+    knows their size: while they are few, those of ``others`` are made where their words are and never sent.
     """
-    near = word_pieces(words, "word", False).join(word_pieces(others, "other", True), ["m", "n", "i", "piece"]).where("word <> other").select("word", "other", "m", "n").distinct()
-    near = near.where(F.levenshtein("word", "other") <= (F.col("m") + F.col("n")) * (1 - LEAST_ALIKE) + 1e-9)
-    near = near.select("word", "other").where(similar_words("word", "other"))
-    return words.join(others, F.col("word") == F.col("other")).select("word", "other").union(near)
+    pieces = stored(word_pieces(words, "word", False), "pieces")
+    near = word_pieces(others, "other", True).join(pieces, ["m", "n", "i", "piece"]).where("word <> other")
+    near = near.where(F.levenshtein("word", "other") <= (F.col("m") + F.col("n")) * (1 - LEAST_ALIKE) + 1e-9).select("word", "other").distinct()
+    return words.join(others, F.col("word") == F.col("other")).select("word", "other").union(near.where(similar_words("word", "other")))
 
 
 def suggest_lectures(decks: DataFrame, lectures: DataFrame, least: float = 0.5, top: int = 3, fuzzy: bool = True) -> DataFrame:
