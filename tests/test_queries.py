@@ -38,3 +38,35 @@ def test_flagship(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="module")
+def near_whole(spark, tmp_path_factory):
+    """Pictures of values whose single product with 1000 or 100 is the next whole number, while the double one lies below it."""
+    import numpy as np
+
+    found = []
+    for by in (1000, 100):
+        k = np.arange(1, 1001, dtype=np.float32) / np.float32(by)
+        own = np.concatenate([k, np.nextafter(k, np.float32(0), dtype=np.float32)])
+        found += own[np.trunc(own * np.float32(by)) != np.trunc(own.astype(float) * by)].tolist()
+    assert len(found) > 64
+    where = tmp_path_factory.mktemp("near_whole")
+    rows = [(i, [found[(i * 7 + j * j) % len(found)] for j in range(64)], i % 3) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{where}/embeddings.parquet")
+    return str(where)
+
+
+def equal_to_sql(spark, d, name, table):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{d}/{table}.parquet/*.parquet')")
+    found = con.execute(queries.SQL[name])
+    names = [x[0] for x in found.description]
+    want = sorted(found.fetchall(), key=str)
+    got = sorted((tuple(r[c] for c in names) for r in queries.QUERIES[name](spark, d).collect()), key=str)
+    assert got == want and want
+
+
+@pytest.mark.parametrize("name", ["crop_frames", "pixel_events"])
+def test_products_near_whole_numbers(spark, near_whole, name):
+    equal_to_sql(spark, near_whole, name, "embeddings")
