@@ -67,6 +67,6 @@ def equal_to_sql(spark, d, name, table):
     assert got == want and want
 
 
-@pytest.mark.parametrize("name", ["crop_frames", "pixel_events"])
+@pytest.mark.parametrize("name", ["crop_frames", "pixel_events", "frame_resize"])
 def test_products_near_whole_numbers(spark, near_whole, name):
     equal_to_sql(spark, near_whole, name, "embeddings")
