@@ -70,3 +70,13 @@ def equal_to_sql(spark, d, name, table):
 @pytest.mark.parametrize("name", ["crop_frames", "pixel_events", "frame_resize"])
 def test_products_near_whole_numbers(spark, near_whole, name):
     equal_to_sql(spark, near_whole, name, "embeddings")
+
+
+def test_a_table_of_several_files_is_one_video(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "pages.parquet").mkdir()
+    for k, n in enumerate([3, 0, 506, 90, 1]):
+        pq.write_table(pa.table({"url": [f"https://{k}/{i}" for i in range(n)]}, pa.schema([("url", pa.string())])), tmp_path / f"pages.parquet/part-{k}.parquet", row_group_size=100)
+    equal_to_sql(spark, str(tmp_path), "frame_scan", "pages")
