@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import col, let
+from ..sources.scratch import stored
 
 
 def default_stop_words(spark) -> list[str]:
@@ -13,9 +14,9 @@ def default_stop_words(spark) -> list[str]:
     return list(spark._jvm.org.apache.spark.ml.feature.StopWordsRemover.loadDefaultStopWords("english"))
 
 
-def tokens(text: str, stop_words: list[str] | None = None) -> Column:
+def tokens(text, stop_words: list[str] | None = None) -> Column:
     """Lower-case words of two characters or more."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
+    found = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
     return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
@@ -53,6 +54,47 @@ def cosine_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], a: str
     return pairs.groupBy(*keys, a, b).agg(F.sum(F.col("__x") * F.col("__y")).alias("similarity"))
 
 
+def counted_terms(docs: DataFrame, doc: str) -> DataFrame:
+    """(doc, terms): every document's distinct terms with their numbers, one row for each id; texts are sent once, words never."""
+    own = docs.groupBy(doc).agg(F.collect_list("text").alias("__texts"))
+    words = F.array_sort(F.flatten(F.transform("__texts", lambda x: tokens(x))))
+    # Sorted, equal words are neighbours: counts are the distances between the places where a new one begins.
+    places = lambda w: F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: (i == 0) | (i == F.size(w)) | (F.get(w, i) != F.get(w, i - 1)))
+    term = lambda w, p, i, at: F.when(at < F.size(p) - 1, F.struct(F.get(w, i).alias("term"), (F.get(p, at + 1) - i).cast("long").alias("tf")))
+    found = let(words, lambda w: let(places(w), lambda p: F.filter(F.transform(p, lambda i, at: term(w, p, i, at)), lambda x: x.isNotNull())))
+    return own.select(doc, found.alias("terms"))
+
+
+def joint_similarity(left: DataFrame, right: DataFrame, a: str, b: str, common: int = 1 << 17) -> DataFrame:
+    """(a, b, similarity) of documents (a, text) and (b, text) that share a term; idf is joint over both.
+
+    Meant for few documents on the left: their terms meet the right ones' where these are, and only the texts of the right are sent.
+    A vector's length needs the document frequencies of all its terms. Those of terms that are frequent, at most ``common``
+    of them, are brought to the documents; only a document's other terms are sent to theirs.
+    """
+    total = left.select(F.lit(1)).union(right.select(F.lit(1))).agg(F.count("*").alias("__n"))
+    l, r = counted_terms(left, a), counted_terms(right, b)
+    each = lambda rows, doc: rows.select(doc, F.inline("terms"))
+    seen = each(l, a).select("term").unionAll(each(r, b).select("term")).groupBy("term").agg(F.count("*").alias("__df"))
+    # Stored, so that joins know its size; it is used four times.
+    seen = stored(seen, "document-frequencies")
+    idf = seen.crossJoin(F.broadcast(total)).select("term", "__df", (F.log((1 + F.col("__n")) / (1 + F.col("__df"))) + 1).alias("__idf"))
+    least = seen.agg((F.sum("__df") / common).alias("__least"))
+    frequent = idf.crossJoin(F.broadcast(least)).where(F.col("__df") >= F.col("__least")).select("term", "__idf")
+    frequent = F.broadcast(stored(frequent, "frequent-terms"))
+    square = F.sum((F.col("tf") * F.col("__idf")) * (F.col("tf") * F.col("__idf"))).alias("__square")
+
+    def squares(rows: DataFrame, doc: str) -> DataFrame:
+        near = each(rows, doc).join(frequent, "term").groupBy(doc).agg(square)
+        far = each(rows, doc).join(frequent, "term", "left_anti").join(idf, "term").groupBy(doc).agg(square)
+        return near.unionAll(far).groupBy(doc).agg(F.sqrt(F.sum("__square")).alias("__length"))
+
+    w = each(l, a).join(idf, "term").join(squares(l, a), a).select(a, "term", "__idf", (F.col("tf") * F.col("__idf") / F.col("__length")).alias("__x"))
+    w = stored(w, "weights")
+    dots = each(r, b).join(w, "term").groupBy(a, b).agg(F.sum(F.col("__x") * (F.col("tf") * F.col("__idf"))).alias("__dot"))
+    return dots.join(squares(r, b).hint("shuffle_hash"), b).select(a, b, (F.col("__dot") / F.col("__length")).alias("similarity"))
+
+
 def event_slide_similarity(events: DataFrame, slides: DataFrame, stop_words: list[str] | None, keys: tuple[str, ...] = ("lecture_id",)) -> DataFrame:
     """(keys, event_index, slide_number, similarity) of every event and slide of a lecture; idf is joint over both."""
     e = events.select(*keys, F.lit("e").alias("__side"), F.col("event_index").cast("long").alias("__id"), F.col("ocr_text").alias("text"))

@@ -382,3 +382,36 @@ def test_previews_are_sent_once(spark, tmp_path, fuzzy):
     sent = re.findall(r"Exchange hashpartitioning\((deck|word|other)#[^)]*\), (\w+)", plan)
     assert sent == [("deck", "REPARTITION_BY_COL")]
     assert {(r.deck, r.lecture_id, r.score) for r in found.collect()} == {(i, 2, 1.0) for i in range(50)} | ({(i, 1, 0.5) for i in range(50)} if not fuzzy else {(i, 1, 1.0) for i in range(50)})
+
+
+@pytest.mark.parametrize("common", [1, 40, 1 << 17])
+def test_joint_similarity_is_that_of_all_pairs(spark, common):
+    import math
+    from collections import Counter
+
+    from lumenline.operators import tfidf
+
+    rng = random.Random(6)
+    text = lambda k: " ".join("w" + str(min(int(rng.expovariate(0.1)), 60)) for _ in range(k))
+    left = [(i, text(rng.randint(0, 12))) for i in range(6)] + [(3, text(5)), (9, None)]
+    right = [(i, text(rng.randint(0, 40))) for i in range(30)] + [(7, text(9)), (7, text(3)), (50, None), (51, "a b")]
+    counts = [{}, {}]
+    for own, rows in zip(counts, (left, right)):
+        for i, t in rows:
+            own.setdefault(i, Counter()).update(w for w in (t or "").split() if len(w) > 1)
+    n, df = len(left) + len(right), Counter(w for own in counts for c in own.values() for w in c)
+    weights = [{i: {w: tf * (math.log((1 + n) / (1 + df[w])) + 1) for w, tf in c.items()} for i, c in own.items()} for own in counts]
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {(i, j): sum(x * y[w] for w, x in v.items() if w in y) / size(v) / size(y) for i, v in weights[0].items() for j, y in weights[1].items() if v.keys() & y.keys()}
+    got = tfidf.joint_similarity(spark.createDataFrame(left, "a long, text string"), spark.createDataFrame(right, "b long, text string"), "a", "b", common).collect()
+    assert len(got) == len(want) and {(r.a, r.b): round(r.similarity, 9) for r in got} == {k: round(x, 9) for k, x in want.items()}
+
+
+def test_pairs_of_similarity_are_not_sent(spark):
+    import re
+
+    from lumenline.plans import queries
+
+    plan = queries.QUERIES["tfidf_similarity"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    sent = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert sent and all(len(re.findall(r"#", keys)) == 1 for keys in sent), sent
