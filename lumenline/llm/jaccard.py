@@ -320,13 +320,18 @@ class ShingleJoin:
         rows = shared.join(points, "cls").select("token", "cls", "n", "point").repartition("token")
         return materialize(rows.mapInArrow(run, "token long, cls long, n long"), "close-shingles")
 
+    def homes(self, close: DataFrame) -> DataFrame:
+        """(cls, token, deal): the groups that classes go to; of groups of the same classes, which would find the same links, one."""
+        by_token = Window.partitionBy("cls").orderBy("token")
+        homes = close.select("cls", "token", F.row_number().over(by_token).alias("k")).where(F.col("k") <= HOMES)
+        sizes = homes.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("members")).where("size > 1")
+        sizes = sizes.groupBy("size", "members").agg(F.min("token").alias("token"))
+        return homes.join(sizes, "token").select("cls", "token", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / HOME)).cast("int").alias("deal"))
+
     def home_links(self, close: DataFrame, sets: DataFrame) -> DataFrame:
         """(u, v): links that connect similar classes within the groups that classes go to with their sets."""
         num, den = self.num, self.den
-        by_token = Window.partitionBy("cls").orderBy("token")
-        homes = close.select("cls", "token", F.row_number().over(by_token).alias("k")).where(F.col("k") <= HOMES)
-        sizes = homes.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-        homes = homes.join(sizes, "token").select("cls", "token", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / HOME)).cast("int").alias("deal"))
+        homes = materialize(self.homes(close), "homes")  # few numbers: the join with the sets should know its size
         rows = homes.join(sets.select("cls", "shingles"), "cls").repartition("token", "deal").sortWithinPartitions("token", "deal", "cls")
 
         def link(cls: list[int], own: list[np.ndarray]) -> Iterator[tuple[int, int]]:

@@ -111,3 +111,9 @@ def test_a_shingle_of_many_unconnected_classes(spark, monkeypatch):
         own = [f"v{rng.randrange(40)}" for _ in range(20)] if i % 50 else rows[-1][1].split()[:20] if i else ["a"] * 20
         rows.append((i, " ".join([*own, "one", "shared", "rare", "shingle"])) + (None,) * 10)
     same(jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 60, 100), plain(rows, 4, 60, 100)[0])
+
+
+def test_groups_of_the_same_classes_are_sent_once(spark):
+    close = spark.createDataFrame([(t, c, 9) for t, c in [(10, 1), (20, 1), (10, 2), (20, 2), (30, 3), (40, 3), (30, 4), (50, 4), (40, 5), (50, 5)]], "token long, cls long, n long")
+    join = jaccard.ShingleJoin(spark.createDataFrame([], "doc_id long, text string"), 4, 85, 100)
+    assert sorted((r.token, r.cls) for r in join.homes(close).collect()) == [(10, 1), (10, 2), (30, 3), (30, 4), (40, 3), (40, 5), (50, 4), (50, 5)]
