@@ -388,14 +388,16 @@ class Searcher:
         del own, columns
         # Lists of the other terms, of places in that order.
         rare = rare[np.argsort(rows.term[rare], kind="stable")]
-        self.at, self.value = place[doc[rare]], rows.value[rare]
+        #: An example's place and its weight beside each other: a query's lists are gathered in one go.
+        self.entries = np.empty(len(rare), [("at", np.int32), ("value", np.float32)])
+        self.entries["at"], self.entries["value"] = place[doc[rare]], rows.value[rare]
         self.start = np.searchsorted(rows.term[rare], np.arange(index.space.size + 1))
-        self.held, self.has = np.zeros(index.space.size), np.zeros(index.space.size, bool)
+        self.held = np.zeros(index.space.size)
         self.blocks_scored = self.blocks_bounded = 0
 
     def nearest(self, queries: Vectors, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the nearest examples and their cosines, exactly: by falling cosine, then by place."""
-        m, wide = len(queries), BLOCK * TOGETHER
+        m, wide, entries = len(queries), BLOCK * TOGETHER, self.entries.view(np.int64)
         doc, column = queries.doc, self.column[queries.term]
         heads = np.zeros((m, len(self.matrix)), np.float32)
         heads[doc[column >= 0], column[column >= 0]] = queries.value[column >= 0]
@@ -404,11 +406,10 @@ class Searcher:
             at, x = queries.row(i)
             rare = self.column[at] < 0
             at, x = at[rare], x[rare]
-            lists = [slice(s, e) for s, e in zip(self.start[at].tolist(), self.start[at + 1].tolist(), strict=True)]
-            if lists:
-                weights = np.concatenate([self.value[own] for own in lists])
-                weights *= np.repeat(x, self.start[at + 1] - self.start[at])
-                tails[i] = np.bincount(np.concatenate([self.at[own] for own in lists]), weights, self.n)
+            begin, end = self.start[at], self.start[at + 1]
+            if len(at):
+                own = np.concatenate([entries[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)]).view(self.entries.dtype)
+                tails[i] = np.bincount(own["at"], own["value"] * np.repeat(x.astype(np.float32), end - begin), self.n)
             else:
                 tails[i] = 0
         tails += self.blank
@@ -444,13 +445,13 @@ class Searcher:
 
     def exact(self, found: np.ndarray, at: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         rows = self.index.rows
-        begin, size = rows.start[found], rows.start[found + 1] - rows.start[found]
-        own = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-        self.held[at], self.has[at] = x, True
-        terms = rows.term[own]
-        own, terms, of = (a[self.has[terms]] for a in (own, terms, np.repeat(np.arange(len(found)), size)))
-        cosine = np.bincount(of, self.held[terms] * rows.value[own], minlength=len(found))
-        self.held[at], self.has[at] = 0, False
+        begin, end = rows.start[found], rows.start[found + 1]
+        spans = [slice(s, e) for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+        self.held[at] = x
+        # Terms that the query lacks add 0.
+        parts = [self.held.take(rows.term[own], mode="clip") * rows.value[own] for own in spans]
+        self.held[at] = 0
+        cosine = np.bincount(np.repeat(np.arange(len(found)), end - begin), np.concatenate(parts), len(found)) if parts else np.zeros(0)
         best = np.lexsort((found, -np.round(cosine, 12)))
         best = best[cosine[best] > 0][:count]
         return found[best], cosine[best]
