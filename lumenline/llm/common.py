@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -88,12 +91,31 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: Rows of a batch whose texts are taken out of Arrow at once.
+ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time, so that a task does not hold all texts of a batch twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, where the libraries can do that: a worker's stays with it for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[bytes | None]], list[list]]],
@@ -112,7 +134,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in slices(batches):
             columns = compute(texts_of(batch.column(0)))
             made = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i + 1) for i in range(len(keep))] + made, names)
@@ -129,7 +151,7 @@ def filter_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = make()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(passes(texts_of(batch.column(at))), type=pa.bool_()))
         done()
 
@@ -178,7 +200,7 @@ class WordScan:
     """64-bit hashes of the white-space separated words of texts, many at a time and without word objects."""
 
     #: Bytes handled at once; words of more than LONG bytes are hashed one by one.
-    PIECE, LONG = 1 << 19, 64
+    PIECE, LONG = 1 << 18, 64
 
     def __init__(self, fold: bytes | None = None):
         """``fold``: a table of 256 bytes applied to the texts first."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import give_back, materialize, read
 
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -67,6 +67,7 @@ def cut_pieces(docs: DataFrame, limit: int = 2048, end: int = 1, vocabulary: tup
             kinds = [kind, *[pa.int64()] * 4, *[pa.list_(pa.int32())] * with_ids]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(kinds)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

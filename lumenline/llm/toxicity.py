@@ -27,9 +27,7 @@ columns are ignored by scores and passed on by the filter.
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
-import gc
 import math
 import os
 import threading
@@ -46,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, WordScan, filter_texts, map_texts, materialize, mix, read, texts_of
+from .common import FOLD, WordScan, filter_texts, give_back, map_texts, materialize, mix, read, texts_of
 from .jaccard import ShingleScan, overlap
 
 #: Lengths in bytes of the word beginnings that can be markers.
@@ -57,6 +55,8 @@ DF_BITS, DF_BLOCKS = 22, 16
 DENSE, AT_ONCE = 0.05, 64
 #: Examples of a block whose maxima bound it, and blocks that are scored together.
 BLOCK, TOGETHER = 16, 16
+#: Examples that go into an index at once.
+EXAMPLES = 512
 
 #: Rows with this remainder of crc32(doc_id as text) modulo FOLDS are held out.
 FOLDS, HELD_OUT = 5, 0
@@ -364,37 +364,54 @@ class Searcher:
         dense = np.flatnonzero(size > DENSE * n)
         self.column = np.full(index.space.size, -1, np.int32)
         self.column[dense] = np.arange(len(dense))
-        columns = self.column[rows.term]
-        own, rare = np.flatnonzero(columns >= 0), np.flatnonzero(columns < 0)
-        columns, doc = columns[own], rows.doc.astype(np.int32)
-        matrix = np.zeros((n, len(dense)), np.float32)
-        matrix[doc[own], columns] = rows.value[own]
         # Which examples are alike shows in some directions as well.
-        some = matrix @ np.random.default_rng(0).standard_normal((len(dense), 128)).astype(np.float32)
-        del matrix
+        directions = np.random.default_rng(0).standard_normal((len(dense), 128)).astype(np.float32)
+        some = np.empty((n, 128), np.float32)
+        for begin, end, part in self.parts():
+            doc, column = part.doc, self.column[part.term]
+            has = column >= 0
+            matrix = np.zeros((end - begin, len(dense)), np.float32)
+            matrix[doc[has], column[has]] = part.value[has]
+            some[begin:end] = matrix @ directions
         #: The examples by block.
         self.order = bisected(some, BLOCK * TOGETHER)
         for s in range(0, n, BLOCK * TOGETHER):
             part = self.order[s : s + BLOCK * TOGETHER]
             self.order[s : s + BLOCK * TOGETHER] = part[bisected(some[part], BLOCK)]
+        del some
         place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
         self.n = -(-n // (BLOCK * TOGETHER)) * BLOCK * TOGETHER
         self.matrix = np.zeros((len(dense), self.n), np.float32)
-        self.matrix[columns, place[doc[own]]] = rows.value[own]
+        size[dense] = 0
+        #: Lists of the other terms, of places in that order, where each starts in ``start``. An example's place
+        #: and its weight are beside each other: a query's lists are gathered in one go.
+        self.start = np.r_[0, np.cumsum(size)]
+        self.entries = np.empty(self.start[-1], [("at", np.int32), ("value", np.float32)])
+        free = self.start[:-1].copy()
+        for begin, _, part in self.parts():
+            doc, column = place[begin + part.doc], self.column[part.term]
+            has = column >= 0
+            self.matrix[column[has], doc[has]] = part.value[has]
+            rare = np.flatnonzero(~has)
+            rare = rare[np.argsort(part.term[rare], kind="stable")]
+            kinds, first, count = np.unique(part.term[rare], return_index=True, return_counts=True)
+            at = np.repeat(free[kinds] - first, count) + np.arange(len(rare))
+            free[kinds] += count
+            self.entries["at"][at], self.entries["value"][at] = doc[rare], part.value[rare]
         self.most = self.matrix.reshape(len(dense), -1, BLOCK).max(2)
         self.blank = np.zeros(self.n, np.float32)
         self.blank[n:] = -np.inf  # places without an example
-        del own, columns
-        # Lists of the other terms, of places in that order.
-        rare = rare[np.argsort(rows.term[rare], kind="stable")]
-        #: An example's place and its weight beside each other: a query's lists are gathered in one go.
-        self.entries = np.empty(len(rare), [("at", np.int32), ("value", np.float32)])
-        self.entries["at"], self.entries["value"] = place[doc[rare]], rows.value[rare]
-        self.start = np.searchsorted(rows.term[rare], np.arange(index.space.size + 1))
         self.held = np.zeros(index.space.size)
         self.blocks_scored = self.blocks_bounded = 0
 
+    def parts(self) -> Iterator[tuple[int, int, Vectors]]:
+        """The examples, some at a time: what is made of them on the way is small beside the index."""
+        n = len(self.index.rows)
+        for begin in range(0, n, EXAMPLES):
+            end = min(begin + EXAMPLES, n)
+            yield begin, end, self.index.rows.part(begin, end)
+
     def nearest(self, queries: Vectors, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the nearest examples and their cosines, exactly: by falling cosine, then by place."""
         m, wide, entries = len(queries), BLOCK * TOGETHER, self.entries.view(np.int64)
@@ -625,6 +642,7 @@ class Prepared:
                 cls.timer.cancel()
             if cls.key is not held:
                 cls.searcher = None
+                give_back()  # what earlier tasks left; a worker lives through many stages
                 one_blas_thread()
                 cls.key, cls.searcher = held, Searcher(held.value)
                 give_back()
@@ -648,13 +666,6 @@ class Prepared:
                 give_back()
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system, where the C library can do that."""
-    gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def scorer(spark: SparkSession, index: ExampleIndex):
     """In a task: (score, evidence) of each of some texts."""
     held, curve = index.held or spark.sparkContext.broadcast(index), index.curve

@@ -1,13 +1,14 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from lumenline.llm.toxicity import FOLDS, HELD_OUT, Searcher, drop_toxic, fit, on_curve, op10_nearest_examples, score_documents
+from lumenline.llm.toxicity import FOLDS, HELD_OUT, ExampleIndex, Searcher, TermSpace, Vectors, drop_toxic, fit, on_curve, op10_nearest_examples, score_documents
 
 from .fixture_docs import FOLDED, LOWER, SCHEMA
 
@@ -240,3 +241,28 @@ def test_copy_of_a_toxic_text_without_frequent_words(spark):
         assert got[i + 1_000].predicted == 1 and got[i + 1_000].evidence[0] == i
     assert sorted(index.ids) == sorted(i for i, *_ in labels if zlib.crc32(str(i).encode()) % FOLDS != HELD_OUT)
     assert all(r.evidence for r in got.values())
+
+
+def test_an_index_is_made_ready_in_little_more_than_its_own_memory():
+    """Two workers of an executor do so at the same time, beside a JVM that gives nothing back."""
+    rng = np.random.default_rng(4)
+    n, vocab = 6000, 4000
+    cell = np.unique(np.repeat(np.arange(n), 300) * vocab + np.minimum(rng.pareto(0.6, 300 * n) * 20, vocab - 1).astype(np.int64))
+    doc, term = np.divmod(cell, vocab)
+    rows = Vectors(np.searchsorted(doc, np.arange(n + 1)), term.astype(np.int32), rng.random(len(term)).astype(np.float32))
+    space = TermSpace(np.arange(vocab - 1, dtype=np.uint64), np.zeros(0, np.uint64), np.zeros(0), np.ones(1, np.float32))
+    index = ExampleIndex(space, 0.1, 5, toxic=np.zeros(n), ids=np.arange(n), weight=np.ones(n), rows=rows)
+    Searcher(ExampleIndex(space, 0.1, 5, toxic=np.zeros(40), ids=np.arange(40), weight=np.ones(40), rows=rows.part(0, 40)))
+    tracemalloc.start()
+    searcher = Searcher(index)
+    own, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 1.5 * own
+    every = np.zeros((n, vocab), np.float32)
+    every[doc, term] = rows.value
+    for i in (0, 511, 512, 5999):
+        at, x = rows.row(i)
+        (near, cosine), = searcher.nearest(Vectors(np.array([0, len(at)]), at.astype(np.int64), x.astype(float)), 5)
+        want = np.sort(every.astype(float) @ every[i])[::-1][:5]
+        assert near[0] == i or cosine[0] >= want[0] - 1e-9
+        assert np.allclose(cosine, want)
