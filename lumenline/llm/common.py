@@ -8,7 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,13 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files that nothing can read again go now: Spark deletes them once its driver has collected what led to them."""
+    gc.collect()
+    for _ in range(2):  # the first one ends what finalizers still hold
+        spark._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete what ``materialize`` has written; results that still read it must have been saved before."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -207,18 +214,23 @@ class WordScan:
         self.table = bytes(32 if 9 <= b <= 13 else b for b in fold or bytes(range(256)))
         self.rolling = RollingHash()
 
-    def chunks(self, texts: list[bytes | None]):
+    def chunks(self, texts: Iterable[bytes | None]):
         """(indexes of texts, their numbers of words, the hashes of all their words) by pieces of whole texts."""
         part, total, begin = [], 0, 0
-        for i, text in enumerate(texts):
+
+        def piece():
+            starts, hashes = self.words(b" ".join(part))
+            ends = np.cumsum([len(p) + 1 for p in part])
+            return np.arange(begin, begin + len(part)), np.diff(np.searchsorted(starts, ends), prepend=0), hashes
+
+        for text in texts:
             part.append((text or b"").translate(self.table))
             total += len(part[-1]) + 1
-            if total >= self.PIECE or i == len(texts) - 1:
-                starts, hashes = self.words(b" ".join(part))
-                ends = np.cumsum([len(p) + 1 for p in part])
-                counts = np.diff(np.searchsorted(starts, ends), prepend=0)
-                yield np.arange(begin, i + 1), counts, hashes
-                part, total, begin = [], 0, i + 1
+            if total >= self.PIECE:
+                yield piece()
+                part, total, begin = [], 0, begin + len(part)
+        if part:
+            yield piece()
 
     def words(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the words of a text in which white space is spaces."""

@@ -25,7 +25,7 @@ component. Columns other than doc_id and text are ignored. An empty table gives
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import BASE, LOWER, WordScan, discard, join_split, materialize, mix, read, texts_of
+from .common import BASE, LOWER, WordScan, discard, drop_shuffles, give_back, join_split, materialize, mix, read, texts_of
 from .components import connected_components
 
 #: Hashed counts for rarity, bits of the filter for classes that have a close one, groups of a coarse and of a fine point.
@@ -50,7 +50,7 @@ class ShingleScan:
     def __init__(self, size: int):
         self.size, self.words = size, WordScan(LOWER)
 
-    def sets(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray]]:
+    def sets(self, texts: Iterable[bytes | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(index, set) of each text; a text of fewer words than a shingle is one shingle."""
         k = self.size
         for index, counts, hashes in self.words.chunks(texts):
@@ -93,15 +93,22 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def point_of(shingles: np.ndarray, groups: int) -> bytes:
-    """Numbers of shingles by group, in two bytes each where they fit and else in four."""
-    point = np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
-    return point.astype("<u2" if point.max(initial=0) < 65_536 else "<u4").tobytes()
+    """Numbers of shingles by group, in the one, two or four bytes each that they fit."""
+    return packed_counts(np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups))
 
 
 def points_from(packed: list[bytes], groups: int) -> np.ndarray:
-    if all(len(p) == 2 * groups for p in packed):
-        return np.frombuffer(b"".join(packed), "<u2").reshape(-1, groups).astype(np.int32)
-    return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * groups else "<u4").astype(np.int32) for p in packed])
+    points = np.empty((len(packed), groups), np.int32)
+    for size in (1, 2, 4):
+        own = [i for i, p in enumerate(packed) if len(p) == size * groups]
+        if own:
+            points[own] = np.frombuffer(b"".join([packed[i] for i in own]), f"<u{size}").reshape(-1, groups)
+    return points
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    most = counts.max(initial=0)
+    return counts.astype("<u1" if most < 256 else "<u2" if most < 65_536 else "<u4").tobytes()
 
 
 def class_filter(classes: DataFrame) -> np.ndarray:
@@ -165,7 +172,7 @@ class ShingleJoin:
                 none = len(n)
                 yield long_batch(names, batch.column(0), batch.column(1), n, cls, pa.array(points, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()))
             if id_type is not None and counts.any():
-                packed = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in counts.reshape(blocks, -1)]
+                packed = [zlib.compress(packed_counts(p), 6) for p in counts.reshape(blocks, -1)]
                 none = [pa.nulls(blocks, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(range(blocks), pa.int32()), pa.array(packed, pa.binary())], names)
 
@@ -177,7 +184,8 @@ class ShingleJoin:
             total = np.zeros(cells // blocks, np.int64)
             for batch in batches:
                 for c in batch.column(1):
-                    total += np.frombuffer(zlib.decompress(c.as_py()), "<u4")
+                    own = zlib.decompress(c.as_py())
+                    total += np.frombuffer(own, f"<u{len(own) // len(total)}")
             log = np.minimum(np.log2(total + 1.0) * 1500, 65_535).astype("<u2")
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([log.tobytes()], pa.binary())], ["block", "counts"])
 
@@ -187,9 +195,10 @@ class ShingleJoin:
         return rows.where("block is null").drop("block", "counts"), rarity.ravel()
 
     def postings(self, rarity: np.ndarray) -> DataFrame:
-        """(token, cls, n, leads): the necessary prefix of each class, its rarest shingles.
+        """(token, cls, size): the necessary prefix of each class, its rarest shingles.
 
-        ``leads`` is 1 for those that a pair must share in which the class is the smaller one.
+        ``size`` is twice the class's number of shingles, and one more where a pair must share the token in which the class
+        is the smaller one: it leads.
         """
         size, num, den = self.words, self.num, self.den
         shared = self.spark.sparkContext.broadcast(rarity)  # fixed size
@@ -217,12 +226,17 @@ class ShingleJoin:
                     lead.append(m - -(-2 * num * m // (num + den)) + 1)
                 p = np.array(prefix, np.int64)
                 place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-                yield long_batch(["token", "cls", "n", "leads"], np.concatenate(tokens).view(np.int64), np.repeat(np.array(cls, np.int64), p), np.repeat(np.array(n, np.int64), p), place < np.repeat(np.array(lead, np.int64), p))
+                leads = place < np.repeat(np.array(lead, np.int64), p)
+                yield long_batch(["token", "cls", "size"], np.concatenate(tokens).view(np.int64), np.repeat(np.array(cls, np.int64), p), 2 * np.repeat(np.array(n, np.int64), p) + leads)
+            give_back()
 
-        return self.docs.select("text").mapInArrow(run, "token long, cls long, n long, leads long")
+        return self.docs.select("text").mapInArrow(run, "token long, cls long, size long")
 
     def sets(self, close: DataFrame) -> DataFrame:
-        """(cls, point, shingles) of the classes in ``close``; a fixed-size filter lets few others through."""
+        """(cls, point, packed) of the classes in ``close``; a fixed-size filter lets few others through.
+
+        A set goes as a compressed text that has it, which takes about a third of its hashes' room.
+        """
         size = self.words
         bits = class_filter(close)
         held = self.spark.sparkContext.broadcast(bits)
@@ -230,8 +244,8 @@ class ShingleJoin:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scan, has, seen = ShingleScan(size), held.value, set()
             for batch in batches:
-                rows = [[], [], []]
-                for _, own in scan.sets(texts_of(batch.column(0))):
+                rows, texts = [[], [], []], texts_of(batch.column(0))
+                for i, own in scan.sets(texts):
                     c = class_of(own)
                     b = c % (1 << FILTER_BITS)
                     if not has[b >> 3] >> (b & 7) & 1 or c in seen or not len(own):
@@ -239,11 +253,12 @@ class ShingleJoin:
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(c)
-                    for column, value in zip(rows, (c, point_of(own, FINE), own.tobytes()), strict=True):
+                    for column, value in zip(rows, (c, point_of(own, FINE), zlib.compress(texts[i], 1)), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["cls", "point", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["cls", "point", "packed"])
+            give_back()
 
-        return materialize(self.docs.select("text").mapInArrow(run, "cls long, point binary, shingles binary"), "shingle-sets")
+        return materialize(self.docs.select("text").mapInArrow(run, "cls long, point binary, packed binary"), "shingle-sets")
 
     # Joins
 
@@ -255,10 +270,10 @@ class ShingleJoin:
             held = [[c.to_numpy() for c in b.columns] for b in batches]
             if not held:
                 return
-            token, cls, n, leads = (np.concatenate(c) for c in zip(*held, strict=True))
+            token, cls, size = (np.concatenate(c) for c in zip(*held, strict=True))
             del held
-            order = np.lexsort((cls, n, token))
-            token, cls, n, leads = token[order], cls[order], n[order], leads[order] > 0
+            order = np.lexsort((cls, size, token))
+            token, cls, n, leads = token[order], cls[order], size[order] >> 1, size[order] & 1 > 0
             new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
             token, cls, n, leads = token[new], cls[new], n[new], leads[new]
             # By size, a class fits the nearest smaller one that leads, or the next one if it leads itself.
@@ -330,9 +345,9 @@ class ShingleJoin:
 
     def home_links(self, close: DataFrame, sets: DataFrame) -> DataFrame:
         """(u, v): links that connect similar classes within the groups that classes go to with their sets."""
-        num, den = self.num, self.den
+        size_of, num, den = self.words, self.num, self.den
         homes = materialize(self.homes(close), "homes")  # few numbers: the join with the sets should know its size
-        rows = homes.join(sets.select("cls", "shingles"), "cls").repartition("token", "deal").sortWithinPartitions("token", "deal", "cls")
+        rows = homes.join(sets.select("cls", "packed"), "cls").repartition("token", "deal").sortWithinPartitions("token", "deal", "cls")
 
         def link(cls: list[int], own: list[np.ndarray]) -> Iterator[tuple[int, int]]:
             order = sorted(range(len(cls)), key=lambda i: len(own[i]))
@@ -350,28 +365,30 @@ class ShingleJoin:
                             yield cls[order[i]], cls[order[j]]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, cls, own = None, [], []
+            key, cls, own, scan = None, [], [], ShingleScan(size_of)
 
             def done():
                 found = list(link(cls, own)) if len(cls) > 1 else []
                 return long_batch(["u", "v"], [a for a, _ in found], [b for _, b in found])
 
             for batch in batches:
-                for token, deal, c, shingles in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                *keys, packed = (x.to_pylist() for x in batch.columns)
+                for token, deal, c, (_, shingles) in zip(*keys, scan.sets(map(zlib.decompress, packed)), strict=True):
                     if (token, deal) != key:
                         if len(cls) > 1:
                             yield done()
                         key, cls, own = (token, deal), [], []
                     if not cls or cls[-1] != c:
                         cls.append(c)
-                        own.append(np.frombuffer(shingles, np.uint64))
+                        own.append(shingles)
             yield done()
+            give_back()
 
-        return rows.select("token", "deal", "cls", "shingles").mapInArrow(run, "u long, v long").distinct()
+        return rows.select("token", "deal", "cls", "packed").mapInArrow(run, "u long, v long").distinct()
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(u, v): the pairs (u, v) whose sets are similar; only sets that the filter lets through are moved."""
-        num, den = self.num, self.den
+        size, num, den = self.words, self.num, self.den
         held = self.spark.sparkContext.broadcast(class_filter(pairs.select(F.explode(F.array("u", "v")).alias("cls"))))
 
         @F.pandas_udf(BooleanType())
@@ -382,31 +399,37 @@ class ShingleJoin:
         sets = sets.where(wanted("cls"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scan = ShingleScan(size)
             for batch in batches:
                 u, v, a, b = (c.to_pylist() for c in batch.columns)
                 good = []
-                for x, y in zip(a, b, strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                for (_, x), (_, y) in zip(*(scan.sets(map(zlib.decompress, packed)) for packed in (a, b)), strict=True):
                     both = overlap(x, y)
                     good.append(den * both >= num * (len(x) + len(y) - both))
                 keep = np.array(good, bool)
                 yield long_batch(["u", "v"], np.array(u, np.int64)[keep], np.array(v, np.int64)[keep])
 
-        one = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("a"))
-        two = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("b"))
+        one = sets.select(F.col("cls").alias("u"), F.col("packed").alias("a"))
+        two = sets.select(F.col("cls").alias("v"), F.col("packed").alias("b"))
         return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, text_hash, n, cls) of every row, and (cls, label) of every class that is linked."""
         rows, rarity = self.classes()
         points = rows.where("n > 0").select("cls", "point").dropDuplicates(["cls"])
-        close = self.close_postings(self.shared_postings(rarity), points)
+        shared = materialize(self.shared_postings(rarity), "shared-shingles")
+        drop_shuffles(self.spark)  # that of all postings is the largest
+        close = self.close_postings(shared, points)
+        discard(shared)
+        drop_shuffles(self.spark)
         sets = self.sets(close)
         first = connected_components(self.home_links(close, sets))
         first = materialize(first.withColumnsRenamed({"node": "cls"}), "home-labels")
+        drop_shuffles(self.spark)
         pairs = materialize(self.between(close, sets, first), "close-pairs")
         for table in (close, self.labelled):
             discard(table)
+        drop_shuffles(self.spark)
         more = self.verified(pairs, sets)
         label = lambda side: F.coalesce(F.col(f"{side}_label"), F.col(side))
         for side in ("u", "v"):

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -117,3 +118,36 @@ def test_groups_of_the_same_classes_are_sent_once(spark):
     close = spark.createDataFrame([(t, c, 9) for t, c in [(10, 1), (20, 1), (10, 2), (20, 2), (30, 3), (40, 3), (30, 4), (50, 4), (40, 5), (50, 5)]], "token long, cls long, n long")
     join = jaccard.ShingleJoin(spark.createDataFrame([], "doc_id long, text string"), 4, 85, 100)
     assert sorted((r.token, r.cls) for r in join.homes(close).collect()) == [(10, 1), (10, 2), (30, 3), (30, 4), (40, 3), (40, 5), (50, 4), (50, 5)]
+
+
+def test_sets_and_shuffles_leave_room(spark, tmp_path):
+    """A class's set is kept in less room than its hashes, and the shuffles of a table are gone once it is written."""
+    from lumenline.llm.common import drop_shuffles, materialize
+
+    rng = random.Random(1)
+    base = [rng.choice(["lorem", "ipsum", "dolor", "amet", "tempor", "magna", "veniam"]) + rng.choice("aeiou") for _ in range(600)]
+    rows = [(i, " ".join([*base[: 500 + i], f"end{i}"])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = jaccard.ShingleJoin(docs, 4, 85, 100)
+    n = {r.cls: r.n for r in join.classes()[0].collect()}
+    kept = join.sets(spark.createDataFrame([(c,) for c in n], "cls long")).toPandas()
+    assert len(kept) == 20
+    assert sum(len(x) for c in kept.columns if c not in ("cls", "point") for x in kept[c]) < 4 * sum(n.values())
+    files = lambda: {f for f in map(str, blocks.getAllFiles().mkString(" ").split(" ")) if f.endswith(".data")}
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = files()
+    moved = materialize(docs.repartition(3, "doc_id"), "moved")
+    assert files() - before
+    for _ in range(20):  # Spark deletes them some time after the collection that finds them
+        drop_shuffles(spark)
+        time.sleep(0.2)
+        if files() <= before:
+            break
+    assert files() <= before and moved.count() == 20
+
+
+def test_points_of_any_size_are_packed():
+    own = [np.arange(8, dtype=np.uint64), np.zeros(300, np.uint64), np.zeros(70_000, np.uint64)]
+    packed = [jaccard.point_of(x, 8) for x in own]
+    assert [len(p) for p in packed] == [8, 16, 32]
+    assert jaccard.points_from(packed, 8).sum(1).tolist() == [8, 300, 70_000]
