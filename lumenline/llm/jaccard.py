@@ -201,7 +201,7 @@ class ShingleJoin:
         is the smaller one: it leads.
         """
         size, num, den = self.words, self.num, self.den
-        shared = self.spark.sparkContext.broadcast(rarity)  # fixed size
+        self.rarity = shared = self.spark.sparkContext.broadcast(rarity)  # fixed size
         shift = np.uint64(64 - RARITY_BITS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,9 @@ class ShingleJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["cls", "point", "packed"])
             give_back()
 
-        return materialize(self.docs.select("text").mapInArrow(run, "cls long, point binary, packed binary"), "shingle-sets")
+        made = materialize(self.docs.select("text").mapInArrow(run, "cls long, point binary, packed binary"), "shingle-sets")
+        held.destroy()
+        return made
 
     # Joins
 
@@ -418,6 +420,8 @@ class ShingleJoin:
         rows, rarity = self.classes()
         points = rows.where("n > 0").select("cls", "point").dropDuplicates(["cls"])
         shared = materialize(self.shared_postings(rarity), "shared-shingles")
+        self.rarity.destroy()
+        del rarity
         drop_shuffles(self.spark)  # that of all postings is the largest
         close = self.close_postings(shared, points)
         discard(shared)

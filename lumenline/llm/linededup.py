@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import join_split, materialize, read
+from .common import discard, drop_shuffles, join_split, materialize, read
 
 BUCKETS = 1 << 20
 
@@ -52,8 +52,11 @@ def half_keys(line: Column, length: Column) -> Column:
     return F.array(*keys)
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
-    """(hash, near): the first place of the earliest line that one edit makes of the line, if that is earlier than its own."""
+def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(hash, near): the first place of the earliest line that one edit makes of the line, if that is earlier than its own.
+
+    And the table of lines that it is made from.
+    """
     keys = distinct.select("hash", F.posexplode("halves").alias("half", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     partners = keys.join(shared, "key", "left_semi").groupBy("hash").agg(F.collect_set("half").alias("halves"))
@@ -64,6 +67,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
     found = found.groupBy("hash").agg(F.first("line").alias("line"))
     texts = found.join(partners, "hash").join(distinct.select("hash", "first"), "hash").withColumn("length", F.length("line"))
     texts = materialize(texts, "near-texts")
+    discard(partners)
 
     cut = lambda k: F.floor((F.col("length") - 1 + F.floor(k / 2)) / 2).cast("int")
     places = F.transform("halves", lambda k: F.when(k % 2 == 0, F.sequence(cut(k), F.col("length") - 1)).otherwise(F.sequence(F.lit(0), F.col("length") - cut(k) - 1)))
@@ -90,11 +94,11 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
     one = texts.select("hash", "line")
     two = texts.select(F.col("hash").alias("other"), F.col("line").alias("other_line"))
     verified = pairs.join(one, "hash").join(two, "other").where(F.levenshtein("line", "other_line", 1).between(0, 1))
-    return verified.groupBy("hash").agg(F.min("first").alias("near"))
+    return verified.groupBy("hash").agg(F.min("first").alias("near")), texts
 
 
 def removed_lines(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
-    """(__id, __text_hash, removed): numbers of the lines that an earlier line duplicates."""
+    """(__id, __text_hash, __gone): numbers of the lines that an earlier line duplicates; a table, those that led to it are deleted."""
     length = F.length("line")
     halves = F.when(length >= min_chars, half_keys(F.col("line"), length))  # null keys of short lines pair with nothing
     rows = lines_of(docs, min(min_chars, exact_chars)).select("__id", "__text_hash", "no", F.xxhash64("line").alias("hash"), halves.alias("halves"))
@@ -102,11 +106,19 @@ def removed_lines(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFram
     place = F.struct("__id", "__text_hash", "no")
     distinct = rows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     distinct = materialize(distinct, "distinct-lines")
-    near = near_lines(docs, distinct, min_chars)
+    drop_shuffles(docs.sparkSession)
+    near, texts = near_lines(docs, distinct, min_chars)
     info = distinct.select("hash", "first", "n").join(near, "hash", "left").where("n > 1 or near is not null")
     info = materialize(info.select("hash", "n", F.least("first", "near").alias("keep")), "repeated-lines")
+    for table in (distinct, texts):
+        discard(table)
+    drop_shuffles(docs.sparkSession)
     gone = join_split(rows.select("__id", "__text_hash", "no", "hash"), info, "hash").where(place > F.col("keep"))
-    return gone.groupBy("__id", "__text_hash").agg(F.array_sort(F.collect_set("no")).alias("__gone"))
+    gone = materialize(gone.groupBy("__id", "__text_hash").agg(F.array_sort(F.collect_set("no")).alias("__gone")), "removed-lines")
+    for table in (rows, info):
+        discard(table)
+    drop_shuffles(docs.sparkSession)
+    return gone
 
 
 def without(lines: Column, gone: Column) -> Column:

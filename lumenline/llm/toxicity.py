@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, WordScan, filter_texts, give_back, map_texts, materialize, mix, read, texts_of
+from .common import FOLD, WordScan, discard, drop_shuffles, filter_texts, give_back, map_texts, materialize, mix, read, texts_of
 from .jaccard import ShingleScan, overlap
 
 #: Lengths in bytes of the word beginnings that can be markers.
@@ -191,13 +191,14 @@ def corpus_idf(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for c in batch.column(1):
                 total += np.frombuffer(zlib.decompress(c.as_py()), "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
+        packed = zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], ["block", "counts"])
 
     n = docs.count()
     idf = np.full((DF_BLOCKS, cells // DF_BLOCKS), math.log(1 + n) + 1, np.float32)
     rows = docs.select("text").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
-    for r in rows.collect():  # 16 MB in all
-        idf[r.block] = np.log((1 + n) / (1.0 + np.frombuffer(r.counts, "<u4"))) + 1
+    for r in rows.collect():  # 16 MB in all, before they are compressed
+        idf[r.block] = np.log((1 + n) / (1.0 + np.frombuffer(zlib.decompress(r.counts), "<u4"))) + 1
     return idf.ravel()
 
 
@@ -613,6 +614,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, neighbours:
         return ExampleIndex(TermSpace(none, none, np.zeros(0), np.zeros(0, np.float32)), share, neighbours)
     space = term_space(tables, corpus_idf(docs), n_pos, n_neg, significance, max_terms)
     found = example_vectors(tables, space)
+    discard(tables)
     scale = {0: total[0] / n_neg, 1: total[1] / n_pos}
     order = pa.compute.sort_indices(found, [("doc_id", "ascending"), ("text_hash", "ascending"), ("toxic", "ascending")])
     toxic, ids = found["toxic"].take(order).to_numpy().astype(float), np.array(found["doc_id"].take(order).to_pylist())
@@ -668,7 +670,8 @@ class Prepared:
 
 def scorer(spark: SparkSession, index: ExampleIndex):
     """In a task: (score, evidence) of each of some texts."""
-    held, curve = index.held or spark.sparkContext.broadcast(index), index.curve
+    index.held = held = index.held or spark.sparkContext.broadcast(index)
+    curve = index.curve
     return lambda: partial(Prepared.of(held).score, curve=curve)
 
 
@@ -691,7 +694,20 @@ def score_documents(docs: DataFrame, index: ExampleIndex) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, that are not scored as toxic."""
-    make_score = scorer(docs.sparkSession, fit(docs, labels))
+    return passing(docs, fit(docs, labels))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``drop_toxic`` as a table: no later stage holds the index in the driver or the executors."""
+    index = fit(docs, labels)
+    kept = materialize(passing(docs, index), "not-toxic")
+    index.held.destroy()
+    drop_shuffles(docs.sparkSession)
+    return kept
+
+
+def passing(docs: DataFrame, index: ExampleIndex) -> DataFrame:
+    make_score = scorer(docs.sparkSession, index)
 
     def make():
         score = make_score()

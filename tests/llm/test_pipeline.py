@@ -68,6 +68,30 @@ def test_stages_keep_columns_of_any_name(spark):
     assert [r[0] for r in kept[0]] == [1, 3, 4] and kept[0][0] == rows[0] and kept[0][1] in rows[2:4]
 
 
+def test_stages_leave_no_index_and_few_tables(spark, tmp_path):
+    """What a caller holds of a stage, while the next one runs, is a table: the driver has room for neither the index nor all that led to it."""
+    from lumenline.llm import common
+    from lumenline.llm.linededup import without_later_lines
+    from lumenline.llm.toxicity import drop_toxic
+
+    rows, labels = corpus(600)
+    d = str(tmp_path)
+    labels = spark.createDataFrame(labels, LABEL)
+    labels.write.parquet(f"{d}/labels.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    new = lambda: [p.rpartition("/")[2].rpartition("-")[0] for p in common._scratch[len(before) :]]
+    before = list(common._scratch)
+    kept = corpus_pipeline.toxicity(spark, docs, d)
+    assert new() == ["not-toxic"]
+    assert "MapInArrow" not in kept._jdf.queryExecution().toString()
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, drop_toxic(docs, labels).collect()), key=str)
+    before = list(common._scratch)
+    lines = without_later_lines(kept)
+    assert new() == ["removed-lines"]
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert lines.count() == kept.count()
+
+
 def test_stages_of_nothing(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
